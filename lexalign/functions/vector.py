@@ -82,7 +82,7 @@ def axpy(a: ColumnOrName, alpha: float, b: ColumnOrName) -> Column:
 
 def cosine(a: ColumnOrName, b: ColumnOrName) -> Column:
     """``a·b / sqrt(a·a * b·b)`` as in the reference similarity scorer."""
-    return dot(a, b) / F.sqrt(sq_norm(a) * sq_norm(b))
+    return F.try_divide(dot(a, b), F.sqrt(sq_norm(a) * sq_norm(b)))
 
 
 def unit(v: ColumnOrName) -> Column:

@@ -43,19 +43,28 @@ def vmean(v: ColumnOrName) -> Column:
     return vsum(v) / F.size(_c(v))
 
 
+def _per_row(v: ColumnOrName, c: ColumnOrName) -> Column:
+    """A per-row scalar repeated to the vector length.
+
+    A scalar referenced inside a lambda body is evaluated once per *element*;
+    passing it as an argument array evaluates it once per row.
+    """
+    return F.array_repeat(_c(c), F.size(_c(v)))
+
+
 def scale(v: ColumnOrName, c: ColumnOrName | float) -> Column:
-    cc = c if isinstance(c, Column) else F.lit(float(c))
-    return F.transform(_c(v), lambda x: x * cc)
+    if not isinstance(c, (Column, str)):
+        cc = F.lit(float(c))
+        return F.transform(_c(v), lambda x: x * cc)
+    return F.zip_with(_c(v), _per_row(v, c), lambda x, y: x * y)
 
 
 def divide(v: ColumnOrName, c: ColumnOrName) -> Column:
-    cc = _c(c)
-    return F.transform(_c(v), lambda x: x / cc)
+    return F.zip_with(_c(v), _per_row(v, c), lambda x, y: x / y)
 
 
 def shift(v: ColumnOrName, c: ColumnOrName) -> Column:
-    cc = _c(c)
-    return F.transform(_c(v), lambda x: x - cc)
+    return F.zip_with(_c(v), _per_row(v, c), lambda x, y: x - y)
 
 
 def add(a: ColumnOrName, b: ColumnOrName) -> Column:

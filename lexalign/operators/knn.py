@@ -7,7 +7,7 @@ Physical design (block matrix product, as in distributed BlockMatrix multiply):
 * every left row is replicated to the ``T`` right blocks and every right row to
   the ``Q`` left blocks, and the two sides are co-grouped on ``(lblk, rblk)``:
   one group is one block pair, ``Q x T`` groups spread over the cluster;
-* a vectorised numpy kernel (``applyInPandas`` on the co-group) computes the
+* a vectorised numpy kernel (``applyInArrow`` on the co-group, zero-copy) computes the
   ``B x B`` score block in double and emits only the partial top-k of every row
   (and/or column), ties broken by the lower id;
 * the final top-k is a ``row_number() <= k`` window per key, which Catalyst
@@ -24,11 +24,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexalign.operators._arrow import stack_object_column
+from lexalign.operators._arrow import list_to_matrix
 from lexalign.session import default_parallelism
 
 MAX_BLOCK = 4096
@@ -63,24 +64,37 @@ def topk_mask(s: np.ndarray, k: int) -> np.ndarray:
     return gt | (eq & (eq_rank <= need[:, None]))
 
 
+def _empty() -> pa.Table:
+    return pa.table({"side": pa.array([], pa.string()), "key": pa.array([], pa.int64()),
+                     "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def _emit(side: str, key: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"side": pa.array(np.full(len(key), side, dtype=object), pa.string()),
+                     "key": pa.array(key, pa.int64()), "other": pa.array(other, pa.int64()),
+                     "score": pa.array(score, pa.float64())})
+
+
+def _side(t: pa.Table):
+    ids = t.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    vecs = list_to_matrix(t.column("vec"))[order]
+    bias = t.column("bias").to_numpy(zero_copy_only=False).astype(np.float64)[order]
+    emit = t.column("emit").to_numpy(zero_copy_only=False).astype(bool)[order]
+    return ids[order], vecs, bias, emit
+
+
 def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
     want_left = "left" in sides
     want_right = "right" in sides
 
-    def kernel(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"side": [], "key": [], "other": [], "score": []})
-        lp = lp.sort_values("id", kind="stable")
-        rp = rp.sort_values("id", kind="stable")
-        L = stack_object_column(lp["vec"].to_numpy())
-        R = stack_object_column(rp["vec"].to_numpy())
-        lid = lp["id"].to_numpy(dtype=np.int64)
-        rid = rp["id"].to_numpy(dtype=np.int64)
-        lb = lp["bias"].to_numpy(dtype=np.float64)
-        rb = rp["bias"].to_numpy(dtype=np.float64)
-        lemit = lp["emit"].to_numpy(dtype=bool)
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        if lt.num_rows == 0 or rt.num_rows == 0:
+            return _empty()
+        lid, L, lb, lemit = _side(lt)
+        rid, R, rb, _ = _side(rt)
         out = []
-        col_best = []
+        col_keys, col_others, col_scores = [], [], []
         for a in range(0, len(lid), ROW_CHUNK):
             b = min(a + ROW_CHUNK, len(lid))
             s = alpha * (L[a:b] @ R.T) + lb[a:b, None] + rb[None, :]
@@ -88,27 +102,28 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
                 rows = np.nonzero(lemit[a:b])[0]
                 if len(rows):
                     sub = s[rows]
-                    m = topk_mask(sub, k)
-                    i, j = np.nonzero(m)
-                    out.append(pd.DataFrame({"side": "left", "key": lid[a:b][rows][i],
-                                             "other": rid[j], "score": sub[i, j]}))
+                    i, j = np.nonzero(topk_mask(sub, k))
+                    out.append(_emit("left", lid[a:b][rows][i], rid[j], sub[i, j]))
             if want_right:
-                # keep the column-wise candidates of this row chunk, merged below
                 st = s.T
-                m = topk_mask(st, k)
-                i, j = np.nonzero(m)
-                col_best.append(pd.DataFrame({"side": "right", "key": rid[i],
-                                              "other": lid[a:b][j], "score": st[i, j]}))
-        if want_right and col_best:
-            c = pd.concat(col_best, ignore_index=True)
-            if len(col_best) > 1:
-                c = (c.sort_values(["key", "score", "other"], ascending=[True, False, True],
-                                   kind="stable")
-                      .groupby("key", sort=False).head(k))
-            out.append(c)
-        if not out:
-            return pd.DataFrame({"side": [], "key": [], "other": [], "score": []})
-        return pd.concat(out, ignore_index=True)
+                i, j = np.nonzero(topk_mask(st, k))
+                col_keys.append(rid[i])
+                col_others.append(lid[a:b][j])
+                col_scores.append(st[i, j])
+        if want_right and col_keys:
+            key = np.concatenate(col_keys)
+            other = np.concatenate(col_others)
+            score = np.concatenate(col_scores)
+            if len(col_keys) > 1:
+                # merge the chunk-wise candidates: key asc, score desc, other asc; keep k per key
+                order = np.lexsort((other, -score, key))
+                key, other, score = key[order], other[order], score[order]
+                first = np.r_[0, np.nonzero(np.diff(key))[0] + 1]
+                pos = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+                keep = pos < k
+                key, other, score = key[keep], other[keep], score[keep]
+            out.append(_emit("right", key, other, score))
+        return pa.concat_tables(out) if out else _empty()
 
     return kernel
 
@@ -147,9 +162,13 @@ def block_candidates(left: DataFrame, right: DataFrame, k: int, *,
     lrep = _prepare(left, left_id, vec, left_bias, left_emit, "lblk", "rblk", block, t_blocks)
     rrep = _prepare(right, right_id, vec, right_bias, None, "rblk", "lblk", block, q_blocks)
     kernel = _kernel_factory(int(k), float(alpha), tuple(sides))
-    return (lrep.groupBy("lblk", "rblk")
-                .cogroup(rrep.groupBy("lblk", "rblk"))
-                .applyInPandas(kernel, CAND_SCHEMA))
+    cands = (lrep.groupBy("lblk", "rblk")
+                 .cogroup(rrep.groupBy("lblk", "rblk"))
+                 .applyInArrow(kernel, CAND_SCHEMA))
+    if len(sides) > 1:
+        # both sides are read from the same candidates: compute the block products once
+        cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
+    return cands
 
 
 def final_topk(cands: DataFrame, k: int, side: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Row-wise steps are higher-order Column expressions.  Column-wise steps need one
 aggregate per group (language): ``Summarizer`` computes the mean / L2 norm of
-every dimension in one pass with partial aggregation, and the per-group result
-(one row of ``d`` doubles per language, a size bound that does not grow with
-the vocabulary) is broadcast back.
+every dimension in one pass with partial aggregation; the per-group result
+(``d`` doubles per language, a size bound that does not grow with the
+vocabulary) is applied as a literal array, so the big side is never joined or
+shuffled.
 """
 
 from __future__ import annotations
@@ -29,36 +30,47 @@ def centeremb(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.withColumn(vec, V.shift(vec, V.vmean(vec)))
 
 
-def _group_stats(df: DataFrame, vec: str, group_cols: Sequence[str], metric: str) -> DataFrame:
-    keys = list(group_cols) or ["_g"]
-    src = df if group_cols else df.withColumn("_g", F.lit(0))
+def column_stats(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = (),
+                 metric: str = "mean") -> dict[tuple, list[float]]:
+    """Per-group ``mean`` / ``normL2`` of every dimension (one Summarizer pass).
+
+    The result is ``#groups x d`` numbers, bounded by the number of languages
+    and the dimension; it is fitted once and applied as a literal, like a
+    fitted scaler model.
+    """
     summ = Summarizer.metrics(metric).summary(array_to_vector(F.col(vec))).alias("_s")
-    stats = src.groupBy(*keys).agg(summ)
-    return stats.select(*keys, vector_to_array(F.col(f"_s.{metric}")).alias("_stat"))
+    rows = df.groupBy(*group_cols).agg(summ).select(
+        *group_cols, vector_to_array(F.col(f"_s.{metric}")).alias("_stat")).collect()
+    return {tuple(r[c] for c in group_cols): list(r["_stat"]) for r in rows}
 
 
-def _apply_stats(df: DataFrame, vec: str, group_cols: Sequence[str], metric: str, fn) -> DataFrame:
-    stats = _group_stats(df, vec, group_cols, metric)
-    keys = list(group_cols) or ["_g"]
-    src = df if group_cols else df.withColumn("_g", F.lit(0))
-    # one row per language: bounded by (#languages x dim), safe to broadcast
-    joined = src.join(F.broadcast(stats), keys)
-    out = joined.withColumn(vec, fn(F.col(vec), F.col("_stat"))).drop("_stat")
-    return out.drop("_g") if not group_cols else out
+def _stat_column(stats: dict[tuple, list[float]], group_cols: Sequence[str]):
+    def lit_array(values):
+        return F.array(*[F.lit(float(x)) for x in values])
+    if not group_cols:
+        return lit_array(next(iter(stats.values()))) if stats else F.lit(None)
+    key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
+    expr = None
+    for k, values in stats.items():
+        kk = "\u0001".join("" if x is None else str(x) for x in k)
+        expr = (F.when(key == kk, lit_array(values)) if expr is None
+                else expr.when(key == kk, lit_array(values)))
+    return expr
 
 
-def column_means(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> DataFrame:
-    return _group_stats(df, vec, group_cols, "mean").withColumnRenamed("_stat", "mean")
+def column_means(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> dict:
+    return column_stats(df, vec, group_cols, "mean")
 
 
 def center(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> DataFrame:
-    return _apply_stats(df, vec, group_cols, "mean", V.sub)
+    stats = column_stats(df, vec, group_cols, "mean")
+    return df.withColumn(vec, V.sub(vec, _stat_column(stats, group_cols)))
 
 
 def unitdim(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> DataFrame:
-    def fn(v, s):
-        return F.zip_with(v, s, lambda x, n: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
-    return _apply_stats(df, vec, group_cols, "normL2", fn)
+    stats = column_stats(df, vec, group_cols, "normL2")
+    safe = {k: [x if x != 0 else 1.0 for x in v] for k, v in stats.items()}
+    return df.withColumn(vec, V.div_elementwise(vec, _stat_column(safe, group_cols)))
 
 
 def normalize(df: DataFrame, steps: Sequence[str], vec: str = "vec",

@@ -59,10 +59,11 @@ def fit(x: DataFrame, z: DataFrame, train: DataFrame, lam: float = 100.0,
     enc = D.encode(train, x, z, fold_case)
     g = training_grams(xn, zn, enc, weighted=semi)
     n_pairs = enc.count() if semi else None
-    dx, dz = _dim(xn), _dim(zn)
-    sxx = g["sxx"] if g["sxx"].size else np.zeros((dx, dx))
-    szz = g["szz"] if g["szz"].size else np.zeros((dz, dz))
-    c = g["c"] if g["c"].size else np.zeros((dx, dz))
+    if g["sxx"].size and g["szz"].size and g["c"].size:
+        sxx, szz, c = g["sxx"], g["szz"], g["c"]
+    else:  # empty training dictionary: the zero map
+        dx, dz = _dim(xn), _dim(zn)
+        sxx, szz, c = np.zeros((dx, dx)), np.zeros((dz, dz)), np.zeros((dx, dz))
     model = bilingual_fit(sxx, szz, c, lam, src, trg, n_pairs=n_pairs)
     return Fitted(model, xn, zn, n_pairs)
 

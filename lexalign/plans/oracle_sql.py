@@ -396,3 +396,115 @@ z2 AS {_unit(_mapped('lang_t', 'id', 'half'))}""",
     _csls_ctes("y1", "z2", "b_"),
     f"c2 AS (SELECT mid.src_idx, t.trg_idx, t.rn FROM mid JOIN {_csls_top('b_', 'q2', 10)} t ON t.src_idx = mid.mid_idx)",
     cands="c2")
+
+
+# --------------------------------------------------------------------------- sources / sinks / OOV
+
+_TOK = """
+tok AS (SELECT unnest(string_split(text, ' ')) AS token, lang FROM documents),
+cnt_en AS (SELECT token AS word, count(*) AS cnt FROM tok WHERE lang = 'en' AND token <> '' GROUP BY token),
+vocab_en AS (SELECT row_number() OVER (ORDER BY cnt DESC, word) AS line, word FROM cnt_en)"""
+
+SQL["vec_roundtrip"] = _with() + """
+SELECT idx::BIGINT AS idx, word, (j - 1)::BIGINT AS j, CAST(printf('%.6g', x) AS DOUBLE) AS value
+FROM (SELECT idx, word, unnest(generate_series(1, len(vec))) AS j, unnest(vec) AS x FROM lang_s)
+"""
+
+SQL["vocab_cap_fold"] = _with(_TOK, """
+f AS (SELECT line, lower(word) AS word, row_number() OVER (PARTITION BY lower(word) ORDER BY line) AS k FROM vocab_en),
+g AS (SELECT line, word, row_number() OVER (ORDER BY line) AS pos FROM f WHERE k = 1)""") + """
+SELECT (pos - 1)::BIGINT AS idx, word, line::BIGINT AS line FROM g WHERE pos <= 1000
+"""
+
+SQL["vocab_threshold"] = _with(_TOK) + """
+SELECT (line - 1)::BIGINT AS idx, word FROM vocab_en WHERE line <= 500
+"""
+
+SQL["vocab_filter"] = _with(_TOK, """
+keep AS (SELECT DISTINCT token AS word FROM tok WHERE lang = 'de' AND token <> ''),
+g AS (SELECT v.line, v.word, row_number() OVER (ORDER BY v.line) AS pos FROM vocab_en v WHERE v.word IN (SELECT word FROM keep))""") + """
+SELECT (pos - 1)::BIGINT AS idx, word, line::BIGINT AS line FROM g
+"""
+
+SQL["vocab_only"] = _with() + """
+SELECT idx::BIGINT AS idx, word FROM lang_t WHERE idx < 300
+"""
+
+_LINES = """
+lines AS (SELECT row_number() OVER (ORDER BY ord) AS line_no, ord, src_word, trg_word FROM dict_st)"""
+
+SQL["dict_tolerant"] = _with(_LINES) + """
+SELECT 'pair' AS kind, src_word, trg_word, NULL::BIGINT AS line_no
+FROM (SELECT DISTINCT src_word, trg_word FROM lines WHERE NOT starts_with(src_word, 'yy'))
+UNION ALL
+SELECT 'rejected' AS kind, NULL::VARCHAR AS src_word, NULL::VARCHAR AS trg_word, line_no::BIGINT AS line_no
+FROM lines WHERE starts_with(src_word, 'yy')
+"""
+
+SQL["dict_strict"] = _with(_LINES) + """
+SELECT (line_no - 1)::BIGINT AS line_no, src_word, trg_word FROM lines
+"""
+
+SQL["sim_scan"] = _with("""
+sim AS (SELECT e1.i AS row_no, 's' || e1.i AS w1,
+               CASE WHEN e1.i % 19 = 0 THEN 'zz' || e1.i ELSE 's' || e2.i END AS w2,
+               abs(e1.label - e2.label)::DOUBLE AS ref
+        FROM e e1 CROSS JOIN nn JOIN e e2 ON e2.i = (3 * e1.i + 1) % nn.n)""") + """
+SELECT row_no::BIGINT AS row_no, w1, w2, ref FROM sim
+"""
+
+SQL["manifest_load"] = _with() + """
+SELECT 0::BIGINT AS lang_no, 'en' AS lang, idx::BIGINT AS idx, word FROM lang_s
+UNION ALL
+SELECT 1::BIGINT AS lang_no, 'es' AS lang, idx::BIGINT AS idx, word FROM lang_t
+"""
+
+SQL["paste_columns"] = _with() + """
+SELECT vec_id::BIGINT AS line, 's' || vec_id AS word, label::BIGINT AS label FROM embeddings
+"""
+
+SQL["candidate_lines"] = _with(_FIXED, _csls_ctes("xw", "zw"), f"""
+cands AS {_csls_top('', 'q', 10)},
+g AS (SELECT gold.src_idx, string_agg(t.word, ':' ORDER BY t.word) AS gw FROM gold JOIN lang_t t ON t.idx = gold.trg_idx
+      GROUP BY gold.src_idx),
+c AS (SELECT cands.src_idx, string_agg(t.word, ':' ORDER BY cands.rn) AS cw FROM cands JOIN lang_t t ON t.idx = cands.trg_idx
+      GROUP BY cands.src_idx)""") + """
+SELECT s.word AS src_word, s.word || ',' || g.gw || ',' || c.cw AS line
+FROM c JOIN g ON g.src_idx = c.src_idx JOIN lang_s s ON s.idx = c.src_idx
+"""
+
+SQL["pairs_tsv"] = SQL["translate_csls"]
+
+_PREFIX = _TOK + """,
+vv AS (SELECT v.line - 1 AS idx, v.word, e.v AS vec FROM vocab_en v CROSS JOIN nn JOIN e ON e.i = v.line % nn.n),
+widx AS (SELECT word, max(idx) AS idx FROM vv GROUP BY word),
+req AS (SELECT DISTINCT token AS word FROM tok WHERE lang = 'de' AND token <> ''
+        AND token NOT IN (SELECT word FROM widx)),
+rp AS (SELECT word, l, substring(word, 1, l) AS prefix
+       FROM (SELECT word, unnest(range(1, length(word))) AS l FROM req)),
+short AS (SELECT rp.word, arg_max(w.idx, rp.l) AS s_idx, arg_max(w.word, rp.l) AS s_word
+          FROM rp JOIN widx w ON w.word = rp.prefix GROUP BY rp.word),
+vp AS (SELECT word AS v_word, idx, substring(word, 1, l) AS prefix
+       FROM (SELECT word, idx, unnest(range(1, length(word))) AS l FROM widx)),
+longer AS (SELECT r.word, arg_min(vp.idx, length(vp.v_word) * 1000000000 + vp.idx) AS l_idx,
+                  arg_min(vp.v_word, length(vp.v_word) * 1000000000 + vp.idx) AS l_word
+           FROM req r JOIN vp ON vp.prefix = r.word GROUP BY r.word),
+m AS (SELECT r.word, s.s_idx, s.s_word, l.l_idx, l.l_word FROM req r
+      LEFT JOIN short s ON s.word = r.word LEFT JOIN longer l ON l.word = r.word
+      WHERE s.s_idx IS NOT NULL OR l.l_idx IS NOT NULL),
+res AS (SELECT m.word, m.s_word, m.l_word,
+               CASE WHEN a.vec IS NOT NULL AND b.vec IS NOT NULL
+                    THEN list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] + p[2]) / 2.0)
+                    WHEN a.vec IS NOT NULL THEN a.vec ELSE b.vec END AS vec
+        FROM m LEFT JOIN vv a ON a.idx = m.s_idx LEFT JOIN vv b ON b.idx = m.l_idx)"""
+
+SQL["prefix_oov"] = _with(_PREFIX) + """
+SELECT word, s_word AS short_word, l_word AS long_word, round(vec[1], 6) AS v_first, round(list_sum(vec), 6) AS v_sum
+FROM res
+"""
+
+SQL["oov_prepend"] = _with(_PREFIX) + """
+SELECT (row_number() OVER (ORDER BY word) - 1)::BIGINT AS idx, word FROM res
+UNION ALL
+SELECT (idx + (SELECT count(*) FROM res))::BIGINT AS idx, word FROM vv
+"""

@@ -393,6 +393,184 @@ def pip_eval(spark, sf):
     return _metrics_out(out)
 
 
+# --------------------------------------------------------------------------- sources / sinks
+
+VOCAB_CAP = 1000
+VOCAB_THRESHOLD = 500
+VOCAB_ONLY_CAP = 300
+
+
+def _scratch(spark, name):
+    from lexalign.session import scratch_path
+    return scratch_path(spark, name)
+
+
+def vec_roundtrip(spark, sf):
+    """``.vec`` sink (``%.6g``) and scan of the source language."""
+    from lexalign.sources import vectext
+    path = _scratch(spark, "lang_s.vec")
+    vectext.write_vec(FX.lang_s(spark, sf), path)
+    back = vectext.read(spark, path)
+    return back.select(F.col("idx").cast("bigint").alias("idx"), "word",
+                       F.posexplode("vec").alias("j", "value")) \
+               .select("idx", "word", F.col("j").cast("bigint").alias("j"), "value")
+
+
+def _vocab_en(spark, sf):
+    return FX.vocab_raw(spark, sf, "en")
+
+
+def vocab_cap_fold(spark, sf):
+    from lexalign.sources import vectext
+    out = vectext.load(_vocab_en(spark, sf), max_voc=VOCAB_CAP)
+    return out.select(F.col("idx").cast("bigint"), "word", F.col("line").cast("bigint"))
+
+
+def vocab_threshold(spark, sf):
+    from lexalign.sources import vectext
+    out = vectext.load(_vocab_en(spark, sf), threshold=VOCAB_THRESHOLD)
+    return out.select(F.col("idx").cast("bigint"), "word")
+
+
+def vocab_filter(spark, sf):
+    from lexalign.sources import vectext
+    keep = FX.tokens(spark, sf, "de").select(F.col("token").alias("word")).distinct()
+    out = vectext.load(_vocab_en(spark, sf), vocabulary=keep)
+    return out.select(F.col("idx").cast("bigint"), "word", F.col("line").cast("bigint"))
+
+
+def vocab_only(spark, sf):
+    """Words of the first lines of a written ``.vec`` file (no folding, no de-duplication)."""
+    from lexalign.sources import vectext
+    path = _scratch(spark, "lang_t.vec")
+    vectext.write_vec(FX.lang_t(spark, sf), path)
+    return vectext.read_vocab(spark, path, VOCAB_ONLY_CAP).select(F.col("idx").cast("bigint"), "word")
+
+
+def _dict_text(spark, sf, malformed=True):
+    """Dictionary lines in ``ord`` order; OOV-source rows get a third field when ``malformed``."""
+    d = FX.dictionary(spark, sf)
+    third = F.when(F.col("src_word").startswith("yy") & F.lit(malformed), F.lit(" extra")).otherwise(F.lit(""))
+    return d.select("ord", F.concat(F.col("src_word"), F.lit(" "), F.col("trg_word"), third).alias("text"))
+
+
+def _write_ordered(df, key, path):
+    df.repartitionByRange(key).sortWithinPartitions(key).select("text").write.mode("overwrite").text(path)
+
+
+def dict_tolerant(spark, sf):
+    from lexalign.sources import dictionaries as DS
+    path = _scratch(spark, "dict_st.txt")
+    _write_ordered(_dict_text(spark, sf), "ord", path)
+    pairs, rejected = DS.read_dictionary_tolerant(spark, path)
+    return (pairs.select(F.lit("pair").alias("kind"), "src_word", "trg_word", F.lit(None).cast("bigint").alias("line_no"))
+            .unionByName(rejected.select(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("src_word"),
+                                         F.lit(None).cast("string").alias("trg_word"), F.col("line_no").cast("bigint"))))
+
+
+def dict_strict(spark, sf):
+    from lexalign.sources import dictionaries as DS
+    path = _scratch(spark, "dict_strict.txt")
+    _write_ordered(_dict_text(spark, sf, malformed=False), "ord", path)
+    d = DS.read_dictionary(spark, path)
+    return d.select(F.col("ord").cast("bigint").alias("line_no"), "src_word", "trg_word")
+
+
+def sim_scan(spark, sf):
+    from lexalign.sources import dictionaries as DS
+    path = _scratch(spark, "sim.tsv")
+    sim = FX.similarity_set(spark, sf)
+    lines = sim.select(F.col("row_no").alias("ord"),
+                       F.concat_ws("\t", "w1", "w2", F.col("ref").cast("string")).alias("text"))
+    _write_ordered(lines, "ord", path)
+    return DS.read_similarity(spark, path).select(F.col("row_no").cast("bigint"), "w1", "w2", "ref")
+
+
+def manifest_load(spark, sf):
+    """Embedding manifest with language names; every listed file is loaded."""
+    from lexalign.sources import dictionaries as DS
+    from lexalign.sources import vectext
+    base = _scratch(spark, "manifest")
+    paths = []
+    for name, df in (("s", FX.lang_s(spark, sf)), ("t", FX.lang_t(spark, sf))):
+        p = f"{base}/{name}.vec"
+        vectext.write_vec(df, p)
+        paths.append(p)
+    man_path = f"{base}/emb.list"
+    _write_ordered(spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "ord bigint, text string"),
+                   "ord", man_path)
+    man = DS.read_embedding_manifest(spark, man_path, lang_list="en,es")
+    out = None
+    for r in man.collect():      # one row per language
+        t = vectext.read(spark, r["path"]).select(
+            F.lit(r["lang_no"]).alias("lang_no"), F.lit(r["lang"]).alias("lang"), "idx", "word")
+        out = t if out is None else out.unionByName(t)
+    return out.select(F.col("lang_no").cast("bigint"), "lang", F.col("idx").cast("bigint"), "word")
+
+
+def paste_columns(spark, sf):
+    from lexalign.sources import dictionaries as DS
+    from lexalign.sources import vectext
+    e = FX.lang_s(spark, sf)
+    lab = tables_embeddings(spark, sf)
+    p1, p2 = _scratch(spark, "words.txt"), _scratch(spark, "labels.txt")
+    _write_ordered(e.select(F.col("idx").alias("ord"), F.col("word").alias("text")), "ord", p1)
+    _write_ordered(lab.select(F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("text")), "ord", p2)
+    pasted = DS.paste(vectext.read_lines(spark, p1), vectext.read_lines(spark, p2))
+    return pasted.select(F.col("line").cast("bigint"), F.col("l_value").alias("word"),
+                         F.col("r_value").cast("bigint").alias("label"))
+
+
+def tables_embeddings(spark, sf):
+    from lexalign.sources import tables
+    return tables.embeddings(spark, sf)
+
+
+def candidate_lines(spark, sf):
+    from lexalign.sources import sinks
+    xw, zw, s, t, d, _ = _fixed_spaces(spark, sf)
+    gold = D.gold(D.encode(_part(d, "test"), s, t))
+    c = BL.retrieve(xw, zw, gold, "csls", 10, 10)
+    return sinks.candidate_lines(c, gold, s, t)
+
+
+def pairs_tsv(spark, sf):
+    from lexalign.sources import sinks
+    from lexalign.sources import vectext
+    pairs = _translate(spark, sf, "csls")
+    path = _scratch(spark, "pairs.tsv")
+    sinks.translation_lines(pairs).write.mode("overwrite").text(path)
+    back = vectext.read_lines(spark, path)
+    t = F.split("value", "\t")
+    return back.select(t[0].alias("word"), t[1].alias("translation"))
+
+
+# --------------------------------------------------------------------------- OOV
+
+def _oov_request(spark, sf):
+    return FX.tokens(spark, sf, "de").select(F.col("token").alias("word")).distinct()
+
+
+def _vocab_en_table(spark, sf):
+    return _vocab_en(spark, sf).select((F.col("line") - 1).cast("bigint").alias("idx"), "word", "vec")
+
+
+def prefix_oov(spark, sf):
+    from lexalign.operators import oov
+    emb = _vocab_en_table(spark, sf)
+    out = oov.prefix_embeddings(_oov_request(spark, sf), emb)
+    return out.select("word", "short_word", "long_word", _r(F.col("vec")[0]).alias("v_first"),
+                      _r(V.vsum("vec")).alias("v_sum"))
+
+
+def oov_prepend(spark, sf):
+    from lexalign.operators import oov
+    emb = _vocab_en_table(spark, sf)
+    new = oov.prefix_embeddings(_oov_request(spark, sf), emb).select("word", "vec")
+    out = oov.prepend(emb, new)
+    return out.select(F.col("idx").cast("bigint"), "word")
+
+
 # --------------------------------------------------------------------------- fits (no SQL oracle)
 
 def bilingual_eval(spark, sf):
@@ -445,5 +623,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_cross": map_cross,
     "cmp_eval": cmp_eval,
     "pip_eval": pip_eval,
+    "vec_roundtrip": vec_roundtrip,
+    "vocab_cap_fold": vocab_cap_fold,
+    "vocab_threshold": vocab_threshold,
+    "vocab_filter": vocab_filter,
+    "vocab_only": vocab_only,
+    "dict_tolerant": dict_tolerant,
+    "dict_strict": dict_strict,
+    "sim_scan": sim_scan,
+    "manifest_load": manifest_load,
+    "paste_columns": paste_columns,
+    "candidate_lines": candidate_lines,
+    "pairs_tsv": pairs_tsv,
+    "prefix_oov": prefix_oov,
+    "oov_prepend": oov_prepend,
     "bilingual_eval": bilingual_eval,
 }

@@ -147,3 +147,25 @@ def similarity_set(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.concat(F.lit("zz"), F.col("i").cast("string")))
                       .otherwise(F.concat(F.lit("s"), F.col("j").cast("string"))).alias("w2"),
                      F.abs(F.col("label") - F.col("label_j")).cast("double").alias("ref")))
+
+
+def tokens(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """Tokens of ``documents.text`` split on one space, empty tokens dropped: ``(token)``."""
+    docs = tables.documents(spark, sf_dir)
+    if lang is not None:
+        docs = docs.where(F.col("lang") == lang)
+    return (docs.select(F.explode(F.split("text", " ")).alias("token"))
+                .where(F.col("token") != ""))
+
+
+def vocab_raw(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
+    """``(line, word, vec)``: distinct tokens numbered by count desc then token (1-based),
+    ``vec = e_{line mod n}``.  Mixed case gives folding duplicates; shared prefixes
+    serve the prefix extension."""
+    from lexalign.functions import ranking
+    n = _count(spark, sf_dir)
+    counts = tokens(spark, sf_dir, lang).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
+    numbered = ranking.row_number_global(counts, [F.col("cnt").desc(), F.col("word").asc()], "line")
+    e = _emb(spark, sf_dir).select(F.col("i").alias("_j"), F.col("v").alias("vec"))
+    return (numbered.withColumn("_j", F.pmod(F.col("line"), F.lit(n)))
+                    .join(e, "_j").select("line", "word", "vec"))

@@ -50,6 +50,21 @@ def training_grams(x: DataFrame, z: DataFrame, enc: DataFrame, weighted: bool =
     return G.grams(specs)
 
 
+def fit_pairs(xn: DataFrame, zn: DataFrame, enc: DataFrame, lam: float, src: str = "src",
+              trg: str = "trg", semi: bool = False) -> Model:
+    """Closed-form fit from already normalised tables and encoded pairs ``(src_idx, trg_idx)``."""
+    g = training_grams(xn, zn, enc, weighted=semi)
+    n_pairs = enc.count() if semi else None
+    if g["sxx"].size and g["szz"].size and g["c"].size:
+        sxx, szz, c = g["sxx"], g["szz"], g["c"]
+    else:  # empty training dictionary: the zero map
+        dx, dz = _dim(xn), _dim(zn)
+        sxx, szz, c = np.zeros((dx, dx)), np.zeros((dz, dz)), np.zeros((dx, dz))
+    model = bilingual_fit(sxx, szz, c, lam, src, trg, n_pairs=n_pairs)
+    model.info["n_pairs"] = n_pairs
+    return model
+
+
 def fit(x: DataFrame, z: DataFrame, train: DataFrame, lam: float = 100.0,
         normalize: Sequence[str] = ("unit", "center"), fold_case: bool = False,
         src: str = "src", trg: str = "trg", semi: bool = False) -> Fitted:

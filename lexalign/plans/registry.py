@@ -579,6 +579,59 @@ def bilingual_eval(spark, sf):
     return _metrics_out(out)
 
 
+def semi_bootstrap(spark, sf):
+    from lexalign.plans import semi
+    s, t = FX.lang_s(spark, sf), FX.lang_t_easy(spark, sf)
+    d = FX.dictionary_seed(spark, sf)
+    out = semi.bootstrap(s, t, _part(d, "train"), _part(d, "val"), _part(d, "test"), lam=0.01, rounds=3)
+    return out.select("round", "phase", "n_pairs", *[_r(F.col(c)).alias(c) for c in
+                                                     ("val_acc1", "test_acc1", "test_acc5", "test_acc10")])
+
+
+def _multi_inputs(spark, sf):
+    s, t, m = FX.lang_s(spark, sf), FX.lang_t(spark, sf), FX.lang_m(spark, sf)
+    langs = {"s": s, "t": t, "m": m}
+    dst, dsm, dmt = (FX.dictionary(spark, sf, "s", "t"), FX.dictionary(spark, sf, "s", "m"),
+                     FX.dictionary(spark, sf, "m", "t"))
+    train = [("s", "t", _part(dst, "train")), ("s", "m", _part(dsm, "train")), ("m", "t", _part(dmt, "train"))]
+    tests = [("s", "t", _part(dst, "test")), ("s", "m", _part(dsm, "test")), ("m", "t", _part(dmt, "test"))]
+    return langs, train, tests
+
+
+def multi_fit_eval(spark, sf):
+    from lexalign.plans import multi
+    langs, train, tests = _multi_inputs(spark, sf)
+    model, norm = multi.fit(langs, train, lam=10.0)
+    return multi.evaluate_pairs(model, norm, langs, tests[:1])
+
+
+def multi_pair_eval(spark, sf):
+    from lexalign.plans import multi
+    langs, train, tests = _multi_inputs(spark, sf)
+    model, norm = multi.fit(langs, train, lam=10.0)
+    return multi.evaluate_pairs(model, norm, langs, tests)
+
+
+def two_hop_fit(spark, sf):
+    from lexalign.plans import two_hop
+    s, t, m = FX.lang_s(spark, sf), FX.lang_t(spark, sf), FX.lang_m(spark, sf)
+    dsm, dmt, dst = (FX.dictionary(spark, sf, "s", "m"), FX.dictionary(spark, sf, "m", "t"),
+                     FX.dictionary(spark, sf, "s", "t"))
+    f1, f2 = two_hop.fit(s, m, t, _part(dsm, "train"), _part(dmt, "train"), lam=10.0)
+    test = _part(dst, "test")
+    cmp_ = two_hop.composition_eval(f1.x, f2.z, test, f1.model.cross_map("s", "m"), f2.model.cross_map("m", "t"),
+                                    x_raw=s, z_raw=t).select(F.lit("cmp").alias("method"), "*")
+    pip = two_hop.pipeline_eval(f1.x, f1.z, f2.z, test, f1.model, f2.model, raw=(s, m, t)) \
+        .select(F.lit("pip").alias("method"), "*")
+    return cmp_.unionByName(pip)
+
+
+def lambda_grid(spark, sf):
+    from lexalign.plans import grid
+    s, t, d = _st(spark, sf)
+    return grid.lambda_grid(s, t, _part(d, "train"), _part(d, "test"), lambdas=(0.1, 10.0, 100.0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "norm_unit": norm_unit,
     "norm_center": norm_center,
@@ -638,4 +691,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_oov": prefix_oov,
     "oov_prepend": oov_prepend,
     "bilingual_eval": bilingual_eval,
+    "semi_bootstrap": semi_bootstrap,
+    "multi_fit_eval": multi_fit_eval,
+    "multi_pair_eval": multi_pair_eval,
+    "two_hop_fit": two_hop_fit,
+    "lambda_grid": lambda_grid,
 }

@@ -11,14 +11,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def format_vec_g6(vecs: pd.Series) -> pd.Series:
     return vecs.map(lambda v: " ".join("%.6g" % x for x in v) if v is not None else None)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def format_g6(xs: pd.Series) -> pd.Series:
     return xs.map(lambda x: "%.6g" % x if x is not None and x == x else None)
 

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming entry points for the stateless projections."""

@@ -149,10 +149,14 @@ def block_candidates(left: DataFrame, right: DataFrame, k: int, *,
                      n_left: int | None = None, n_right: int | None = None) -> DataFrame:
     """Partial top-k candidates per block pair: ``(side, key, other, score)``."""
     spark = left.sparkSession
-    if n_left is None:
-        n_left = int(left.agg(F.max(left_id)).first()[0] or -1) + 1
-    if n_right is None:
-        n_right = int(right.agg(F.max(right_id)).first()[0] or -1) + 1
+    if n_left is None or n_right is None:
+        # one small job for both id ranges (block counts are driver-side scalars)
+        ranges = (left.agg(F.max(left_id).cast("bigint").alias("m")).withColumn("s", F.lit(0))
+                  .unionByName(right.agg(F.max(right_id).cast("bigint").alias("m")).withColumn("s", F.lit(1)))
+                  .collect())
+        got = {r["s"]: (r["m"] if r["m"] is not None else -1) + 1 for r in ranges}
+        n_left = got[0] if n_left is None else n_left
+        n_right = got[1] if n_right is None else n_right
     if n_left <= 0 or n_right <= 0:
         return spark.createDataFrame([], CAND_SCHEMA)
     if block is None:

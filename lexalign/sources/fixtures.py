@@ -6,7 +6,7 @@ language ``t`` (reversed vector plus a scaled neighbour row: a planted linear
 map with noise), a pivot language ``m`` (half rotation plus noise) and
 dictionaries with train/validation/test parts, extra gold, OOV words and
 duplicates.  All work is joins and projections over the table; the only driver
-value is the row count ``n``.
+value is the row count ``n``, a scalar subquery.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _count(spark: SparkSession, sf_dir: str) -> int:
-    return tables.embeddings(spark, sf_dir).count()
+def _count(spark: SparkSession, sf_dir: str):
+    """Row count ``n`` as a scalar subquery (evaluated once inside the plan, no eager job)."""
+    return tables.embeddings(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
 
 
 def _shifted_pair(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
@@ -45,7 +46,7 @@ def _shifted_pair(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     n = _count(spark, sf_dir)
     e = _emb(spark, sf_dir)
     other = e.select(F.col("i").alias("j"), F.col("v").alias("w"))
-    return (e.withColumn("j", F.pmod(F.col("i") + shift, F.lit(n)))
+    return (e.withColumn("j", F.pmod(F.col("i") + shift, n))
              .join(other, "j").select("i", "v", "w"))
 
 
@@ -103,7 +104,7 @@ def dictionary(spark: SparkSession, sf_dir: str, src: str = "s",
         F.struct(F.lit(0).alias("v"), sw.alias("s"), tw.alias("t")),
         F.when((F.pmod("i", F.lit(EXTRA_GOLD_MOD)) == 0) & (part != "train"),
                F.struct(F.lit(1).alias("v"), sw.alias("s"),
-                        F.concat(F.lit(trg), F.pmod(F.col("i") + 1, F.lit(n)).cast("string")).alias("t"))),
+                        F.concat(F.lit(trg), F.pmod(F.col("i") + 1, n).cast("string")).alias("t"))),
         F.when(F.pmod("i", F.lit(OOV_TRG_MOD)) == 0,
                F.struct(F.lit(2).alias("v"), sw.alias("s"),
                         F.concat(F.lit("zz"), F.col("i").cast("string")).alias("t"))),
@@ -139,7 +140,7 @@ def similarity_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _count(spark, sf_dir)
     e = tables.embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), "label")
     o = e.select(F.col("i").alias("j"), F.col("label").alias("label_j"))
-    return (e.withColumn("j", F.pmod(F.col("i") * 3 + 1, F.lit(n)))
+    return (e.withColumn("j", F.pmod(F.col("i") * 3 + 1, n))
              .join(o, "j")
              .select(F.col("i").alias("row_no"),
                      F.concat(F.lit("s"), F.col("i").cast("string")).alias("w1"),
@@ -167,5 +168,5 @@ def vocab_raw(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> Data
     counts = tokens(spark, sf_dir, lang).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
     numbered = ranking.row_number_global(counts, [F.col("cnt").desc(), F.col("word").asc()], "line")
     e = _emb(spark, sf_dir).select(F.col("i").alias("_j"), F.col("v").alias("vec"))
-    return (numbered.withColumn("_j", F.pmod(F.col("line"), F.lit(n)))
+    return (numbered.withColumn("_j", F.pmod(F.col("line"), n))
                     .join(e, "_j").select("line", "word", "vec"))

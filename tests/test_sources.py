@@ -102,3 +102,38 @@ def test_streaming_alignment_equals_batch(spark, scratch):
     batch = N.unit(M.to_latent(N.unit(spark.read.parquet(src)), model, "a"))
     for r in batch.collect():
         assert np.allclose(got[r["idx"]], r["vec"])
+
+
+def test_model_roundtrip_and_metrics_sink(spark, scratch):
+    from lexalign.operators.fit import Model
+    from lexalign.sources import sinks
+    rng = np.random.default_rng(3)
+    m = Model({"en": rng.normal(size=(4, 3)), "es": rng.normal(size=(5, 3))}, np.diag([1.0, 2.0, 3.0]))
+    sinks.write_model(spark, m, os.path.join(scratch, "model"), text=True)
+    back = sinks.read_model(spark, os.path.join(scratch, "model"))
+    assert np.allclose(back.U["en"], m.U["en"]) and np.allclose(back.U["es"], m.U["es"])
+    assert np.allclose(back.B, m.B)
+    met = spark.createDataFrame([(0.5, 0.9)], "acc1 double, coverage double")
+    sinks.write_metrics(met, os.path.join(scratch, "metrics"), "a")
+    sinks.write_metrics(met, os.path.join(scratch, "metrics"), "b")
+    assert spark.read.parquet(os.path.join(scratch, "metrics")).count() == 2
+
+
+def test_external_vectors_pipe_and_prepend(spark, scratch):
+    import sys
+    script = _write(os.path.join(scratch, "vec.py"),
+                    "import sys\nfor w in sys.stdin:\n    w = w.strip()\n    print(w, len(w), 1.5)\n")
+    emb = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])], "idx bigint, word string, vec array<double>")
+    d = spark.createDataFrame([(0, "xyz", "q"), (1, "a", "q")], "ord bigint, src_word string, trg_word string")
+    out = oov.extend_with_external([d], emb, f"{sys.executable} {script}").orderBy("idx").collect()
+    assert [(r["idx"], r["word"]) for r in out] == [(0, "xyz"), (1, "a"), (2, "b")]
+    assert list(out[0]["vec"]) == [3.0, 1.5]
+
+
+def test_gzip_vec_is_read(spark, scratch):
+    import gzip
+    p = os.path.join(scratch, "g.vec.gz")
+    with gzip.open(p, "wt", encoding="utf-8") as f:
+        f.write("3 2\nx 1 2\ny 3 4\nz 5 6\n")
+    got = vectext.read(spark, p).orderBy("idx").collect()
+    assert [r["word"] for r in got] == ["x", "y", "z"] and list(got[2]["vec"]) == [5.0, 6.0]

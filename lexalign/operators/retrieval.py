@@ -12,7 +12,6 @@ All ids are the ``idx`` columns of the embedding tables; ties go to the lower id
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +22,17 @@ def _ids_vecs(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.select("idx", F.col(vec).alias("vec"))
 
 
+def id_ranges(x: DataFrame, z: DataFrame) -> tuple[int, int]:
+    """``(max idx + 1)`` of both tables in one small job (block counts of the top-k join)."""
+    rows = (x.agg(F.max("idx").cast("bigint").alias("m")).withColumn("s", F.lit(0))
+            .unionByName(z.agg(F.max("idx").cast("bigint").alias("m")).withColumn("s", F.lit(1))).collect())
+    got = {r["s"]: (r["m"] if r["m"] is not None else -1) + 1 for r in rows}
+    return got[0], got[1]
+
+
 def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame | None = None,
-                  block: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  block: int | None = None, n_left: int | None = None,
+                  n_right: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(r_x(idx, r), r_z(idx, r))``.  ``r_x`` only for ``queries`` (all of ``x`` if None)."""
     left = _ids_vecs(x)
     emit = None
@@ -34,8 +42,7 @@ def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame |
             "idx", "vec", F.coalesce("_emit", F.lit(False)).alias("_emit"))
         emit = "_emit"
     c = knn.block_candidates(left, _ids_vecs(z), k, left_emit=emit, sides=("left", "right"),
-                             block=block)
-    c = c.persist(StorageLevel.MEMORY_AND_DISK)
+                             block=block, n_left=n_left, n_right=n_right)
     r_x = knn.final_topk(c, k, "left").groupBy("key").agg(F.avg("score").alias("r")) \
         .withColumnRenamed("key", "idx")
     r_z = knn.final_topk(c, k, "right").groupBy("key").agg(F.avg("score").alias("r")) \
@@ -50,17 +57,20 @@ def nbr_mean(x: DataFrame, z: DataFrame, k: int = 10, block: int | None = None)
         .withColumnRenamed("key", "idx")
 
 
-def nn_topk(queries: DataFrame, z: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
+def nn_topk(queries: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
+            n_left: int | None = None, n_right: int | None = None) -> DataFrame:
     """``(src_idx, rank, trg_idx, score)`` by inner product."""
-    t = knn.topk(_ids_vecs(queries), _ids_vecs(z), k, block=block)
+    t = knn.topk(_ids_vecs(queries), _ids_vecs(z), k, block=block, n_left=n_left, n_right=n_right)
     return t.select(F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
 
 
 def csls_topk(queries: DataFrame, z: DataFrame, r_z: DataFrame, k: int = 10,
-              r_x: DataFrame | None = None, block: int | None = None) -> DataFrame:
+              r_x: DataFrame | None = None, block: int | None = None, n_left: int | None = None,
+              n_right: int | None = None) -> DataFrame:
     """``(src_idx, rank, trg_idx, score)`` by CSLS; score is ``2xz − r_x − r_z`` when ``r_x`` is given."""
     zb = _ids_vecs(z).join(r_z.select("idx", (-F.col("r")).alias("nb")), "idx")
-    t = knn.topk(_ids_vecs(queries), zb, k, right_bias="nb", alpha=2.0, block=block)
+    t = knn.topk(_ids_vecs(queries), zb, k, right_bias="nb", alpha=2.0, block=block,
+                 n_left=n_left, n_right=n_right)
     out = t.select(F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
     if r_x is not None:
         out = out.join(r_x.select(F.col("idx").alias("src_idx"), F.col("r").alias("rx")), "src_idx") \

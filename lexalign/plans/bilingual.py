@@ -97,12 +97,13 @@ def retrieve(xw: DataFrame, zw: DataFrame, gold: DataFrame, method: str = "csls"
              k: int = 10, csls_k: int = 10, with_rx: bool = False) -> DataFrame:
     """Top-k candidates ``(src_idx, rank, trg_idx, score)`` for every gold source row."""
     queries = xw.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi")
-    if method == "nn":
-        return R.nn_topk(queries, zw, k)
-    if method != "csls":
+    if method not in ("nn", "csls"):
         raise ValueError("method must be 'nn' or 'csls'")
-    r_x, r_z = R.neighbourhood(xw, zw, csls_k, queries=queries)
-    return R.csls_topk(queries, zw, r_z, k, r_x=r_x if with_rx else None)
+    nx, nz = R.id_ranges(xw, zw)          # one job serves both block passes
+    if method == "nn":
+        return R.nn_topk(queries, zw, k, n_left=nx, n_right=nz)
+    r_x, r_z = R.neighbourhood(xw, zw, csls_k, queries=queries, n_left=nx, n_right=nz)
+    return R.csls_topk(queries, zw, r_z, k, r_x=r_x if with_rx else None, n_left=nx, n_right=nz)
 
 
 def evaluate(xw: DataFrame, zw: DataFrame, test: DataFrame, src_emb: DataFrame,

@@ -275,8 +275,9 @@ def nbr_z(spark, sf):
 def _csls(spark, sf, k):
     xu, zu, d, s, t = _unit_st(spark, sf)
     q, _ = _test_queries(xu, s, t, d)
-    r_x, r_z = R.neighbourhood(xu, zu, 10, queries=q)
-    return R.csls_topk(q, zu, r_z, k, r_x=r_x)
+    nx, nz = R.id_ranges(xu, zu)
+    r_x, r_z = R.neighbourhood(xu, zu, 10, queries=q, n_left=nx, n_right=nz)
+    return R.csls_topk(q, zu, r_z, k, r_x=r_x, n_left=nx, n_right=nz)
 
 
 def csls_top1(spark, sf):

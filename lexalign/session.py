@@ -32,6 +32,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -68,3 +69,26 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.sparkContext.defaultParallelism))
     except Exception:  # pragma: no cover - connect sessions
         return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexalign`` importable on executors (``addPyFile`` of a zip of the package).
+
+    UDF closures refer to library functions by module name, so the Python
+    workers need the package; once per session.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lexalign_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="lexalign-py-", dir="/tmp"), "lexalign.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.join("lexalign", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    sc._lexalign_shipped = True

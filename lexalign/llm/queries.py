@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexalign.llm import url_rules
+from lexalign.llm import hnsw, simhash, url_rules
 
 QUERIES = {
+    "op1_hnsw": hnsw.op1_hnsw,
+    "op8_simhash": simhash.op8_simhash,
     "op9_url_rules": url_rules.op9_url_rules,
 }
 SQL = {

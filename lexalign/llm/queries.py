@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from lexalign.llm import hnsw, simhash, url_rules
+from lexalign.llm import (
+    compression_quality,
+    hnsw,
+    mixing,
+    packing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_count,
+    token_files,
+    url_rules,
+)
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_compression_quality": compression_quality.op6_compression_quality,
+    "op7_token_count": token_count.op7_token_count,
     "op8_simhash": simhash.op8_simhash,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op9_url_rules": url_rules.op9_url_rules,
 }
 SQL = {

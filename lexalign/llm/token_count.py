@@ -18,6 +18,7 @@ each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
@@ -80,9 +81,9 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text") -> dict[
 _COUNTERS: dict[tuple, Cache] = {}
 
 
-def _counter(path: str, frequent) -> Cache:
-    """The worker's cache of token counts, with the broadcast table pinned."""
-    key = (path, frequent.id)
+def _counter(path: str, name: str, frequent) -> Cache:
+    """The worker's cache of token counts, with the broadcast table of this name pinned."""
+    key = (path, name)
     if key not in _COUNTERS:
         _COUNTERS.clear()
         _COUNTERS[key] = Cache(lambda piece: len(encoder(path).piece_ids(piece)) // 4, CACHE_PIECES, frequent.value)
@@ -96,13 +97,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     session_for_text(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     two_tiers = encoder(path).kind == "word"
+    name = uuid.uuid4().hex
     frequent = spark.sparkContext.broadcast(frequent_pieces(docs, path, text_col) if two_tiers else {})
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path)
         raw = utf8(batch.column(1))
         if two_tiers:
-            length = _counter(path, frequent).__getitem__
+            length = _counter(path, name, frequent).__getitem__
             tokens = [sum(map(length, enc.cut(t.decode()))) for t in raw]
         else:
             tokens = [len(enc.ids(t.decode())) // 4 for t in raw]

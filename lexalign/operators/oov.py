@@ -4,11 +4,11 @@
   vector of its longest in-vocabulary prefix and of the shortest vocabulary
   word that extends it (a trie lookup re-expressed as two prefix equi joins:
   the prefixes of each request word are exploded and joined to the
-  vocabulary, and the prefixes of each vocabulary word are exploded and
-  joined to the requests).  A short request word that prefixes a third of the
-  vocabulary is one hot join key on the request side only; the
-  ``min_by`` aggregate after it is partial (map-side) so the key never
-  gathers its matches in one task.
+  vocabulary; the prefixes of each vocabulary word, of the lengths that occur
+  among the requests, are aggregated to their best word and joined to the
+  requests).  The ``min_by`` aggregate comes before the join and is partial
+  (map-side), so a short request word that prefixes a third of the vocabulary
+  is one row a task.
 * ``external_vectors``: vectors from an external command (``RDD.pipe``).
 * ``prepend``: new rows first, original ids shifted.
 """
@@ -44,11 +44,16 @@ def prefix_matches(words: DataFrame, emb: DataFrame, longer: bool = True) -> Dat
     out = req.join(short, "word", "left").select(
         "word", F.col("s.s_idx").alias("short_idx"), F.col("s.prefix").alias("short_word"))
     if longer:
-        vp = _prefixes(vocab, "word").select(F.col("word").alias("v_word"), "idx", "prefix")
-        ext = (vp.join(req.select(F.col("word").alias("prefix")), "prefix")
-                 .groupBy(F.col("prefix").alias("word"))
-                 .agg(F.min_by(F.struct("idx", "v_word"),
-                               F.struct(F.length("v_word"), F.col("idx"))).alias("l")))
+        # prefixes of the lengths that are asked for, the best word of each before the join:
+        # a partial aggregate, so a request word that starts a third of the vocabulary is spread
+        lengths = [r[0] for r in req.select(F.length("word").alias("n")).distinct().collect()]
+        wanted = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+        vp = (vocab.select(F.col("word").alias("v_word"), "idx",
+                           F.explode(F.filter(wanted, lambda n: n < F.length("word"))).alias("_len"))
+                   .select("v_word", "idx", F.expr("substring(v_word, 1, _len)").alias("prefix")))
+        best = vp.groupBy("prefix").agg(F.min_by(F.struct("idx", "v_word"),
+                                                 F.struct(F.length("v_word"), F.col("idx"))).alias("l"))
+        ext = best.join(req.select(F.col("word").alias("prefix")), "prefix").withColumnRenamed("prefix", "word")
         out = out.join(ext, "word", "left").select(
             "word", "short_idx", "short_word", F.col("l.idx").alias("long_idx"),
             F.col("l.v_word").alias("long_word"))

@@ -9,29 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexalign.sources.vectext import WS, read_lines
+from lexalign.sources.vectext import EDGES, WS, read_files, read_lines
 
 
-def _tokens(value_col: str = "value", delim: str | None = None):
-    v = F.trim(F.col(value_col))
-    return F.split(v, WS) if delim is None else F.split(v, delim)
+def _stripped(value_col: str = "value"):
+    return F.regexp_replace(value_col, EDGES, "")
 
 
-def read_dictionary(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``(ord, src_word, trg_word)``: every line must hold exactly two white-space tokens.
+def _fields(delim: str):
+    """Fields of a stripped line between literal delimiters."""
+    return F.split(_stripped(), r"\Q" + delim + r"\E")
 
-    ``strict=True`` fails on any other line (the reference raises); use
-    ``read_dictionary_tolerant`` to skip and report them instead.
-    """
-    lines = read_lines(spark, path).where(F.length(F.trim("value")) > 0)
-    toks = _tokens()
+
+def _pairs(lines: DataFrame, strict: bool) -> DataFrame:
+    """``(..., ord, src_word, trg_word)`` from lines ``(..., line, value)``: two white-space tokens each."""
+    rest = [c for c in lines.columns if c not in ("line", "value")]
+    toks = F.split(_stripped(), WS)
     checked = F.when(F.size(toks) == 2, toks).otherwise(
         F.raise_error(F.concat(F.lit("dictionary line "), (F.col("line") + 1).cast("string"),
                                F.lit(" does not have two fields"))))
-    out = lines.select(F.col("line").alias("ord"), (checked if strict else toks).alias("t"))
+    out = lines.select(*rest, F.col("line").alias("ord"), (checked if strict else toks).alias("t"))
     if not strict:
         out = out.where(F.size("t") == 2)
-    return out.select("ord", F.col("t")[0].alias("src_word"), F.col("t")[1].alias("trg_word"))
+    return out.select(*rest, "ord", F.col("t")[0].alias("src_word"), F.col("t")[1].alias("trg_word"))
+
+
+def read_dictionary(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """``(ord, src_word, trg_word)``: every line must hold exactly two white-space tokens.
+
+    ``strict=True`` fails on any other line, blank ones included; use
+    ``read_dictionary_tolerant`` to skip and report them instead.
+    """
+    return _pairs(read_lines(spark, path), strict)
 
 
 def read_dictionary_tolerant(spark: SparkSession, path: str, delim: str = " ") -> tuple[DataFrame, DataFrame]:
@@ -41,7 +50,7 @@ def read_dictionary_tolerant(spark: SparkSession, path: str, delim: str = " ") -
     1-based line numbers and raw text.
     """
     lines = read_lines(spark, path)
-    toks = F.split(F.trim(F.col("value")), delim)
+    toks = _fields(delim)
     t = lines.select((F.col("line") + 1).alias("line_no"), "value", toks.alias("t"))
     pairs = (t.where(F.size("t") == 2)
               .select(F.col("t")[0].alias("src_word"), F.col("t")[1].alias("trg_word"))
@@ -53,14 +62,14 @@ def read_dictionary_tolerant(spark: SparkSession, path: str, delim: str = " ") -
 def read_similarity(spark: SparkSession, path: str, delim: str = "\t") -> DataFrame:
     """``(row_no, w1, w2, ref)`` from the first three fields of each stripped line."""
     lines = read_lines(spark, path)
-    t = F.split(F.trim(F.col("value")), delim)
+    t = _fields(delim)
     return lines.select(F.col("line").alias("row_no"), t[0].alias("w1"), t[1].alias("w2"),
                         t[2].cast("double").alias("ref"))
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """One request word per line (stripped, empty lines dropped): ``(word)``."""
-    return (spark.read.text(path).select(F.trim("value").alias("word"))
+    return (spark.read.text(path).select(_stripped().alias("word"))
                  .where(F.length("word") > 0))
 
 
@@ -76,8 +85,8 @@ def read_embedding_manifest(spark: SparkSession, path: str, lang_list: str | Non
 
     Without a list the languages are named ``0, 1, 2 …``.
     """
-    lines = read_lines(spark, path).where(F.length(F.trim("value")) > 0)
-    m = lines.select(F.col("line").cast("int").alias("lang_no"), F.trim("value").alias("path"))
+    lines = read_lines(spark, path).where(F.length(_stripped()) > 0)
+    m = lines.select(F.col("line").cast("int").alias("lang_no"), _stripped().alias("path"))
     if lang_list:
         names = spark.createDataFrame(
             [(i, n.strip()) for i, n in enumerate(lang_list.split(","))], "lang_no int, lang string")
@@ -88,8 +97,8 @@ def read_embedding_manifest(spark: SparkSession, path: str, lang_list: str | Non
 
 def read_dictionary_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``(src_no, trg_no, path)`` from lines ``src_no, trg_no, path``."""
-    lines = read_lines(spark, path).where(F.length(F.trim("value")) > 0)
-    t = F.split(F.trim(F.col("value")), r"\s*,\s*")
+    lines = read_lines(spark, path).where(F.length(_stripped()) > 0)
+    t = F.split(_stripped(), r"\s*,\s*")
     return lines.select(t[0].cast("int").alias("src_no"), t[1].cast("int").alias("trg_no"),
                         t[2].alias("path"))
 
@@ -97,12 +106,12 @@ def read_dictionary_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_dictionaries(spark: SparkSession, manifest: DataFrame, strict: bool = True) -> DataFrame:
     """All dictionaries of a manifest in one scan: ``(src_no, trg_no, ord, src_word, trg_word)``.
 
-    The manifest holds one row per language pair (bounded by the number of
-    pairs), so its paths are listed on the driver and read together.
+    The manifest has one row a language pair, so its paths are listed on the
+    driver; the files are read by one job, each with its own line numbers. A file that
+    is listed for several pairs is read for each.
     """
-    out = None
-    for r in manifest.select("src_no", "trg_no", "path").collect():
-        d = read_dictionary(spark, r["path"], strict).select(
-            F.lit(r["src_no"]).alias("src_no"), F.lit(r["trg_no"]).alias("trg_no"), "*")
-        out = d if out is None else out.unionByName(d)
-    return out
+    listed = manifest.select("src_no", "trg_no", "path").collect()
+    if not listed:
+        return spark.createDataFrame([], "src_no int, trg_no int, ord bigint, src_word string, trg_word string")
+    lines = read_files(spark, sorted({r["path"] for r in listed}))
+    return _pairs(lines.join(F.broadcast(manifest.select("src_no", "trg_no", "path")), "path").drop("path"), strict)

@@ -37,30 +37,41 @@ def write_model(spark: SparkSession, model: Model, path: str, fit_id: str = "fit
                .coalesce(1).write.mode("overwrite").text(f"{path}/{name}.csv"))
 
 
+def _children(spark: SparkSession, path: str) -> dict[str, str]:
+    """Name -> path of the entries of a folder on any Hadoop file system."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(hpath)}
+
+
+def _text_matrix(spark: SparkSession, path: str) -> np.ndarray:
+    """A matrix of white-space separated numbers, one row a line, in line order."""
+    rows = sorted((r["line"], r["value"].split()) for r in vectext.read_lines(spark, path).collect() if r["value"].strip())
+    return np.array([[float(x) for x in values] for _, values in rows])
+
+
 def read_model(spark: SparkSession, path: str, fit_id: str | None = None) -> Model:
-    """Model from the parquet table, or from text files whose names start with ``U`` or ``B``."""
-    try:
-        df = spark.read.parquet(f"{path}/model.parquet")
+    """Model from the parquet table, or from text matrices ``U_<lang>.csv`` / ``B.csv``.
+
+    A text matrix may be a plain file or a folder written by ``write_model``.
+    A missing ``B``, or no ``U`` at all, is an error.
+    """
+    entries = _children(spark, path)
+    if "model.parquet" in entries:
+        df = spark.read.parquet(entries["model.parquet"])
         if fit_id is not None:
             df = df.where(F.col("fit_id") == fit_id)
-        rows = df.select("name", "i", "vec").collect()
-    except Exception:  # noqa: BLE001 - fall back to the text layout
-        t = (spark.read.option("pathGlobFilter", "[UB]*").text(path, recursiveFileLookup=True)
-                  .withColumn("file", F.input_file_name()))
-        rows = []
-        per = t.collect()
-        counters: dict[str, int] = {}
-        for r in per:
-            name = r["file"].rstrip("/").split("/")[-2].replace(".csv", "")
-            i = counters.get(name, 0)
-            counters[name] = i + 1
-            rows.append({"name": name, "i": i, "vec": [float(x) for x in r["value"].split()]})
-    mats: dict[str, dict[int, list[float]]] = {}
-    for r in rows:
-        mats.setdefault(r["name"], {})[r["i"]] = r["vec"]
-    arr = {k: np.array([v[i] for i in sorted(v)]) for k, v in mats.items()}
+        mats: dict[str, dict[int, list[float]]] = {}
+        for r in df.select("name", "i", "vec").collect():      # d x r numbers a language
+            mats.setdefault(r["name"], {})[r["i"]] = r["vec"]
+        arr = {k: np.array([v[i] for i in sorted(v)]) for k, v in mats.items()}
+    else:
+        names = {n: n.removesuffix(".csv") for n in entries if n.endswith(".csv")}
+        arr = {m: _text_matrix(spark, entries[n]) for n, m in names.items() if m == "B" or m.startswith("U_")}
     U = {k[2:]: v for k, v in arr.items() if k.startswith("U_")}
-    return Model(U, arr.get("B", np.eye(1)), {"path": path})
+    if "B" not in arr or not U:
+        raise ValueError(f"no model in {path}: found {sorted(arr) or 'no matrix'}")
+    return Model(U, arr["B"], {"path": path})
 
 
 def write_aligned(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:

@@ -12,8 +12,6 @@ so the rows are repartitioned right after the scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +20,8 @@ from lexalign.functions import ranking
 from lexalign.functions.formatting import format_vec_g6
 
 LINE_SCHEMA = T.StructType([T.StructField("line", T.LongType()), T.StructField("value", T.StringType())])
-WS = r"(?U)\s+"   # Python str.split() semantics: Unicode white space
+WS = r"(?U)[\s\x1c-\x1f]+"   # Python str.split() semantics: Unicode white space and the separators
+EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"   # what Python's str.strip() takes away
 
 
 def _ordered_paths(spark: SparkSession, path: str) -> str:
@@ -47,6 +46,36 @@ def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None
     return df
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, line bigint, value string)`` of several files in one scan, lines numbered in each."""
+    listed = [_ordered_paths(spark, p) for p in paths]
+    parts = [(p, i, part) for p, names in zip(paths, listed) for i, part in enumerate(names.split(","))]
+    files = spark.createDataFrame([(p, i, _file_name(spark, f)) for p, i, f in parts],
+                                  "path string, part int, file string").withColumn("file", _plain(F.col("file")))
+    text = spark.read.text(sorted({f for _, _, f in parts})).select(
+        _plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    named = text.join(F.broadcast(files), "file")
+    split = ["path", "part", "block"]        # a split of a file: bounded by the scan's split size
+    ends = Window.partitionBy("path").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = named.groupBy(*split).count().select(*split, F.coalesce(F.sum("count").over(ends), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy(*split).orderBy("at")) - F.lit(1)
+    return (named.withColumn("local", local).join(before, split)
+                 .select("path", (F.col("before") + F.col("local")).cast("bigint").alias("line"), "value"))
+
+
+def _file_name(spark: SparkSession, path: str) -> str:
+    """The full name of a file, as its scan reports it (see ``_plain``)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hpath).toUri().toString()
+
+
+def _plain(name):
+    """File names with and without an empty authority are the same."""
+    return F.regexp_replace(name, "^([a-z0-9+.-]+:)/+", "$1/")
+
+
 def header(spark: SparkSession, path: str) -> tuple[int, int]:
     """``(count, dim)`` from the first line (read without scanning the file)."""
     first = spark.sparkContext.textFile(_ordered_paths(spark, path)).first()
@@ -71,14 +100,14 @@ def scan(spark: SparkSession, path: str, expect_dim: int | None = None) -> DataF
 
 
 def load(rows: DataFrame, max_voc: int = 0, threshold: int = 0, vocabulary: DataFrame | None = None,
-         count: int | None = None, strict_fold: bool = False) -> DataFrame:
-    """The reference loader's semantics over scanned rows ``(line, word, vec)``.
+         count: int | None = None, legacy_bypass: bool = False) -> DataFrame:
+    """The loader's rules over scanned rows ``(line, word, vec)``.
 
     * ``threshold > 0``: only the first ``threshold`` rows;
-    * ``max_voc > 0`` and at least ``max_voc`` rows: the first ``max_voc``
-      distinct lower-cased words in file order, first spelling's vector, word
-      lower-cased; with fewer rows the cap is dropped together with folding
-      and de-duplication (``strict_fold=True`` folds anyway);
+    * ``max_voc > 0``: the first ``max_voc`` distinct lower-cased words in file
+      order, first spelling's vector, word lower-cased, at any number of rows;
+      ``legacy_bypass=True`` drops cap, folding and de-duplication together if
+      the file has fewer than ``max_voc`` rows (the only case that needs ``count``);
     * ``vocabulary``: keep only rows whose word is in the set (applied before
       the cap);
     * ids are re-packed ``0..n-1`` in file order.
@@ -87,13 +116,14 @@ def load(rows: DataFrame, max_voc: int = 0, threshold: int = 0, vocabulary: Data
     df = rows
     if threshold > 0:
         df = df.where(F.col("line") <= threshold)
-    n_rows = count if count is not None else df.count()
-    if threshold > 0:
-        n_rows = min(n_rows, threshold)
-    cap = max_voc if (max_voc and n_rows >= max_voc) else 0
+    cap = max_voc
+    if legacy_bypass and max_voc:
+        n_rows = count if count is not None else df.count()
+        if min(n_rows, threshold or n_rows) < max_voc:
+            cap = 0
     if vocabulary is not None:
         df = df.join(vocabulary.select("word").distinct(), "word", "left_semi")
-    if cap or strict_fold:
+    if cap:
         low = F.lower("word")
         first = Window.partitionBy(low).orderBy("line")
         df = (df.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1)
@@ -105,11 +135,11 @@ def load(rows: DataFrame, max_voc: int = 0, threshold: int = 0, vocabulary: Data
 
 
 def read(spark: SparkSession, path: str, max_voc: int = 0, threshold: int = 0,
-         vocabulary: DataFrame | None = None, strict_fold: bool = False) -> DataFrame:
+         vocabulary: DataFrame | None = None, legacy_bypass: bool = False) -> DataFrame:
     """Scan + load: ``(idx, word, vec)`` (``vec`` in double)."""
     count, _ = header(spark, path)
     rows = scan(spark, path)
-    return load(rows, max_voc, threshold, vocabulary, count=count, strict_fold=strict_fold) \
+    return load(rows, max_voc, threshold, vocabulary, count=count, legacy_bypass=legacy_bypass) \
         .select("idx", "word", "vec")
 
 
@@ -117,7 +147,7 @@ def read_vocab(spark: SparkSession, path: str, max_voc: int = 0) -> DataFrame:
     """Words only of the first ``max_voc`` lines, no folding or de-duplication."""
     count, _ = header(spark, path)
     lines = read_lines(spark, path).where((F.col("line") >= 1) & (F.col("line") <= count))
-    if max_voc and count >= max_voc:
+    if max_voc:
         lines = lines.where(F.col("line") <= max_voc)
     return lines.select((F.col("line") - 1).cast("bigint").alias("idx"),
                         F.split(F.col("value"), " ", 2)[0].alias("word"))
@@ -142,7 +172,3 @@ def write_vec(emb: DataFrame, path: str) -> None:
     lines = to_lines(emb, int(stats["d"] or 0), int(stats["n"]))
     lines.repartitionByRange("key").sortWithinPartitions("key").select("text") \
         .write.mode("overwrite").text(path)
-
-
-def local_dir_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -30,10 +30,10 @@ def test_vec_cap_fold_bypass_and_duplicates(spark, scratch):
     capped = vectext.read(spark, p, max_voc=3).orderBy("idx").collect()
     assert [r["word"] for r in capped] == ["the", "a", "cat"]
     assert list(capped[0]["vec"]) == [1.0, 0.0]          # first spelling's vector
-    bypass = vectext.read(spark, p, max_voc=10).orderBy("idx").collect()
+    bypass = vectext.read(spark, p, max_voc=10, legacy_bypass=True).orderBy("idx").collect()
     assert [r["word"] for r in bypass] == ["The", "the", "A", "a", "cat"]   # cap dropped, no folding
-    strict = vectext.read(spark, p, max_voc=10, strict_fold=True).collect()
-    assert len(strict) == 3
+    folded = vectext.read(spark, p, max_voc=10).collect()
+    assert len(folded) == 3                              # the cap folds at any number of rows
     thr = vectext.read(spark, p, threshold=2).collect()
     assert len(thr) == 2
 
@@ -45,9 +45,16 @@ def test_vec_rejects_wrong_dimension(spark, scratch):
 
 
 def test_dictionary_unicode_whitespace_and_strictness(spark, scratch):
-    p = _write(os.path.join(scratch, "d.txt"), "a　b\nc d\n e  f \n")
+    p = _write(os.path.join(scratch, "d.txt"), "a　b\nc d\n e  f \n\tg h\t\n　i j　\n")
     d = DS.read_dictionary(spark, p).orderBy("ord").collect()
-    assert [(r["src_word"], r["trg_word"]) for r in d] == [("a", "b"), ("c", "d"), ("e", "f")]
+    want = [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), ("i", "j")]
+    assert [(r["src_word"], r["trg_word"]) for r in d] == want
+    blank = _write(os.path.join(scratch, "blank.txt"), "a b\n\nc d\n")
+    with pytest.raises(Exception, match="line 2"):
+        DS.read_dictionary(spark, blank).collect()
+    tabs = _write(os.path.join(scratch, "tabs.txt"), "\ta.b\nc.d\t\n")
+    pairs, _ = DS.read_dictionary_tolerant(spark, tabs, delim=".")      # a literal, not a pattern
+    assert {(r["src_word"], r["trg_word"]) for r in pairs.collect()} == {("a", "b"), ("c", "d")}
     bad = _write(os.path.join(scratch, "bad.txt"), "a b\nc\nd e f\n")
     with pytest.raises(Exception):
         DS.read_dictionary(spark, bad).collect()
@@ -55,6 +62,35 @@ def test_dictionary_unicode_whitespace_and_strictness(spark, scratch):
     assert pairs.count() == 1 and sorted(r["line_no"] for r in rejected.collect()) == [2, 3]
 
 
+def test_dictionary_manifest_is_one_scan(spark, scratch):
+    p1 = _write(os.path.join(scratch, "one.txt"), "a b\nc d\n")
+    p2 = _write(os.path.join(scratch, "two.txt"), "e f\n")
+    man = _write(os.path.join(scratch, "man.txt"), f"0, 1, {p1}\n1,2,{p2}\n2, 0, {p1}\n")
+    got = DS.read_dictionaries(spark, DS.read_dictionary_manifest(spark, man)).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0, "a", "b"), (0, 1, 1, "c", "d"), (1, 2, 0, "e", "f"),
+                                       (2, 0, 0, "a", "b"), (2, 0, 1, "c", "d")]
+
+
+def test_model_text_layouts(spark, scratch):
+    from lexalign.operators.fit import Model
+    from lexalign.sources import sinks
+    u = {"en": np.array([[1.0, 0.5], [0.25, 2.0], [3.0, 1.0]]), "es": np.eye(2)}
+    b = np.array([[2.0, 0.5], [0.5, 1.0]])
+    plain = os.path.join(scratch, "plain")
+    os.makedirs(plain)
+    for name, m in (("U_en", u["en"]), ("U_es", u["es"]), ("B", b)):
+        np.savetxt(os.path.join(plain, f"{name}.csv"), m)
+    own = os.path.join(scratch, "own")
+    sinks.write_model(spark, Model(u, b), own, text=True)
+    os.rename(os.path.join(own, "model.parquet"), os.path.join(scratch, "aside"))
+    for path in (plain, own):
+        back = sinks.read_model(spark, path)
+        assert set(back.U) == {"en", "es"} and np.allclose(back.U["en"], u["en"]) and np.allclose(back.B, b)
+    os.remove(os.path.join(plain, "B.csv"))
+    with pytest.raises(ValueError, match="no model"):
+        sinks.read_model(spark, plain)
+
+
 def test_empty_and_all_oov_dictionary(spark):
     emb = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])], "idx bigint, word string, vec array<double>")
     empty = spark.createDataFrame([], "ord bigint, src_word string, trg_word string")

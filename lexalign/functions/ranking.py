@@ -3,28 +3,32 @@
 ``row_number() over (order by ...)`` with no partition moves every row into one
 task.  Here the rows are range-partitioned on the order key (Spark samples the
 key distribution, composite keys included, so a hot leading value is split on
-the later columns), numbered inside each range, and shifted by the running
-total of the earlier ranges.  Only one count per range reaches a window of
-``#ranges`` rows.
+the later columns), sorted inside each range and written once with their place
+(``monotonically_increasing_id``: the range and the position in it).  One count
+per range shifts the positions.  That is one shuffle; the written table keeps the
+numbers fixed if a task runs again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexalign.session import default_parallelism
+from lexalign.session import default_parallelism, materialise
+
+
+_POSITION_BITS = 33      # of monotonically_increasing_id
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], n_ranges: int | None) -> DataFrame:
+    """Rows with ``_range`` and the 0-based ``_at`` in it."""
     n = n_ranges or max(2, default_parallelism(df.sparkSession))
-    # persisted so that a recomputation cannot renumber the ranges
-    return (df.repartitionByRange(n, *order)
-              .withColumn("_range", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    place = F.monotonically_increasing_id()
+    placed = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", place), "ranks")
+    return (placed.withColumn("_range", F.shiftright("_place", _POSITION_BITS))
+                  .withColumn("_at", F.col("_place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))).drop("_place"))
 
 
 def _offsets(ranged: DataFrame, weight: Column) -> DataFrame:
@@ -38,25 +42,23 @@ def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "row_no
                       n_ranges: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (ties must be broken by the caller)."""
     ranged = _ranged(df, order, n_ranges)
-    local = ranged.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_range").orderBy(*order)))
     offs = _offsets(ranged, F.lit(1))
-    return (local.join(F.broadcast(offs), "_range")
-                 .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-                 .drop("_range", "_local", "_off"))
+    return (ranged.join(F.broadcast(offs), "_range")
+                  .withColumn(out, (F.col("_off") + F.col("_at") + 1).cast("bigint"))
+                  .drop("_range", "_at", "_off"))
 
 
 def average_rank(df: DataFrame, col: str, out: str, n_ranges: int | None = None) -> DataFrame:
-    """Fractional rank of ``col`` (ties get the mean of their positions), 1-based.
+    """Fractional rank of ``col`` (ties get the mean of their positions), 1-based; null ranks as null.
 
-    Distinct values are ranked, so a value held by many rows is one row here.
+    Distinct values are ranked, so a value held by many rows is one row here; a hot
+    value on the way back is a skewed join, which adaptive execution splits.
     """
-    d = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    d = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     ranged = _ranged(d, [F.col(col).asc()], n_ranges)
-    w = Window.partitionBy("_range").orderBy(F.col(col).asc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_below", F.sum("_c").over(w) - F.col("_c"))
+    w = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     offs = _offsets(ranged, F.col("_c"))
     ranks = (local.join(F.broadcast(offs), "_range")
                   .select(col, (F.col("_off") + F.col("_below") + (F.col("_c") + 1) / 2.0).alias(out)))
-    return df.join(ranks, col)
+    return df.join(ranks, col, "left")

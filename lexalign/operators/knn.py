@@ -2,21 +2,23 @@
 
 Physical design (block matrix product, as in distributed BlockMatrix multiply):
 
-* both inputs are cut into id blocks ``blk = idx div B`` (a block holds at most
-  ``B`` rows because ids are unique, so no group grows with the data);
+* both inputs are dealt into blocks by a hash of the id, so ids need not be dense;
+  the number of blocks follows from the number of rows, and a block's rows from
+  ``BLOCK_BYTES`` and the vector length;
 * every left row is replicated to the ``T`` right blocks and every right row to
   the ``Q`` left blocks, and the two sides are co-grouped on ``(lblk, rblk)``:
-  one group is one block pair, ``Q x T`` groups spread over the cluster;
-* a vectorised numpy kernel (``applyInArrow`` on the co-group, zero-copy) computes the
-  ``B x B`` score block in double and emits only the partial top-k of every row
-  (and/or column), ties broken by the lower id;
+  one group is one block pair. A hundred queries are one block, so the target is
+  moved once for them;
+* a numpy kernel (``applyInArrow`` on the co-group) goes over tiles of ``TILE x TILE``
+  scores in double and keeps a running top-k of every row (and/or column), ties
+  broken by the lower id, so its memory does not depend on the block;
 * the final top-k is a ``row_number() <= k`` window per key, which Catalyst
   turns into a partial ``WindowGroupLimit`` before the shuffle.
 
 Score of a pair: ``alpha * <l, r> + l_bias + r_bias``.  CSLS uses ``alpha = 2``
 and ``r_bias = -r_z``.  Only ``k`` rows per key and block survive the kernel,
-so the shuffle after the kernel is ``O((n_l + n_r) * T * k)`` rows, never
-``n_l * n_r``.
+so the shuffle after the kernel is ``O(n_l * T * k)`` (and ``O(n_r * Q * k)``)
+rows, never ``n_l * n_r``.
 """
 
 from __future__ import annotations
@@ -25,26 +27,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexalign.operators._arrow import list_to_matrix
 from lexalign.session import default_parallelism
 
-MAX_BLOCK = 4096
+#: Bytes of the vectors of one block side.
+BLOCK_BYTES = 1 << 27
 MIN_BLOCK = 64
-ROW_CHUNK = 2048
+TILE = 2048
 
-CAND_SCHEMA = "side string, key bigint, other bigint, score double"
+CAND_SCHEMA = "right_side boolean, key bigint, other bigint, score double"
 
 
-def choose_block(n_left: int, n_right: int, parallelism: int,
-                 max_block: int = MAX_BLOCK, min_block: int = MIN_BLOCK) -> int:
-    """Block rows so that there are about ``2 x parallelism`` block pairs."""
+def choose_block(n_left: int, n_right: int, parallelism: int, dim: int = 64,
+                 min_block: int = MIN_BLOCK) -> int:
+    """Block rows: about ``2 x parallelism`` block pairs, as far as a block fits ``BLOCK_BYTES``."""
     pairs = max(1, 2 * parallelism)
     b = int(math.ceil(math.sqrt(max(1, n_left) * max(1, n_right) / pairs)))
-    return max(min_block, min(max_block, b))
+    return max(min_block, min(BLOCK_BYTES // (8 * max(1, dim)), b))
 
 
 def topk_mask(s: np.ndarray, k: int) -> np.ndarray:
@@ -65,14 +67,40 @@ def topk_mask(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def _empty() -> pa.Table:
-    return pa.table({"side": pa.array([], pa.string()), "key": pa.array([], pa.int64()),
-                     "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    return _emit(False, *(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64)))
 
 
-def _emit(side: str, key: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Table:
-    return pa.table({"side": pa.array(np.full(len(key), side, dtype=object), pa.string()),
-                     "key": pa.array(key, pa.int64()), "other": pa.array(other, pa.int64()),
-                     "score": pa.array(score, pa.float64())})
+def _emit(right_side: bool, key: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"right_side": pa.array(np.full(len(key), right_side)), "key": pa.array(key, pa.int64()),
+                     "other": pa.array(other, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
+def _best(key: np.ndarray, other: np.ndarray, score: np.ndarray, k: int):
+    """The ``k`` best of every key: score descending, other ascending."""
+    order = np.lexsort((other, -score, key))
+    key, other, score = key[order], other[order], score[order]
+    first = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, dtype=np.int64)
+    pos = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    keep = pos < k
+    return key[keep], other[keep], score[keep]
+
+
+class _Running:
+    """Running top-k of many keys; merged whenever it has doubled."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held, self.after = k, [], 0, 0
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, others: np.ndarray) -> None:
+        i, j = np.nonzero(topk_mask(scores, self.k))
+        self.parts.append((keys[i], others[j], scores[i, j]))
+        self.held += len(i)
+        if self.held > 2 * self.after + 1_000_000:
+            self.parts = [self.merged()]
+            self.held = self.after = len(self.parts[0][0])
+
+    def merged(self):
+        return _best(*(np.concatenate(c) for c in zip(*self.parts)), self.k)
 
 
 def _side(t: pa.Table):
@@ -93,45 +121,30 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
             return _empty()
         lid, L, lb, lemit = _side(lt)
         rid, R, rb, _ = _side(rt)
+        columns = _Running(k)
         out = []
-        col_keys, col_others, col_scores = [], [], []
-        for a in range(0, len(lid), ROW_CHUNK):
-            b = min(a + ROW_CHUNK, len(lid))
-            s = alpha * (L[a:b] @ R.T) + lb[a:b, None] + rb[None, :]
-            if want_left:
-                rows = np.nonzero(lemit[a:b])[0]
-                if len(rows):
-                    sub = s[rows]
-                    i, j = np.nonzero(topk_mask(sub, k))
-                    out.append(_emit("left", lid[a:b][rows][i], rid[j], sub[i, j]))
-            if want_right:
-                st = s.T
-                i, j = np.nonzero(topk_mask(st, k))
-                col_keys.append(rid[i])
-                col_others.append(lid[a:b][j])
-                col_scores.append(st[i, j])
-        if want_right and col_keys:
-            key = np.concatenate(col_keys)
-            other = np.concatenate(col_others)
-            score = np.concatenate(col_scores)
-            if len(col_keys) > 1:
-                # merge the chunk-wise candidates: key asc, score desc, other asc; keep k per key
-                order = np.lexsort((other, -score, key))
-                key, other, score = key[order], other[order], score[order]
-                first = np.r_[0, np.nonzero(np.diff(key))[0] + 1]
-                pos = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
-                keep = pos < k
-                key, other, score = key[keep], other[keep], score[keep]
-            out.append(_emit("right", key, other, score))
+        for a in range(0, len(lid), TILE):
+            rows = _Running(k)
+            emitted = np.flatnonzero(lemit[a:a + TILE])
+            for c in range(0, len(rid), TILE):
+                s = alpha * (L[a:a + TILE] @ R[c:c + TILE].T) + lb[a:a + TILE, None] + rb[None, c:c + TILE]
+                if want_left and len(emitted):
+                    rows.add(s[emitted], lid[a:a + TILE][emitted], rid[c:c + TILE])
+                if want_right:
+                    columns.add(s.T, rid[c:c + TILE], lid[a:a + TILE])
+            if rows.parts:
+                out.append(_emit(False, *rows.merged()))
+        if columns.parts:
+            out.append(_emit(True, *columns.merged()))
         return pa.concat_tables(out) if out else _empty()
 
     return kernel
 
 
 def _prepare(df: DataFrame, id_col: str, vec: str, bias: str | None, emit: str | None,
-             own_blk: str, other_blk: str, block: int, n_other_blocks: int) -> DataFrame:
+             own_blk: str, other_blk: str, n_own_blocks: int, n_other_blocks: int) -> DataFrame:
     return df.select(
-        (F.col(id_col) / F.lit(block)).cast("bigint").alias(own_blk),
+        F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(n_own_blocks)).alias(own_blk),
         F.explode(F.sequence(F.lit(0).cast("bigint"),
                              F.lit(n_other_blocks - 1).cast("bigint"))).alias(other_blk),
         F.col(id_col).cast("bigint").alias("id"),
@@ -147,38 +160,46 @@ def block_candidates(left: DataFrame, right: DataFrame, k: int, *,
                      left_emit: str | None = None, alpha: float = 1.0,
                      sides: tuple[str, ...] = ("left",), block: int | None = None,
                      n_left: int | None = None, n_right: int | None = None) -> DataFrame:
-    """Partial top-k candidates per block pair: ``(side, key, other, score)``."""
+    """Partial top-k candidates per block pair: ``(right_side, key, other, score)``.
+
+    ``n_left`` and ``n_right`` are row counts (counted in one job where not given).
+    """
     spark = left.sparkSession
     if n_left is None or n_right is None:
-        # one small job for both id ranges (block counts are driver-side scalars)
-        ranges = (left.agg(F.max(left_id).cast("bigint").alias("m")).withColumn("s", F.lit(0))
-                  .unionByName(right.agg(F.max(right_id).cast("bigint").alias("m")).withColumn("s", F.lit(1)))
-                  .collect())
-        got = {r["s"]: (r["m"] if r["m"] is not None else -1) + 1 for r in ranges}
-        n_left = got[0] if n_left is None else n_left
-        n_right = got[1] if n_right is None else n_right
+        n_left, n_right = row_counts(left, right)
     if n_left <= 0 or n_right <= 0:
         return spark.createDataFrame([], CAND_SCHEMA)
     if block is None:
-        block = choose_block(n_left, n_right, default_parallelism(spark))
+        first = right.select(F.size(vec).alias("d")).first()
+        block = choose_block(n_left, n_right, default_parallelism(spark), first["d"] if first else 1)
     q_blocks = (n_left + block - 1) // block
     t_blocks = (n_right + block - 1) // block
-    lrep = _prepare(left, left_id, vec, left_bias, left_emit, "lblk", "rblk", block, t_blocks)
-    rrep = _prepare(right, right_id, vec, right_bias, None, "rblk", "lblk", block, q_blocks)
+    lrep = _prepare(left, left_id, vec, left_bias, left_emit, "lblk", "rblk", q_blocks, t_blocks)
+    rrep = _prepare(right, right_id, vec, right_bias, None, "rblk", "lblk", t_blocks, q_blocks)
     kernel = _kernel_factory(int(k), float(alpha), tuple(sides))
-    cands = (lrep.groupBy("lblk", "rblk")
-                 .cogroup(rrep.groupBy("lblk", "rblk"))
-                 .applyInArrow(kernel, CAND_SCHEMA))
-    if len(sides) > 1:
-        # both sides are read from the same candidates: compute the block products once
-        cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
-    return cands
+    return (lrep.groupBy("lblk", "rblk")
+                .cogroup(rrep.groupBy("lblk", "rblk"))
+                .applyInArrow(kernel, CAND_SCHEMA))
+
+
+def row_counts(left: DataFrame, right: DataFrame) -> tuple[int, int]:
+    """Rows of both tables in one small job."""
+    rows = (left.agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.lit(0))
+            .unionByName(right.agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.lit(1))).collect())
+    got = {r["s"]: r["n"] for r in rows}
+    return got[0], got[1]
+
+
+def final_both(cands: DataFrame, k: int) -> DataFrame:
+    """Merge the partial candidates of both sides at once: ``(right_side, key, other, score, rank)``."""
+    w = Window.partitionBy("right_side", "key").orderBy(F.col("score").desc(), F.col("other").asc())
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def final_topk(cands: DataFrame, k: int, side: str) -> DataFrame:
     """Merge the partial candidates of one side: ``(key, other, score, rank)``."""
     w = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("other").asc())
-    return (cands.where(F.col("side") == side)
+    return (cands.where(F.col("right_side") == F.lit(side == "right"))
                  .select("key", "other", "score")
                  .withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k))

@@ -16,24 +16,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexalign.operators import knn
+from lexalign.session import materialise
 
 
 def _ids_vecs(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.select("idx", F.col(vec).alias("vec"))
 
 
-def id_ranges(x: DataFrame, z: DataFrame) -> tuple[int, int]:
-    """``(max idx + 1)`` of both tables in one small job (block counts of the top-k join)."""
-    rows = (x.agg(F.max("idx").cast("bigint").alias("m")).withColumn("s", F.lit(0))
-            .unionByName(z.agg(F.max("idx").cast("bigint").alias("m")).withColumn("s", F.lit(1))).collect())
-    got = {r["s"]: (r["m"] if r["m"] is not None else -1) + 1 for r in rows}
-    return got[0], got[1]
-
-
 def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame | None = None,
                   block: int | None = None, n_left: int | None = None,
                   n_right: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(r_x(idx, r), r_z(idx, r))``.  ``r_x`` only for ``queries`` (all of ``x`` if None)."""
+    """``(r_x(idx, r), r_z(idx, r))`` from one product; ``r_x`` only for ``queries`` (all of ``x`` if None).
+
+    The means are written once, as both are read from the same candidates.
+    """
     left = _ids_vecs(x)
     emit = None
     if queries is not None:
@@ -43,16 +39,16 @@ def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame |
         emit = "_emit"
     c = knn.block_candidates(left, _ids_vecs(z), k, left_emit=emit, sides=("left", "right"),
                              block=block, n_left=n_left, n_right=n_right)
-    r_x = knn.final_topk(c, k, "left").groupBy("key").agg(F.avg("score").alias("r")) \
-        .withColumnRenamed("key", "idx")
-    r_z = knn.final_topk(c, k, "right").groupBy("key").agg(F.avg("score").alias("r")) \
-        .withColumnRenamed("key", "idx")
-    return r_x, r_z
+    means = materialise(knn.final_both(c, k).groupBy("right_side", F.col("key").alias("idx"))
+                        .agg(F.avg("score").alias("r")), "neighbourhoods")
+    return means.where("not right_side").drop("right_side"), means.where("right_side").drop("right_side")
 
 
-def nbr_mean(x: DataFrame, z: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
+def nbr_mean(x: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
+             n_left: int | None = None, n_right: int | None = None) -> DataFrame:
     """Mean of the k largest similarities of every ``x`` row against ``z``: ``(idx, r)``."""
-    c = knn.block_candidates(_ids_vecs(x), _ids_vecs(z), k, sides=("left",), block=block)
+    c = knn.block_candidates(_ids_vecs(x), _ids_vecs(z), k, sides=("left",), block=block,
+                             n_left=n_left, n_right=n_right)
     return knn.final_topk(c, k, "left").groupBy("key").agg(F.avg("score").alias("r")) \
         .withColumnRenamed("key", "idx")
 

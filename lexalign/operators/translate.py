@@ -32,7 +32,7 @@ def _candidates(words: DataFrame, src_emb: DataFrame, tgt_emb: DataFrame, method
     if method == "nn":
         c = R.nn_topk(queries, zu, k)
     elif method == "csls":
-        _, r_z = R.neighbourhood(xu, zu, csls_k, queries=queries)
+        r_z = R.nbr_mean(zu, xu, csls_k)        # r_x is constant per word: it changes neither order nor softmax
         c = R.csls_topk(queries, zu, r_z, k)
     else:
         raise ValueError("method must be 'nn' or 'csls'")

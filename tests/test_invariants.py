@@ -46,7 +46,7 @@ def test_multi_fit_single_pair_matches_closed_form():
     n, lam = 30.0, 0.5
     pairs = [{"src": "a", "trg": "b", "sxx": sxx, "szz": szz, "c": c, "n": n}]
     init = FT.init_from_pairs(pairs, ["a", "b"], lam)
-    m = FT.multi_fit(pairs, lam, init, max_iter=2000)
+    m = FT.multi_fit(pairs, lam, init, max_iter=2000, gtol=1e-9)
     closed = FT.bilingual_fit(sxx, szz, c, lam * n, "a", "b")
     assert FT.multi_objective(m, pairs, lam) <= FT.multi_objective(init, pairs, lam) + 1e-12
     assert abs(FT.multi_objective(m, pairs, lam) - FT.multi_objective(closed, pairs, lam)) < 1e-6
@@ -97,6 +97,36 @@ def test_csls_equals_numpy(spark):
         assert got[i] == int(zi[np.argmax(2 * S[r] - rz)])
 
 
+def test_sparse_ids_and_one_copy_for_few_queries(spark):
+    rng = np.random.default_rng(2)
+    ids = [0, 7, 3_000_000_000] + [int(i) for i in rng.integers(1, 1 << 60, 300)]
+    V = rng.normal(size=(len(ids), 4))
+    z = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, V)], "idx bigint, vec array<double>")
+    q = z.where("idx in (0, 7, 3000000000)")
+    got = {}
+    for r in R.nn_topk(q, z, 3).collect():
+        got.setdefault(r["src_idx"], []).append((r["rank"], r["trg_idx"]))
+    for row, i in enumerate(ids[:3]):
+        want = [ids[j] for j in np.argsort(-(V @ V[row]), kind="stable")[:3]]
+        assert [t for _, t in sorted(got[i])] == want
+    assert -(-100 // knn.choose_block(100, 200_000, 8, 300)) <= 2          # a hundred requests: the target is moved once or twice
+
+
+def test_patience_stops_the_bootstrap(spark):
+    from lexalign.plans import semi
+    s, t, d = FX.lang_s(spark, SF001), FX.lang_t_easy(spark, SF001), FX.dictionary_seed(spark, SF001)
+    full = d.where("part = 'train'")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = semi.bootstrap(s, t, full, full.where("ord % 500 <> 0"), d.where("part = 'val'"), d.where("part = 'test'")).collect()
+    loop = [r for r in rows if r["phase"] == "round"]
+    scores = [r["val_acc1"] for r in loop]
+    assert len(loop) >= 2 and scores[-1] <= max(scores[:-1]) and all(r["test_acc1"] is None for r in loop)
+    assert all(b > a for a, b in zip(scores[:-2], scores[1:-1]))
+    final = rows[-1]
+    assert final["phase"] == "final" and final["test_acc1"] >= 0.8 and max(r["residual"] for r in rows) < 1e-8
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_planted_map_is_recovered(spark):
     from lexalign.plans import bilingual as BL
     s, t, d = FX.lang_s(spark, SF001), FX.lang_t(spark, SF001), FX.dictionary(spark, SF001)

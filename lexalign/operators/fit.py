@@ -19,6 +19,7 @@ Riemannian gradient descent on the same grams (``multi_fit``).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -80,6 +81,12 @@ def bilingual_fit(sxx: np.ndarray, szz: np.ndarray, c: np.ndarray, lam: float,
     return Model({src: u1, trg: u2}, np.diag(s), info)
 
 
+def residual(sxx, szz, c, w, lam, n_pairs=None) -> np.ndarray:
+    """``Sxx W Szz + reg W - C`` over the largest entry of ``C``: zero where the convex objective is least."""
+    reg = lam / 2.0 if n_pairs is None else n_pairs * lam / 2.0
+    return (sxx @ w @ szz + reg * w - c) / max(1e-300, float(np.abs(c).max(initial=0.0)))
+
+
 def objective(sxx, szz, c, w, lam, n_pairs=None) -> float:
     data = float(np.trace(w.T @ sxx @ w @ szz) - 2.0 * np.sum(w * c))
     if n_pairs:
@@ -129,15 +136,18 @@ def _gradients(model: Model, pairs: list[dict], lam: float):
 
 
 def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
-              tol: float = 1e-10) -> Model:
+              tol: float = 1e-10, gtol: float = 1e-3) -> Model:
     """Shared-``B`` multilingual fit by Riemannian gradient descent with backtracking.
 
     ``pairs``: dicts with ``src``, ``trg`` (language names), ``sxx``, ``szz``,
     ``c`` (grams) and ``n`` (in-vocabulary pairs incl. duplicates).  The start
-    point should come from pairwise closed forms (``init_from_pairs``).
+    point should come from pairwise closed forms (``init_from_pairs``).  It ends when
+    the gradient norm is at most ``gtol`` times the cost (or one), or a step gains less
+    than ``tol``, or after ``max_iter`` steps; ``info`` holds the norm, the start cost and
+    whether the norm was reached (``converged``).
     """
     model = Model({k: v.copy() for k, v in init.U.items()}, init.B.copy(), dict(init.info))
-    cost = multi_objective(model, pairs, lam)
+    cost = start = multi_objective(model, pairs, lam)
     step = 1.0
     it = 0
     for it in range(max_iter):
@@ -146,7 +156,7 @@ def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
         rU = {k: g - model.U[k] @ _sym(model.U[k].T @ g) for k, g in gU.items()}
         rB = model.B @ gB @ model.B
         gnorm2 = sum(float(np.sum(g * g)) for g in rU.values()) + float(np.sum(gB * rB))
-        if gnorm2 < tol:
+        if math.sqrt(max(0.0, gnorm2)) <= gtol * max(1.0, abs(cost)):
             break
         while True:
             cand = Model({k: _retract_stiefel(model.U[k], -step * rU[k]) for k in model.U},
@@ -162,7 +172,11 @@ def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
         step *= 2.0
         if improvement < tol * max(1.0, abs(cost)):
             break
-    model.info = {**model.info, "cost": cost, "iterations": it + 1, "lambda": lam}
+    gU, gB = _gradients(model, pairs, lam)
+    rU = {k: g - model.U[k] @ _sym(model.U[k].T @ g) for k, g in gU.items()}
+    gnorm = math.sqrt(sum(float(np.sum(g * g)) for g in rU.values()) + float(np.sum(gB * (model.B @ gB @ model.B))))
+    model.info = {**model.info, "cost": cost, "start_cost": start, "iterations": it + 1, "lambda": lam,
+                  "gradient_norm": gnorm, "converged": gnorm <= gtol * max(1.0, abs(cost))}
     return model
 
 

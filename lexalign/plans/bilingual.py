@@ -21,7 +21,7 @@ from lexalign.operators import mapping as M
 from lexalign.operators import metrics as S
 from lexalign.operators import normalize as N
 from lexalign.operators import retrieval as R
-from lexalign.operators.fit import Model, bilingual_fit
+from lexalign.operators.fit import Model, bilingual_fit, residual
 
 
 @dataclass
@@ -61,7 +61,7 @@ def fit_pairs(xn: DataFrame, zn: DataFrame, enc: DataFrame, lam: float, src: str
         dx, dz = _dim(xn), _dim(zn)
         sxx, szz, c = np.zeros((dx, dx)), np.zeros((dz, dz)), np.zeros((dx, dz))
     model = bilingual_fit(sxx, szz, c, lam, src, trg, n_pairs=n_pairs)
-    model.info["n_pairs"] = n_pairs
+    model.info |= {"n_pairs": n_pairs, "residual": residual(sxx, szz, c, model.cross_map(src, trg), lam, n_pairs)}
     return model
 
 
@@ -71,16 +71,8 @@ def fit(x: DataFrame, z: DataFrame, train: DataFrame, lam: float = 100.0,
     """Fit the model on a training dictionary (``semi=True``: self-training objective)."""
     xn = N.normalize(x, normalize).persist(StorageLevel.MEMORY_AND_DISK)
     zn = N.normalize(z, normalize).persist(StorageLevel.MEMORY_AND_DISK)
-    enc = D.encode(train, x, z, fold_case)
-    g = training_grams(xn, zn, enc, weighted=semi)
-    n_pairs = enc.count() if semi else None
-    if g["sxx"].size and g["szz"].size and g["c"].size:
-        sxx, szz, c = g["sxx"], g["szz"], g["c"]
-    else:  # empty training dictionary: the zero map
-        dx, dz = _dim(xn), _dim(zn)
-        sxx, szz, c = np.zeros((dx, dx)), np.zeros((dz, dz)), np.zeros((dx, dz))
-    model = bilingual_fit(sxx, szz, c, lam, src, trg, n_pairs=n_pairs)
-    return Fitted(model, xn, zn, n_pairs)
+    model = fit_pairs(xn, zn, D.encode(train, x, z, fold_case), lam, src, trg, semi)
+    return Fitted(model, xn, zn, model.info["n_pairs"])
 
 
 def mapped(fitted: Fitted, src: str = "src", trg: str = "trg",
@@ -94,25 +86,31 @@ def mapped(fitted: Fitted, src: str = "src", trg: str = "trg",
 
 
 def retrieve(xw: DataFrame, zw: DataFrame, gold: DataFrame, method: str = "csls",
-             k: int = 10, csls_k: int = 10, with_rx: bool = False) -> DataFrame:
-    """Top-k candidates ``(src_idx, rank, trg_idx, score)`` for every gold source row."""
+             k: int = 10, csls_k: int = 10, with_rx: bool = False,
+             r_z: DataFrame | None = None) -> DataFrame:
+    """Top-k candidates ``(src_idx, rank, trg_idx, score)`` for every gold source row.
+
+    ``r_z`` (target neighbourhoods against the whole source) may be given if it is
+    known for these spaces; ``r_x`` is only computed where the score is asked for.
+    """
     queries = xw.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi")
     if method not in ("nn", "csls"):
         raise ValueError("method must be 'nn' or 'csls'")
-    nx, nz = R.id_ranges(xw, zw)          # one job serves both block passes
     if method == "nn":
-        return R.nn_topk(queries, zw, k, n_left=nx, n_right=nz)
-    r_x, r_z = R.neighbourhood(xw, zw, csls_k, queries=queries, n_left=nx, n_right=nz)
-    return R.csls_topk(queries, zw, r_z, k, r_x=r_x if with_rx else None, n_left=nx, n_right=nz)
+        return R.nn_topk(queries, zw, k)
+    if r_z is None:
+        r_z = R.nbr_mean(zw, xw, csls_k)
+    r_x = R.nbr_mean(queries, zw, csls_k) if with_rx else None
+    return R.csls_topk(queries, zw, r_z, k, r_x=r_x)
 
 
 def evaluate(xw: DataFrame, zw: DataFrame, test: DataFrame, src_emb: DataFrame,
              trg_emb: DataFrame, method: str = "csls", csls_k: int = 10,
-             fold_case: bool = False) -> DataFrame:
+             fold_case: bool = False, r_z: DataFrame | None = None) -> DataFrame:
     """Coverage and precision@1/5/10 of a test dictionary: one metrics row."""
     enc = D.encode(test, src_emb, trg_emb, fold_case)
-    gold = D.gold(enc).persist(StorageLevel.MEMORY_AND_DISK)
-    cands = retrieve(xw, zw, gold, method, 10, csls_k)
+    gold = D.gold(enc)
+    cands = retrieve(xw, zw, gold, method, 10, csls_k, r_z=r_z)
     acc = S.precision_at_k(cands, gold)
     cov = D.coverage(test, src_emb, trg_emb, fold_case)
     return S.evaluation_row(cov, acc)

@@ -4,27 +4,34 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexalign.operators import dictionary as D
 from lexalign.operators import normalize as N
 from lexalign.operators.fit import bilingual_fit
 from lexalign.plans import bilingual as BL
 
+SCHEMA = ("rank int, lambda double, cost double, n_covered bigint, n_oov bigint, coverage double, "
+          "n_queries bigint, acc1 double, acc5 double, acc10 double")
 LAMBDAS = (1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3)
 
 
 def lambda_grid(x: DataFrame, z: DataFrame, train: DataFrame, test: DataFrame, lambdas=LAMBDAS,
                 normalize=("unit", "center"), csls_k: int = 10) -> DataFrame:
-    """``(lambda, cost, n_covered, n_oov, coverage, n_queries, acc1, acc5, acc10)`` ranked by acc1."""
+    """``(rank, lambda, cost, n_covered, n_oov, coverage, n_queries, acc1, acc5, acc10)``, best acc1 first."""
+    spark = x.sparkSession
     xn = N.normalize(x, normalize).persist(StorageLevel.MEMORY_AND_DISK)
     zn = N.normalize(z, normalize).persist(StorageLevel.MEMORY_AND_DISK)
     g = BL.training_grams(xn, zn, D.encode(train, x, z))
-    out = None
+    rows = []
     for lam in lambdas:
         model = bilingual_fit(g["sxx"], g["szz"], g["c"], lam)
-        xw, zw = BL.mapped(BL.Fitted(model, xn, zn))
-        m = BL.evaluate(xw, zw, test, x, z, "csls", csls_k)
-        m = m.select(F.lit(float(lam)).alias("lambda"), F.lit(float(model.info["cost"])).alias("cost"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+        xw, zw = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in BL.mapped(BL.Fitted(model, xn, zn)))
+        m = BL.evaluate(xw, zw, test, x, z, "csls", csls_k).first()
+        rows.append((float(lam), float(model.info["cost"]), m["n_covered"], m["n_oov"], m["coverage"],
+                     m["n_queries"], m["acc1"], m["acc5"], m["acc10"]))
+        xw.unpersist()
+        zw.unpersist()
+    xn.unpersist()
+    zn.unpersist()
+    rows.sort(key=lambda r: (-(r[6] or 0.0), r[0]))
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], SCHEMA)

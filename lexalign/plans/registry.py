@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from lexalign.sources import fixtures as FX
 DIGITS = 6
 SPLIT_SEED = 42
 TOPN = 5
-INDUCE_CUTOFF = 300
+CUTOFF_SHARE = 0.5       # of the vocabulary, in the queries about cut-offs
 
 
 def _r(c, digits: int = DIGITS):
@@ -165,10 +166,11 @@ def vocab_gap(spark, sf):
 
 
 def vocab_cutoff(spark, sf):
-    """Frequency cut-off: the dictionary restricted to the first ``INDUCE_CUTOFF`` ids."""
+    """Frequency cut-off: the dictionary restricted to the first ``CUTOFF_SHARE`` of the ids."""
     s, t, d = _st(spark, sf)
-    xs = s.where(F.col("idx") < INDUCE_CUTOFF)
-    zs = t.where(F.col("idx") < INDUCE_CUTOFF)
+    n = s.count()
+    xs = s.where(F.col("idx") < int(n * CUTOFF_SHARE))
+    zs = t.where(F.col("idx") < int(n * CUTOFF_SHARE))
     e = D.encode(d, xs, zs)
     return e.select(F.col("ord").cast("bigint"), F.col("src_idx").cast("bigint"), F.col("trg_idx").cast("bigint"))
 
@@ -263,8 +265,7 @@ def nn_top10(spark, sf):
 def nbr_x(spark, sf):
     xu, zu, d, s, t = _unit_st(spark, sf)
     q, _ = _test_queries(xu, s, t, d)
-    r_x, _ = R.neighbourhood(xu, zu, 10, queries=q)
-    return r_x.select(F.col("idx").cast("bigint"), _r(F.col("r")).alias("r"))
+    return R.nbr_mean(q, zu, 10).select(F.col("idx").cast("bigint"), _r(F.col("r")).alias("r"))
 
 
 def nbr_z(spark, sf):
@@ -275,9 +276,7 @@ def nbr_z(spark, sf):
 def _csls(spark, sf, k):
     xu, zu, d, s, t = _unit_st(spark, sf)
     q, _ = _test_queries(xu, s, t, d)
-    nx, nz = R.id_ranges(xu, zu)
-    r_x, r_z = R.neighbourhood(xu, zu, 10, queries=q, n_left=nx, n_right=nz)
-    return R.csls_topk(q, zu, r_z, k, r_x=r_x, n_left=nx, n_right=nz)
+    return R.csls_topk(q, zu, R.nbr_mean(zu, xu, 10), k, r_x=R.nbr_mean(q, zu, 10))
 
 
 def csls_top1(spark, sf):
@@ -314,7 +313,7 @@ def translate_topn_softmax(spark, sf):
 def induce_bidir(spark, sf):
     from lexalign.operators.induce import induce_dictionary
     xu, zu, d, s, t = _unit_st(spark, sf)
-    ind = induce_dictionary(xu, zu, INDUCE_CUTOFF, INDUCE_CUTOFF, csls_k=10)
+    ind = induce_dictionary(xu, zu, csls_k=10)
     return ind.select("direction", F.col("src_idx").cast("bigint"), F.col("trg_idx").cast("bigint"))
 
 
@@ -396,9 +395,7 @@ def pip_eval(spark, sf):
 
 # --------------------------------------------------------------------------- sources / sinks
 
-VOCAB_CAP = 1000
-VOCAB_THRESHOLD = 500
-VOCAB_ONLY_CAP = 300
+LANGS = ("de", "en", "es", "fr")
 
 
 def _scratch(spark, name):
@@ -421,31 +418,57 @@ def _vocab_en(spark, sf):
     return FX.vocab_raw(spark, sf, "en")
 
 
+def _per_lang(spark, sf, load):
+    """``load(rows, lang, number of rows)`` of every language's vocabulary, with vectors."""
+    out = None
+    for lang in LANGS:
+        rows = FX.vocab_raw(spark, sf, lang)
+        one = load(rows, lang, rows.count()).select(
+            F.lit(lang).alias("lang"), F.col("idx").cast("bigint"), "word", F.col("line").cast("bigint"),
+            _r(F.col("vec")[0]).alias("v_first"), _r(V.vsum("vec")).alias("v_sum"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def vocab_cap_fold(spark, sf):
+    """Cap at ``CUTOFF_SHARE`` of each language's lines, with folding."""
+    from lexalign.sources import vectext
+    return _per_lang(spark, sf, lambda rows, _, n: vectext.load(rows, max_voc=max(1, int(n * CUTOFF_SHARE))))
+
+
+def vocab_fold_all(spark, sf):
+    """Folding and de-duplication with a cap beyond the vocabulary."""
     from lexalign.sources import vectext
-    out = vectext.load(_vocab_en(spark, sf), max_voc=VOCAB_CAP)
-    return out.select(F.col("idx").cast("bigint"), "word", F.col("line").cast("bigint"))
+    return _per_lang(spark, sf, lambda rows, _, n: vectext.load(rows, max_voc=2 * n))
+
+
+def vocab_legacy_bypass(spark, sf):
+    """The same cap with the bypass asked for: nothing is folded."""
+    from lexalign.sources import vectext
+    return _per_lang(spark, sf, lambda rows, _, n: vectext.load(rows, max_voc=2 * n, count=n, legacy_bypass=True))
 
 
 def vocab_threshold(spark, sf):
     from lexalign.sources import vectext
-    out = vectext.load(_vocab_en(spark, sf), threshold=VOCAB_THRESHOLD)
-    return out.select(F.col("idx").cast("bigint"), "word")
+    return _per_lang(spark, sf, lambda rows, _, n: vectext.load(rows, threshold=max(1, int(n * CUTOFF_SHARE))))
 
 
 def vocab_filter(spark, sf):
+    """Each language's vocabulary restricted to the tokens of the next language."""
     from lexalign.sources import vectext
-    keep = FX.tokens(spark, sf, "de").select(F.col("token").alias("word")).distinct()
-    out = vectext.load(_vocab_en(spark, sf), vocabulary=keep)
-    return out.select(F.col("idx").cast("bigint"), "word", F.col("line").cast("bigint"))
+
+    def keep(lang):
+        other = LANGS[(LANGS.index(lang) + 1) % len(LANGS)]
+        return FX.tokens(spark, sf, other).select(F.col("token").alias("word")).distinct()
+    return _per_lang(spark, sf, lambda rows, lang, _: vectext.load(rows, vocabulary=keep(lang)))
 
 
 def vocab_only(spark, sf):
-    """Words of the first lines of a written ``.vec`` file (no folding, no de-duplication)."""
+    """Words of a written ``.vec`` file (no folding, no de-duplication)."""
     from lexalign.sources import vectext
     path = _scratch(spark, "lang_t.vec")
     vectext.write_vec(FX.lang_t(spark, sf), path)
-    return vectext.read_vocab(spark, path, VOCAB_ONLY_CAP).select(F.col("idx").cast("bigint"), "word")
+    return vectext.read_vocab(spark, path).select(F.col("idx").cast("bigint"), "word")
 
 
 def _dict_text(spark, sf, malformed=True):
@@ -584,11 +607,44 @@ def semi_bootstrap(spark, sf):
     from lexalign.plans import semi
     s, t = FX.lang_s(spark, sf), FX.lang_t_easy(spark, sf)
     d = FX.dictionary_seed(spark, sf)
-    out = semi.bootstrap(s, t, _part(d, "train"), _part(d, "val"), _part(d, "test"), lam=0.01, rounds=3)
+    full = _part(d, "train")
+    out = semi.bootstrap(s, t, full, full.where(F.pmod("ord", F.lit(500)) != 0), _part(d, "val"), _part(d, "test"), lam=0.01)
     return out.select("round", "phase", "n_pairs", *[_r(F.col(c)).alias(c) for c in
                                                      ("val_acc1", "test_acc1", "test_acc5", "test_acc10")])
 
 
+def _residual_out(spark, fits):
+    """Long form ``(fit, i, j, value)`` of fit residuals (``d x d`` numbers a fit)."""
+    rows = [(name, i, j, float(v)) for name, model in fits for (i, j), v in np.ndenumerate(model.info["residual"])]
+    df = spark.createDataFrame(rows, "fit string, i bigint, j bigint, value double")
+    return df.withColumn("value", _r(F.col("value")) + F.lit(0.0))      # no minus zero
+
+
+def fit_residual(spark, sf):
+    """Gradient of the convex objective at the fits of Entry 1, in units of the largest entry of C: zero."""
+    s, t, d = _st(spark, sf)
+    xn, zn = N.normalize(s, ["unit", "center"]), N.normalize(t, ["unit", "center"])
+    enc = D.encode(_part(d, "train"), s, t)
+    return _residual_out(spark, [(f"lambda {lam:g}", BL.fit_pairs(xn, zn, enc, lam)) for lam in (0.1, 10.0)])
+
+
+def fit_residual_semi(spark, sf):
+    """The same for the self-training objective (pairs with multiplicity)."""
+    s, t, d = _st(spark, sf)
+    xn, zn = N.normalize(s, ["unit", "center"]), N.normalize(t, ["unit", "center"])
+    model = BL.fit_pairs(xn, zn, D.encode(_part(d, "train"), s, t), 0.01, semi=True)
+    return _residual_out(spark, [("semi", model)])
+
+
+def fit_residual_two_hop(spark, sf):
+    """The same for both fits of the two-hop job."""
+    from lexalign.plans import two_hop
+    s, t, m = FX.lang_s(spark, sf), FX.lang_t(spark, sf), FX.lang_m(spark, sf)
+    fits = two_hop.fit(s, m, t, _part(FX.dictionary(spark, sf, "s", "m"), "train"),
+                       _part(FX.dictionary(spark, sf, "m", "t"), "train"), lam=10.0)
+    return _residual_out(spark, [(name, f.model) for name, f in zip(("first", "second"), fits)])
+
+
 def _multi_inputs(spark, sf):
     s, t, m = FX.lang_s(spark, sf), FX.lang_t(spark, sf), FX.lang_m(spark, sf)
     langs = {"s": s, "t": t, "m": m}
@@ -600,10 +656,20 @@ def _multi_inputs(spark, sf):
 
 
 def multi_fit_eval(spark, sf):
+    """The shared-``B`` fit of all pairs: what must hold of any minimum on its manifolds."""
     from lexalign.plans import multi
     langs, train, tests = _multi_inputs(spark, sf)
     model, norm = multi.fit(langs, train, lam=10.0)
-    return multi.evaluate_pairs(model, norm, langs, tests[:1])
+    for df in norm.values():
+        df.unpersist()
+    info = model.info
+    return spark.createDataFrame([(
+        len(train), info["cost"] <= info["start_cost"], info["converged"],
+        info["gradient_norm"] <= 1e-3 * max(1.0, abs(info["cost"])),
+        all(bool(np.allclose(u.T @ u, np.eye(u.shape[1]), atol=1e-8)) for u in model.U.values()),
+        bool(np.linalg.eigvalsh(model.B).min() > 0))],
+        "n_pairs bigint, not_above_start boolean, converged boolean, stationary boolean, orthonormal boolean, "
+        "positive_definite boolean")
 
 
 def multi_pair_eval(spark, sf):
@@ -630,7 +696,7 @@ def two_hop_fit(spark, sf):
 def lambda_grid(spark, sf):
     from lexalign.plans import grid
     s, t, d = _st(spark, sf)
-    return grid.lambda_grid(s, t, _part(d, "train"), _part(d, "test"), lambdas=(0.1, 10.0, 100.0))
+    return grid.lambda_grid(s, t, _part(d, "train"), _part(d, "test"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -679,6 +745,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pip_eval": pip_eval,
     "vec_roundtrip": vec_roundtrip,
     "vocab_cap_fold": vocab_cap_fold,
+    "vocab_fold_all": vocab_fold_all,
+    "vocab_legacy_bypass": vocab_legacy_bypass,
     "vocab_threshold": vocab_threshold,
     "vocab_filter": vocab_filter,
     "vocab_only": vocab_only,
@@ -697,4 +765,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_pair_eval": multi_pair_eval,
     "two_hop_fit": two_hop_fit,
     "lambda_grid": lambda_grid,
+    "fit_residual": fit_residual,
+    "fit_residual_semi": fit_residual_semi,
+    "fit_residual_two_hop": fit_residual_two_hop,
 }

@@ -3,70 +3,81 @@
 Each round fits the self-training objective (pairs counted with multiplicity,
 ``reg = nλ/2``) on the seed pairs plus the pairs induced in the previous
 round, scores precision@1 on the validation part, and induces a new
-dictionary by bidirectional CSLS inside the frequency cut-offs.  The induced
-dictionary that trained the best validating model is kept; after ``patience``
-rounds without improvement the loop stops and a final model is fitted on the
-best induced pairs plus the full training dictionary.  Every induced
-dictionary is checkpointed to the shared checkpoint folder, so each round
-starts from a short lineage and survives lost executors.
+dictionary by bidirectional CSLS.  After ``patience`` rounds without a better
+validation score the loop stops; it ends by itself, as there are only so many
+scores.  The final model is fitted on the pairs that trained the best round plus
+the full training dictionary, and only that model is scored on the test part.
+
+The neighbourhoods of a round's spaces are computed once, for validation and
+induction.  Every induced dictionary is a written table, so each round starts
+from a short lineage and survives lost executors; caches are released.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexalign.operators import dictionary as D
-from lexalign.operators.induce import induce_dictionary
 from lexalign.operators import normalize as N
+from lexalign.operators import retrieval as R
+from lexalign.operators.induce import induce_dictionary
 from lexalign.plans import bilingual as BL
-from lexalign.session import ensure_checkpoint_dir
+from lexalign.session import materialise
+
+SCHEMA = ("round int, phase string, n_pairs bigint, residual double, val_acc1 double, test_acc1 double, "
+          "test_acc5 double, test_acc10 double")
 
 
-def bootstrap(x: DataFrame, z: DataFrame, train: DataFrame, val: DataFrame, test: DataFrame,
+def bootstrap(x: DataFrame, z: DataFrame, full: DataFrame, seed: DataFrame, val: DataFrame, test: DataFrame,
               lam: float = 0.01, normalize=("unit", "center"), x_cutoff: int | None = None,
-              z_cutoff: int | None = None, rounds: int = 4, patience: int | None = None,
-              csls_k: int = 10) -> DataFrame:
-    """Per-round metrics ``(round, phase, n_pairs, val_acc1, test_acc1, test_acc5, test_acc10)``.
+              z_cutoff: int | None = None, patience: int = 1, csls_k: int = 10) -> DataFrame:
+    """Per-round metrics ``(round, phase, n_pairs, residual, val_acc1, test_acc1, test_acc5, test_acc10)``.
 
-    ``phase`` is ``round`` for the loop and ``final`` for the last fit.
-    Cut-offs default to the whole vocabularies; ``patience=None`` never stops early.
+    ``seed`` is the part of the ``full`` training dictionary that the rounds start
+    from; cut-offs default to the whole vocabularies.  ``phase`` is ``round`` (test
+    scores null) or ``final``; ``residual`` is the largest entry of the fit's residual.
     """
+    if patience < 1:
+        raise ValueError("patience must be 1 at least")
     spark = x.sparkSession
-    ensure_checkpoint_dir(spark)
     xn = N.normalize(x, normalize).persist(StorageLevel.MEMORY_AND_DISK)
     zn = N.normalize(z, normalize).persist(StorageLevel.MEMORY_AND_DISK)
-    seed = D.encode(train, x, z).select("src_idx", "trg_idx").checkpoint()
-    xc = x_cutoff or (int(x.agg(F.max("idx")).first()[0]) + 1)
-    zc = z_cutoff or (int(z.agg(F.max("idx")).first()[0]) + 1)
-    added = seed.limit(0)
-    best_acc, best_added, bad = -1.0, added, 0
-    rows = []
-    for r in range(rounds):
-        pairs = seed.unionByName(added)
-        model = BL.fit_pairs(xn, zn, pairs, lam, semi=True)
-        xw, zw = BL.mapped(BL.Fitted(model, xn, zn))
-        xw = xw.persist(StorageLevel.MEMORY_AND_DISK)
-        zw = zw.persist(StorageLevel.MEMORY_AND_DISK)
-        v = BL.evaluate(xw, zw, val, x, z, "csls", csls_k).first()
-        t = BL.evaluate(xw, zw, test, x, z, "csls", csls_k).first()
-        rows.append((r, "round", int(model.info["n_pairs"]), v["acc1"], t["acc1"], t["acc5"], t["acc10"]))
-        if v["acc1"] is not None and v["acc1"] > best_acc:
-            best_acc, best_added, bad = v["acc1"], added, 0
-        else:
-            bad += 1
-            if patience is not None and bad >= patience:
-                break
-        induced = induce_dictionary(xw, zw, xc, zc, csls_k).select("src_idx", "trg_idx")
-        added = induced.checkpoint()     # reliable checkpoint: short lineage per round
+    start = materialise(D.encode(seed, x, z).select("src_idx", "trg_idx"), "seed")
+    added = start.limit(0)
+    best_acc, best_added, bad, rows = 0.0, added, 0, []
+    while True:
+        model, xw, zw = _spaces(xn, zn, start.unionByName(added), lam)
+        r_x, r_z = R.neighbourhood(xw, zw, csls_k)
+        v = BL.evaluate(xw, zw, val, x, z, "csls", csls_k, r_z=r_z).first()["acc1"] or 0.0
+        rows.append((len(rows), "round", int(model.info["n_pairs"]), _worst(model), float(v), None, None, None))
+        bad += 1
+        if v > best_acc:
+            best_acc, best_added, bad = v, added, 0
+        if bad < patience:
+            whole = x_cutoff is None and z_cutoff is None
+            found = induce_dictionary(xw, zw, x_cutoff, z_cutoff, csls_k, **({"r_x": r_x, "r_z": r_z} if whole else {}))
+            added = materialise(found.select("src_idx", "trg_idx"), "induced")
         xw.unpersist()
         zw.unpersist()
-    final_pairs = best_added.unionByName(seed)
-    model = BL.fit_pairs(xn, zn, final_pairs, lam, semi=True)
+        if bad >= patience:
+            break
+    every = D.encode(full, x, z).select("src_idx", "trg_idx")
+    model, xw, zw = _spaces(xn, zn, best_added.unionByName(every), lam)
+    r_z = materialise(R.nbr_mean(zw, xw, csls_k), "neighbourhoods")
+    v = BL.evaluate(xw, zw, val, x, z, "csls", csls_k, r_z=r_z).first()
+    t = BL.evaluate(xw, zw, test, x, z, "csls", csls_k, r_z=r_z).first()
+    rows.append((len(rows), "final", int(model.info["n_pairs"]), _worst(model), v["acc1"], t["acc1"], t["acc5"], t["acc10"]))
+    for df in (xw, zw, xn, zn):
+        df.unpersist()
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def _spaces(xn: DataFrame, zn: DataFrame, pairs: DataFrame, lam: float):
+    model = BL.fit_pairs(xn, zn, pairs, lam, semi=True)
     xw, zw = BL.mapped(BL.Fitted(model, xn, zn))
-    v = BL.evaluate(xw, zw, val, x, z, "csls", csls_k).first()
-    t = BL.evaluate(xw, zw, test, x, z, "csls", csls_k).first()
-    rows.append((len(rows), "final", int(model.info["n_pairs"]), v["acc1"], t["acc1"], t["acc5"], t["acc10"]))
-    return spark.createDataFrame(rows, "round int, phase string, n_pairs bigint, val_acc1 double, "
-                                       "test_acc1 double, test_acc5 double, test_acc10 double")
+    return model, xw.persist(StorageLevel.MEMORY_AND_DISK), zw.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _worst(model) -> float:
+    return float(abs(model.info["residual"]).max(initial=0.0))

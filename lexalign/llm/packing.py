@@ -6,10 +6,10 @@ sequence by itself. The others are dealt into partitions of about ``PART_ROWS``
 hash, and each partition is packed by best-fit decreasing. Dual feasible functions
 give a lower bound of the bins that any packing of the partition needs; where it
 equals the bins used, the partition is certified as optimal. The partitions with a
-gap give up the pieces of their bins that are not full; these are dealt anew among
-the partitions with a gap, and best-fit decreasing runs again. The new bins replace
-the old ones if they are fewer. This goes on until no partition has a gap, or
-``ROUNDS`` is reached, or an exchange saves nothing.
+gap give up the pieces of their bins that are not full; these are dealt anew, into half
+as many partitions, and best-fit decreasing runs again. The new bins replace the old
+ones if they are fewer. This goes on until no partition has a gap or ``ROUNDS`` deals
+were made, so a partition has ``PART_ROWS * 2 ** ROUNDS`` pieces at most.
 
 Every round is one shuffle of ``(uid, length)`` rows; texts and ids are not moved.
 A partition's size does not depend on the data, so no task grows with the input.
@@ -132,7 +132,7 @@ def _bins(packed: DataFrame) -> DataFrame:
 def pack(short: DataFrame, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, list[dict]]:
     """``(uid, sequence, offset)`` for the items ``(uid, length)``, and what each round came to."""
     def run(items: DataFrame, n: int, turn: int) -> DataFrame:
-        parts = max(1, -(-n // part_rows))
+        parts = max(1, -(-n // (part_rows << turn)))
         dealt = items.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
         return written(dealt.groupBy("part").applyInArrow(_pack_part, PACKED_SCHEMA), "packed")
 
@@ -142,7 +142,8 @@ def pack(short: DataFrame, part_rows: int = PART_ROWS, rounds: int = ROUNDS) ->
 
     now = run(short.select("uid", "length"), short.count(), 0)
     done, log = [], []
-    for turn in range(rounds + 1):
+    turn = 0
+    while True:
         sums = _bins(now).agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.count("*").alias("parts"),
                               F.sum(F.when(F.col("bins") > F.col("bound"), 1).otherwise(0)).alias("gaps")).first()
         log.append(sums.asDict() | {"turn": turn})
@@ -151,11 +152,14 @@ def pack(short: DataFrame, part_rows: int = PART_ROWS, rounds: int = ROUNDS) ->
         open_parts = _bins(now).where("bins > bound").select("part")
         pool = written(now.join(open_parts, "part", "left_semi").where(F.col("fill") < SIZE), "exchanged")
         before = pool.select("part", "bin").distinct().count()
-        again = run(pool.select("uid", "length"), pool.count(), turn + 1)
-        after = _bins(again).agg(F.sum("bins")).first()[0]
-        if after is None or after >= before:
+        again, after, n = None, before, pool.count()
+        while n and turn < rounds and after >= before:      # other deals until one saves bins
+            turn += 1
+            again = run(pool.select("uid", "length"), n, turn)
+            after = _bins(again).agg(F.sum("bins")).first()[0]
+        if after >= before:
             break
-        done.append(placed(now.join(pool.select("uid"), "uid", "left_anti"), turn))
+        done.append(placed(now.join(pool.select("uid"), "uid", "left_anti"), len(done)))
         now = again
     out = placed(now, len(done))
     for part in done:

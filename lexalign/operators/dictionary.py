@@ -10,7 +10,9 @@ skewed *stream* side that AQE splits; nothing is collected per word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +21,11 @@ def word_index(emb: DataFrame, word: str = "word", idx: str = "idx") -> DataFram
     return emb.groupBy(word).agg(F.max(idx).alias(idx))
 
 
+def filter_embeddings(emb: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """Rows for which the predicate ``keep(word, vec)`` holds; it is a column expression, so it stays in the plan."""
+    return emb.where(keep(F.col("word"), F.col("vec")))
+
+
 def fold(dic: DataFrame, enabled: bool = True) -> DataFrame:
     """Lower-case both dictionary sides (done when a vocabulary cap is requested)."""
     if not enabled:

@@ -547,3 +547,54 @@ SQL["multi_fit_eval"] = """
 SELECT 3::BIGINT AS n_pairs, TRUE AS not_above_start, TRUE AS converged, TRUE AS stationary, TRUE AS orthonormal,
        TRUE AS positive_definite
 """
+
+
+# --------------------------------------------------------------------------- file jobs and rarely used branches
+
+_SIX = "list_transform(vec, lambda x: CAST(printf('%.6g', x) AS DOUBLE))"
+
+SQL["map_db"] = _with(f"r AS (SELECT idx, word, {_SIX} AS vec FROM lang_s)",
+                      f"u AS {_unit('r')}", f"m AS {_unit(_mapped('u', 'rev', 'half'))}") + """
+SELECT idx::BIGINT AS idx, word, (j - 1)::BIGINT AS j, CAST(printf('%.6g', x) AS DOUBLE) AS value
+FROM (SELECT idx, word, unnest(generate_series(1, len(vec))) AS j, unnest(vec) AS x FROM m)
+"""
+
+SQL["evaluate_from_files"] = _metrics_query(
+    f"rs AS (SELECT idx, word, {_SIX} AS vec FROM lang_s)", f"rt AS (SELECT idx, word, {_SIX} AS vec FROM lang_t)",
+    f"ux AS {_unit('rs')}", f"uz AS {_unit('rt')}", _csls_ctes("ux", "uz"), cands=_nn_top('', 'q', 10))
+
+SQL["request_words"] = _with() + """
+SELECT src_word AS word, count(*)::BIGINT AS n FROM dict_st WHERE part = 'test' GROUP BY src_word
+"""
+
+SQL["metrics_sink"] = _with("""
+pw AS (SELECT d.part, d.src_word, max(CASE WHEN a.idx IS NOT NULL AND b.idx IS NOT NULL THEN 1 ELSE 0 END) AS ok
+       FROM dict_st d LEFT JOIN widx_s a ON a.word = d.src_word LEFT JOIN widx_t b ON b.word = d.trg_word
+       WHERE d.part IN ('val', 'test') GROUP BY d.part, d.src_word)""") + """
+SELECT part AS fit_id, count(*) FILTER (WHERE ok = 1)::BIGINT AS n_covered, count(*) FILTER (WHERE ok = 0)::BIGINT AS n_oov,
+       round(count(*) FILTER (WHERE ok = 1) / count(*), 6) AS coverage
+FROM pw GROUP BY part
+"""
+
+SQL["gzip_scan"] = _with() + """
+SELECT idx::BIGINT AS idx, word, CAST(printf('%.6g', vec[1]) AS DOUBLE) AS v_first FROM lang_t
+"""
+
+SQL["dict_fold"] = _with() + """
+SELECT ord::BIGINT AS ord, src_idx::BIGINT AS src_idx, trg_idx::BIGINT AS trg_idx FROM enc
+"""
+
+SQL["translate_topn_nn"] = _with(_UNIT_ST, _csls_ctes("ux", "uz"), _REQ, f"""
+c AS {_nn_top('', 'rq', 5)},
+ex AS (SELECT src_idx, ln(sum(exp(sc))) AS total FROM c GROUP BY src_idx)""") + """
+SELECT req.word, c.rn::BIGINT AS rank, t.word AS translation, round(c.sc - ex.total, 6) AS log_prob
+FROM req JOIN c ON c.src_idx = req.idx JOIN ex ON ex.src_idx = c.src_idx JOIN lang_t t ON t.idx = c.trg_idx
+"""
+
+SQL["oov_extend"] = _with(_PREFIX) + """
+SELECT (row_number() OVER (ORDER BY word) - 1)::BIGINT AS idx, word, round(vec[1], 6) AS v_first,
+       round(list_sum(vec), 6) AS v_sum FROM res
+UNION ALL
+SELECT (idx + (SELECT count(*) FROM res))::BIGINT AS idx, word, round(vec[1], 6) AS v_first,
+       round(list_sum(vec), 6) AS v_sum FROM vv
+"""

@@ -185,7 +185,7 @@ def request_partition(spark, sf):
 
 def emb_filter(spark, sf):
     s = FX.lang_s(spark, sf)
-    return s.where(F.col("vec")[0] > 0).select(F.col("idx").cast("bigint"), "word")
+    return D.filter_embeddings(s, lambda word, vec: vec[0] > 0).select(F.col("idx").cast("bigint"), "word")
 
 
 def coverage(spark, sf):
@@ -569,6 +569,84 @@ def pairs_tsv(spark, sf):
     return back.select(t[0].alias("word"), t[1].alias("translation"))
 
 
+def map_db(spark, sf):
+    """Scan, map and write the source vocabulary; the written file is read back."""
+    from lexalign.plans import files
+    from lexalign.sources import vectext
+    src, out = _scratch(spark, "lang_s.vec"), _scratch(spark, "mapped_s.vec")
+    s = FX.lang_s(spark, sf)
+    vectext.write_vec(s, src)
+    files.map_embedding_db(spark, src, fixed_model(BL._dim(s)), "s", out)
+    back = vectext.read(spark, out)
+    return back.select(F.col("idx").cast("bigint").alias("idx"), "word", F.posexplode("vec").alias("j", "value")) \
+               .select("idx", "word", F.col("j").cast("bigint").alias("j"), "value")
+
+
+def evaluate_from_files(spark, sf):
+    """Two written vector files and a written dictionary to metrics, vocabularies capped and folded."""
+    from lexalign.plans import files
+    from lexalign.sources import vectext
+    s, t, d = _st(spark, sf)
+    paths = []
+    for name, df in (("s", s), ("t", t)):
+        paths.append(_scratch(spark, f"{name}.vec"))
+        vectext.write_vec(df, paths[-1])
+    words = _scratch(spark, "test.txt")
+    _write_ordered(_part(d, "test").select("ord", F.concat_ws(" ", F.upper("src_word"), "trg_word").alias("text")), "ord", words)
+    return _metrics_out(files.evaluate_files(spark, *paths, words, max_voc=s.count(), method="nn"))
+
+
+def request_words(spark, sf):
+    """Word-list source: stripped lines, blank ones dropped."""
+    from lexalign.sources import dictionaries as DS
+    path = _scratch(spark, "words.txt")
+    d = _part(FX.dictionary(spark, sf), "test").select("ord", "src_word").distinct()
+    lines = d.select("ord", F.concat(F.lit("\t "), "src_word", F.lit(" \u3000")).alias("text")) \
+        .unionByName(d.select("ord", F.lit(" \t").alias("text")))
+    _write_ordered(lines, "ord", path)
+    return DS.read_words(spark, path).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics_sink(spark, sf):
+    """Metrics of two runs appended to one table and read back."""
+    from lexalign.sources import sinks
+    path = _scratch(spark, "metrics")
+    s, t, d = _st(spark, sf)
+    for part in ("val", "test"):
+        sinks.write_metrics(D.coverage(_part(d, part), s, t), path, part)
+    back = spark.read.parquet(path)
+    return back.select("fit_id", F.col("n_covered").cast("bigint"), F.col("n_oov").cast("bigint"),
+                       _r(F.col("coverage")).alias("coverage"))
+
+
+def gzip_scan(spark, sf):
+    """A compressed vector file."""
+    from lexalign.sources import vectext
+    path = _scratch(spark, "lang_t.vec")
+    t = FX.lang_t(spark, sf)
+    vectext.to_lines(t, BL._dim(t), t.count()).repartitionByRange("key").sortWithinPartitions("key").select("text") \
+        .write.option("compression", "gzip").text(path)
+    back = vectext.read(spark, path)
+    return back.select(F.col("idx").cast("bigint"), "word", F.col("vec")[0].alias("v_first"))
+
+
+def dict_fold(spark, sf):
+    """Case folding of dictionary words before they are looked up."""
+    s, t, d = _st(spark, sf)
+    mixed = d.withColumn("src_word", F.initcap("src_word")).withColumn("trg_word", F.upper("trg_word"))
+    return D.encode(mixed, s, t, fold_case=True).select(
+        F.col("ord").cast("bigint"), F.col("src_idx").cast("bigint"), F.col("trg_idx").cast("bigint"))
+
+
+def translate_topn_nn(spark, sf):
+    """Top-n translations by inner product with log-probabilities."""
+    from lexalign.operators.translate import translate_topn
+    s, t, d = _st(spark, sf)
+    words = _part(d, "test").select(F.col("src_word").alias("word")).distinct()
+    out = translate_topn(words, s, t, method="nn", topn=TOPN)
+    return out.select("word", F.col("rank").cast("bigint"), "translation", _r(F.col("prob")).alias("log_prob"))
+
+
 # --------------------------------------------------------------------------- OOV
 
 def _oov_request(spark, sf):
@@ -595,7 +673,16 @@ def oov_prepend(spark, sf):
     return out.select(F.col("idx").cast("bigint"), "word")
 
 
-# --------------------------------------------------------------------------- fits (no SQL oracle)
+def oov_extend(spark, sf):
+    """Dictionary-driven extension: words a dictionary asks for -> prefix vectors -> prepended."""
+    from lexalign.operators import oov
+    wanted = _oov_request(spark, sf).select(F.col("word").alias("src_word"), F.col("word").alias("trg_word"))
+    out = oov.extend_with_prefix([wanted], _vocab_en_table(spark, sf), "src")
+    return out.select(F.col("idx").cast("bigint"), "word", _r(F.col("vec")[0]).alias("v_first"),
+                      _r(V.vsum("vec")).alias("v_sum"))
+
+
+# --------------------------------------------------------------------------- fits
 
 def bilingual_eval(spark, sf):
     s, t, d = _st(spark, sf)
@@ -759,6 +846,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairs_tsv": pairs_tsv,
     "prefix_oov": prefix_oov,
     "oov_prepend": oov_prepend,
+    "oov_extend": oov_extend,
+    "map_db": map_db,
+    "evaluate_from_files": evaluate_from_files,
+    "request_words": request_words,
+    "metrics_sink": metrics_sink,
+    "gzip_scan": gzip_scan,
+    "dict_fold": dict_fold,
+    "translate_topn_nn": translate_topn_nn,
     "bilingual_eval": bilingual_eval,
     "semi_bootstrap": semi_bootstrap,
     "multi_fit_eval": multi_fit_eval,

@@ -1,10 +1,10 @@
 """Embedding text files (``.vec``): header ``count dim`` then ``word v1 … vdim``.
 
-Row order is semantic (the id is the frequency rank), so the scan numbers the
-lines of each file with ``zipWithIndex`` over the ordered splits (the one place
-where an RDD is needed; it costs one counting job and keeps the work
-distributed).  Everything after the scan is DataFrame work: caps, case folding
-and vocabulary filters are windows / joins over the line number.
+Row order is semantic (the id is the frequency rank).  The scan is a DataFrame
+over text splits, which are ordered by file and offset; lines are numbered inside
+each split and shifted by the counts of the splits before.  Everything after the
+scan is DataFrame work: caps, case folding and vocabulary filters are windows /
+joins over the line number.
 
 Gzip input (``.vec.gz``) is read by Spark's codec; a gzip file is one split,
 so the rows are repartitioned right after the scan.
@@ -14,12 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexalign.functions import ranking
 from lexalign.functions.formatting import format_vec_g6
 
-LINE_SCHEMA = T.StructType([T.StructField("line", T.LongType()), T.StructField("value", T.StringType())])
 WS = r"(?U)[\s\x1c-\x1f]+"   # Python str.split() semantics: Unicode white space and the separators
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"   # what Python's str.strip() takes away
 
@@ -36,18 +34,20 @@ def _ordered_paths(spark: SparkSession, path: str) -> str:
     return ",".join(names)
 
 
-def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line bigint, value string)`` with ``line`` = 0-based position in the file(s)."""
-    rdd = spark.sparkContext.textFile(_ordered_paths(spark, path), min_partitions)
-    numbered = rdd.zipWithIndex().map(lambda p: (p[1], p[0]))
-    df = spark.createDataFrame(numbered, LINE_SCHEMA)
+    df = read_files(spark, [path]).drop("path")
     if path.endswith(".gz"):
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, line bigint, value string)`` of several files in one scan, lines numbered in each."""
+    """``(path, line bigint, value string)`` of several files in one scan, lines numbered in each.
+
+    A line's number is its place in its split (a window over one split, whose size
+    the scan bounds) plus the lines of the splits before it (a row a split).
+    """
     listed = [_ordered_paths(spark, p) for p in paths]
     parts = [(p, i, part) for p, names in zip(paths, listed) for i, part in enumerate(names.split(","))]
     files = spark.createDataFrame([(p, i, _file_name(spark, f)) for p, i, f in parts],

@@ -166,6 +166,21 @@ def test_external_vectors_pipe_and_prepend(spark, scratch):
     assert list(out[0]["vec"]) == [3.0, 1.5]
 
 
+def test_line_order_holds_over_splits(spark, scratch):
+    p = _write(os.path.join(scratch, "long.txt"), "".join(f"line {i} {'x' * (i % 37)}\n" for i in range(5000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = vectext.read_lines(spark, p)
+        assert spark.read.text(p).rdd.getNumPartitions() > 10
+        got = {r["line"]: r["value"] for r in lines.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 5000 and all(got[i].split()[1] == str(i) for i in got)
+
+
 def test_gzip_vec_is_read(spark, scratch):
     import gzip
     p = os.path.join(scratch, "g.vec.gz")

@@ -19,12 +19,7 @@ def format_vec_g6(vecs: pd.Series) -> pd.Series:
     return vecs.map(lambda v: " ".join("%.6g" % x for x in v) if v is not None else None)
 
 
-@pandas_udf(StringType())
-def format_g6(xs: pd.Series) -> pd.Series:
-    return xs.map(lambda x: "%.6g" % x if x is not None and x == x else None)
-
-
-def percent(c: Column, digits: int = 2) -> Column:
-    """``7.2%``-style percentage text of a share in [0, 1]."""
+def percent(c: Column, digits: int = 2, width: int = 7) -> Column:
+    """Right-aligned percentage text of a share in [0, 1]: ``  7.20%``."""
     from pyspark.sql import functions as F
-    return F.concat(F.format_number(c * 100.0, digits), F.lit("%"))
+    return F.format_string(f"%{width}s", F.concat(F.format_string(f"%.{digits}f", c * 100.0), F.lit("%")))

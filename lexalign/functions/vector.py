@@ -83,11 +83,6 @@ def div_elementwise(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x / y)
 
 
-def axpy(a: ColumnOrName, alpha: float, b: ColumnOrName) -> Column:
-    """``a + alpha * b`` element-wise."""
-    al = F.lit(float(alpha))
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + al * y)
-
 
 def cosine(a: ColumnOrName, b: ColumnOrName) -> Column:
     """``a·b / sqrt(a·a * b·b)`` as in the reference similarity scorer."""
@@ -98,7 +93,3 @@ def unit(v: ColumnOrName) -> Column:
     """``v / ||v||`` with a zero norm replaced by 1."""
     n = norm(v)
     return divide(v, F.when(n == 0, F.lit(1.0)).otherwise(n))
-
-
-def round_vec(v: ColumnOrName, digits: int = 6) -> Column:
-    return F.transform(_c(v), lambda x: F.round(x, digits))

@@ -27,10 +27,3 @@ def matrix_to_list(m: np.ndarray) -> pa.Array:
     n, d = m.shape
     offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m, dtype=np.float64).ravel()))
-
-
-def stack_object_column(values, dim: int | None = None) -> np.ndarray:
-    """A pandas object column of arrays (from ``applyInPandas``) as a float64 matrix."""
-    if len(values) == 0:
-        return np.zeros((0, dim or 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in values])

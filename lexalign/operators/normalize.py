@@ -58,10 +58,6 @@ def _stat_column(stats: dict[tuple, list[float]], group_cols: Sequence[str]):
     return expr
 
 
-def column_means(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> dict:
-    return column_stats(df, vec, group_cols, "mean")
-
-
 def center(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> DataFrame:
     stats = column_stats(df, vec, group_cols, "mean")
     return df.withColumn(vec, V.sub(vec, _stat_column(stats, group_cols)))

@@ -321,13 +321,7 @@ SELECT req.word, t.word AS translation FROM req JOIN {_csls_top('', 'rq', 1)} c
 JOIN lang_t t ON t.idx = c.trg_idx
 """
 
-SQL["translate_topn_softmax"] = _with(_UNIT_ST, _csls_ctes("ux", "uz"), _REQ) + f"""
-SELECT req.word, c.rn::BIGINT AS rank, t.word AS translation,
-       round(exp(c.sc - max(c.sc) OVER (PARTITION BY c.src_idx))
-             / sum(exp(c.sc - max(c.sc) OVER (PARTITION BY c.src_idx))) OVER (PARTITION BY c.src_idx), 6) AS prob
-FROM req JOIN {_csls_top('', 'rq', 5)} c ON c.src_idx = req.idx JOIN lang_t t ON t.idx = c.trg_idx
-"""
-# DuckDB does not allow a window inside a window: rewrite the softmax in two steps.
+# DuckDB does not allow a window inside a window: the softmax is in two steps.
 SQL["translate_topn_softmax"] = _with(_UNIT_ST, _csls_ctes("ux", "uz"), _REQ, f"""
 top AS {_csls_top('', 'rq', 5)},
 ex AS (SELECT src_idx, trg_idx, rn, exp(sc - max(sc) OVER (PARTITION BY src_idx)) AS e FROM top)""") + """
@@ -576,6 +570,12 @@ SELECT part AS fit_id, count(*) FILTER (WHERE ok = 1)::BIGINT AS n_covered, coun
 FROM pw GROUP BY part
 """
 
+SQL["metrics_text"] = f"""
+SELECT printf('Coverage:%7s  Accuracy:%7s  Accuracy(Top 5):%7s  Accuracy(Top 10):%7s', printf('%.2f%%', coverage * 100),
+              printf('%.2f%%', acc1 * 100), printf('%.2f%%', acc5 * 100), printf('%.2f%%', acc10 * 100)) AS value
+FROM ({SQL["evaluate_nn"]})
+"""
+
 SQL["gzip_scan"] = _with() + """
 SELECT idx::BIGINT AS idx, word, CAST(printf('%.6g', vec[1]) AS DOUBLE) AS v_first FROM lang_t
 """

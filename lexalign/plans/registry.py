@@ -619,6 +619,12 @@ def metrics_sink(spark, sf):
                        _r(F.col("coverage")).alias("coverage"))
 
 
+def metrics_text(spark, sf):
+    """Metrics as a line of percentages."""
+    from lexalign.sources import sinks
+    return sinks.metrics_lines(evaluate_nn(spark, sf))
+
+
 def gzip_scan(spark, sf):
     """A compressed vector file."""
     from lexalign.sources import vectext
@@ -851,6 +857,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_from_files": evaluate_from_files,
     "request_words": request_words,
     "metrics_sink": metrics_sink,
+    "metrics_text": metrics_text,
     "gzip_scan": gzip_scan,
     "dict_fold": dict_fold,
     "translate_topn_nn": translate_topn_nn,

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexalign.functions.formatting import percent
 from lexalign.operators.fit import Model
 from lexalign.sources import vectext
 
@@ -116,6 +117,13 @@ def translation_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.concat_ws("\t", "word", "translation").alias("value"))
 
 
+def metrics_lines(metrics: DataFrame) -> DataFrame:
+    """``Name:  12.34%`` text, one line a row, of the shares ``coverage`` and ``acc1/5/10`` that are there."""
+    names = [("coverage", "Coverage"), ("acc1", "Accuracy"), ("acc5", "Accuracy(Top 5)"), ("acc10", "Accuracy(Top 10)")]
+    parts = [F.concat(F.lit(f"{label}:"), percent(F.col(c))) for c, label in names if c in metrics.columns]
+    return metrics.select(F.concat_ws("  ", *parts).alias("value"))
+
+
 def write_metrics(metrics: DataFrame, path: str, fit_id: str = "fit") -> None:
     """Append one metrics row per run to a parquet table."""
     metrics.withColumn("fit_id", F.lit(fit_id)).withColumn("written_at", F.current_timestamp()) \

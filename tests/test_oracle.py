@@ -7,7 +7,6 @@ from tests.oracle_check import compare, duck
 from tests.conftest import SF001
 
 SQL = E.oracle_sql()
-FAST = [k for k in SQL if k not in ("manifest_load", "vec_roundtrip", "pip_eval")]
 
 
 @pytest.fixture(scope="module")

@@ -4,18 +4,20 @@ Row-wise steps are higher-order Column expressions.  Column-wise steps need one
 aggregate per group (language): ``Summarizer`` computes the mean / L2 norm of
 every dimension in one pass with partial aggregation; the per-group result
 (``d`` doubles per language, a size bound that does not grow with the
-vocabulary) is applied as a literal array, so the big side is never joined or
-shuffled.
+vocabulary) is applied as a literal array, or by a broadcast join with one row per
+group, so the big side is never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexalign.functions import vector as V
 
@@ -44,29 +46,28 @@ def column_stats(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()
     return {tuple(r[c] for c in group_cols): list(r["_stat"]) for r in rows}
 
 
-def _stat_column(stats: dict[tuple, list[float]], group_cols: Sequence[str]):
-    def lit_array(values):
-        return F.array(*[F.lit(float(x)) for x in values])
+def _apply(df: DataFrame, vec: str, stats: dict[tuple, list[float]], group_cols: Sequence[str], op) -> DataFrame:
+    """``op(vec, statistic)`` on every row: a literal without groups, else a join with one row a group."""
     if not group_cols:
-        return lit_array(next(iter(stats.values()))) if stats else F.lit(None)
-    key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group_cols])
-    expr = None
-    for k, values in stats.items():
-        kk = "\u0001".join("" if x is None else str(x) for x in k)
-        expr = (F.when(key == kk, lit_array(values)) if expr is None
-                else expr.when(key == kk, lit_array(values)))
-    return expr
+        if not stats:
+            return df
+        return df.withColumn(vec, op(vec, F.array(*[F.lit(float(x)) for x in next(iter(stats.values()))])))
+    fields = [T.StructField(f"_g{i}", df.schema[c].dataType) for i, c in enumerate(group_cols)]
+    rows = [(*k, [float(x) for x in v]) for k, v in stats.items()]
+    table = df.sparkSession.createDataFrame(rows, T.StructType([*fields, T.StructField("_stat", T.ArrayType(T.DoubleType()))]))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)])
+    return df.join(F.broadcast(table), same).withColumn(vec, op(vec, "_stat")) \
+             .drop("_stat", *[f"_g{i}" for i in range(len(group_cols))])
 
 
 def center(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> DataFrame:
-    stats = column_stats(df, vec, group_cols, "mean")
-    return df.withColumn(vec, V.sub(vec, _stat_column(stats, group_cols)))
+    return _apply(df, vec, column_stats(df, vec, group_cols, "mean"), group_cols, V.sub)
 
 
 def unitdim(df: DataFrame, vec: str = "vec", group_cols: Sequence[str] = ()) -> DataFrame:
     stats = column_stats(df, vec, group_cols, "normL2")
     safe = {k: [x if x != 0 else 1.0 for x in v] for k, v in stats.items()}
-    return df.withColumn(vec, V.div_elementwise(vec, _stat_column(safe, group_cols)))
+    return _apply(df, vec, safe, group_cols, V.div_elementwise)
 
 
 def normalize(df: DataFrame, steps: Sequence[str], vec: str = "vec",

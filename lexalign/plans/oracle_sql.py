@@ -150,6 +150,12 @@ SQL["norm_unitdim"] = _with(
 SQL["norm_centeremb"] = _with(f"l AS {_long('lang_t')}",
                               "c AS (SELECT idx, j, x - avg(x) OVER (PARTITION BY idx) AS x FROM l)") + _long_out("c")
 
+SQL["norm_groups"] = _with(
+    f"u AS {_long(_unit('lang_t'))}",
+    "c AS (SELECT idx, j, x - avg(x) OVER (PARTITION BY j, idx % 5) AS x FROM u)",
+    "ud AS (SELECT idx, j, x / CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY j, idx % 5)) = 0 THEN 1.0 "
+    "ELSE sqrt(sum(x * x) OVER (PARTITION BY j, idx % 5)) END AS x FROM c)") + _long_out("ud")
+
 SQL["norm_chain"] = _with(
     f"u AS {_long(_unit('lang_t'))}",
     "c AS (SELECT idx, j, x - avg(x) OVER (PARTITION BY j) AS x FROM u)",

@@ -67,6 +67,12 @@ def norm_centeremb(spark, sf):
     return _long(N.normalize(FX.lang_t(spark, sf), ["centeremb"]))
 
 
+def norm_groups(spark, sf):
+    """Centred and scaled by group, as several languages in one table are."""
+    t = FX.lang_t(spark, sf).withColumn("lang", F.pmod("idx", F.lit(5)))
+    return _long(N.normalize(t, ["unit", "center", "unitdim"], group_cols=["lang"]))
+
+
 def norm_chain(spark, sf):
     return _long(N.normalize(FX.lang_t(spark, sf), ["unit", "center", "unitdim", "centeremb"]))
 
@@ -797,6 +803,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "norm_center": norm_center,
     "norm_unitdim": norm_unitdim,
     "norm_centeremb": norm_centeremb,
+    "norm_groups": norm_groups,
     "norm_chain": norm_chain,
     "cosine_pairs": cosine_pairs,
     "dict_encode": dict_encode,

@@ -20,6 +20,7 @@ Riemannian gradient descent on the same grams (``multi_fit``).
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -136,21 +137,24 @@ def _gradients(model: Model, pairs: list[dict], lam: float):
 
 
 def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
-              tol: float = 1e-10, gtol: float = 1e-3) -> Model:
+              tol: float = 1e-10, gtol: float = 1e-3, max_seconds: float | None = None) -> Model:
     """Shared-``B`` multilingual fit by Riemannian gradient descent with backtracking.
 
     ``pairs``: dicts with ``src``, ``trg`` (language names), ``sxx``, ``szz``,
     ``c`` (grams) and ``n`` (in-vocabulary pairs incl. duplicates).  The start
     point should come from pairwise closed forms (``init_from_pairs``).  It ends when
     the gradient norm is at most ``gtol`` times the cost (or one), or a step gains less
-    than ``tol``, or after ``max_iter`` steps; ``info`` holds the norm, the start cost and
+    than ``tol``, or after ``max_iter`` steps or ``max_seconds``; ``info`` holds the norm, the start cost and
     whether the norm was reached (``converged``).
     """
     model = Model({k: v.copy() for k, v in init.U.items()}, init.B.copy(), dict(init.info))
     cost = start = multi_objective(model, pairs, lam)
     step = 1.0
     it = 0
+    began = time.monotonic()
     for it in range(max_iter):
+        if max_seconds is not None and time.monotonic() - began > max_seconds:
+            break
         gU, gB = _gradients(model, pairs, lam)
         # Riemannian gradients: Stiefel tangent projection, SPD metric B·G·B
         rU = {k: g - model.U[k] @ _sym(model.U[k].T @ g) for k, g in gU.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexalign.functions import ranking
 from lexalign.functions import vector as V
+from lexalign.functions.stats import correlation_p_value
 
 
 def best_hit_rank(cands: DataFrame, gold: DataFrame) -> DataFrame:
@@ -38,9 +39,10 @@ def evaluation_row(coverage: DataFrame, acc: DataFrame) -> DataFrame:
 def word_similarity(emb: DataFrame, sim: DataFrame) -> DataFrame:
     """Spearman ρ between cosine and reference scores over in-vocabulary pairs.
 
-    Returns ``(n_pairs, n_in_vocab, pair_coverage, spearman)``.  Average ranks
+    Returns ``(n_pairs, n_in_vocab, pair_coverage, spearman, p_value)``.  Average ranks
     (ties share the mean rank) come from a distributed global ranking, then
-    Pearson correlation of the ranks.
+    Pearson correlation of the ranks.  A pair with a zero vector has no cosine: it
+    counts as in vocabulary but not in the correlation.
     """
     idx = emb.groupBy("word").agg(F.max_by("vec", "idx").alias("vec"))
     a = idx.select(F.col("word").alias("w1"), F.col("vec").alias("v1"))
@@ -51,8 +53,9 @@ def word_similarity(emb: DataFrame, sim: DataFrame) -> DataFrame:
         "row_no", V.cosine("v1", "v2").alias("cos"), F.col("ref").cast("double").alias("ref"))
     ranked = ranking.average_rank(pairs, "cos", "r_cos")
     ranked = ranking.average_rank(ranked, "ref", "r_ref")
-    stats = ranked.agg(F.count(F.lit(1)).alias("n_in_vocab"),
-                       F.corr("r_cos", "r_ref").alias("spearman"))
+    stats = ranked.agg(F.count(F.lit(1)).alias("n_in_vocab"), F.count("r_cos").alias("_n"),
+                       F.corr("r_cos", "r_ref").alias("spearman")) \
+        .withColumn("p_value", correlation_p_value("spearman", "_n")).drop("_n")
     t = total.withColumn("_k", F.lit(0))
     s = stats.withColumn("_k", F.lit(0))
     return (t.join(F.broadcast(s), "_k").drop("_k")

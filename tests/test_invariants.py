@@ -52,6 +52,40 @@ def test_multi_fit_single_pair_matches_closed_form():
     assert abs(FT.multi_objective(m, pairs, lam) - FT.multi_objective(closed, pairs, lam)) < 1e-6
 
 
+def test_multi_fit_limits_are_reported():
+    rng = np.random.default_rng(1)
+    X, Z, A, sxx, szz, c = _grams(rng, dx=5, dz=5)
+    pairs = [{"src": "a", "trg": "b", "sxx": sxx, "szz": szz, "c": c, "n": 30.0}]
+    init = FT.init_from_pairs(pairs, ["a", "b"], 0.5)
+    assert not FT.multi_fit(pairs, 0.5, init, max_iter=1, gtol=1e-12).info["converged"]
+    assert not FT.multi_fit(pairs, 0.5, init, max_seconds=0.0, gtol=1e-12).info["converged"]
+
+
+def test_correlation_p_value_is_the_tail_of_student_t():
+    import math
+
+    from lexalign.functions.stats import correlation_p
+    for rho, n in ((0.5, 20), (-0.1, 300), (0.9, 5), (0.0, 12), (0.02, 10_000)):
+        df = n - 2
+        t = abs(rho) * math.sqrt(df / (1 - rho * rho))
+        x = np.linspace(0, t, 400_001)
+        f = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+                   - (df + 1) / 2 * np.log1p(x * x / df))
+        inside = np.trapezoid(f, x)
+        assert abs(correlation_p(rho, n) - (1 - 2 * inside)) < 1e-8
+    assert correlation_p(None, 10) is None and correlation_p(1.0, 10) == 0.0
+
+
+def test_word_similarity_counts_pairs_without_cosine(spark):
+    from lexalign.operators import metrics
+    emb = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [1.0, 1.0]), (2, "c", [0.0, 1.0]), (3, "z", [0.0, 0.0])],
+                                "idx bigint, word string, vec array<double>")
+    sim = spark.createDataFrame([(0, "a", "b", 2.0), (1, "a", "c", 1.0), (2, "b", "c", 3.0), (3, "a", "z", 1.0), (4, "a", "q", 1.0)],
+                                "row_no bigint, w1 string, w2 string, ref double")
+    r = metrics.word_similarity(emb, sim).first()
+    assert (r["n_pairs"], r["n_in_vocab"]) == (5, 4) and r["spearman"] is not None and 0 <= r["p_value"] <= 1
+
+
 def test_topk_mask_ties_go_to_lower_id():
     s = np.array([[1.0, 2.0, 2.0, 2.0, 0.5]])
     m = knn.topk_mask(s, 2)

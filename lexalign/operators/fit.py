@@ -136,8 +136,8 @@ def _gradients(model: Model, pairs: list[dict], lam: float):
     return gU, _sym(gB)
 
 
-def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
-              tol: float = 1e-10, gtol: float = 1e-3, max_seconds: float | None = None) -> Model:
+def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500, tol: float = 1e-10,
+              gtol: float = 1e-3, max_seconds: float | None = None, flip_iter: int = 20) -> Model:
     """Shared-``B`` multilingual fit by Riemannian gradient descent with backtracking.
 
     ``pairs``: dicts with ``src``, ``trg`` (language names), ``sxx``, ``szz``,
@@ -146,9 +146,28 @@ def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
     the gradient norm is at most ``gtol`` times the cost (or one), or a step gains less
     than ``tol``, or after ``max_iter`` steps or ``max_seconds``; ``info`` holds the norm, the start cost and
     whether the norm was reached (``converged``).
+
+    Square maps have a determinant of plus or minus one, and no descent crosses
+    between the two.  So each language but the first is tried with the other sign
+    for ``flip_iter`` steps, and goes on from there if that costs less.
     """
+    limits = {"tol": tol, "gtol": gtol, "max_seconds": max_seconds}
+    model = _descend(pairs, lam, init, max_iter, **limits)
+    for lang in list(model.U)[1:]:
+        u = model.U[lang]
+        if flip_iter and u.shape[0] == u.shape[1]:
+            flipped = Model({**model.U, lang: u * np.r_[np.ones(u.shape[1] - 1), -1.0]}, model.B, model.info)
+            other = _descend(pairs, lam, flipped, flip_iter, **limits)
+            if other.info["cost"] < model.info["cost"]:
+                model = _descend(pairs, lam, other, max_iter, **limits)
+    model.info["start_cost"] = multi_objective(init, pairs, lam)
+    return model
+
+
+def _descend(pairs: list[dict], lam: float, init: Model, max_iter: int, tol: float, gtol: float,
+             max_seconds: float | None) -> Model:
     model = Model({k: v.copy() for k, v in init.U.items()}, init.B.copy(), dict(init.info))
-    cost = start = multi_objective(model, pairs, lam)
+    cost = multi_objective(model, pairs, lam)
     step = 1.0
     it = 0
     began = time.monotonic()
@@ -179,7 +198,7 @@ def multi_fit(pairs: list[dict], lam: float, init: Model, max_iter: int = 500,
     gU, gB = _gradients(model, pairs, lam)
     rU = {k: g - model.U[k] @ _sym(model.U[k].T @ g) for k, g in gU.items()}
     gnorm = math.sqrt(sum(float(np.sum(g * g)) for g in rU.values()) + float(np.sum(gB * (model.B @ gB @ model.B))))
-    model.info = {**model.info, "cost": cost, "start_cost": start, "iterations": it + 1, "lambda": lam,
+    model.info = {**model.info, "cost": cost, "iterations": it + 1, "lambda": lam,
                   "gradient_norm": gnorm, "converged": gnorm <= gtol * max(1.0, abs(cost))}
     return model
 

@@ -52,6 +52,18 @@ def test_multi_fit_single_pair_matches_closed_form():
     assert abs(FT.multi_objective(m, pairs, lam) - FT.multi_objective(closed, pairs, lam)) < 1e-6
 
 
+def test_multi_fit_leaves_the_wrong_determinant():
+    rng = np.random.default_rng(4)
+    X, Z, A, sxx, szz, c = _grams(rng, dx=5, dz=5)
+    pairs = [{"src": "a", "trg": "b", "sxx": sxx, "szz": szz, "c": c, "n": 30.0}]
+    init = FT.init_from_pairs(pairs, ["a", "b"], 0.5)
+    init.U["b"] = init.U["b"] * np.r_[np.ones(4), -1.0]
+    best = FT.multi_objective(FT.bilingual_fit(sxx, szz, c, 0.5 * 30.0, "a", "b"), pairs, 0.5)
+    stuck = FT.multi_fit(pairs, 0.5, init, max_iter=3000, gtol=1e-9, flip_iter=0).info["cost"]
+    found = FT.multi_fit(pairs, 0.5, init, max_iter=3000, gtol=1e-9).info["cost"]
+    assert best - 1e-9 <= found < stuck and found - best < 0.5 * (stuck - best)
+
+
 def test_multi_fit_limits_are_reported():
     rng = np.random.default_rng(1)
     X, Z, A, sxx, szz, c = _grams(rng, dx=5, dz=5)

@@ -25,8 +25,8 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Entries of a worker's cache of pieces, and of its cache of pre-tokens.
-CACHE_PIECES = 400_000
-CACHE_PRETOKENS = 800_000
+CACHE_PIECES = 200_000
+CACHE_PRETOKENS = 400_000
 #: Pieces longer than this are not kept.
 CACHE_CHARS = 64
 

@@ -70,6 +70,22 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+_HELD: dict = {}
+
+
+def worker_cache(key: tuple, make: Callable):
+    """A Python worker's cache across tasks; a worker holds one, so asking for another frees it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def drop_worker_cache() -> None:
+    """Free what an earlier stage left in this worker, before work that has no use for it."""
+    _HELD.clear()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,6 +36,8 @@ from lexalign.llm.tokens import default_path, encoder
 SIZE = 2048
 PART_ROWS = 1 << 16
 ROUNDS = 3
+#: Entries of the encoder's caches: half the usual, as packing runs beside what earlier stages left.
+CACHES = (200_000, 400_000)
 
 PIECES_SCHEMA = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -47,10 +49,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = SIZE, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
+        enc = encoder(path, *CACHES)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder(path).ids(text or "") + end
+                ids = enc.ids(text or "") + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % size or min(n, size), n + 1, size)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lexalign.llm.common import arrow_rows, per_batch, session_for_text, table, utf8, written
+from lexalign.llm.common import arrow_rows, drop_worker_cache, per_batch, session_for_text, table, utf8, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        drop_worker_cache()
         fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexalign.llm.common import arrow_rows, seed64, session_for_text, shuffle_width, table, utf8, written
+from lexalign.llm.common import arrow_rows, drop_worker_cache, seed64, session_for_text, shuffle_width, table, utf8, written
 from lexalign.session import scratch_path
 
 LENGTH = 50
@@ -338,6 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def loaded(chunk: pa.Table, found: pa.Table | None = None, kinds: int = 0) -> Chunk:
         """The chunk with the answers of ``kinds`` kinds, also where it asked nothing."""
+        drop_worker_cache()
         answers: dict[int, dict[int, bytes]] = {kind: {} for kind in range(kinds)}
         if found is not None:
             for kind, bucket, bits in zip(*(found.column(c).to_pylist() for c in ("kind", "bucket", "bits"))):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexalign.llm.common import per_batch, session_for_text, table, utf8
-from lexalign.llm.tokens import CACHE_PIECES, Cache, default_path, encoder
+from lexalign.llm.tokens import default_path, encoder
 
 TABLE_PIECES = 1 << 15
 PIECE_BYTES = 64
@@ -78,18 +78,6 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text") -> dict[
     return {r["piece"]: r["tokens"] for r in rows if r["n"] * TABLE_PIECES >= total["n"]}
 
 
-_COUNTERS: dict[tuple, Cache] = {}
-
-
-def _counter(path: str, name: str, frequent) -> Cache:
-    """The worker's cache of token counts, with the broadcast table of this name pinned."""
-    key = (path, name)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Cache(lambda piece: len(encoder(path).piece_ids(piece)) // 4, CACHE_PIECES, frequent.value)
-    return _COUNTERS[key]
-
-
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` of every row."""
@@ -104,7 +92,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         enc = encoder(path)
         raw = utf8(batch.column(1))
         if two_tiers:
-            length = _counter(path, name, frequent).__getitem__
+            length = enc.counter(name, frequent.value).__getitem__
             tokens = [sum(map(length, enc.cut(t.decode()))) for t in raw]
         else:
             tokens = [len(enc.ids(t.decode())) // 4 for t in raw]

@@ -19,14 +19,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Mapping
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+from lexalign.llm.common import worker_cache
+
 #: Entries of a worker's cache of pieces, and of its cache of pre-tokens.
-CACHE_PIECES = 200_000
-CACHE_PRETOKENS = 400_000
+CACHE_PIECES = 400_000
+CACHE_PRETOKENS = 800_000
 #: Pieces longer than this are not kept.
 CACHE_CHARS = 64
 
@@ -61,7 +62,7 @@ class Cache(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES, pretokens: int = CACHE_PRETOKENS):
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -83,8 +84,15 @@ class Encoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(i) for i in range(256)]
         self.table = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in chars})
-        self.pretokens = Cache(self._bpe, CACHE_PRETOKENS)
-        self.pieces = Cache(self.piece_ids, CACHE_PIECES)
+        self.pretokens = Cache(self._bpe, pretokens)
+        self.pieces = Cache(self.piece_ids, pieces)
+        self.counts, self.counts_name = Cache(lambda piece: len(self.piece_ids(piece)) // 4, pieces), None
+
+    def counter(self, name: str, pinned: Mapping) -> Cache:
+        """Numbers of tokens of pieces, with the table ``pinned`` of this name."""
+        if self.counts_name != name:
+            self.counts, self.counts_name = Cache(self.counts.make, self.counts.limit, pinned), name
+        return self.counts
 
     def _bpe(self, pretoken: str) -> bytes:
         tokens = self.library.model.tokenize(pretoken.translate(self.table))
@@ -121,10 +129,9 @@ class Encoder:
         return self._whole(text)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = CACHE_PIECES, pretokens: int = CACHE_PRETOKENS) -> Encoder:
     """The worker's encoder of a tokenizer file."""
-    return Encoder(path)
+    return worker_cache(("encoder", path, pieces, pretokens), lambda: Encoder(path, pieces, pretokens))
 
 
 def default_path(name: str) -> str:

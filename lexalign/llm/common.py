@@ -13,7 +13,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexalign.session import scratch_path
 
@@ -86,6 +87,12 @@ def drop_worker_cache() -> None:
     _HELD.clear()
 
 
+def hashes(*columns: str) -> list[Column]:
+    """Two 64-bit hashes of the columns, which tell rows of other contents apart; nulls count by place."""
+    nulls = [F.isnull(c) for c in columns]
+    return [F.xxhash64(F.lit(i), *columns, *nulls) for i in range(2)]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from lexalign.llm.common import arrow_rows, drop_worker_cache, per_batch, session_for_text, table, utf8, written
+from lexalign.llm.common import arrow_rows, drop_worker_cache, hashes, per_batch, session_for_text, table, utf8, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -76,8 +77,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    ids = F.col(id_col).cast("long").alias("doc_id")
-    return docs.select(ids, text_col).mapInArrow(per_batch(of), "doc_id long, fp long")
+    kind = docs.schema[id_col].dataType
+    kind = kind.simpleString() if isinstance(kind, StructType) else "long"
+    return docs.select(F.col(id_col).cast(kind).alias("doc_id"), text_col).mapInArrow(per_batch(of), f"doc_id {kind}, fp long")
 
 
 class Ring:
@@ -306,8 +308,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document that names its component stays, and those without an id."""
-    found = simhash_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id is null")).select(docs.columns)
+    """Pipeline stage: of each component one row stays, that of the smallest id (null ids last, then by hashes of the row)."""
+    a, b = hashes(*docs.columns)
+    rows = docs.withColumn("_row", F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), a.alias("a"), b.alias("b")))
+    first = simhash_components(rows, "_row").where("doc_id.a = component_id.a and doc_id.b = component_id.b") \
+        .select(F.col("doc_id.a").alias("_a"), F.col("doc_id.b").alias("_b")).distinct()
+    return docs.withColumn("_a", a).withColumn("_b", b).join(first, ["_a", "_b"], "left_semi") \
+        .dropDuplicates(["_a", "_b"]).select(docs.columns)

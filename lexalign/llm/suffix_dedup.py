@@ -37,6 +37,7 @@ cut a UTF-8 character: ``kept`` is binary.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -318,8 +319,11 @@ def _spans(gone: np.ndarray) -> list[dict]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(doc_id, n_bytes, spans, kept)`` of every row: the removed spans in bytes, and what is left."""
+                   chunk_bytes: int = CHUNK_BYTES, with_md5: bool = False) -> DataFrame:
+    """``(doc_id, n_bytes, spans, kept)`` of every row: the removed spans in bytes, and what is left.
+
+    On request with ``md5`` of the text of rows that have spans.
+    """
     spark = docs.sparkSession
     session_for_text(spark)
     name = f"chunks_{uuid.uuid4().hex[:12]}"
@@ -361,11 +365,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         c = loaded(chunk, found, SUFFIX + 1)
         gone, text = c.removed(), c.p.text
         ranges = list(zip(c.p.starts.tolist(), c.p.ends.tolist()))
+        md5 = {"md5": pa.array([hashlib.md5(text[a:b].tobytes()).hexdigest() if gone[a:b].any() else None
+                                for a, b in ranges], pa.string())} if with_md5 else {}
         return pa.table({
             "doc_id": pa.array(c.row["doc_ids"], pa.int64()), "n_bytes": pa.array(c.row["lengths"], pa.int64()),
             "spans": pa.array([_spans(gone[a:b]) for a, b in ranges],
                               pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-            "kept": pa.array([text[a:b][~gone[a:b]].tobytes() for a, b in ranges], pa.binary())})
+            "kept": pa.array([text[a:b][~gone[a:b]].tobytes() for a, b in ranges], pa.binary())} | md5)
 
     def answered(questions: DataFrame, step: str) -> DataFrame:
         return written(questions.groupBy("kind", "bucket").applyInArrow(answer, ANSWERED), step)
@@ -378,7 +384,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = answered(with_answers(found, ask_dictionary, ASKED), "dictionary")
         found = found.unionAll(more)
         found = found.unionAll(answered(with_answers(found, ask_suffixes, ASKED), "suffixes"))
-    return with_answers(found, cut, KEPT)
+    return with_answers(found, cut, KEPT + ", md5 string" if with_md5 else KEPT)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,17 +396,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without repeated passages; of a cut character the rest goes too."""
+    """Pipeline stage: texts without repeated passages; of a cut character the rest goes too.
+
+    What is cut depends on the id and the text, so both tell which rows a result is for.
+    """
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else t.decode("utf-8", "ignore") for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(texts, pa.string()),
-                pa.array([None if t is None else len(t) for t in texts], pa.int64())], names=["doc_id", "_text", "_n"])
+                batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                pa.array([None if t is None else len(t) for t in texts], pa.int64())], names=["_id", "_md5", "_text", "_n"])
 
-    kept = remove_repeats(docs).where("size(spans) > 0 and doc_id is not null").select("doc_id", "kept") \
-        .mapInArrow(decoded, "doc_id long, _text string, _n long")
-    joined = docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left")
+    kept = remove_repeats(docs, with_md5=True).where("size(spans) > 0").select("doc_id", "md5", "kept") \
+        .mapInArrow(decoded, "_id long, _md5 string, _text string, _n long")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_md5"))
+    joined = docs.join(kept.dropDuplicates(["_id", "_md5"]), same, "left")
     changed = F.col("_text").isNotNull()
     return joined.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text"))) \
         .withColumn("n_chars", F.when(changed, F.col("_n")).otherwise(F.col("n_chars"))).select(docs.columns)

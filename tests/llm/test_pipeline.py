@@ -55,6 +55,30 @@ def test_stages(spark, tmp_path):
     assert set(ids[5]) == set(ids[4])
 
 
+def test_null_and_shared_ids_get_their_own_verdicts(spark):
+    rows, passage = corpus()
+    clean = [r for r in rows if r[0] < 200]
+    junk = " ".join(w.upper() + "%%%" for w in clean[150][1].split())
+    odd = [(None, "short", "en", "junk"), (None, junk, "en", "junk"), (7, junk, "en", "shared"), (7, None, "en", "shared")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in clean + odd], SCHEMA)
+    good, one, cut = [stage for _, stage in corpus_pipeline.STAGES[:3]]
+    left = [(r.doc_id, r.text) for r in good(spark, docs, "").collect()]
+    assert not {(r[0], r[1]) for r in odd} & set(left) and (7, clean[7][1]) in left
+
+    near = clean[0][1].split(" ")
+    copies = [(None, " ".join(["oddword"] + near), "en", "near"), (None, clean[1][1], "en", "copy"), (None, clean[1][1], "en", "copy"),
+              (5, clean[6][1] + " and a different end of it " + clean[150][1], "en", "shared")]
+    alone = [(None, clean[160][1], "en", "null"), (None, clean[160][1], "fr", "null")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in clean[:150] + copies + alone], SCHEMA)
+    left = [(r.doc_id, r.text) for r in one(spark, docs, "").collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(r[0], r[1]) for r in clean[:150] + copies[3:] + alone[:1]]))
+
+    head, tail = clean[0][1] + " " + passage, "a rest that nobody has"
+    rows = [(1, head, "en", "x"), (None, passage + tail, "en", "x"), (9, "zz" + passage, "en", "x"), (9, tail, "en", "x"), (9, None, "en", "x")]
+    got = {(r.doc_id, r.text, r.n_chars) for r in cut(spark, spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA), "").collect()}
+    assert got == {(1, head, len(head)), (None, tail, len(tail)), (9, "zz", 2), (9, tail, len(tail)), (9, None, 0)}
+
+
 def test_stage_list():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "simhash_dedup", "suffix_dedup", "mix_sources", "pack"]

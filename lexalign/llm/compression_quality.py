@@ -7,8 +7,9 @@ difference of the compressed sizes, over the size of the text, is turned into
 a probability by a logistic curve fitted on labelled texts that are in neither dictionary.
 
 Only the fit uses labels, from a bounded sample: the ``SAMPLE_DOCS`` labelled rows
-of each class with the smallest hashes of their ids, of each text ``SAMPLE_BYTES`` at
-most. Scoring is one pass over whole texts with two dictionaries of
+of each class with the smallest hashes of their ids. The dictionaries see ``SAMPLE_BYTES``
+of each text at most, in stretches spread over its whole length; the curve is fitted on
+differences of whole texts, computed by Spark. Scoring is one pass over whole texts with two dictionaries of
 ``DICTIONARY_BYTES`` in the closure: no shuffle, no join.
 
 Defined results: null and empty texts score as a difference of zero; repeated rows
@@ -87,8 +88,16 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[int, bytes]]:
-    """``(quality, text)`` of the bounded sample, in the order of a hash of the ids."""
+def _spread(text: str):
+    """The binary column ``text``, or of long values stretches from the start to the end."""
+    n = SAMPLE_BYTES // STRETCH
+    starts = [f"cast({i}L * (octet_length({text}) - {STRETCH}) div {n - 1} as int) + 1" for i in range(n)]
+    some = ", ".join(f"substring({text}, {at}, {STRETCH})" for at in starts)
+    return F.expr(f"case when octet_length({text}) <= {SAMPLE_BYTES} then {text} else concat({some}) end")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[int, bytes, int]]:
+    """``(quality, text, doc_id)`` of the bounded sample, in the order of a hash of the ids; long texts in stretches."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")) \
         .groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("turn", F.xxhash64("doc_id"))
     picked = None
@@ -96,10 +105,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPL
         some = known.where(F.col("quality") == quality).orderBy("turn", "doc_id").limit(sample_docs)
         picked = some if picked is None else picked.unionAll(some)
     rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(picked), "doc_id") \
-        .select("quality", "turn", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")) \
+        .select("quality", "turn", "doc_id", _spread("text").alias("text")) \
         .groupBy("doc_id", "quality", "turn").agg(F.min("text").alias("text"))
     found = sorted(rows.collect(), key=lambda r: (r["turn"], r["doc_id"]))
-    return [(r["quality"], bytes(r["text"] or b"")) for r in found]
+    return [(r["quality"], bytes(r["text"] or b""), r["doc_id"]) for r in found]
+
+
+def whole_differences(docs: DataFrame, ids: list[int], good: bytes, bad: bytes) -> dict[int, float]:
+    """The differences of the whole texts of ``ids`` (the least of rows that share an id)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = Pair(good, bad)
+        for batch in batches:
+            x = [pair.difference(t) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["doc_id", "x"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {id_type}")
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi") \
+        .mapInArrow(run, f"doc_id {id_type}, x double")
+    return {r["doc_id"]: r["x"] for r in rows.groupBy("doc_id").agg(F.min("x").alias("x")).collect()}
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -111,18 +135,23 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
-def fit(sample: list[tuple[int, bytes]]) -> Classifier:
-    """Dictionaries from every second text of each class, the curve from the others."""
-    by_class = {q: [t for k, t in sample if k == q and t] for q in (0, 1)}
+def fit(sample: list[tuple[int, bytes, int]], docs: DataFrame | None = None) -> Classifier:
+    """Dictionaries from every second text of each class, the curve from the others: from their whole texts in ``docs``."""
+    by_class = {q: [(t, i) for k, t, i in sample if k == q and t] for q in (0, 1)}
     if min(map(len, by_class.values())) < 4:
         share = np.clip((len(by_class[1]) + 0.5) / (len(by_class[0]) + len(by_class[1]) + 1), 0.01, 0.99)
         return Classifier(b"", b"", 0.0, float(np.log(share / (1 - share))))
     # both dictionaries come from as much text, so that neither knows more of the language
     n = min(len(x) for x in by_class.values()) // 2
-    good, bad = (_dictionary(by_class[q][:n]) for q in (1, 0))
-    pair = Pair(good, bad)
-    rest = [(q, t) for q in (0, 1) for t in by_class[q][n:]]
-    slope, offset = _logistic(np.array([pair.difference(t) for _, t in rest]), np.array([q for q, _ in rest], dtype=float))
+    good, bad = (_dictionary([t for t, _ in by_class[q][:n]]) for q in (1, 0))
+    rest = [(q, t, i) for q in (0, 1) for t, i in by_class[q][n:]]
+    if docs is None:
+        pair = Pair(good, bad)
+        x = [pair.difference(t) for _, t, _ in rest]
+    else:
+        whole = whole_differences(docs, [i for *_, i in rest], good, bad)
+        x = [whole[i] for *_, i in rest]
+    slope, offset = _logistic(np.array(x), np.array([q for q, *_ in rest], dtype=float))
     return Classifier(good, bad, slope, offset)
 
 
@@ -144,4 +173,4 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, learned from the labels that are not held out."""
     session_for_text(spark)
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    return score(docs, fit(labelled_sample(docs, table(spark, sf_dir, "labels")), docs))

@@ -51,3 +51,20 @@ def test_defined_cases(spark):
     empty = q.fit(q.labelled_sample(docs, spark.createDataFrame([], LABELS)))
     assert {round(r.score, 6) for r in q.score(docs, empty).collect()} == {0.5}
     assert q.score(docs.where("false"), model).collect() == []
+
+
+def test_fit_sees_whole_texts(spark):
+    rng = np.random.default_rng(8)
+    words = {0: ["bad", "spam", "offer"], 1: ["good", "prose", "lines"]}
+    same = " ".join(["head"] * 4_000)                                  # 20 KB that all texts begin with
+    texts = {i: same + " " + " ".join("".join(rng.choice(words[i % 2], 2)) for _ in range(3_000)) for i in range(60)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts], LABELS)
+    sample = q.labelled_sample(docs, labels)
+    assert all(len(t) == q.SAMPLE_BYTES and t.startswith(b"head") and t.endswith(texts[i].encode()[-1000:]) for _, t, i in sample)
+    model = q.fit(sample, docs)
+    pair = q.Pair(model.good, model.bad)
+    whole = q.whole_differences(docs, [3, 4], model.good, model.bad)
+    assert whole == {i: pair.difference(texts[i].encode()) for i in (3, 4)}
+    got = {r.doc_id: r.predicted for r in q.score(docs, model).collect()}
+    assert all(got[i] == i % 2 for i in texts)

@@ -8,6 +8,7 @@ from lexalign.llm import (
     mixing,
     packing,
     quality_rules,
+    sharding,
     simhash,
     suffix_dedup,
     token_count,
@@ -26,7 +27,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op9_url_rules": url_rules.op9_url_rules,
+    "op12_sharding": sharding.op12_sharding,
 }
 SQL = {
     "op9_url_rules": url_rules.ORACLE_SQL,
+    "op12_sharding": sharding.ORACLE_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexalign.llm import (
     compression_quality,
+    conversation_repair,
     hnsw,
     mixing,
     packing,
@@ -28,8 +29,10 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op9_url_rules": url_rules.op9_url_rules,
     "op12_sharding": sharding.op12_sharding,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 SQL = {
     "op9_url_rules": url_rules.ORACLE_SQL,
     "op12_sharding": sharding.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }

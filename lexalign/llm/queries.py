@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexalign.llm import (
+    collocations,
     compression_quality,
     conversation_repair,
     hnsw,
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op9_url_rules": url_rules.op9_url_rules,
+    "op11_collocations": collocations.op11_collocations,
     "op12_sharding": sharding.op12_sharding,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 SQL = {
     "op9_url_rules": url_rules.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "op12_sharding": sharding.ORACLE_SQL,
     "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }

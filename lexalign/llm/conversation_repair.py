@@ -20,8 +20,8 @@ A conversation may hold most rows of the table, so no task takes one whole:
 2. Blocks of about the square root of the longest conversation's rows are the checkpoints. A
    block folds its part of a conversation into a 4 x 4 matrix (least cost from state to
    state); no text is read.
-3. A conversation's matrices, as many as it has blocks, are multiplied from the end: the cost
-   vector at every checkpoint.
+3. A conversation's matrices are multiplied from the end, one after the other: the cost vector at
+   every checkpoint.
 4. Each block recomputes its inner vectors from the checkpoint behind it, and walks
    forward along tight edits, once for each state it may be entered in.
 5. The texts and the blocks' edits meet in one stream by conversation and place, which follows the
@@ -195,26 +195,50 @@ def _segment_schema(conv_type: pa.DataType) -> pa.Schema:
 
 
 def _checkpoints(segments: DataFrame) -> DataFrame:
-    """``(place, behind, summary)``: the costs behind every segment; the first has the conversation's numbers."""
-    def multiply(parts: pa.Table) -> pa.Table:
-        parts = parts.sort_by("place").to_pylist()
-        v, behind = END, []
-        for p in reversed(parts):
-            behind.append(v)
-            v = through(p["costs"], v)
-        distinct, high = 0, None
-        for p in parts:
-            distinct += p["turns"] - (p["turns"] > 0 and p["low"] == high)
-            high = high if p["high"] is None else p["high"]
-        lows = [p["low"] for p in parts if p["low"] is not None]
-        summary = [high - lows[0] + 1 - distinct if lows else 0,
-                   *(sum(p[n] for p in parts) for n in ("blank", "duplicate", "truncated")),
-                   sum(p["illegal"] for p in parts) + sum(not _legal(a["last"], b["first"]) for a, b in zip(parts, parts[1:])), v[NOTHING]]
-        return pa.table({"at": pa.array([p["place"] for p in parts], pa.int64()),
-                         "behind": pa.array([list(b) for b in reversed(behind)], pa.list_(pa.int64())),
-                         "summary": pa.array([summary] + [None] * (len(parts) - 1), pa.list_(pa.int64()))})
-
-    return segments.drop("kinds").groupBy("conv_id").applyInArrow(multiply, "at long, behind array<long>, summary array<long>")
+    """``(at, behind, summary)``: the costs behind every segment; a conversation's first has its numbers.
+
+    Segments of a conversation stream by from its last to its first, so a task holds one of them.
+    """
+    faults = ("blank", "duplicate", "truncated", "illegal")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, later, v, sums, low, high, distinct = [], None, END, [0] * 4, None, None, 0
+
+        def first() -> None:        # ``later`` was the first segment of its conversation
+            if later:
+                gaps = high - low + 1 - distinct if high is not None else 0
+                out[-1] = (*out[-1][:2], [gaps, *sums, v[NOTHING]])
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                names=["at", "behind", "summary"])
+
+        for batch in batches:
+            for p in batch.to_pylist():
+                if later is None or later["conv_id"] != p["conv_id"]:
+                    first()
+                    v, sums, low, high, distinct = END, [0] * 4, None, None, 0
+                elif not _legal(p["last"], later["first"]):
+                    sums[3] += 1
+                out.append((p["place"], list(v), None))
+                v = through(p["costs"], v)
+                sums = [n + p[name] for n, name in zip(sums, faults)]
+                if p["turns"]:
+                    distinct += p["turns"] - (p["high"] == low)
+                    low, high = p["low"], p["high"] if high is None else high
+                later = p
+            if len(out) > 1:        # the last one may yet turn out to be a first one
+                held = out.pop()
+                yield batch_of()
+                out = [held]
+        first()
+        if out:
+            yield batch_of()
+
+    return segments.drop("kinds").repartition(shuffle_width(segments.sparkSession), "conv_id") \
+        .sortWithinPartitions("conv_id", F.col("place").desc()) \
+        .mapInArrow(multiply, "at long, behind array<long>, summary array<long>")
 
 
 def _walked(segments: DataFrame, checkpoints: DataFrame) -> DataFrame:

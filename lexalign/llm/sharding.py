@@ -86,7 +86,8 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     ranges = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     first = ranges.select("shard", "_range", (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_shift"))
-    return rows.join(first, ["shard", "_range"]).withColumn("slot", F.col("_at") + F.col("_shift")) \
+    # bounded: ranges are in order of shards, so there are at most ranges + shards rows
+    return rows.join(F.broadcast(first), ["shard", "_range"]).withColumn("slot", F.col("_at") + F.col("_shift")) \
         .drop("_range", "_at", "_shift")
 
 

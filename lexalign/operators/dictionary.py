@@ -6,19 +6,22 @@ index (``max(idx)`` per word: the last duplicate wins), so Spark chooses a
 broadcast or a shuffled join from the measured sizes.  Hot words (one word in
 a third of the pairs) only ever meet a unique index row, so a skewed key is a
 skewed *stream* side that AQE splits; nothing is collected per word.
+
+With ``keys`` (columns of all inputs) many dictionaries and vocabularies are handled at
+once: words meet within their key only, and results are by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def word_index(emb: DataFrame, word: str = "word", idx: str = "idx") -> DataFrame:
+def word_index(emb: DataFrame, word: str = "word", idx: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
     """``word -> idx`` with the last (highest id) duplicate winning."""
-    return emb.groupBy(word).agg(F.max(idx).alias(idx))
+    return emb.groupBy(*keys, word).agg(F.max(idx).alias(idx))
 
 
 def filter_embeddings(emb: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
@@ -33,17 +36,19 @@ def fold(dic: DataFrame, enabled: bool = True) -> DataFrame:
     return dic.withColumn("src_word", F.lower("src_word")).withColumn("trg_word", F.lower("trg_word"))
 
 
-def lookup(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame, how: str = "inner") -> DataFrame:
+def lookup(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame, how: str = "inner",
+           keys: Sequence[str] = ()) -> DataFrame:
     """Attach ``src_idx`` / ``trg_idx`` (null when out of vocabulary for ``how='left'``)."""
-    si = word_index(src_emb).select(F.col("word").alias("src_word"), F.col("idx").alias("src_idx"))
-    ti = word_index(trg_emb).select(F.col("word").alias("trg_word"), F.col("idx").alias("trg_idx"))
-    return dic.join(si, "src_word", how).join(ti, "trg_word", how)
+    si = word_index(src_emb, keys=keys).select(*keys, F.col("word").alias("src_word"), F.col("idx").alias("src_idx"))
+    ti = word_index(trg_emb, keys=keys).select(*keys, F.col("word").alias("trg_word"), F.col("idx").alias("trg_idx"))
+    return dic.join(si, [*keys, "src_word"], how).join(ti, [*keys, "trg_word"], how)
 
 
-def encode(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame, fold_case: bool = False) -> DataFrame:
+def encode(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame, fold_case: bool = False,
+           keys: Sequence[str] = ()) -> DataFrame:
     """Pairs whose two words are in vocabulary, order and duplicates kept."""
     d = fold(dic, fold_case)
-    return lookup(d, src_emb, trg_emb, "inner")
+    return lookup(d, src_emb, trg_emb, "inner", keys)
 
 
 def oov_pair_count(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame,
@@ -61,9 +66,9 @@ def distinct_rows(enc: DataFrame) -> tuple[DataFrame, DataFrame]:
     return enc.select("src_idx").distinct(), enc.select("trg_idx").distinct()
 
 
-def edges(enc: DataFrame) -> DataFrame:
+def edges(enc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Binary alignment ``A``: distinct ``(src_idx, trg_idx)``."""
-    return enc.select("src_idx", "trg_idx").dropDuplicates(["src_idx", "trg_idx"])
+    return enc.select(*keys, "src_idx", "trg_idx").dropDuplicates([*keys, "src_idx", "trg_idx"])
 
 
 def weighted_edges(enc: DataFrame) -> DataFrame:
@@ -71,9 +76,9 @@ def weighted_edges(enc: DataFrame) -> DataFrame:
     return enc.groupBy("src_idx", "trg_idx").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def gold(enc: DataFrame) -> DataFrame:
+def gold(enc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The gold multimap as a long table ``(src_idx, trg_idx)``."""
-    return edges(enc)
+    return edges(enc, keys)
 
 
 def oov_words(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame,
@@ -86,16 +91,16 @@ def oov_words(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame,
 
 
 def coverage(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame,
-             fold_case: bool = False) -> DataFrame:
+             fold_case: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """``|src with gold| / (|src with gold| + |OOV words|)`` (null when both are 0)."""
-    d = lookup(fold(dic, fold_case), src_emb, trg_emb, "left")
+    d = lookup(fold(dic, fold_case), src_emb, trg_emb, "left", keys)
     ok = F.col("src_idx").isNotNull() & F.col("trg_idx").isNotNull()
-    per_word = d.groupBy("src_word").agg(F.max(ok.cast("int")).alias("ok"),
-                                         F.first("src_idx", ignorenulls=True).alias("src_idx"))
+    per_word = d.groupBy(*keys, "src_word").agg(F.max(ok.cast("int")).alias("ok"),
+                                                F.first("src_idx", ignorenulls=True).alias("src_idx"))
     covered = F.count_distinct(F.when(F.col("ok") == 1, F.col("src_idx")))
     oov = F.count_if(F.col("ok") == 0)
-    return per_word.agg(covered.alias("n_covered"), oov.alias("n_oov")).select(
-        "n_covered", "n_oov",
+    return per_word.groupBy(*keys).agg(covered.alias("n_covered"), oov.alias("n_oov")).select(
+        *keys, "n_covered", "n_oov",
         F.when(F.col("n_covered") + F.col("n_oov") > 0,
                F.col("n_covered") / (F.col("n_covered") + F.col("n_oov"))).alias("coverage"))
 

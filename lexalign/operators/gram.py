@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lexalign.operators._arrow import list_to_matrix, matrix_to_list
 
 PARTIAL_SCHEMA = "i int, row array<double>"
+#: Partial grams by key that a task holds at once.
+HELD_KEYS = 64
 
 
 def _partial_factory(a: str, b: str | None, w: str | None):
@@ -53,6 +55,41 @@ def gram_rows(df: DataFrame, a: str = "vec", b: str | None = None,
     return summed.select("i", vector_to_array(F.col("s.sum")).alias("row"))
 
 
+def keyed_gram_rows(df: DataFrame, key: str, a: str = "vec", b: str | None = None, weight: str | None = None) -> DataFrame:
+    """A gram for every value of ``key`` (a bigint) in one pass: rows ``(key, i, row)``.
+
+    A task holds the partials of ``HELD_KEYS`` keys and passes them on when more come.
+    """
+    names = [key, a] + ([b] if b else []) + ([weight] if weight else [])
+
+    def emit(held: dict):
+        for k, acc in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(acc), k), pa.int64()), pa.array(np.arange(len(acc), dtype=np.int32)), matrix_to_list(acc)],
+                names=[key, "i", "row"])
+
+    def partial(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column(key).to_numpy()
+            A = list_to_matrix(batch.column(a)) if batch.num_rows else None
+            B = A if b is None or A is None else list_to_matrix(batch.column(b))
+            if A is not None and weight is not None:
+                A = A * batch.column(weight).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+            for k in np.unique(keys):
+                at = keys == k
+                part = A[at].T @ B[at]
+                if k not in held and len(held) >= HELD_KEYS:
+                    yield from emit(held)
+                    held = {}
+                held[k] = held[k] + part if k in held else part
+        yield from emit(held)
+
+    partials = df.select(F.col(key).cast("bigint").alias(key), *names[1:]).mapInArrow(partial, f"{key} bigint, {PARTIAL_SCHEMA}")
+    summed = partials.groupBy(key, "i").agg(Summarizer.metrics("sum").summary(array_to_vector("row")).alias("s"))
+    return summed.select(key, "i", vector_to_array(F.col("s.sum")).alias("row"))
+
+
 def gram_long(rows: DataFrame, digits: int | None = None) -> DataFrame:
     """Long form ``(i, j, value)`` with 0-based indices."""
     out = rows.select(F.col("i").cast("int").alias("i"),

@@ -15,6 +15,11 @@ Physical design (block matrix product, as in distributed BlockMatrix multiply):
 * the final top-k is a ``row_number() <= k`` window per key, which Catalyst
   turns into a partial ``WindowGroupLimit`` before the shuffle.
 
+Many joins at once: with a ``space`` column on both sides only rows of the same
+space meet (the test pairs of a manifest, the models of a grid). The space is part of
+the block key, every space has its own number of blocks, so all spaces run in one
+co-group and are merged by one window. The block numbers are a row a space.
+
 Score of a pair: ``alpha * <l, r> + l_bias + r_bias``.  CSLS uses ``alpha = 2``
 and ``r_bias = -r_z``.  Only ``k`` rows per key and block survive the kernel,
 so the shuffle after the kernel is ``O(n_l * T * k)`` (and ``O(n_r * Q * k)``)
@@ -38,7 +43,7 @@ BLOCK_BYTES = 1 << 27
 MIN_BLOCK = 64
 TILE = 2048
 
-CAND_SCHEMA = "right_side boolean, key bigint, other bigint, score double"
+CAND_SCHEMA = "space bigint, right_side boolean, key bigint, other bigint, score double"
 
 
 def choose_block(n_left: int, n_right: int, parallelism: int, dim: int = 64,
@@ -67,11 +72,12 @@ def topk_mask(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def _empty() -> pa.Table:
-    return _emit(False, *(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64)))
+    return _emit(0, False, *(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64)))
 
 
-def _emit(right_side: bool, key: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Table:
-    return pa.table({"right_side": pa.array(np.full(len(key), right_side)), "key": pa.array(key, pa.int64()),
+def _emit(space: int, right_side: bool, key: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"space": pa.array(np.full(len(key), space), pa.int64()),
+                     "right_side": pa.array(np.full(len(key), right_side)), "key": pa.array(key, pa.int64()),
                      "other": pa.array(other, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
@@ -116,7 +122,8 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
     want_left = "left" in sides
     want_right = "right" in sides
 
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    def kernel(group: tuple, lt: pa.Table, rt: pa.Table) -> pa.Table:
+        space = group[0].as_py()
         if lt.num_rows == 0 or rt.num_rows == 0:
             return _empty()
         lid, L, lb, lemit = _side(lt)
@@ -133,22 +140,26 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
                 if want_right:
                     columns.add(s.T, rid[c:c + TILE], lid[a:a + TILE])
             if rows.parts:
-                out.append(_emit(False, *rows.merged()))
+                out.append(_emit(space, False, *rows.merged()))
         if columns.parts:
-            out.append(_emit(True, *columns.merged()))
+            out.append(_emit(space, True, *columns.merged()))
         return pa.concat_tables(out) if out else _empty()
 
     return kernel
 
 
-def _prepare(df: DataFrame, id_col: str, vec: str, bias: str | None, emit: str | None,
-             own_blk: str, other_blk: str, n_own_blocks: int, n_other_blocks: int) -> DataFrame:
+def _prepare(df: DataFrame, id_col: str, vec: str, bias: str | None, emit: str | None, space: str | None,
+             grid: DataFrame | None, own_blk: str, other_blk: str, n_own, n_other) -> DataFrame:
+    """Rows with their own block, once for each block of the other side, vectors in their own type."""
+    if space is not None:
+        df = df.join(F.broadcast(grid), df[space] == grid["_space"])       # a row a space
+    kind = df.schema[vec].dataType.elementType.typeName()
+    vectors = F.col(vec) if kind in ("double", "float") else F.col(vec).cast("array<double>")
     return df.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(n_own_blocks)).alias(own_blk),
-        F.explode(F.sequence(F.lit(0).cast("bigint"),
-                             F.lit(n_other_blocks - 1).cast("bigint"))).alias(other_blk),
-        F.col(id_col).cast("bigint").alias("id"),
-        F.col(vec).cast("array<double>").alias("vec"),
+        (F.col(space) if space else F.lit(0)).cast("bigint").alias("space"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), n_own).alias(own_blk),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), n_other - 1)).alias(other_blk),
+        F.col(id_col).cast("bigint").alias("id"), vectors.alias("vec"),
         (F.col(bias).cast("double") if bias else F.lit(0.0)).alias("bias"),
         (F.col(emit).cast("boolean") if emit else F.lit(True)).alias("emit"),
     )
@@ -159,29 +170,57 @@ def block_candidates(left: DataFrame, right: DataFrame, k: int, *,
                      left_bias: str | None = None, right_bias: str | None = None,
                      left_emit: str | None = None, alpha: float = 1.0,
                      sides: tuple[str, ...] = ("left",), block: int | None = None,
-                     n_left: int | None = None, n_right: int | None = None) -> DataFrame:
-    """Partial top-k candidates per block pair: ``(right_side, key, other, score)``.
+                     n_left: int | None = None, n_right: int | None = None,
+                     space: str | None = None) -> DataFrame:
+    """Partial top-k candidates per block pair: ``(space, right_side, key, other, score)``.
 
-    ``n_left`` and ``n_right`` are row counts (counted in one job where not given).
+    ``n_left`` and ``n_right`` are row counts (counted in one job where not given). With
+    ``space``, a column of both sides, only rows of one space meet; without, the space is 0.
     """
     spark = left.sparkSession
-    if n_left is None or n_right is None:
-        n_left, n_right = row_counts(left, right)
-    if n_left <= 0 or n_right <= 0:
+    if space is not None:
+        counts = space_counts(left, right, space)
+    else:
+        if n_left is None or n_right is None:
+            n_left, n_right = row_counts(left, right)
+        counts = {0: (n_left, n_right)} if n_left > 0 and n_right > 0 else {}
+    if not counts:
         return spark.createDataFrame([], CAND_SCHEMA)
     if block is None:
         first = right.select(F.size(vec).alias("d")).first()
-        block = choose_block(n_left, n_right, default_parallelism(spark), first["d"] if first else 1)
-    q_blocks = (n_left + block - 1) // block
-    t_blocks = (n_right + block - 1) // block
-    lrep = _prepare(left, left_id, vec, left_bias, left_emit, "lblk", "rblk", q_blocks, t_blocks)
-    rrep = _prepare(right, right_id, vec, right_bias, None, "rblk", "lblk", t_blocks, q_blocks)
+        sizes = choose_blocks(counts, default_parallelism(spark), first["d"] if first else 1)
+    else:
+        sizes = {s: block for s in counts}
+    blocks = {s: (-(-n // sizes[s]), -(-m // sizes[s])) for s, (n, m) in counts.items()}
+    if space is None:
+        (grid, (q, t)) = (None, (F.lit(b).cast("bigint") for b in blocks[0]))
+    else:
+        grid = spark.createDataFrame([(s, *b) for s, b in blocks.items()], "_space bigint, _q bigint, _t bigint")
+        q, t = F.col("_q"), F.col("_t")
+    lrep = _prepare(left, left_id, vec, left_bias, left_emit, space, grid, "lblk", "rblk", q, t)
+    rrep = _prepare(right, right_id, vec, right_bias, None, space, grid, "rblk", "lblk", t, q)
     kernel = _kernel_factory(int(k), float(alpha), tuple(sides))
-    return (lrep.groupBy("lblk", "rblk")
-                .cogroup(rrep.groupBy("lblk", "rblk"))
+    return (lrep.groupBy("space", "lblk", "rblk")
+                .cogroup(rrep.groupBy("space", "lblk", "rblk"))
                 .applyInArrow(kernel, CAND_SCHEMA))
 
 
+def choose_blocks(counts: dict[int, tuple[int, int]], parallelism: int, dim: int = 64) -> dict[int, int]:
+    """Block rows of every space: the tasks are dealt by the spaces' numbers of scores."""
+    total = sum(n * m for n, m in counts.values())
+    return {s: choose_block(n, m, max(1, math.ceil(parallelism * n * m / max(1, total))), dim) for s, (n, m) in counts.items()}
+
+
+def space_counts(left: DataFrame, right: DataFrame, space: str) -> dict[int, tuple[int, int]]:
+    """Rows of both tables by space, for the spaces that both have (a row a space, in one job)."""
+    sides = [df.groupBy(F.col(space).cast("bigint").alias("_space")).count().withColumn("side", F.lit(i))
+             for i, df in enumerate((left, right))]
+    found: dict[int, list[int]] = {}
+    for r in sides[0].unionByName(sides[1]).where("_space is not null").collect():
+        found.setdefault(r["_space"], [0, 0])[r["side"]] = r["count"]
+    return {s: (n, m) for s, (n, m) in sorted(found.items()) if n and m}
+
+
 def row_counts(left: DataFrame, right: DataFrame) -> tuple[int, int]:
     """Rows of both tables in one small job."""
     rows = (left.agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.lit(0))
@@ -191,23 +230,23 @@ def row_counts(left: DataFrame, right: DataFrame) -> tuple[int, int]:
 
 
 def final_both(cands: DataFrame, k: int) -> DataFrame:
-    """Merge the partial candidates of both sides at once: ``(right_side, key, other, score, rank)``."""
-    w = Window.partitionBy("right_side", "key").orderBy(F.col("score").desc(), F.col("other").asc())
+    """Merge the partial candidates of both sides at once: ``(space, right_side, key, other, score, rank)``."""
+    w = Window.partitionBy("space", "right_side", "key").orderBy(F.col("score").desc(), F.col("other").asc())
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def final_topk(cands: DataFrame, k: int, side: str) -> DataFrame:
-    """Merge the partial candidates of one side: ``(key, other, score, rank)``."""
-    w = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("other").asc())
+    """Merge the partial candidates of one side: ``(space, key, other, score, rank)``."""
+    w = Window.partitionBy("space", "key").orderBy(F.col("score").desc(), F.col("other").asc())
     return (cands.where(F.col("right_side") == F.lit(side == "right"))
-                 .select("key", "other", "score")
+                 .select("space", "key", "other", "score")
                  .withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k))
 
 
 def topk(left: DataFrame, right: DataFrame, k: int, **kw) -> DataFrame:
-    """Top-k right rows per left row: ``(l_idx, r_idx, score, rank)``."""
+    """Top-k right rows per left row: ``(space, l_idx, r_idx, score, rank)``."""
     c = block_candidates(left, right, k, sides=("left",), **kw)
     return (final_topk(c, k, "left")
-            .select(F.col("key").alias("l_idx"), F.col("other").alias("r_idx"),
+            .select("space", F.col("key").alias("l_idx"), F.col("other").alias("r_idx"),
                     "score", F.col("rank").cast("int").alias("rank")))

@@ -4,6 +4,10 @@
 ``mapInArrow`` (one BLAS product per Arrow batch).  The matrix is a model
 parameter whose size depends on the dimension only, never on the data, so it
 travels with the task closure.  Pure map: no shuffle, partitioning preserved.
+
+``apply_keyed`` applies another matrix to the rows of every space. The matrices of many
+pairs and models are a table ``(space, i, row)`` that never reaches the driver: rows are dealt into
+blocks of a space, and each block is co-grouped with its space's matrix.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexalign.operators._arrow import list_to_matrix, matrix_to_list
@@ -40,6 +45,41 @@ def apply_matrix(df: DataFrame, m: np.ndarray, vec: str = "vec", out: str | None
     return df.mapInArrow(kernel, schema)
 
 
+#: Bytes of the vectors that a task maps at once.
+BLOCK_BYTES = 1 << 26
+
+
+def apply_keyed(df: DataFrame, maps: DataFrame, counts: dict[int, int], dim: int, unit: bool = False) -> DataFrame:
+    """``(space, idx, word, vec)`` with ``vec`` times the matrix ``maps(space, i, row)`` of its space.
+
+    ``counts`` holds the rows of every space; ``unit`` scales the results to length one (zero stays zero).
+    Rows of a space without a matrix or a count are dropped.
+    """
+    spark = df.sparkSession
+    rows = max(1, BLOCK_BYTES // (8 * max(1, dim)))
+    blocks = spark.createDataFrame([(s, -(-n // rows)) for s, n in counts.items()], "space bigint, _n bigint")   # a row a space
+    dealt = df.join(F.broadcast(blocks), "space").select(
+        "space", F.pmod(F.xxhash64("idx"), F.col("_n")).alias("_block"), "idx", "word", "vec")
+    placed = maps.join(F.broadcast(blocks), "space").select(
+        "space", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_block"), "i", "row")
+
+    def multiply(vectors: pa.Table, matrix: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not matrix.num_rows:
+            vectors = vectors.slice(0, 0)
+            y = np.zeros((0, 1))
+        else:
+            m = list_to_matrix(matrix.column("row"))[np.argsort(matrix.column("i").to_numpy())]
+            y = list_to_matrix(vectors.column("vec"), len(m)) @ m
+            if unit:
+                norm = np.linalg.norm(y, axis=1, keepdims=True)
+                y = y / np.where(norm > 0, norm, 1.0)
+        return pa.table([*(vectors.column(c) for c in ("space", "idx", "word")), matrix_to_list(y)],
+                        names=["space", "idx", "word", "vec"])
+
+    return dealt.groupBy("space", "_block").cogroup(placed.groupBy("space", "_block")) \
+        .applyInArrow(multiply, "space bigint, idx bigint, word string, vec array<double>")
+
+
 def to_latent(df: DataFrame, model: Model, lang: str, vec: str = "vec") -> DataFrame:
     """``x · U_lang · B^{1/2}`` (shared latent space)."""
     return apply_matrix(df, model.latent_map(lang), vec)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,22 +12,22 @@ from lexalign.functions import vector as V
 from lexalign.functions.stats import correlation_p_value
 
 
-def best_hit_rank(cands: DataFrame, gold: DataFrame) -> DataFrame:
+def best_hit_rank(cands: DataFrame, gold: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per query ``src_idx``: the best rank of a gold target among its candidates (null if none)."""
-    g = gold.select("src_idx", "trg_idx").distinct().withColumn("_hit", F.lit(1))
-    hit = cands.join(g, ["src_idx", "trg_idx"], "left")
-    return hit.groupBy("src_idx").agg(F.min(F.when(F.col("_hit") == 1, F.col("rank"))).alias("best"))
+    g = gold.select(*keys, "src_idx", "trg_idx").distinct().withColumn("_hit", F.lit(1))
+    hit = cands.join(g, [*keys, "src_idx", "trg_idx"], "left")
+    return hit.groupBy(*keys, "src_idx").agg(F.min(F.when(F.col("_hit") == 1, F.col("rank"))).alias("best"))
 
 
-def precision_at_k(cands: DataFrame, gold: DataFrame, ks=(1, 5, 10)) -> DataFrame:
-    """Share of gold source words with a gold target among the top-k candidates."""
-    best = best_hit_rank(cands, gold)
-    queries = gold.select("src_idx").distinct()
-    per_q = queries.join(best, "src_idx", "left")
+def precision_at_k(cands: DataFrame, gold: DataFrame, ks=(1, 5, 10), keys: Sequence[str] = ()) -> DataFrame:
+    """Share of gold source words with a gold target among the top-k candidates, by ``keys`` if there are any."""
+    best = best_hit_rank(cands, gold, keys)
+    queries = gold.select(*keys, "src_idx").distinct()
+    per_q = queries.join(best, [*keys, "src_idx"], "left")
     aggs = [F.count(F.lit(1)).alias("n_queries")]
     for k in ks:
         aggs.append(F.avg(F.coalesce((F.col("best") <= k).cast("double"), F.lit(0.0))).alias(f"acc{k}"))
-    return per_q.agg(*aggs)
+    return per_q.groupBy(*keys).agg(*aggs)
 
 
 def evaluation_row(coverage: DataFrame, acc: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@
   query and does not change the order) and reports ``2·x·z − r_x − r_z``.
 * ``nn_topk``: plain inner-product ranking.
 
-All ids are the ``idx`` columns of the embedding tables; ties go to the lower id.
+All ids are the ``idx`` columns of the embedding tables; ties go to the lower id. With
+``space``, the name of a column of all inputs, each space is searched by itself, all of
+them in one job, and the results carry the column.
 """
 
 from __future__ import annotations
@@ -19,8 +21,17 @@ from lexalign.operators import knn
 from lexalign.session import materialise
 
 
-def _ids_vecs(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.select("idx", F.col(vec).alias("vec"))
+def _ids_vecs(df: DataFrame, vec: str = "vec", space: str | None = None) -> DataFrame:
+    return df.select(*([space] if space else []), "idx", F.col(vec).alias("vec"))
+
+
+def _keyed(df: DataFrame, space: str | None) -> DataFrame:
+    """The result of a join without spaces has no such column; with them it is named as the inputs'."""
+    return df.drop("space") if space is None else df.withColumnRenamed("space", space)
+
+
+def _on(space: str | None) -> list[str]:
+    return [space] if space else []
 
 
 def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame | None = None,
@@ -45,31 +56,33 @@ def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame |
 
 
 def nbr_mean(x: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
-             n_left: int | None = None, n_right: int | None = None) -> DataFrame:
+             n_left: int | None = None, n_right: int | None = None, space: str | None = None) -> DataFrame:
     """Mean of the k largest similarities of every ``x`` row against ``z``: ``(idx, r)``."""
-    c = knn.block_candidates(_ids_vecs(x), _ids_vecs(z), k, sides=("left",), block=block,
-                             n_left=n_left, n_right=n_right)
-    return knn.final_topk(c, k, "left").groupBy("key").agg(F.avg("score").alias("r")) \
-        .withColumnRenamed("key", "idx")
+    c = knn.block_candidates(_ids_vecs(x, space=space), _ids_vecs(z, space=space), k, sides=("left",), block=block,
+                             n_left=n_left, n_right=n_right, space=space)
+    means = knn.final_topk(c, k, "left").groupBy("space", "key").agg(F.avg("score").alias("r"))
+    return _keyed(means, space).withColumnRenamed("key", "idx")
 
 
 def nn_topk(queries: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
-            n_left: int | None = None, n_right: int | None = None) -> DataFrame:
+            n_left: int | None = None, n_right: int | None = None, space: str | None = None) -> DataFrame:
     """``(src_idx, rank, trg_idx, score)`` by inner product."""
-    t = knn.topk(_ids_vecs(queries), _ids_vecs(z), k, block=block, n_left=n_left, n_right=n_right)
-    return t.select(F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
+    t = knn.topk(_ids_vecs(queries, space=space), _ids_vecs(z, space=space), k, block=block, n_left=n_left,
+                 n_right=n_right, space=space)
+    return _keyed(t, space).select(*_on(space), F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
 
 
 def csls_topk(queries: DataFrame, z: DataFrame, r_z: DataFrame, k: int = 10,
               r_x: DataFrame | None = None, block: int | None = None, n_left: int | None = None,
-              n_right: int | None = None) -> DataFrame:
+              n_right: int | None = None, space: str | None = None) -> DataFrame:
     """``(src_idx, rank, trg_idx, score)`` by CSLS; score is ``2xz − r_x − r_z`` when ``r_x`` is given."""
-    zb = _ids_vecs(z).join(r_z.select("idx", (-F.col("r")).alias("nb")), "idx")
-    t = knn.topk(_ids_vecs(queries), zb, k, right_bias="nb", alpha=2.0, block=block,
-                 n_left=n_left, n_right=n_right)
-    out = t.select(F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
+    on = _on(space)
+    zb = _ids_vecs(z, space=space).join(r_z.select(*on, "idx", (-F.col("r")).alias("nb")), [*on, "idx"])
+    t = knn.topk(_ids_vecs(queries, space=space), zb, k, right_bias="nb", alpha=2.0, block=block,
+                 n_left=n_left, n_right=n_right, space=space)
+    out = _keyed(t, space).select(*on, F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
     if r_x is not None:
-        out = out.join(r_x.select(F.col("idx").alias("src_idx"), F.col("r").alias("rx")), "src_idx") \
+        out = out.join(r_x.select(*on, F.col("idx").alias("src_idx"), F.col("r").alias("rx")), [*on, "src_idx"]) \
                  .withColumn("score", F.col("score") - F.col("rx")).drop("rx")
     return out
 

@@ -22,6 +22,7 @@ from lexalign.operators import metrics as S
 from lexalign.operators import normalize as N
 from lexalign.operators import retrieval as R
 from lexalign.operators.fit import Model, bilingual_fit, residual
+from lexalign.session import materialise
 
 
 @dataclass
@@ -31,6 +32,11 @@ class Fitted:
     z: DataFrame      # normalised target table
     n_pairs: int | None = None
 
+    def release(self) -> None:
+        """Give the cached tables back."""
+        self.x.unpersist()
+        self.z.unpersist()
+
 
 def _dim(df: DataFrame, vec: str = "vec") -> int:
     return int(df.select(F.size(vec)).first()[0])
@@ -51,7 +57,7 @@ def training_grams(x: DataFrame, z: DataFrame, enc: DataFrame, weighted: bool =
 
 
 def fit_pairs(xn: DataFrame, zn: DataFrame, enc: DataFrame, lam: float, src: str = "src",
-              trg: str = "trg", semi: bool = False) -> Model:
+              trg: str = "trg", semi: bool = False, rank: int | None = None) -> Model:
     """Closed-form fit from already normalised tables and encoded pairs ``(src_idx, trg_idx)``."""
     g = training_grams(xn, zn, enc, weighted=semi)
     n_pairs = enc.count() if semi else None
@@ -60,18 +66,18 @@ def fit_pairs(xn: DataFrame, zn: DataFrame, enc: DataFrame, lam: float, src: str
     else:  # empty training dictionary: the zero map
         dx, dz = _dim(xn), _dim(zn)
         sxx, szz, c = np.zeros((dx, dx)), np.zeros((dz, dz)), np.zeros((dx, dz))
-    model = bilingual_fit(sxx, szz, c, lam, src, trg, n_pairs=n_pairs)
+    model = bilingual_fit(sxx, szz, c, lam, src, trg, n_pairs=n_pairs, rank=rank)
     model.info |= {"n_pairs": n_pairs, "residual": residual(sxx, szz, c, model.cross_map(src, trg), lam, n_pairs)}
     return model
 
 
 def fit(x: DataFrame, z: DataFrame, train: DataFrame, lam: float = 100.0,
         normalize: Sequence[str] = ("unit", "center"), fold_case: bool = False,
-        src: str = "src", trg: str = "trg", semi: bool = False) -> Fitted:
-    """Fit the model on a training dictionary (``semi=True``: self-training objective)."""
+        src: str = "src", trg: str = "trg", semi: bool = False, rank: int | None = None) -> Fitted:
+    """Fit the model on a training dictionary (``semi=True``: self-training objective); ``release`` the result's caches."""
     xn = N.normalize(x, normalize).persist(StorageLevel.MEMORY_AND_DISK)
     zn = N.normalize(z, normalize).persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_pairs(xn, zn, D.encode(train, x, z, fold_case), lam, src, trg, semi)
+    model = fit_pairs(xn, zn, D.encode(train, x, z, fold_case), lam, src, trg, semi, rank)
     return Fitted(model, xn, zn, model.info["n_pairs"])
 
 
@@ -107,7 +113,10 @@ def retrieve(xw: DataFrame, zw: DataFrame, gold: DataFrame, method: str = "csls"
 def evaluate(xw: DataFrame, zw: DataFrame, test: DataFrame, src_emb: DataFrame,
              trg_emb: DataFrame, method: str = "csls", csls_k: int = 10,
              fold_case: bool = False, r_z: DataFrame | None = None) -> DataFrame:
-    """Coverage and precision@1/5/10 of a test dictionary: one metrics row."""
+    """Coverage and precision@1/5/10 of a test dictionary: one metrics row.
+
+    ``xw`` and ``zw`` are read several times: pass tables that are written or cached.
+    """
     enc = D.encode(test, src_emb, trg_emb, fold_case)
     gold = D.gold(enc)
     cands = retrieve(xw, zw, gold, method, 10, csls_k, r_z=r_z)
@@ -118,8 +127,9 @@ def evaluate(xw: DataFrame, zw: DataFrame, test: DataFrame, src_emb: DataFrame,
 
 def run(x: DataFrame, z: DataFrame, train: DataFrame, test: DataFrame, lam: float = 100.0,
         normalize: Sequence[str] = ("unit", "center"), method: str = "csls",
-        csls_k: int = 10, fold_case: bool = False, normalize_eval: bool = True) -> DataFrame:
+        csls_k: int = 10, fold_case: bool = False, normalize_eval: bool = True, rank: int | None = None) -> DataFrame:
     """Entry 1 of the reference: train on ``train``, report metrics on ``test``."""
-    fitted = fit(x, z, train, lam, normalize, fold_case)
-    xw, zw = mapped(fitted, normalize_eval=normalize_eval)
+    fitted = fit(x, z, train, lam, normalize, fold_case, rank=rank)
+    xw, zw = (materialise(df, "mapped") for df in mapped(fitted, normalize_eval=normalize_eval))
+    fitted.release()
     return evaluate(xw, zw, test, x, z, method, csls_k, fold_case)

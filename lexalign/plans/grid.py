@@ -1,37 +1,121 @@
-"""Hyper-parameter grid over λ: grams once, one closed-form solve and one evaluation per λ."""
+"""Hyper-parameter grid: all language pairs times all λ (and ranks) in one job.
+
+The grams of every pair are summed by key. A task a pair takes its eigenvectors once and
+gives the closed form of every λ as rows of a table, so neither grams nor maps
+reach the driver. The vectors are mapped by block and model, every model is a space of
+``plans.spaces``, and all of them are evaluated together and ranked by pair.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from lexalign.operators import dictionary as D
+from lexalign.operators import gram as G
+from lexalign.operators import mapping as M
 from lexalign.operators import normalize as N
-from lexalign.operators.fit import bilingual_fit
-from lexalign.plans import bilingual as BL
+from lexalign.operators._arrow import list_to_matrix, matrix_to_list
+from lexalign.operators.fit import RidgePath, factor, psd_sqrt
+from lexalign.plans import spaces as SP
+from lexalign.session import materialise
 
-SCHEMA = ("rank int, lambda double, cost double, n_covered bigint, n_oov bigint, coverage double, "
-          "n_queries bigint, acc1 double, acc5 double, acc10 double")
 LAMBDAS = (1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3)
+MODELS_SCHEMA = "pair bigint, model int, part string, i int, row array<double>"
+
+
+def pair_grams(langs: DataFrame, pairs: DataFrame, train: DataFrame) -> DataFrame:
+    """``(space, part, i, row)``: ``sxx`` and ``szz`` over distinct rows and ``c`` over distinct edges of every pair.
+
+    ``langs(lang, idx, word, vec)``, ``pairs(space, src_lang, trg_lang)``, ``train(space, src_word, trg_word)``.
+    """
+    src, trg = SP.pair_sides(langs, pairs)
+    edges = materialise(D.edges(D.encode(train, src, trg, keys=SP.KEY), SP.KEY), "edges")
+
+    def taking_part(side: DataFrame, column: str) -> DataFrame:
+        return side.join(edges.select("space", F.col(column).alias("idx")).distinct(), ["space", "idx"], "left_semi")
+    joined = edges.join(src.select("space", F.col("idx").alias("src_idx"), F.col("vec").alias("xv")), ["space", "src_idx"]) \
+        .join(trg.select("space", F.col("idx").alias("trg_idx"), F.col("vec").alias("zv")), ["space", "trg_idx"])
+    parts = {"sxx": G.keyed_gram_rows(taking_part(src, "src_idx"), "space"),
+             "szz": G.keyed_gram_rows(taking_part(trg, "trg_idx"), "space"),
+             "c": G.keyed_gram_rows(joined, "space", "xv", "zv")}
+    out = None
+    for name, rows in parts.items():
+        one = rows.select("space", F.lit(name).alias("part"), "i", "row")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fit_all(grams: DataFrame, lambdas: Sequence[float], ranks: Sequence[int | None] = (None,)) -> DataFrame:
+    """Models ``(pair, model, part, i, row)`` of every pair, λ and rank; ``model`` counts ranks first, then λ.
+
+    Parts: the latent maps ``src`` and ``trg``, the cross map ``w`` and ``info``: cost, largest entry of the residual and
+    the rank. A group is the grams of one pair, ``2 d_x + d_z`` rows.
+    """
+    lambdas, ranks = [float(x) for x in lambdas], list(ranks)
+
+    def fit(group: pa.Table) -> pa.Table:
+        pair = group.column("space")[0].as_py()
+        grams = {}
+        for name in ("sxx", "szz", "c"):
+            part = group.filter(pa.compute.equal(group.column("part"), name))
+            grams[name] = list_to_matrix(part.column("row"))[np.argsort(part.column("i").to_numpy())]
+        path = RidgePath(**grams)
+        out = []
+        for number, (rank, lam) in enumerate((r, x) for r in ranks for x in lambdas):
+            w = path.solve(lam / 2.0, rank)
+            u, s, v = factor(w, rank)
+            half = psd_sqrt(np.diag(s))
+            info = np.array([[path.objective(w, lam), path.residual(w, lam), float(len(s))]])
+            for part, m in (("src", u @ half), ("trg", v @ half), ("w", w), ("info", info)):
+                out.append(pa.table([pa.array(np.full(len(m), pair)), pa.array(np.full(len(m), number, dtype=np.int32)),
+                                     pa.array([part] * len(m)), pa.array(np.arange(len(m), dtype=np.int32)), matrix_to_list(m)],
+                                    names=["pair", "model", "part", "i", "row"]))
+        return pa.concat_tables(out)
+
+    return materialise(grams.groupBy("space").applyInArrow(fit, MODELS_SCHEMA), "models")
+
+
+def model_infos(models: DataFrame, lambdas: Sequence[float], ranks: Sequence[int | None] = (None,)) -> DataFrame:
+    """``(pair, model, lambda, cost, residual, rank_limit)``, a row a model."""
+    numbers = [(i, float(x)) for i, (_, x) in enumerate((r, x) for r in ranks for x in lambdas)]
+    named = models.sparkSession.createDataFrame(numbers, "model int, lambda double")
+    return models.where("part = 'info'").join(F.broadcast(named), "model").select(
+        "pair", "model", "lambda", F.col("row")[0].alias("cost"), F.col("row")[1].alias("residual"),
+        F.col("row")[2].cast("int").alias("map_rank"))
+
 
+def grid(langs: DataFrame, pairs: DataFrame, train: DataFrame, test: DataFrame, lambdas: Sequence[float] = LAMBDAS,
+         ranks: Sequence[int | None] = (None,), normalize: Sequence[str] = ("unit", "center"), csls_k: int = 10) -> DataFrame:
+    """One row a pair, λ and rank, the best ``acc1`` of each pair first (ties: the smaller λ, then rank).
 
-def lambda_grid(x: DataFrame, z: DataFrame, train: DataFrame, test: DataFrame, lambdas=LAMBDAS,
-                normalize=("unit", "center"), csls_k: int = 10) -> DataFrame:
-    """``(rank, lambda, cost, n_covered, n_oov, coverage, n_queries, acc1, acc5, acc10)``, best acc1 first."""
-    spark = x.sparkSession
-    xn = N.normalize(x, normalize).persist(StorageLevel.MEMORY_AND_DISK)
-    zn = N.normalize(z, normalize).persist(StorageLevel.MEMORY_AND_DISK)
-    g = BL.training_grams(xn, zn, D.encode(train, x, z))
-    rows = []
-    for lam in lambdas:
-        model = bilingual_fit(g["sxx"], g["szz"], g["c"], lam)
-        xw, zw = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in BL.mapped(BL.Fitted(model, xn, zn)))
-        m = BL.evaluate(xw, zw, test, x, z, "csls", csls_k).first()
-        rows.append((float(lam), float(model.info["cost"]), m["n_covered"], m["n_oov"], m["coverage"],
-                     m["n_queries"], m["acc1"], m["acc5"], m["acc10"]))
-        xw.unpersist()
-        zw.unpersist()
-    xn.unpersist()
-    zn.unpersist()
-    rows.sort(key=lambda r: (-(r[6] or 0.0), r[0]))
-    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], SCHEMA)
+    ``(src_lang, trg_lang, rank, lambda, map_rank, cost, residual, n_covered, …, acc10)``. A pair without a
+    training pair in both vocabularies has no models and no rows.
+    """
+    spark = langs.sparkSession
+    norm = materialise(N.normalize(langs, normalize, group_cols=["lang"]), "normalised")
+    models = fit_all(pair_grams(norm, pairs, train), lambdas, ranks)
+    infos = model_infos(models, lambdas, ranks)
+    n_models = len(lambdas) * len(ranks)
+    number = (F.col("pair") * n_models + F.col("model")).alias("space")
+    spaces = infos.select(number, "pair")
+    sizes = {r["lang"]: (r["n"], r["d"]) for r in norm.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()}
+    listed = pairs.join(spaces.withColumnRenamed("space", "_space"), F.col("space") == F.col("pair")) \
+        .select(F.col("_space").alias("space"), "pair", "src_lang", "trg_lang").collect()          # a row a model
+    each = spark.createDataFrame(listed, "space bigint, pair bigint, src_lang string, trg_lang string")
+    mapped = []
+    for part, column, side in zip(("src", "trg"), ("src_lang", "trg_lang"), SP.pair_sides(norm, each)):
+        maps = models.where(F.col("part") == part).select(number, "i", "row")
+        counts = {r["space"]: sizes[r[column]][0] for r in listed}
+        dim = max((d for _, d in sizes.values()), default=1)
+        mapped.append(materialise(M.apply_keyed(side, maps, counts, dim, unit=True), f"mapped-{part}"))
+    tests = test.withColumnRenamed("space", "pair").join(F.broadcast(spaces), "pair").select("space", "src_word", "trg_word")
+    scored = infos.withColumn("space", number).join(SP.evaluate(*mapped, tests, "csls", csls_k), "space", "left")
+    order = Window.partitionBy("pair").orderBy(F.col("acc1").desc_nulls_last(), "lambda", "map_rank")     # a row a model
+    return scored.withColumn("rank", F.row_number().over(order)) \
+        .join(F.broadcast(pairs.withColumnRenamed("space", "pair")), "pair") \
+        .select("src_lang", "trg_lang", "rank", "lambda", "map_rank", "cost", "residual", *SP.METRICS)

@@ -604,3 +604,63 @@ UNION ALL
 SELECT (idx + (SELECT count(*) FROM res))::BIGINT AS idx, word, round(vec[1], 6) AS v_first,
        round(list_sum(vec), 6) AS v_sum FROM vv
 """
+
+
+# --------------------------------------------------------------------------- fits on axes
+
+SQL["grid_residual"] = """
+SELECT p.a AS src_lang, p.b AS trg_lang, l.x::DOUBLE AS "lambda", 0.0::DOUBLE AS residual
+FROM (VALUES ('s', 't'), ('s', 'm'), ('m', 't')) p(a, b), (VALUES (0.01), (0.1), (1), (10), (100), (1000)) l(x)
+"""
+
+
+def _axes(aligned: bool) -> str:
+    """``axis(lang, word, p, m)`` and the pairs of every dictionary's training part, with their multiplicity."""
+    rows = [("s", 1, 1, "d"), ("t", 3, 2, "d // 2"), ("m", 5, 3, "d // 4")]
+    axis = " UNION ALL ".join(
+        f"SELECT '{n}' AS lang, '{n}' || i AS word, "
+        f"{'i % (d // 4)' if aligned else f'({step} * i) % ({d})'} AS p, 1 + abs(v[{c}]) AS m FROM e, dim"
+        for n, step, c, d in rows)
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, '{a}' || substr(src_word, 2) AS sw, '{b}' || substr(trg_word, 2) AS tw "
+        "FROM dict_st WHERE part = 'train' AND src_word LIKE 's%' AND trg_word LIKE 't%'"
+        for a, b in (("s", "t"), ("s", "m"), ("m", "t")))
+    return _with(
+        "dim AS (SELECT max(len(v)) AS d FROM e)", f"axis AS ({axis})",
+        f"pairs AS (SELECT a, b, sw, tw, count(*) AS k FROM ({pairs}) GROUP BY ALL)",
+        "sx AS (SELECT a, b, x.p AS i, sum(x.m * x.m) AS g FROM (SELECT DISTINCT a, b, sw FROM pairs) JOIN axis x ON x.word = sw GROUP BY ALL)",
+        "sz AS (SELECT a, b, x.p AS j, sum(x.m * x.m) AS g FROM (SELECT DISTINCT a, b, tw FROM pairs) JOIN axis x ON x.word = tw GROUP BY ALL)",
+        "cc AS (SELECT a, b, x.p AS i, z.p AS j, sum(x.m * z.m) AS c, sum(k * x.m * z.m) AS ck "
+        "FROM pairs JOIN axis x ON x.word = sw JOIN axis z ON z.word = tw GROUP BY ALL)",
+        "n AS (SELECT a, b, sum(k) AS n FROM pairs GROUP BY ALL)",
+        "ids AS (SELECT a, b, i, j FROM (SELECT DISTINCT a, b FROM pairs), "
+        "(SELECT unnest(range(d)) AS i FROM dim), (SELECT unnest(range(d)) AS j FROM dim))")
+
+
+SQL["fit_exact"] = _axes(False) + """,
+size AS (SELECT lang, CASE lang WHEN 's' THEN d WHEN 't' THEN d // 2 ELSE d // 4 END AS d FROM (VALUES ('s'), ('t'), ('m')) l(lang), dim),
+w AS (
+  SELECT f.fit, f.a, f.b, ids.i, ids.j,
+         coalesce(CASE WHEN f.counted THEN ck ELSE c END, 0)
+         / (coalesce(sx.g, 0) * coalesce(sz.g, 0) + f.lam / 2 * CASE WHEN f.counted THEN n.n ELSE 1 END) AS value
+  FROM (VALUES ('lambda 0.1', 's', 't', 0.1::DOUBLE, FALSE), ('lambda 10', 's', 't', 10, FALSE), ('semi', 's', 't', 0.01, TRUE),
+               ('first', 's', 'm', 10, FALSE), ('second', 'm', 't', 10, FALSE)) f(fit, a, b, lam, counted)
+  JOIN ids USING (a, b) JOIN n USING (a, b)
+  JOIN size za ON za.lang = f.a AND ids.i < za.d JOIN size zb ON zb.lang = f.b AND ids.j < zb.d
+  LEFT JOIN sx ON sx.a = f.a AND sx.b = f.b AND sx.i = ids.i LEFT JOIN sz ON sz.a = f.a AND sz.b = f.b AND sz.j = ids.j
+  LEFT JOIN cc ON cc.a = f.a AND cc.b = f.b AND cc.i = ids.i AND cc.j = ids.j)
+SELECT fit, i::BIGINT AS i, j::BIGINT AS j, round(value, 6) AS value FROM w
+UNION ALL
+SELECT 'composed', x.i::BIGINT, y.j::BIGINT, round(sum(x.value * y.value), 6)
+FROM w x JOIN w y ON x.fit = 'first' AND y.fit = 'second' AND x.j = y.i GROUP BY x.i, y.j
+"""
+
+SQL["multi_fit_exact"] = _axes(True) + """,
+b AS (  -- one number an axis: each pair's terms over its number of pairs, and the ridge
+  SELECT i, sum(c / n.n) / (sum(sx.g * sz.g / n.n) + 0.5) AS beta
+  FROM cc JOIN sx USING (a, b, i) JOIN sz ON sz.a = cc.a AND sz.b = cc.b AND sz.j = cc.i JOIN n ON n.a = cc.a AND n.b = cc.b
+  WHERE cc.i = cc.j GROUP BY i)
+SELECT ids.a AS src_lang, ids.b AS trg_lang, ids.i::BIGINT AS i, ids.j::BIGINT AS j,
+       round(CASE WHEN ids.i = ids.j THEN coalesce(beta, 0) ELSE 0 END, 5)::DOUBLE AS value
+FROM ids JOIN dim ON ids.i < d // 4 AND ids.j < d // 4 LEFT JOIN b ON b.i = ids.i
+"""

@@ -23,6 +23,7 @@ from lexalign.operators import normalize as N
 from lexalign.operators import retrieval as R
 from lexalign.plans import bilingual as BL
 from lexalign.plans.fixed_model import fixed_model
+from lexalign.session import materialise
 from lexalign.sources import fixtures as FX
 
 DIGITS = 6
@@ -741,9 +742,49 @@ def fit_residual_two_hop(spark, sf):
     s, t, m = FX.lang_s(spark, sf), FX.lang_t(spark, sf), FX.lang_m(spark, sf)
     fits = two_hop.fit(s, m, t, _part(FX.dictionary(spark, sf, "s", "m"), "train"),
                        _part(FX.dictionary(spark, sf, "m", "t"), "train"), lam=10.0)
+    for f in fits:
+        f.release()
     return _residual_out(spark, [(name, f.model) for name, f in zip(("first", "second"), fits)])
 
 
+def fit_exact(spark, sf):
+    """Maps of languages on axes, where the optimum is a quotient: bilingual for two lambdas (by the grid), with
+    multiplicities, both hops and their product; source, target and middle have different dimensions."""
+    from lexalign.plans import grid
+    langs = {name: FX.axis_lang(spark, sf, name) for name in ("s", "t", "m")}
+    train = {(a, b): _part(FX.dictionary(spark, sf, a, b), "train") for a, b in (("s", "t"), ("s", "m"), ("m", "t"))}
+
+    def fit(a, b, lam, semi=False):
+        return BL.fit_pairs(langs[a], langs[b], D.encode(train[a, b], langs[a], langs[b]), lam, semi=semi).cross_map("src", "trg")
+    first, second = fit("s", "m", 10.0), fit("m", "t", 10.0)
+    maps = {"semi": fit("s", "t", 0.01, semi=True), "first": first, "second": second, "composed": M.compose(first, second)}
+    rows = [(name, i, j, float(v)) for name, m in maps.items() for (i, j), v in np.ndenumerate(m)]     # d x d numbers a fit
+    table = None
+    for name in ("s", "t"):
+        one = langs[name].select(F.lit(name).alias("lang"), "idx", "word", "vec")
+        table = one if table is None else table.unionByName(one)
+    pairs = spark.createDataFrame([(0, "s", "t")], "space bigint, src_lang string, trg_lang string")
+    models = grid.fit_all(grid.pair_grams(table, pairs, train["s", "t"].withColumn("space", F.lit(0).cast("bigint"))), (0.1, 10.0))
+    by_grid = models.where("part = 'w'").select(
+        F.when(F.col("model") == 0, "lambda 0.1").otherwise("lambda 10").alias("fit"), F.col("i").cast("bigint").alias("i"),
+        F.posexplode("row").alias("j", "value")).withColumn("j", F.col("j").cast("bigint"))
+    every = spark.createDataFrame(rows, "fit string, i bigint, j bigint, value double").unionByName(by_grid)
+    return every.withColumn("value", _r(F.col("value")) + F.lit(0.0))
+
+
+def multi_fit_exact(spark, sf):
+    """The shared ``B`` fit of three languages on the same axes: the maps of all pairs, diagonal at the optimum."""
+    from lexalign.plans import multi
+    langs = {name: FX.axis_lang(spark, sf, name, aligned=True) for name in ("s", "t", "m")}
+    train = [(a, b, _part(FX.dictionary(spark, sf, a, b), "train")) for a, b in (("s", "t"), ("s", "m"), ("m", "t"))]
+    model, norm = multi.fit(langs, train, lam=1.0, normalize=("none",), max_iter=5000, gtol=1e-9, tol=0.0)
+    for df in norm.values():
+        df.unpersist()
+    rows = [(a, b, i, j, float(v)) for a, b, _ in train for (i, j), v in np.ndenumerate(model.cross_map(a, b))]
+    df = spark.createDataFrame(rows, "src_lang string, trg_lang string, i bigint, j bigint, value double")
+    return df.withColumn("value", _r(F.col("value"), 5) + F.lit(0.0))
+
+
 def _multi_inputs(spark, sf):
     s, t, m = FX.lang_s(spark, sf), FX.lang_t(spark, sf), FX.lang_m(spark, sf)
     langs = {"s": s, "t": t, "m": m}
@@ -775,7 +816,10 @@ def multi_pair_eval(spark, sf):
     from lexalign.plans import multi
     langs, train, tests = _multi_inputs(spark, sf)
     model, norm = multi.fit(langs, train, lam=10.0)
-    return multi.evaluate_pairs(model, norm, langs, tests)
+    mapped = multi.mapped_languages(model, norm)
+    for df in norm.values():
+        df.unpersist()
+    return multi.evaluate_pairs(mapped, tests)
 
 
 def two_hop_fit(spark, sf):
@@ -789,13 +833,42 @@ def two_hop_fit(spark, sf):
                                     x_raw=s, z_raw=t).select(F.lit("cmp").alias("method"), "*")
     pip = two_hop.pipeline_eval(f1.x, f1.z, f2.z, test, f1.model, f2.model, raw=(s, m, t)) \
         .select(F.lit("pip").alias("method"), "*")
-    return cmp_.unionByName(pip)
+    out = materialise(cmp_.unionByName(pip), "metrics")
+    f1.release()
+    f2.release()
+    return out
+
+
+def _keyed_inputs(spark, sf):
+    """All three languages as one table, their pairs, and the dictionaries of all pairs with their part."""
+    langs, words = None, None
+    for name, df in (("s", FX.lang_s(spark, sf)), ("t", FX.lang_t(spark, sf)), ("m", FX.lang_m(spark, sf))):
+        one = df.select(F.lit(name).alias("lang"), "idx", "word", "vec")
+        langs = one if langs is None else langs.unionByName(one)
+    names = [("s", "t"), ("s", "m"), ("m", "t")]
+    for i, (a, b) in enumerate(names):
+        one = FX.dictionary(spark, sf, a, b).select(F.lit(i).cast("bigint").alias("space"), "src_word", "trg_word", "part")
+        words = one if words is None else words.unionByName(one)
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(names)], "space bigint, src_lang string, trg_lang string")
+    return langs, pairs, words
 
 
 def lambda_grid(spark, sf):
+    """Six values of lambda for each of three language pairs, in one job."""
     from lexalign.plans import grid
-    s, t, d = _st(spark, sf)
-    return grid.lambda_grid(s, t, _part(d, "train"), _part(d, "test"))
+    langs, pairs, words = _keyed_inputs(spark, sf)
+    return grid.grid(langs, pairs, _part(words, "train"), _part(words, "test"))
+
+
+def grid_residual(spark, sf):
+    """Largest entry of the gradient of the convex objective at every fit of the grid: zero."""
+    from lexalign.plans import grid
+    langs, pairs, words = _keyed_inputs(spark, sf)
+    norm = N.normalize(langs, ["unit", "center"], group_cols=["lang"])
+    models = grid.fit_all(grid.pair_grams(norm, pairs, _part(words, "train")), grid.LAMBDAS)
+    infos = grid.model_infos(models, grid.LAMBDAS)
+    return infos.join(F.broadcast(pairs), infos["pair"] == pairs["space"]).select(
+        "src_lang", "trg_lang", "lambda", (_r(F.col("residual")) + F.lit(0.0)).alias("residual"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -874,7 +947,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_pair_eval": multi_pair_eval,
     "two_hop_fit": two_hop_fit,
     "lambda_grid": lambda_grid,
+    "grid_residual": grid_residual,
     "fit_residual": fit_residual,
     "fit_residual_semi": fit_residual_semi,
     "fit_residual_two_hop": fit_residual_two_hop,
+    "fit_exact": fit_exact,
+    "multi_fit_exact": multi_fit_exact,
 }

@@ -31,7 +31,7 @@ SCHEMA = ("round int, phase string, n_pairs bigint, residual double, val_acc1 do
 
 def bootstrap(x: DataFrame, z: DataFrame, full: DataFrame, seed: DataFrame, val: DataFrame, test: DataFrame,
               lam: float = 0.01, normalize=("unit", "center"), x_cutoff: int | None = None,
-              z_cutoff: int | None = None, patience: int = 1, csls_k: int = 10) -> DataFrame:
+              z_cutoff: int | None = None, patience: int = 1, csls_k: int = 10, rank: int | None = None) -> DataFrame:
     """Per-round metrics ``(round, phase, n_pairs, residual, val_acc1, test_acc1, test_acc5, test_acc10)``.
 
     ``seed`` is the part of the ``full`` training dictionary that the rounds start
@@ -47,7 +47,7 @@ def bootstrap(x: DataFrame, z: DataFrame, full: DataFrame, seed: DataFrame, val:
     added = start.limit(0)
     best_acc, best_added, bad, rows = 0.0, added, 0, []
     while True:
-        model, xw, zw = _spaces(xn, zn, start.unionByName(added), lam)
+        model, xw, zw = _spaces(xn, zn, start.unionByName(added), lam, rank)
         r_x, r_z = R.neighbourhood(xw, zw, csls_k)
         v = BL.evaluate(xw, zw, val, x, z, "csls", csls_k, r_z=r_z).first()["acc1"] or 0.0
         rows.append((len(rows), "round", int(model.info["n_pairs"]), _worst(model), float(v), None, None, None))
@@ -63,7 +63,7 @@ def bootstrap(x: DataFrame, z: DataFrame, full: DataFrame, seed: DataFrame, val:
         if bad >= patience:
             break
     every = D.encode(full, x, z).select("src_idx", "trg_idx")
-    model, xw, zw = _spaces(xn, zn, best_added.unionByName(every), lam)
+    model, xw, zw = _spaces(xn, zn, best_added.unionByName(every), lam, rank)
     r_z = materialise(R.nbr_mean(zw, xw, csls_k), "neighbourhoods")
     v = BL.evaluate(xw, zw, val, x, z, "csls", csls_k, r_z=r_z).first()
     t = BL.evaluate(xw, zw, test, x, z, "csls", csls_k, r_z=r_z).first()
@@ -73,8 +73,8 @@ def bootstrap(x: DataFrame, z: DataFrame, full: DataFrame, seed: DataFrame, val:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def _spaces(xn: DataFrame, zn: DataFrame, pairs: DataFrame, lam: float):
-    model = BL.fit_pairs(xn, zn, pairs, lam, semi=True)
+def _spaces(xn: DataFrame, zn: DataFrame, pairs: DataFrame, lam: float, rank: int | None = None):
+    model = BL.fit_pairs(xn, zn, pairs, lam, semi=True, rank=rank)
     xw, zw = BL.mapped(BL.Fitted(model, xn, zn))
     return model, xw.persist(StorageLevel.MEMORY_AND_DISK), zw.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -20,13 +20,14 @@ from lexalign.operators import normalize as N
 from lexalign.operators import retrieval as R
 from lexalign.operators.fit import Model
 from lexalign.plans import bilingual as BL
+from lexalign.session import materialise
 
 
 def fit(x: DataFrame, y: DataFrame, z: DataFrame, train_xy: DataFrame, train_yz: DataFrame,
-        lam: float = 10.0, normalize=("unit", "center")):
-    """Two independent fits; returns ``(fit_xy, fit_yz)`` with languages s/m and m/t."""
-    f1 = BL.fit(x, y, train_xy, lam, normalize, src="s", trg="m")
-    f2 = BL.fit(y, z, train_yz, lam, normalize, src="m", trg="t")
+        lam: float = 10.0, normalize=("unit", "center"), rank: int | None = None):
+    """Two independent fits; returns ``(fit_xy, fit_yz)`` with languages s/m and m/t, to be released."""
+    f1 = BL.fit(x, y, train_xy, lam, normalize, src="s", trg="m", rank=rank)
+    f2 = BL.fit(y, z, train_yz, lam, normalize, src="m", trg="t", rank=rank)
     return f1, f2
 
 
@@ -42,7 +43,7 @@ def composition_eval(x: DataFrame, z: DataFrame, test: DataFrame, w12: np.ndarra
                      csls_k: int = 10, x_raw: DataFrame | None = None,
                      z_raw: DataFrame | None = None) -> DataFrame:
     """CMP metrics row.  ``x``/``z`` are the (normalised) tables; raw ones give the word index."""
-    xw = N.unit(M.apply_matrix(x, M.compose(w12, w23)))
+    xw = materialise(N.unit(M.apply_matrix(x, M.compose(w12, w23))), "mapped")
     zw = N.unit(z)
     return _score(xw, zw, test, x_raw if x_raw is not None else x, z_raw if z_raw is not None else z, csls_k)
 
@@ -56,16 +57,16 @@ def pipeline_eval(x: DataFrame, y: DataFrame, z: DataFrame, test: DataFrame, m1:
     enc = D.encode(test, xr, zr)
     gold = D.gold(enc)
     # stage 1: source -> mid, best by CSLS
-    x1 = N.unit(M.to_latent(x, m1, ls))
-    y1 = N.unit(M.to_latent(y, m1, lm))
+    x1 = materialise(N.unit(M.to_latent(x, m1, ls)), "mapped")
+    y1 = materialise(N.unit(M.to_latent(y, m1, lm)), "mapped")
     q1 = x1.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi")
-    _, rz1 = R.neighbourhood(x1, y1, csls_k, queries=q1)
+    rz1 = R.nbr_mean(y1, x1, csls_k)
     mid = R.csls_topk(q1, y1, rz1, 1).select("src_idx", F.col("trg_idx").alias("mid_idx"))
     # stage 2: mid -> target, top-10 by CSLS for the distinct mids
-    y2 = N.unit(M.to_latent(y, m2, lm))
-    z2 = N.unit(M.to_latent(z, m2, lt))
+    y2 = materialise(N.unit(M.to_latent(y, m2, lm)), "mapped")
+    z2 = materialise(N.unit(M.to_latent(z, m2, lt)), "mapped")
     q2 = y2.join(mid.select(F.col("mid_idx").alias("idx")).distinct(), "idx", "left_semi")
-    _, rz2 = R.neighbourhood(y2, z2, csls_k, queries=q2)
+    rz2 = R.nbr_mean(z2, y2, csls_k)
     c2 = R.csls_topk(q2, z2, rz2, 10).withColumnRenamed("src_idx", "mid_idx")
     cands = mid.join(c2, "mid_idx").select("src_idx", "rank", "trg_idx", "score")
     return S.evaluation_row(D.coverage(test, xr, zr), S.precision_at_k(cands, gold))

@@ -82,6 +82,28 @@ def lang_m(spark: SparkSession, sf_dir: str, noise: float = M_NOISE) -> DataFram
     )
 
 
+#: Axis languages (FIXTURES.md §3): prefix -> (step, component of the embedding, dimension over its length).
+AXES = {"s": (1, 0, 1.0), "t": (3, 1, 0.5), "m": (5, 2, 0.25)}
+
+
+def axis_lang(spark: SparkSession, sf_dir: str, prefix: str, aligned: bool = False) -> DataFrame:
+    """A language whose vectors lie on axes, so that its grams are diagonal and fits have a plain closed form.
+
+    Row ``i`` is ``1 + |v_c|`` on axis ``(step * i) mod d``; ``aligned`` puts all languages on axis ``i mod d`` of
+    the same ``d``, the smallest.
+    """
+    step, component, share = AXES[prefix]
+    if aligned:
+        step, share = 1, min(x for *_, x in AXES.values())
+    e = _emb(spark, sf_dir)
+    d = (F.size("v") * share).cast("int")
+    at = F.pmod(F.col("i") * step, d)
+    size = F.abs(F.col("v")[component]) + 1.0
+    return e.select(F.col("i").alias("idx"), F.concat(F.lit(prefix), F.col("i").cast("string")).alias("word"), at.alias("_at"),
+                    size.alias("_size"), F.sequence(F.lit(0), d - 1).alias("_axes")) \
+        .select("idx", "word", F.transform("_axes", lambda j: F.when(j == F.col("_at"), F.col("_size")).otherwise(F.lit(0.0))).alias("vec"))
+
+
 def _part(i):
     r = F.pmod(i, F.lit(5))
     return F.when(r < 3, "train").when(r == 3, "val").otherwise("test")

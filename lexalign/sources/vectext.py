@@ -1,10 +1,11 @@
 """Embedding text files (``.vec``): header ``count dim`` then ``word v1 … vdim``.
 
 Row order is semantic (the id is the frequency rank).  The scan is a DataFrame
-over text splits, which are ordered by file and offset; lines are numbered inside
-each split and shifted by the counts of the splits before.  Everything after the
-scan is DataFrame work: caps, case folding and vocabulary filters are windows /
-joins over the line number.
+over text splits, which are ordered by file and offset. A first pass counts the lines of
+every split and notes the scan's running number at its start; the second turns running
+numbers into line numbers by a lookup of these few rows, so no text is shuffled.
+Caps, case folding and vocabulary filters work on words and line numbers alone; vectors are
+joined to what is left.
 
 Gzip input (``.vec.gz``) is read by Spark's codec; a gzip file is one split,
 so the rows are repartitioned right after the scan.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexalign.functions import ranking
 from lexalign.functions.formatting import format_vec_g6
+from lexalign.session import materialise
 
 WS = r"(?U)[\s\x1c-\x1f]+"   # Python str.split() semantics: Unicode white space and the separators
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"   # what Python's str.strip() takes away
@@ -42,11 +44,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+#: Splits whose first lines are looked up in a broadcast table; with more, the lookup is a shuffled join.
+MOST_SPLITS = 200_000
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(path, line bigint, value string)`` of several files in one scan, lines numbered in each.
 
-    A line's number is its place in its split (a window over one split, whose size
-    the scan bounds) plus the lines of the splits before it (a row a split).
+    ``monotonically_increasing_id`` counts on through the lines of a split, in whichever task it is, and
+    both passes plan the same splits. So a line's number is its running number less that of
+    its split's first line, plus the lines of the splits before.
     """
     listed = [_ordered_paths(spark, p) for p in paths]
     parts = [(p, i, part) for p, names in zip(paths, listed) for i, part in enumerate(names.split(","))]
@@ -55,13 +62,13 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     text = spark.read.text(sorted({f for _, _, f in parts})).select(
         _plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
-    named = text.join(F.broadcast(files), "file")
-    split = ["path", "part", "block"]        # a split of a file: bounded by the scan's split size
+    splits = text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).join(F.broadcast(files), "file")
     ends = Window.partitionBy("path").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = named.groupBy(*split).count().select(*split, F.coalesce(F.sum("count").over(ends), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy(*split).orderBy("at")) - F.lit(1)
-    return (named.withColumn("local", local).join(before, split)
-                 .select("path", (F.col("before") + F.col("local")).cast("bigint").alias("line"), "value"))
+    starts = materialise(splits.select("path", "file", "block", (F.coalesce(F.sum("n").over(ends), F.lit(0)) - F.col("first")).alias("shift")),
+                         "splits")           # a row a split
+    few = starts.count() <= MOST_SPLITS
+    return text.join(F.broadcast(starts) if few else starts, ["file", "block"]) \
+               .select("path", (F.col("at") + F.col("shift")).cast("bigint").alias("line"), "value")
 
 
 def _file_name(spark: SparkSession, path: str) -> str:
@@ -100,7 +107,7 @@ def scan(spark: SparkSession, path: str, expect_dim: int | None = None) -> DataF
 
 
 def load(rows: DataFrame, max_voc: int = 0, threshold: int = 0, vocabulary: DataFrame | None = None,
-         count: int | None = None, legacy_bypass: bool = False) -> DataFrame:
+         count: int | None = None, legacy_bypass: bool = False, dense: bool = False) -> DataFrame:
     """The loader's rules over scanned rows ``(line, word, vec)``.
 
     * ``threshold > 0``: only the first ``threshold`` rows;
@@ -111,27 +118,28 @@ def load(rows: DataFrame, max_voc: int = 0, threshold: int = 0, vocabulary: Data
     * ``vocabulary``: keep only rows whose word is in the set (applied before
       the cap);
     * ids are re-packed ``0..n-1`` in file order.
-    Returns ``(idx, word, vec, line)``.
+    Returns ``(idx, word, vec, line)``. Only words and line numbers are shuffled to find out what stays; the
+    vectors meet it in one join. ``dense`` says that lines are ``1..n`` (as a scan's are), so that
+    loading all of them needs no numbering.
     """
-    df = rows
-    if threshold > 0:
-        df = df.where(F.col("line") <= threshold)
+    df = rows if threshold <= 0 else rows.where(F.col("line") <= threshold)
     cap = max_voc
     if legacy_bypass and max_voc:
         n_rows = count if count is not None else df.count()
         if min(n_rows, threshold or n_rows) < max_voc:
             cap = 0
+    if dense and vocabulary is None and not cap:
+        return df.select((F.col("line") - 1).cast("bigint").alias("idx"), "word", "vec", "line")
+    words = df.select("line", "word")
     if vocabulary is not None:
-        df = df.join(vocabulary.select("word").distinct(), "word", "left_semi")
-    if cap:
-        low = F.lower("word")
-        first = Window.partitionBy(low).orderBy("line")
-        df = (df.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1)
-                .drop("_k").withColumn("word", low))
-    numbered = ranking.row_number_global(df, [F.col("line").asc()], "_pos")
+        words = words.join(vocabulary.select("word").distinct(), "word", "left_semi").select("line", "word")
+    if cap:         # the first line of every folded word: a partial aggregate
+        words = words.groupBy(F.lower("word").alias("word")).agg(F.min("line").alias("line"))
+    numbered = ranking.row_number_global(words, [F.col("line").asc()], "_pos")
     if cap:
         numbered = numbered.where(F.col("_pos") <= cap)
-    return numbered.select((F.col("_pos") - 1).cast("bigint").alias("idx"), "word", "vec", "line")
+    kept = numbered.select((F.col("_pos") - 1).cast("bigint").alias("idx"), "word", "line")
+    return df.select("line", "vec").join(kept, "line").select("idx", "word", "vec", "line")
 
 
 def read(spark: SparkSession, path: str, max_voc: int = 0, threshold: int = 0,
@@ -139,7 +147,7 @@ def read(spark: SparkSession, path: str, max_voc: int = 0, threshold: int = 0,
     """Scan + load: ``(idx, word, vec)`` (``vec`` in double)."""
     count, _ = header(spark, path)
     rows = scan(spark, path)
-    return load(rows, max_voc, threshold, vocabulary, count=count, legacy_bypass=legacy_bypass) \
+    return load(rows, max_voc, threshold, vocabulary, count=count, legacy_bypass=legacy_bypass, dense=True) \
         .select("idx", "word", "vec")
 
 

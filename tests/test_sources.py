@@ -181,6 +181,43 @@ def test_line_order_holds_over_splits(spark, scratch):
     assert len(got) == 5000 and all(got[i].split()[1] == str(i) for i in got)
 
 
+def test_numbering_shuffles_no_text(spark, scratch):
+    paths = [_write(os.path.join(scratch, f"f{i}.txt"), "".join(f"{i} {j} {'y' * (j % 91)}\n" for j in range(700 * (i + 1)))) for i in range(4)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")        # splits of several files share a task
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = vectext.read_files(spark, paths)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        got = lines.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "Window" not in plan
+    assert sorted((r["path"], r["line"]) for r in got) == [(p, j) for i, p in enumerate(paths) for j in range(700 * (i + 1))]
+    assert all(r["value"].split()[:2] == [str(paths.index(r["path"])), str(r["line"])] for r in got)
+
+
+def test_capped_load_moves_vectors_once(spark, scratch):
+    n = 400
+    p = _write(os.path.join(scratch, "big.vec"), f"{n} 2\n" + "".join(f"{'Ww'[i % 2]}{i // 3} {i} 0\n" for i in range(n)))
+    rows = vectext.scan(spark, p)
+    low, want = {}, []
+    for i in range(n):
+        w = f"w{i // 3}"
+        if w not in low:
+            low[w] = i
+            want.append((len(want), w, float(i)))
+    for cap in (1, 50, 10_000):
+        got = sorted((r["idx"], r["word"], r["vec"][0]) for r in vectext.load(rows, max_voc=cap).collect())
+        assert got == want[:cap]
+    kept = spark.createDataFrame([("W0",), ("w1",), ("w1",), ("nope",)], "word string")
+    got = sorted((r["idx"], r["word"]) for r in vectext.load(rows, vocabulary=kept).collect())
+    assert [w for _, w in got] == [x for x in (f"{'Ww'[i % 2]}{i // 3}" for i in range(n)) if x in ("W0", "w1")]
+    plain = vectext.load(rows, threshold=7, dense=True)
+    assert "Exchange hashpartitioning" not in plain._jdf.queryExecution().executedPlan().toString() and plain.count() == 7
+
+
 def test_gzip_vec_is_read(spark, scratch):
     import gzip
     p = os.path.join(scratch, "g.vec.gz")

@@ -372,9 +372,16 @@ pairs AS (SELECT sim.row_no, list_inner_product(a.vec, b.vec) / sqrt(list_inner_
           FROM sim JOIN lang_s a ON a.word = sim.w1 JOIN lang_s b ON b.word = sim.w2),
 ranked AS (SELECT rank() OVER (ORDER BY cos) + (count(*) OVER (PARTITION BY cos) - 1) / 2.0 AS r_cos,
                   rank() OVER (ORDER BY ref) + (count(*) OVER (PARTITION BY ref) - 1) / 2.0 AS r_ref FROM pairs)""") + """
-SELECT (SELECT count(*) FROM sim)::BIGINT AS n_pairs, count(*)::BIGINT AS n_in_vocab,
-       round(count(*) / (SELECT count(*) FROM sim), 6) AS pair_coverage, round(corr(r_cos, r_ref), 6) AS spearman
-FROM ranked
+, stat AS (SELECT count(*) AS n, corr(r_cos, r_ref) AS rho, count(*) - 2 AS df FROM ranked),
+tail AS (  -- two-sided tail of Student's t, its density integrated by Simpson's rule
+  SELECT abs(rho) * sqrt(df / (1 - rho * rho)) AS t, df, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) AS c FROM stat),
+simpson AS (
+  SELECT sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+             * c * pow(1 + pow(t * k / 2000.0, 2) / df, -(df + 1) / 2.0)) * any_value(t) / 6000 AS inside
+  FROM tail, generate_series(0, 2000) g(k))
+SELECT (SELECT count(*) FROM sim)::BIGINT AS n_pairs, n::BIGINT AS n_in_vocab,
+       round(n / (SELECT count(*) FROM sim), 6) AS pair_coverage, round(rho, 6) AS spearman, round(1 - 2 * inside, 6) AS p_value
+FROM stat, simpson
 """
 
 SQL["map_latent"] = _with(f"m AS {_long(_mapped('lang_s', 'rev', 'half'))}") + _long_out("m")
@@ -664,3 +671,27 @@ SELECT ids.a AS src_lang, ids.b AS trg_lang, ids.i::BIGINT AS i, ids.j::BIGINT A
        round(CASE WHEN ids.i = ids.j THEN coalesce(beta, 0) ELSE 0 END, 5)::DOUBLE AS value
 FROM ids JOIN dim ON ids.i < d // 4 AND ids.j < d // 4 LEFT JOIN b ON b.i = ids.i
 """
+
+
+# --------------------------------------------------------------------------- manifests, models and aligned vectors by name
+
+def _manifest_pairs(part: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS src_no, {j} AS trg_no, ord, replace(src_word, 's', '{a}') AS src_word, replace(trg_word, 't', '{b}') AS trg_word "
+        f"FROM dict_st WHERE part = '{part}'" for i, a, j, b in ((0, "s", 1, "t"), (0, "s", 2, "m"), (2, "m", 1, "t")))
+    return f"listed AS (SELECT *, row_number() OVER (PARTITION BY src_no, trg_no ORDER BY ord) - 1 AS line_no FROM ({rows}))"
+
+
+SQL["dict_manifest"] = _with(_manifest_pairs("train")) + """
+SELECT src_no::BIGINT AS src_no, trg_no::BIGINT AS trg_no, line_no::BIGINT AS line_no, src_word, trg_word FROM listed
+"""
+
+SQL["model_apply"] = _with(f"u AS {_unit('lang_s')}", f"a AS {_long(_mapped('u', 'rev', 'half'))}",
+                           f"b AS {_long(_mapped('u', 'rev', 'one'))}") + \
+    f"SELECT *, 'latent' AS space FROM ({_long_out('a')}) UNION ALL SELECT *, 't' AS space FROM ({_long_out('b')})"
+
+_ALIGNED = {lang: _unit(_mapped(f"lang_{lang}", perm, "half")) for lang, perm in (("s", "rev"), ("t", "id"))}
+SQL["aligned_sink"] = _with(*(f"m_{lang} AS {q}" for lang, q in _ALIGNED.items())) + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{lang}' AS lang, idx::BIGINT AS idx, word, (j - 1)::BIGINT AS j, {value} AS value "
+    f"FROM (SELECT idx, word, unnest(generate_series(1, len(vec))) AS j, unnest(vec) AS x FROM m_{lang})"
+    for kind, value in (("table", "round(x, 6)"), ("vec", "CAST(printf('%.6g', x) AS DOUBLE)")) for lang in _ALIGNED)

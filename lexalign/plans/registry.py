@@ -366,7 +366,8 @@ def word_similarity(spark, sf):
     sim = FX.similarity_set(spark, sf)
     out = S.word_similarity(s, sim)
     return out.select(F.col("n_pairs").cast("bigint"), F.col("n_in_vocab").cast("bigint"),
-                      _r(F.col("pair_coverage")).alias("pair_coverage"), _r(F.col("spearman")).alias("spearman"))
+                      _r(F.col("pair_coverage")).alias("pair_coverage"), _r(F.col("spearman")).alias("spearman"),
+                      _r(F.col("p_value")).alias("p_value"))
 
 
 # --------------------------------------------------------------------------- fixed-model mapping
@@ -539,6 +540,78 @@ def manifest_load(spark, sf):
     return out.select(F.col("lang_no").cast("bigint"), "lang", F.col("idx").cast("bigint"), "word")
 
 
+def _manifests(spark, sf, base):
+    """Vector files of three languages, dictionary files of their pairs, and the manifests that list them."""
+    from lexalign.sources import vectext
+    names = ("s", "t", "m")
+    langs = {"s": FX.lang_s(spark, sf), "t": FX.lang_t(spark, sf), "m": FX.lang_m(spark, sf)}
+    for name, df in langs.items():
+        vectext.write_vec(df, f"{base}/{name}.vec")
+    lists = {"emb": [f"{base}/{name}.vec" for name in names], "train": [], "test": []}
+    for a, b in ((0, 1), (0, 2), (2, 1)):
+        d = FX.dictionary(spark, sf, names[a], names[b])
+        for part in ("train", "test"):
+            path = f"{base}/{names[a]}-{names[b]}.{part}"
+            _write_ordered(_part(d, part).select("ord", F.concat_ws(" ", "src_word", "trg_word").alias("text")), "ord", path)
+            lists[part].append(f"{a}, {b}, {path}")
+    for kind, lines in lists.items():
+        _write_ordered(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "ord bigint, text string"), "ord", f"{base}/{kind}.list")
+    return langs
+
+
+def dict_manifest(spark, sf):
+    """All dictionaries that a manifest lists, read in one scan."""
+    from lexalign.sources import dictionaries as DS
+    base = _scratch(spark, "manifest")
+    _manifests(spark, sf, base)
+    d = DS.read_dictionaries(spark, DS.read_dictionary_manifest(spark, f"{base}/train.list"))
+    return d.select(F.col("src_no").cast("bigint"), F.col("trg_no").cast("bigint"), F.col("ord").cast("bigint").alias("line_no"),
+                    "src_word", "trg_word")
+
+
+def manifest_eval(spark, sf):
+    """Manifests to metrics: three languages fitted on all training dictionaries, all test dictionaries scored together."""
+    from lexalign.plans import manifest
+    base = _scratch(spark, "manifest")
+    _manifests(spark, sf, base)
+    out = manifest.run(spark, f"{base}/emb.list", f"{base}/train.list", f"{base}/test.list", "s,t,m",
+                       model_path=f"{base}/model", metrics_path=f"{base}/metrics", aligned_path=f"{base}/aligned")
+    return out.select("src_lang", "trg_lang", F.col("n_covered").cast("bigint"), F.col("n_oov").cast("bigint"),
+                      _r(F.col("coverage")).alias("coverage"), F.col("n_queries").cast("bigint"),
+                      *[_r(F.col(c)).alias(c) for c in ("acc1", "acc5", "acc10")])
+
+
+def model_apply(spark, sf):
+    """A model written as a table and as text, read back and applied by language names: to the shared space and across."""
+    from lexalign.plans import manifest
+    from lexalign.sources import sinks
+    base = _scratch(spark, "model")
+    s = FX.lang_s(spark, sf)
+    model = fixed_model(BL._dim(s))
+    sinks.write_model(spark, model, f"{base}/table", "one")
+    sinks.write_model(spark, model, f"{base}/text", "two", text=True, table=False)
+    latent = manifest.apply(spark, f"{base}/table", s, "s", normalize=("unit",), normalize_eval=False, fit_id="one")
+    across = manifest.apply(spark, f"{base}/text", s, "s", "t", normalize=("unit",), normalize_eval=False)
+    return _long(latent).withColumn("space", F.lit("latent")).unionByName(_long(across).withColumn("space", F.lit("t")))
+
+
+def aligned_sink(spark, sf):
+    """Two languages mapped into the shared space, written by language and as vector files, both read back."""
+    from lexalign.sources import sinks, vectext
+    xw, zw, *_ = _fixed_spaces(spark, sf)
+    base = _scratch(spark, "aligned")
+    tables = {"s": materialise(xw, "mapped"), "t": materialise(zw, "mapped")}
+    sinks.write_aligned(tables, f"{base}/table")
+    sinks.write_aligned(tables, f"{base}/text", "vec")
+    out = spark.read.parquet(f"{base}/table").select(F.lit("table").alias("kind"), "lang", "idx", "word", "vec")
+    for lang in tables:
+        back = vectext.read(spark, f"{base}/text/emb_{lang}.vec")
+        out = out.unionByName(back.select(F.lit("vec").alias("kind"), F.lit(lang).alias("lang"), "idx", "word", "vec"))
+    return out.select("kind", "lang", F.col("idx").cast("bigint").alias("idx"), "word", F.posexplode("vec").alias("j", "value")) \
+              .select("kind", "lang", "idx", "word", F.col("j").cast("bigint").alias("j"),
+                      F.when(F.col("kind") == "table", _r(F.col("value"))).otherwise(F.col("value")).alias("value"))
+
+
 def paste_columns(spark, sf):
     from lexalign.sources import dictionaries as DS
     from lexalign.sources import vectext
@@ -928,6 +1001,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sim_scan": sim_scan,
     "manifest_load": manifest_load,
     "paste_columns": paste_columns,
+    "dict_manifest": dict_manifest,
+    "manifest_eval": manifest_eval,
+    "model_apply": model_apply,
+    "aligned_sink": aligned_sink,
     "candidate_lines": candidate_lines,
     "pairs_tsv": pairs_tsv,
     "prefix_oov": prefix_oov,

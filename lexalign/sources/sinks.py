@@ -27,10 +27,11 @@ def model_frame(spark: SparkSession, model: Model, fit_id: str = "fit") -> DataF
 
 
 def write_model(spark: SparkSession, model: Model, path: str, fit_id: str = "fit",
-                text: bool = False) -> None:
-    """Parquet model table (``text=True``: also ``<name>.csv`` space-separated text files)."""
+                text: bool = False, table: bool = True) -> None:
+    """Parquet model table, and (``text=True``) ``<name>.csv`` space-separated text files."""
     df = model_frame(spark, model, fit_id)
-    df.write.mode("overwrite").parquet(f"{path}/model.parquet")
+    if table:
+        df.write.mode("overwrite").parquet(f"{path}/model.parquet")
     if text:
         for name in [r["name"] for r in df.select("name").distinct().collect()]:
             (df.where(F.col("name") == name).orderBy("i")

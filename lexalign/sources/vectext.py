@@ -97,13 +97,13 @@ def scan(spark: SparkSession, path: str, expect_dim: int | None = None) -> DataF
     """
     count, dim = header(spark, path)
     dim = expect_dim or dim
-    lines = read_lines(spark, path).where((F.col("line") >= 1) & (F.col("line") <= count))
+    inside = (F.col("line") >= 1) & (F.col("line") <= count)
     parts = F.split(F.col("value"), " ", 2)
     vec = F.transform(F.split(F.trim(parts[1]), WS), lambda x: x.cast("double"))
-    out = lines.select(F.col("line"), parts[0].alias("word"), vec.alias("vec"))
-    return out.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec"))
-                          .otherwise(F.raise_error(F.concat(F.lit("vector length differs from header in line "),
-                                                            F.col("line").cast("string")))))
+    out = read_lines(spark, path).where(inside).select("line", parts[0].alias("word"), vec.alias("vec"))
+    wrong = F.raise_error(F.concat(F.lit("vector length differs from header in line "), F.col("line").cast("string")))
+    # the check may run before the filter of lines: it must not speak of others
+    return out.withColumn("vec", F.when((F.size("vec") == dim) | ~inside, F.col("vec")).otherwise(wrong))
 
 
 def load(rows: DataFrame, max_voc: int = 0, threshold: int = 0, vocabulary: DataFrame | None = None,

@@ -225,3 +225,30 @@ def test_gzip_vec_is_read(spark, scratch):
         f.write("3 2\nx 1 2\ny 3 4\nz 5 6\n")
     got = vectext.read(spark, p).orderBy("idx").collect()
     assert [r["word"] for r in got] == ["x", "y", "z"] and list(got[2]["vec"]) == [5.0, 6.0]
+
+
+def test_manifest_to_metrics_model_and_aligned_vectors(spark, scratch):
+    from lexalign.operators import normalize as N
+    from lexalign.plans import manifest, registry
+    from lexalign.sources import sinks
+    from tests.conftest import SF0001
+    langs = registry._manifests(spark, SF0001, scratch)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = manifest.run(spark, f"{scratch}/emb.list", f"{scratch}/train.list", f"{scratch}/test.list", "s,t,m", model_path=f"{scratch}/model",
+                       metrics_path=f"{scratch}/metrics", aligned_path=f"{scratch}/aligned").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert {(r.src_lang, r.trg_lang) for r in out} == {("s", "t"), ("s", "m"), ("m", "t")} and min(r.acc1 for r in out) >= 0.65
+    assert spark.read.parquet(f"{scratch}/metrics").count() == 3
+    aligned = {(r.lang, r.idx): np.array(r.vec) for r in spark.read.parquet(f"{scratch}/aligned").collect()}
+    assert len(aligned) == 3 * 500
+    for r in manifest.apply(spark, f"{scratch}/model", f"{scratch}/s.vec", "s").collect():
+        assert np.allclose(aligned["s", r.idx], r.vec, atol=1e-9)
+    model = sinks.read_model(spark, f"{scratch}/model")
+    x = N.normalize(langs["s"], ("unit", "center"))
+    for r in manifest.apply(spark, model, langs["s"], "s", "m", normalize_eval=False).join(x.withColumnRenamed("vec", "raw"), "idx").collect():
+        assert np.allclose(np.array(r.raw) @ model.cross_map("s", "m"), r.vec)
+    with pytest.raises(ValueError, match="no language 'q'"):
+        manifest.apply(spark, model, langs["s"], "q")
+    short = _write(os.path.join(scratch, "short.list"), f"0, 9, {scratch}/s-t.train\n")
+    with pytest.raises(ValueError, match="does not list"):
+        manifest.read_pairs(spark, short, {0: "s"})

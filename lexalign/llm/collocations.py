@@ -12,14 +12,12 @@ n-gram's. So a batch's n-grams cost a few array operations each, whatever their
 Counting, from few to many words:
 
 1. Words are counted exactly (per batch with Arrow, then by Spark).
-2. Bigrams of two frequent words are hashed. A task adds up its n-grams by two independent
-   64-bit fingerprints and yields ``(fp, count, pointer)``: the pointer is the row, the
-   offset and the length of the first. Spark's shuffle adds up the counts by ``fp``;
-   what reaches ``min_count`` stays.
-3. The same for phrases of three words and more of which all bigrams are frequent.
-4. Verification. The pointers that are left (at most one a task and phrase) are joined to the rows and
-   replaced by the words they point to; the exact words are the key of the last
-   count. Phrases that share a fingerprint are told apart here; only these phrases ever become text.
+2. Phrases of two, then of three frequent words are hashed and added up in the task and by Spark's shuffle as
+   ``(fp, check, count, pointer)``. ``fp`` has 64 bits, ``check`` 32 more of an independent hash, and the pointer is the row
+   of an occurrence. What reaches ``min_count`` stays.
+3. The same for longer phrases, of which all runs of three words are frequent.
+4. Verification. A row that pointers lead to is hashed once more, the places of its wanted fingerprints are found, and
+   the words there are the key of the last count. Only these phrases ever become text.
 
 "Frequent" in 2 and 3 is looked up in a bitmap of fingerprints of at most 2^``FILTER_BITS`` bits
 (16 MB), which is broadcast. It may let infrequent ones through, never hold back a frequent one,
@@ -45,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexalign.llm.common import mix64, seed64, session_for_text, table, utf8, written
+from lexalign.llm.common import mix64, seed64, session_for_text, shuffle_width, table, utf8, written
 
 MIN_COUNT, MAX_WORDS, SHARE, TOP = 100, 5, 100, 2000
 FILTER_BITS = 27
 #: Bits of the bitmap for each frequent phrase, below its bound.
 FILTER_SPARE = 64
 #: Bytes of text hashed at once, and n-grams that a task holds.
-STRETCH, HELD = 1 << 20, 1 << 20
+STRETCH, HELD = 1 << 19, 5 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -220,148 +218,188 @@ def make_filter(fps: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
     return Filter(bits, {r["block"]: bytes(r["bitmap"]) for r in blocks.collect()})
 
 
-def word_fps(words: DataFrame) -> DataFrame:
+def word_fps(words: DataFrame, fp_bits: int = 64) -> DataFrame:
     """``fp`` of the words ``(lang, word)``, as :meth:`Stretch.grams` has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for lang, rows in by_language(langs, texts):
                 s = Stretch(np.frombuffer(b"\n".join([texts[i] for i in rows]), dtype=np.uint8), lang)
-                fp = s.grams(FIRST, 1, np.arange(len(s.start)))
+                fp = s.grams(FIRST, 1, np.arange(len(s.start))) & np.uint64((1 << fp_bits) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])
 
     return words.select("lang", "word").mapInArrow(run, "fp long")
 
 
 class Held:
-    """A task's n-grams: counts and first occurrences by both fingerprints."""
+    """A task's n-grams ``(fp, check, row, count)``; the row is that of the first occurrence."""
 
     def __init__(self):
         self.parts, self.n = [], 0
 
-    def add(self, fp, check, row, offset, length) -> None:
-        self.parts.append((fp, check, np.ones(len(fp), dtype=np.int64), row, offset, length))
+    def add(self, fp: np.ndarray, check: np.ndarray, row: np.ndarray) -> None:
+        self.parts.append((fp, check, row, np.ones(len(fp), dtype=np.uint32)))
         self.n += len(fp)
 
     def merge(self) -> None:
-        columns = [np.concatenate(c) for c in zip(*self.parts)]
-        order = np.argsort(columns[0], kind="stable")
-        fp, check = columns[0][order], columns[1][order]
-        same = fp[1:] == fp[:-1]
-        if (same & (check[1:] != check[:-1])).any():        # different n-grams of one fingerprint: keep them apart
-            order = np.lexsort((columns[1], columns[0]))
-            fp, check = columns[0][order], columns[1][order]
-            same = (fp[1:] == fp[:-1]) & (check[1:] == check[:-1])
-        head = np.flatnonzero(np.concatenate([[True], ~same]))
-        counts = np.add.reduceat(columns[2][order], head)
+        fp, check, row, count = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts = []
+        order = np.argsort(fp, kind="stable")
+        new = self._new(fp, check, order)
+        if (new & (fp[order][1:] == fp[order][:-1])).any():      # one fingerprint, different n-grams
+            order = np.lexsort((check, fp))
+            new = self._new(fp, check, order)
+        head = np.flatnonzero(np.concatenate([[True], new]))
         first = order[head]
-        self.parts = [(fp[head], check[head], counts, *(c[first] for c in columns[3:]))]
+        self.parts = [(fp[first], check[first], row[first], np.add.reduceat(count[order], head).astype(np.uint32))]
         self.n = len(head)
 
-    def out(self) -> Iterator[pa.RecordBatch]:
+    @staticmethod
+    def _new(fp, check, order):
+        a, b = fp[order], check[order]
+        return (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+
+    def out(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Everything held, with the row ids of the task's documents."""
         if self.n:
             self.merge()
-            fp, _, *rest = self.parts[0]
-            whole = pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), *map(pa.array, rest)],
-                                               names=["fp", "c", "row", "at", "size"])
-            for i in range(0, self.n, 1 << 16):
-                yield whole.slice(i, 1 << 16)
+            for i in range(0, self.n, 1 << 15):
+                fp, check, row, count = (c[i:i + (1 << 15)] for c in self.parts[0])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
+                    fp.view(np.int64), check.view(np.int32), count.astype(np.int64), rows[row])], names=["fp", "check", "c", "row"])
         self.parts, self.n = [], 0
 
 
-def count_grams(keyed: DataFrame, lengths: range, words: Filter, bigrams: Filter | None = None,
-                fp_bits: int = 64, held_grams: int = HELD) -> DataFrame:
-    """Partial ``(fp, c, row, at, size)`` of tasks: n-grams of the lengths whose parts may be frequent."""
-    spark = keyed.sparkSession
-    filters = spark.sparkContext.broadcast((words, bigrams))        # bounded: 2^FILTER_BITS bits each
+def _hashes(s: Stretch, n: int, at: np.ndarray, keep: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    return s.grams(FIRST, n, at) & keep, (s.grams(SECOND, n, at) >> np.uint64(32)).astype(np.uint32)
+
+
+def count_grams(keyed: DataFrame, lengths: range, known: Filter, known_words: int, fp_bits: int = 64,
+                held_grams: int = HELD) -> DataFrame:
+    """Partial ``(fp, check, c, row)`` of tasks: phrases of ``lengths`` words of which every run of ``known_words`` may be known."""
+    shared = keyed.sparkSession.sparkContext.broadcast(known)        # bounded: 2^FILTER_BITS bits
     keep = np.uint64((1 << fp_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, known_bigrams = filters.value
-        held = Held()
+        held, rows, first = Held(), [], 0
         for batch in batches:
             row_ids, langs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), utf8(batch.column(2))
-            for lang, rows in by_language(langs, texts):
-                parts = [texts[i] for i in rows]
-                begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-                raw, ids = np.frombuffer(b"\n".join(parts), dtype=np.uint8), row_ids[rows]
-                for shift, part in stretches(raw):
+            for lang, at in by_language(langs, texts):
+                parts = [texts[i] for i in at]
+                begins = np.cumsum([0] + [len(p) + 1 for p in parts])
+                rows.append(row_ids[at])
+                for shift, part in stretches(np.frombuffer(b"\n".join(parts), dtype=np.uint8)):
                     s = Stretch(part, lang)
-                    if len(s.start) < 2:
-                        continue
-                    may = known_words.may(s.grams(FIRST, 1, np.arange(len(s.start))))
-                    may = may[:-1] & may[1:] & s.places(2)
-                    if known_bigrams is not None:
-                        at = np.flatnonzero(may)
-                        may[at] = known_bigrams.may(s.grams(FIRST, 2, at) & keep)
-                    for n in lengths:
-                        if n > 2:
-                            may = may[:-1] & may[1:]
-                            may &= s.places(n)
-                        at = np.flatnonzero(may)
-                        if not len(at):
+                    place = np.flatnonzero(s.places(known_words))
+                    may = np.zeros(max(len(s.start) - known_words + 1, 0), dtype=bool)
+                    may[place] = shared.value.may(_hashes(s, known_words, place, keep)[0])
+                    document = np.searchsorted(begins, s.start + shift, side="right") - 1 + first
+                    for n in range(known_words + 1, lengths.stop):
+                        may = may[:-1] & may[1:] & s.places(n)
+                        place = np.flatnonzero(may)
+                        if not len(place):
                             break
-                        start = s.start[at] + shift
-                        doc = np.searchsorted(begins, start, side="right") - 1
-                        held.add(s.grams(FIRST, n, at) & keep, s.grams(SECOND, n, at), ids[doc],
-                                 start - begins[doc], s.end[at + n - 1] - s.start[at])
-                    if held.n > held_grams:
-                        held.merge()
-                        if held.n > held_grams // 2:
-                            yield from held.out()
-        yield from held.out()
+                        if n in lengths:
+                            held.add(*_hashes(s, n, place, keep), document[place].astype(np.uint32))
+                first += len(at)
+                if held.n > held_grams:
+                    held.merge()
+                    if held.n > held_grams // 4 * 3:
+                        yield from held.out(np.concatenate(rows))
+                        rows, first = [], 0
+        if rows:
+            yield from held.out(np.concatenate(rows))
+
+    return keyed.mapInArrow(run, "fp long, check int, c long, row long")
+
+
+def frequent(partials: DataFrame, min_count: int, name: str) -> DataFrame:
+    """``(fp, check, c, row)`` of what is counted ``min_count`` times, with the first row, written once.
 
-    return keyed.mapInArrow(run, "fp long, c long, row long, at long, size long")
+    The tasks have added up what they could, so rows are dealt by ``fp`` before Spark adds them up.
+    """
+    dealt = partials.repartition(shuffle_width(partials.sparkSession), "fp")
+    return written(dealt.groupBy("fp", "check").agg(F.sum("c").alias("c"), F.min("row").alias("row"))
+                   .where(F.col("c") >= min_count), name)
 
 
-def frequent(partials: DataFrame, min_count: int) -> DataFrame:
-    """The partial rows of fingerprints counted ``min_count`` times; a fingerprint has one row a task or so."""
-    total = F.sum("c").over(Window.partitionBy("fp"))
-    return partials.withColumn("total", total).where(F.col("total") >= min_count).drop("total")
+def rows_pointed_to(keyed: DataFrame, pointers: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows that pointers may point to: the others' texts need not be shuffled to the join."""
+    may = make_filter(pointers.select(F.xxhash64("row").alias("fp")).distinct(), filter_bits)
+    known = keyed.sparkSession.sparkContext.broadcast(may)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = known.value.may(batch.column(3).to_numpy().view(np.uint64))
+            if found.any():
+                yield batch.filter(pa.array(found)).select(["row", "lang", "text"])
+
+    return keyed.withColumn("fp", F.xxhash64("row")).mapInArrow(run, "row long, lang string, text string")
 
 
-def point_out(keyed: DataFrame, pointers: DataFrame) -> DataFrame:
-    """``(lang, phrase, words, c)``: the words that pointers ``(row, at, size, c)`` point to."""
+def point_out(keyed: DataFrame, pointers: DataFrame, max_words: int, fp_bits: int = 64, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``(lang, phrase, words, c)``: the words that pointers ``(fp, check, c, row)`` stand for."""
+    keep = np.uint64((1 << fp_bits) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict = {}
+            langs, phrases, counts = [], [], []
             for lang, text, found in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
-                lower = text.translate(_LOWER_TABLE)
-                for p in found:
-                    key = (lang, b" ".join(lower[p["at"]:p["at"] + p["size"]].split()))
-                    out[key] = out.get(key, 0) + p["c"]
-            if out:
-                langs, phrases = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()),
-                     pa.array([p.count(b" ") + 1 for p in phrases], pa.int32()), pa.array(out.values(), pa.int64())],
-                    names=["lang", "phrase", "words", "c"])
-
-    by_row = pointers.groupBy("row").agg(F.collect_list(F.struct("at", "size", "c")).alias("found"))   # bounded by the text
-    return keyed.join(by_row, "row").select("lang", "text", "found") \
+                wanted = {(p["fp"], p["check"]): p["c"] for p in found}
+                fps = np.array([p["fp"] for p in found], dtype=np.int64).view(np.uint64)
+                for _, part in stretches(np.frombuffer(text, dtype=np.uint8)):
+                    s = Stretch(part, lang)
+                    for n in range(2, max_words + 1):
+                        place = np.flatnonzero(s.places(n))
+                        fp, check = _hashes(s, n, place, keep)
+                        for i in np.flatnonzero(np.isin(fp, fps)).tolist():
+                            c = wanted.pop((int(fp[i:i + 1].view(np.int64)[0]), int(check[i:i + 1].view(np.int32)[0])), None)
+                            if c is not None:
+                                words = s.lower[s.start[place[i]]:s.end[place[i] + n - 1]].tobytes().split()
+                                langs.append(lang)
+                                phrases.append(b" ".join(words).decode())
+                                counts.append(c)
+                if wanted:
+                    raise ValueError("a row is not the one that was counted: the table must be written first (copy=True)")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(phrases, pa.string()),
+                 pa.array([p.count(" ") + 1 for p in phrases], pa.int32()), pa.array(counts, pa.int64())],
+                names=["lang", "phrase", "words", "c"])
+
+    by_row = pointers.groupBy("row").agg(F.collect_list(F.struct("fp", "check", "c")).alias("found"))   # bounded by the text
+    return rows_pointed_to(keyed, pointers, filter_bits).join(by_row, "row").select("lang", "text", "found") \
         .mapInArrow(run, "lang string, phrase string, words int, c long")
 
 
 def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, lang_col: str = "lang",
                   text_col: str = "text", fp_bits: int = 64, filter_bits: int = FILTER_BITS,
-                  held_grams: int = HELD) -> tuple[DataFrame, DataFrame]:
-    """``(lang, phrase, words, a)`` of all words and phrases counted ``min_count`` times, and ``(lang, n)``."""
+                  held_grams: int = HELD, copy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(lang, phrase, words, a)`` of all words and phrases counted ``min_count`` times, and ``(lang, n)``.
+
+    Pointers are running numbers of rows. A table of files is numbered alike by every scan, so ``copy=False`` may spare it
+    the written copy that other inputs need; pointers that do not lead to their phrase are an error.
+    """
     spark = docs.sparkSession
     session_for_text(spark)
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(lang_col, F.lit("und")).alias("lang"),
-                                F.col(text_col).alias("text")), "phrase-rows")
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(lang_col, F.lit("und")).alias("lang"),
+                        F.col(text_col).alias("text"))
+    keyed = written(keyed, "phrase-rows") if copy else keyed
     counted = written(count_words(keyed).groupBy("lang", "word").agg(F.sum("c").alias("a"))
                       .where((F.col("a") >= min_count) | F.col("word").isNull()), "phrase-words")
     words = counted.where("word is not null")
     totals = counted.where("word is null").select("lang", F.col("a").alias("n"))
-    word_filter = make_filter(word_fps(words), filter_bits)
-    pairs = written(frequent(count_grams(keyed, range(2, 3), word_filter, None, fp_bits, held_grams), min_count), "phrase-pairs")
-    pointers = pairs
-    if max_words > 2:
-        pair_filter = make_filter(pairs.select("fp").distinct(), filter_bits)
-        longer = count_grams(keyed, range(3, max_words + 1), word_filter, pair_filter, fp_bits, held_grams)
-        pointers = pairs.unionByName(frequent(longer, min_count))
-    exact = point_out(keyed, pointers).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a")).where(F.col("a") >= min_count)
+    word_filter = make_filter(word_fps(words, fp_bits), filter_bits)
+    options = {"fp_bits": fp_bits, "held_grams": held_grams}
+    pointers = None
+    for n in range(2, min(max_words, 3) + 1):       # one after the other, so that one shuffle is held at a time
+        one = frequent(count_grams(keyed, range(n, n + 1), word_filter, 1, **options), min_count, f"phrases-{n}")
+        pointers = one if pointers is None else pointers.unionByName(one)
+    if max_words > 3:
+        triples = make_filter(one.select("fp").distinct(), filter_bits)
+        pointers = pointers.unionByName(
+            frequent(count_grams(keyed, range(4, max_words + 1), triples, 3, **options), min_count, "phrases-long"))
+    exact = point_out(keyed, pointers, max_words, fp_bits, filter_bits).groupBy("lang", "phrase", "words") \
+        .agg(F.sum("c").alias("a")).where(F.col("a") >= min_count)
     phrases = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a").unionByName(exact)
     return written(phrases, "phrases"), totals
 
@@ -406,7 +444,7 @@ def mine_collocations(docs: DataFrame, top: int = TOP, **options) -> DataFrame:
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 phrases of every language of all documents."""
-    return mine_collocations(table(spark, sf_dir, "documents"))
+    return mine_collocations(table(spark, sf_dir, "documents"), copy=False)
 
 
 ORACLE_SQL = f"""

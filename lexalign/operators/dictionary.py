@@ -105,14 +105,14 @@ def coverage(dic: DataFrame, src_emb: DataFrame, trg_emb: DataFrame,
                F.col("n_covered") / (F.col("n_covered") + F.col("n_oov"))).alias("coverage"))
 
 
-def vocab_gap(dicts: list[DataFrame], emb: DataFrame, side: str = "src") -> DataFrame:
+def vocab_gap(dicts: list[DataFrame], emb: DataFrame, side: str = "src", keys: Sequence[str] = ()) -> DataFrame:
     """Words of ``side`` in any of the dictionaries but not in the vocabulary."""
     col = f"{side}_word"
     words = None
     for d in dicts:
-        w = d.select(F.col(col).alias("word"))
+        w = d.select(*keys, F.col(col).alias("word"))
         words = w if words is None else words.unionByName(w)
-    return words.distinct().join(emb.select("word"), "word", "left_anti")
+    return words.distinct().join(emb.select(*keys, "word"), [*keys, "word"], "left_anti")
 
 
 def reverse(dic: DataFrame) -> DataFrame:

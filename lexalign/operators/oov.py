@@ -2,13 +2,9 @@
 
 * ``prefix_embeddings``: the vector of an unseen word is the mean of the
   vector of its longest in-vocabulary prefix and of the shortest vocabulary
-  word that extends it (a trie lookup re-expressed as two prefix equi joins:
-  the prefixes of each request word are exploded and joined to the
-  vocabulary; the prefixes of each vocabulary word, of the lengths that occur
-  among the requests, are aggregated to their best word and joined to the
-  requests).  The ``min_by`` aggregate comes before the join and is partial
-  (map-side), so a short request word that prefixes a third of the vocabulary
-  is one row a task.
+  word that extends it, found by a walk over the sorted words
+  (``operators.prefix``). With a ``space`` column on both sides every language's
+  requests are looked up in its own vocabulary, all of them in one job.
 * ``external_vectors``: vectors from an external command (``RDD.pipe``).
 * ``prepend``: new rows first, original ids shifted.
 """
@@ -16,63 +12,43 @@
 from __future__ import annotations
 
 import shlex
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexalign.operators import dictionary as D
+from lexalign.operators.prefix import prefix_search
+from lexalign.session import materialise
+from lexalign.sources import vectext
 from lexalign.sources.vectext import WS
 
 
-def _prefixes(df: DataFrame, word: str, proper: bool = True) -> DataFrame:
-    n = F.length(word) - (1 if proper else 0)
-    return (df.where(n >= 1)
-              .withColumn("_len", F.explode(F.sequence(F.lit(1), n)))
-              .withColumn("prefix", F.expr(f"substring({word}, 1, _len)")))
-
-
-def prefix_matches(words: DataFrame, emb: DataFrame, longer: bool = True) -> DataFrame:
-    """``(word, short_idx, short_word, long_idx, long_word)`` for each OOV request word."""
-    vocab = D.word_index(emb)                                   # (word, idx), last duplicate wins
-    req = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti")
-    # longest vocabulary word that is a proper prefix of the request word
-    rp = _prefixes(req, "word").select("word", "prefix", "_len")
-    short = (rp.join(vocab.select(F.col("word").alias("prefix"), F.col("idx").alias("s_idx")), "prefix")
-               .groupBy("word")
-               .agg(F.max_by(F.struct("s_idx", "prefix"), "_len").alias("s")))
-    out = req.join(short, "word", "left").select(
-        "word", F.col("s.s_idx").alias("short_idx"), F.col("s.prefix").alias("short_word"))
-    if longer:
-        # prefixes of the lengths that are asked for, the best word of each before the join:
-        # a partial aggregate, so a request word that starts a third of the vocabulary is spread
-        lengths = [r[0] for r in req.select(F.length("word").alias("n")).distinct().collect()]
-        wanted = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
-        vp = (vocab.select(F.col("word").alias("v_word"), "idx",
-                           F.explode(F.filter(wanted, lambda n: n < F.length("word"))).alias("_len"))
-                   .select("v_word", "idx", F.expr("substring(v_word, 1, _len)").alias("prefix")))
-        best = vp.groupBy("prefix").agg(F.min_by(F.struct("idx", "v_word"),
-                                                 F.struct(F.length("v_word"), F.col("idx"))).alias("l"))
-        ext = best.join(req.select(F.col("word").alias("prefix")), "prefix").withColumnRenamed("prefix", "word")
-        out = out.join(ext, "word", "left").select(
-            "word", "short_idx", "short_word", F.col("l.idx").alias("long_idx"),
-            F.col("l.v_word").alias("long_word"))
-    else:
-        out = out.select("word", "short_idx", "short_word",
-                         F.lit(None).cast("bigint").alias("long_idx"), F.lit(None).cast("string").alias("long_word"))
+def prefix_matches(words: DataFrame, emb: DataFrame, longer: bool = True, ranges: int | None = None) -> DataFrame:
+    """``(space, word, short_idx, short_word, long_idx)`` for each OOV request word ``(space, word)``."""
+    vocab = D.word_index(emb, keys=["space"])                   # (space, word, idx), last duplicate wins
+    found = prefix_search(words.select("space", "word"), vocab, ranges)
+    long_idx = F.col("long_idx") if longer else F.lit(None).cast("bigint")
+    out = found.select("space", "word", "short_idx", F.expr("substring(word, 1, short_len)").alias("short_word"), long_idx.alias("long_idx"))
     return out.where(F.col("short_idx").isNotNull() | F.col("long_idx").isNotNull())
 
 
-def prefix_embeddings(words: DataFrame, emb: DataFrame, longer: bool = True) -> DataFrame:
-    """``(word, vec)``: mean of the matched vectors; unmatched and in-vocabulary words dropped."""
-    m = prefix_matches(words, emb, longer)
-    vs = emb.select(F.col("idx").alias("short_idx"), F.col("vec").alias("sv"))
-    vl = emb.select(F.col("idx").alias("long_idx"), F.col("vec").alias("lv"))
-    j = m.join(vs, "short_idx", "left").join(vl, "long_idx", "left")
+def prefix_embeddings(words: DataFrame, emb: DataFrame, longer: bool = True, ranges: int | None = None) -> DataFrame:
+    """``(word, vec, short_word, long_word)``: mean of the matched vectors; unmatched and in-vocabulary words dropped.
+
+    If ``words`` and ``emb`` have a ``space`` column, so has the result.
+    """
+    keyed = "space" in words.columns and "space" in emb.columns
+    words, emb = (df if keyed else df.withColumn("space", F.lit(0).cast("bigint")) for df in (words, emb))
+    m = materialise(prefix_matches(words, emb, longer, ranges), "prefix-matches")
+    vs = emb.select("space", F.col("idx").alias("short_idx"), F.col("vec").alias("sv"))
+    vl = emb.select("space", F.col("idx").alias("long_idx"), F.col("vec").alias("lv"), F.col("word").alias("long_word"))
+    j = m.join(vs, ["space", "short_idx"], "left").join(vl, ["space", "long_idx"], "left")
     mean = (F.when(F.col("sv").isNotNull() & F.col("lv").isNotNull(),
                    F.zip_with("sv", "lv", lambda a, b: (a + b) / 2.0))
              .when(F.col("sv").isNotNull(), F.col("sv")).otherwise(F.col("lv")))
-    return j.select("word", mean.alias("vec"), "short_word", "long_word")
+    return j.select(*(["space"] if keyed else []), "word", mean.alias("vec"), "short_word", "long_word")
 
 
 def external_vectors(words: DataFrame, command: str, partitions: int | None = None) -> DataFrame:
@@ -93,22 +69,37 @@ def external_vectors(words: DataFrame, command: str, partitions: int | None = No
         F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.cast("double")).alias("vec"))
 
 
-def prepend(emb: DataFrame, new_rows: DataFrame, order_col: str = "word") -> DataFrame:
-    """New rows get ids ``0..n_new-1`` (ordered by ``order_col``), original ids shift by ``n_new``."""
+def prepend(emb: DataFrame, new_rows: DataFrame, order_col: str = "word", keys: Sequence[str] = ()) -> DataFrame:
+    """New rows get ids ``0..n_new-1`` (ordered by ``order_col``), original ids shift by ``n_new``; by ``keys`` if there are any."""
     from lexalign.functions import ranking
-    cols = ["word", "vec"] + ([order_col] if order_col not in ("word", "vec") else [])
-    numbered = ranking.row_number_global(new_rows.select(*cols), [F.col(order_col).asc()], "_pos")
-    n_new = numbered.count()
-    shifted = emb.select((F.col("idx") + F.lit(n_new)).cast("bigint").alias("idx"), "word", "vec")
-    return numbered.select((F.col("_pos") - 1).cast("bigint").alias("idx"), "word", "vec").unionByName(shifted)
+    cols = [*keys, "word", "vec"] + ([order_col] if order_col not in ("word", "vec") else [])
+    order = [*(F.col(k).asc() for k in keys), F.col(order_col).asc()]
+    numbered = ranking.row_number_global(new_rows.select(*cols), order, "_pos")
+    if keys:
+        sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))   # a row a key
+        numbered, shifted = numbered.join(F.broadcast(sizes), list(keys)), emb.join(F.broadcast(sizes), list(keys), "left")
+    else:
+        numbered, shifted = numbered.withColumn("_first", F.lit(1)), emb.withColumn("_n", F.lit(numbered.count()))
+    shifted = shifted.select(*keys, (F.col("idx") + F.coalesce("_n", F.lit(0))).cast("bigint").alias("idx"), "word", "vec")
+    return numbered.select(*keys, (F.col("_pos") - F.col("_first")).cast("bigint").alias("idx"), "word", "vec").unionByName(shifted)
 
 
 def extend_with_prefix(dicts: list[DataFrame], emb: DataFrame, side: str = "src",
                        longer: bool = True) -> DataFrame:
-    """Dictionary-driven extension: gap words of the dictionaries -> prefix vectors -> prepend."""
-    gap = D.vocab_gap(dicts, emb, side)
-    new = prefix_embeddings(gap, emb, longer).select("word", "vec")
-    return prepend(emb, new)
+    """Dictionary-driven extension: gap words of the dictionaries -> prefix vectors -> prepend.
+
+    If the dictionaries and ``emb`` have a ``space`` column, each space is extended by itself.
+    """
+    keys = ["space"] if "space" in emb.columns else []
+    gap = D.vocab_gap(dicts, emb, side, keys)
+    new = prefix_embeddings(gap, emb, longer).select(*keys, "word", "vec")
+    return prepend(emb, new, keys=keys)
+
+
+def extend_file(spark: SparkSession, vectors: str, dicts: list[DataFrame], out: str, side: str = "src", longer: bool = True) -> None:
+    """A vector file extended by the words that dictionaries ask for, written as a vector file."""
+    emb = materialise(vectext.read(spark, vectors), "vectors")
+    vectext.write_vec(materialise(extend_with_prefix(dicts, emb, side, longer), "extended"), out)
 
 
 def extend_with_external(dicts: list[DataFrame], emb: DataFrame, command: str, side: str = "src") -> DataFrame:

@@ -500,39 +500,43 @@ FROM c JOIN g ON g.src_idx = c.src_idx JOIN lang_s s ON s.idx = c.src_idx
 
 SQL["pairs_tsv"] = SQL["translate_csls"]
 
-_PREFIX = _TOK + """,
-vv AS (SELECT v.line - 1 AS idx, v.word, e.v AS vec FROM vocab_en v CROSS JOIN nn JOIN e ON e.i = v.line % nn.n),
-widx AS (SELECT word, max(idx) AS idx FROM vv GROUP BY word),
-req AS (SELECT DISTINCT token AS word FROM tok WHERE lang = 'de' AND token <> ''
-        AND token NOT IN (SELECT word FROM widx)),
-rp AS (SELECT word, l, substring(word, 1, l) AS prefix
-       FROM (SELECT word, unnest(range(1, length(word))) AS l FROM req)),
-short AS (SELECT rp.word, arg_max(w.idx, rp.l) AS s_idx, arg_max(w.word, rp.l) AS s_word
-          FROM rp JOIN widx w ON w.word = rp.prefix GROUP BY rp.word),
-vp AS (SELECT word AS v_word, idx, substring(word, 1, l) AS prefix
-       FROM (SELECT word, idx, unnest(range(1, length(word))) AS l FROM widx)),
-longer AS (SELECT r.word, arg_min(vp.idx, length(vp.v_word) * 1000000000 + vp.idx) AS l_idx,
+_NEXT_LANG = "CASE lang WHEN 'de' THEN 'fr' WHEN 'en' THEN 'de' WHEN 'es' THEN 'en' WHEN 'fr' THEN 'es' END"
+
+_PREFIX = _TOK + f""",
+words AS (SELECT lang, token AS word, count(*) AS cnt FROM tok WHERE token <> '' AND lang IN ('de', 'en', 'es', 'fr') GROUP BY ALL),
+vv AS (SELECT lang, word, line - 1 AS idx, e.v AS vec
+       FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, encode(word)) AS line FROM words)
+       CROSS JOIN nn JOIN e ON e.i = line % nn.n),
+req AS (SELECT r.lang, r.word FROM (SELECT {_NEXT_LANG} AS lang, word FROM words) r
+        WHERE NOT EXISTS (SELECT 1 FROM vv WHERE vv.lang = r.lang AND vv.word = r.word)),
+rp AS (SELECT lang, word, l, substring(word, 1, l) AS prefix
+       FROM (SELECT lang, word, unnest(range(1, length(word))) AS l FROM req)),
+short AS (SELECT rp.lang, rp.word, arg_max(w.idx, rp.l) AS s_idx, arg_max(w.word, rp.l) AS s_word
+          FROM rp JOIN vv w ON w.lang = rp.lang AND w.word = rp.prefix GROUP BY rp.lang, rp.word),
+vp AS (SELECT lang, word AS v_word, idx, substring(word, 1, l) AS prefix
+       FROM (SELECT lang, word, idx, unnest(range(1, length(word))) AS l FROM vv)),
+longer AS (SELECT r.lang, r.word, arg_min(vp.idx, length(vp.v_word) * 1000000000 + vp.idx) AS l_idx,
                   arg_min(vp.v_word, length(vp.v_word) * 1000000000 + vp.idx) AS l_word
-           FROM req r JOIN vp ON vp.prefix = r.word GROUP BY r.word),
-m AS (SELECT r.word, s.s_idx, s.s_word, l.l_idx, l.l_word FROM req r
-      LEFT JOIN short s ON s.word = r.word LEFT JOIN longer l ON l.word = r.word
+           FROM req r JOIN vp ON vp.lang = r.lang AND vp.prefix = r.word GROUP BY r.lang, r.word),
+m AS (SELECT r.lang, r.word, s.s_idx, s.s_word, l.l_idx, l.l_word FROM req r
+      LEFT JOIN short s ON s.lang = r.lang AND s.word = r.word LEFT JOIN longer l ON l.lang = r.lang AND l.word = r.word
       WHERE s.s_idx IS NOT NULL OR l.l_idx IS NOT NULL),
-res AS (SELECT m.word, m.s_word, m.l_word,
+res AS (SELECT m.lang, m.word, m.s_word, m.l_word,
                CASE WHEN a.vec IS NOT NULL AND b.vec IS NOT NULL
                     THEN list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] + p[2]) / 2.0)
                     WHEN a.vec IS NOT NULL THEN a.vec ELSE b.vec END AS vec
-        FROM m LEFT JOIN vv a ON a.idx = m.s_idx LEFT JOIN vv b ON b.idx = m.l_idx)"""
+        FROM m LEFT JOIN vv a ON a.lang = m.lang AND a.idx = m.s_idx LEFT JOIN vv b ON b.lang = m.lang AND b.idx = m.l_idx),
+sizes AS (SELECT lang, count(*) AS n_new FROM res GROUP BY lang),
+extended AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY encode(word)) - 1 AS idx, word, vec FROM res
+  UNION ALL SELECT vv.lang, vv.idx + coalesce(n_new, 0), vv.word, vv.vec FROM vv LEFT JOIN sizes USING (lang))"""
 
 SQL["prefix_oov"] = _with(_PREFIX) + """
-SELECT word, s_word AS short_word, l_word AS long_word, round(vec[1], 6) AS v_first, round(list_sum(vec), 6) AS v_sum
+SELECT lang, word, s_word AS short_word, l_word AS long_word, round(vec[1], 6) AS v_first, round(list_sum(vec), 6) AS v_sum
 FROM res
 """
 
-SQL["oov_prepend"] = _with(_PREFIX) + """
-SELECT (row_number() OVER (ORDER BY word) - 1)::BIGINT AS idx, word FROM res
-UNION ALL
-SELECT (idx + (SELECT count(*) FROM res))::BIGINT AS idx, word FROM vv
-"""
+SQL["oov_prepend"] = _with(_PREFIX) + "SELECT lang, idx::BIGINT AS idx, word FROM extended"
 
 
 # --------------------------------------------------------------------------- fits
@@ -605,11 +609,21 @@ FROM req JOIN c ON c.src_idx = req.idx JOIN ex ON ex.src_idx = c.src_idx JOIN la
 """
 
 SQL["oov_extend"] = _with(_PREFIX) + """
-SELECT (row_number() OVER (ORDER BY word) - 1)::BIGINT AS idx, word, round(vec[1], 6) AS v_first,
-       round(list_sum(vec), 6) AS v_sum FROM res
-UNION ALL
-SELECT (idx + (SELECT count(*) FROM res))::BIGINT AS idx, word, round(vec[1], 6) AS v_first,
-       round(list_sum(vec), 6) AS v_sum FROM vv
+SELECT lang, idx::BIGINT AS idx, word, round(vec[1], 6) AS v_first, round(list_sum(vec), 6) AS v_sum FROM extended
+"""
+
+SQL["oov_extend_file"] = _with(
+    "asked AS (SELECT DISTINCT CASE WHEN part = 'test' THEN src_word || '0x' ELSE src_word END AS word FROM dict_st)",
+    "gap AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM lang_s))",
+    "short AS (SELECT g.word, arg_max(s.idx, length(s.word)) AS i FROM gap g JOIN lang_s s ON starts_with(g.word, s.word) GROUP BY g.word)",
+    "longer AS (SELECT g.word, arg_min(s.idx, length(s.word) * 1000000000 + s.idx) AS i FROM gap g "
+    "JOIN lang_s s ON starts_with(s.word, g.word) GROUP BY g.word)",
+    "six AS (SELECT idx, word, CAST(printf('%.6g', vec[1]) AS DOUBLE) AS v FROM lang_s)",
+    "new AS (SELECT g.word, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN (a.v + b.v) / 2 ELSE coalesce(a.v, b.v) END AS v "
+    "FROM gap g LEFT JOIN short s ON s.word = g.word LEFT JOIN six a ON a.idx = s.i "
+    "LEFT JOIN longer l ON l.word = g.word LEFT JOIN six b ON b.idx = l.i WHERE s.i IS NOT NULL OR l.i IS NOT NULL)") + """
+SELECT (row_number() OVER (ORDER BY encode(word)) - 1)::BIGINT AS idx, word, CAST(printf('%.6g', v) AS DOUBLE) AS v_first FROM new
+UNION ALL SELECT (idx + (SELECT count(*) FROM new))::BIGINT, word, v FROM six
 """
 
 

@@ -736,36 +736,64 @@ def translate_topn_nn(spark, sf):
 # --------------------------------------------------------------------------- OOV
 
 def _oov_request(spark, sf):
-    return FX.tokens(spark, sf, "de").select(F.col("token").alias("word")).distinct()
+    """``(space, word)``: the tokens of the next language (of ``LANGS``), asked for in each language."""
+    out = None
+    for i in range(len(LANGS)):
+        one = FX.tokens(spark, sf, LANGS[(i + 1) % len(LANGS)]).select(F.lit(i).cast("bigint").alias("space"), F.col("token").alias("word"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def _vocabularies(spark, sf):
+    """``(space, idx, word, vec)`` of all languages."""
+    out = None
+    for i, lang in enumerate(LANGS):
+        one = FX.vocab_raw(spark, sf, lang).select(F.lit(i).cast("bigint").alias("space"), (F.col("line") - 1).cast("bigint").alias("idx"),
+                                                   "word", "vec")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def _vocab_en_table(spark, sf):
-    return _vocab_en(spark, sf).select((F.col("line") - 1).cast("bigint").alias("idx"), "word", "vec")
+def _named(df):
+    return df.withColumn("lang", F.array(*map(F.lit, LANGS))[F.col("space").cast("int")]).drop("space")
 
 
 def prefix_oov(spark, sf):
+    """Vectors for unseen words in every language, from the words' longest prefixes and shortest extensions."""
     from lexalign.operators import oov
-    emb = _vocab_en_table(spark, sf)
-    out = oov.prefix_embeddings(_oov_request(spark, sf), emb)
-    return out.select("word", "short_word", "long_word", _r(F.col("vec")[0]).alias("v_first"),
-                      _r(V.vsum("vec")).alias("v_sum"))
+    out = oov.prefix_embeddings(_oov_request(spark, sf), _vocabularies(spark, sf))
+    return _named(out).select("lang", "word", "short_word", "long_word", _r(F.col("vec")[0]).alias("v_first"),
+                              _r(V.vsum("vec")).alias("v_sum"))
 
 
 def oov_prepend(spark, sf):
+    """The same words put before every vocabulary."""
     from lexalign.operators import oov
-    emb = _vocab_en_table(spark, sf)
-    new = oov.prefix_embeddings(_oov_request(spark, sf), emb).select("word", "vec")
-    out = oov.prepend(emb, new)
-    return out.select(F.col("idx").cast("bigint"), "word")
+    emb = _vocabularies(spark, sf)
+    new = oov.prefix_embeddings(_oov_request(spark, sf), emb).select("space", "word", "vec")
+    return _named(oov.prepend(emb, new, keys=["space"])).select("lang", F.col("idx").cast("bigint"), "word")
 
 
 def oov_extend(spark, sf):
-    """Dictionary-driven extension: words a dictionary asks for -> prefix vectors -> prepended."""
+    """Dictionary-driven extension of every language: words a dictionary asks for -> prefix vectors -> prepended."""
     from lexalign.operators import oov
-    wanted = _oov_request(spark, sf).select(F.col("word").alias("src_word"), F.col("word").alias("trg_word"))
-    out = oov.extend_with_prefix([wanted], _vocab_en_table(spark, sf), "src")
-    return out.select(F.col("idx").cast("bigint"), "word", _r(F.col("vec")[0]).alias("v_first"),
-                      _r(V.vsum("vec")).alias("v_sum"))
+    wanted = _oov_request(spark, sf).select("space", F.col("word").alias("src_word"), F.col("word").alias("trg_word"))
+    out = oov.extend_with_prefix([wanted], _vocabularies(spark, sf), "src")
+    return _named(out).select("lang", F.col("idx").cast("bigint"), "word", _r(F.col("vec")[0]).alias("v_first"),
+                              _r(V.vsum("vec")).alias("v_sum"))
+
+
+def oov_extend_file(spark, sf):
+    """A written vector file extended by the words a dictionary asks for; the file that comes of it is read back."""
+    from lexalign.operators import oov
+    from lexalign.sources import vectext
+    src, out = _scratch(spark, "lang_s.vec"), _scratch(spark, "extended.vec")
+    s, d = FX.lang_s(spark, sf), FX.dictionary(spark, sf)
+    vectext.write_vec(s, src)
+    asked = d.select(F.concat("src_word", F.when(F.col("part") == "test", F.lit("0x")).otherwise(F.lit(""))).alias("src_word"), "trg_word")
+    oov.extend_file(spark, src, [asked], out)
+    back = vectext.read(spark, out)
+    return back.select(F.col("idx").cast("bigint").alias("idx"), "word", F.col("vec")[0].alias("v_first"))
 
 
 # --------------------------------------------------------------------------- fits
@@ -1010,6 +1038,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_oov": prefix_oov,
     "oov_prepend": oov_prepend,
     "oov_extend": oov_extend,
+    "oov_extend_file": oov_extend_file,
     "map_db": map_db,
     "evaluate_from_files": evaluate_from_files,
     "request_words": request_words,

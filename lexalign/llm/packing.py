@@ -8,8 +8,11 @@ give a lower bound of the bins that any packing of the partition needs; where it
 equals the bins used, the partition is certified as optimal. The partitions with a
 gap give up the pieces of their bins that are not full; these are dealt anew, into half
 as many partitions, and best-fit decreasing runs again. The new bins replace the old
-ones if they are fewer. This goes on until no partition has a gap or ``ROUNDS`` deals
-were made, so a partition has ``PART_ROWS * 2 ** ROUNDS`` pieces at most.
+ones if they are fewer. Partitions grow to ``PART_ROWS * 2 ** DOUBLINGS`` pieces; from then on deals go on at that size as
+long as they save bins, and end after ``PATIENCE`` that do not, or when no partition has a gap or there is one left.
+
+The certificate has a row for every partition that stands in the end: its bins, its bound, and whether they are equal.
+Bins that are full need no partner, so those of partitions that gave up the others are rows of their own.
 
 Every round is one shuffle of ``(uid, length)`` rows; texts and ids are not moved.
 A partition's size does not depend on the data, so no task grows with the input.
@@ -30,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexalign.llm.common import session_for_text, table, written
-from lexalign.llm.tokens import default_path, encoder
+from lexalign.llm.batch_tokens import batch_encoder
+from lexalign.llm.common import session_for_text, table, utf8, written
+from lexalign.llm.tokens import default_path
 
 SIZE = 2048
 PART_ROWS = 1 << 16
-ROUNDS = 3
-#: Entries of the encoder's caches: half the usual, as packing runs beside what earlier stages left.
-CACHES = (200_000, 400_000)
+DOUBLINGS = 3
+PATIENCE = 2
 
 PIECES_SCHEMA = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -49,11 +52,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = SIZE, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        enc = encoder(path, *CACHES)
+        enc = batch_encoder(path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.ids(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(utf8(batch.column(1)))):
+                ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % size or min(n, size), n + 1, size)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -132,55 +135,80 @@ def _bins(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
 
 
-def pack(short: DataFrame, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, list[dict]]:
-    """``(uid, sequence, offset)`` for the items ``(uid, length)``, and what each round came to."""
+CERTIFICATE_SCHEMA = "turn int, kind string, part long, bins long, bound long"
+
+
+def pack(short: DataFrame, part_rows: int = PART_ROWS, doublings: int = DOUBLINGS,
+         patience: int = PATIENCE) -> tuple[DataFrame, DataFrame]:
+    """``(uid, sequence, offset)`` for the items ``(uid, length)``, and the certificate ``(turn, kind, part, bins, bound)``."""
     def run(items: DataFrame, n: int, turn: int) -> DataFrame:
-        parts = max(1, -(-n // (part_rows << turn)))
+        parts = max(1, -(-n // (part_rows << min(turn, doublings))))
         dealt = items.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
         return written(dealt.groupBy("part").applyInArrow(_pack_part, PACKED_SCHEMA), "packed")
 
-    def placed(packed: DataFrame, turn: int) -> DataFrame:
-        sequence = F.col("part") * (1 << 24) + F.col("bin") + (turn << 56)
+    def placed(packed: DataFrame, level: int) -> DataFrame:
+        sequence = F.col("part") * (1 << 24) + F.col("bin") + (level << 56)
         return packed.select("uid", sequence.alias("sequence"), "offset")
 
+    def report(rows: DataFrame, level: int, kind: str) -> DataFrame:
+        return rows.select(F.lit(level).alias("turn"), F.lit(kind).alias("kind"), "part", "bins", "bound")
+
     now = run(short.select("uid", "length"), short.count(), 0)
-    done, log = [], []
-    turn = 0
+    done, certificate = [], []
+    turn, level, misses = 0, 0, 0
     while True:
-        sums = _bins(now).agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.count("*").alias("parts"),
-                              F.sum(F.when(F.col("bins") > F.col("bound"), 1).otherwise(0)).alias("gaps")).first()
-        log.append(sums.asDict() | {"turn": turn})
-        if turn == rounds or not sums["gaps"] or sums["parts"] == 1:
+        found = written(_bins(now), "bins")
+        open_parts = found.where("bins > bound").select("part")
+        sums = found.agg(F.count("*").alias("parts"), F.count_if(F.col("bins") > F.col("bound")).alias("gaps")).first()
+        if not sums["gaps"] or sums["parts"] == 1 or level == 127:
             break
-        open_parts = _bins(now).where("bins > bound").select("part")
-        pool = written(now.join(open_parts, "part", "left_semi").where(F.col("fill") < SIZE), "exchanged")
-        before = pool.select("part", "bin").distinct().count()
-        again, after, n = None, before, pool.count()
-        while n and turn < rounds and after >= before:      # other deals until one saves bins
+        given = now.join(F.broadcast(open_parts), "part", "left_semi")         # bounded: a row a partition
+        pool = written(given.where(F.col("fill") < SIZE), "exchanged")
+        before, n = pool.select("part", "bin").distinct().count(), pool.count()
+        again, after = None, before
+        while n and after >= before and misses < patience:                     # other deals until one saves bins
             turn += 1
             again = run(pool.select("uid", "length"), n, turn)
             after = _bins(again).agg(F.sum("bins")).first()[0]
+            misses = 0 if after < before else misses + (turn >= doublings)
         if after >= before:
             break
-        done.append(placed(now.join(pool.select("uid"), "uid", "left_anti"), len(done)))
-        now = again
-    out = placed(now, len(done))
+        stays = found.where("bins = bound")
+        full = given.where(F.col("fill") == SIZE).groupBy("part").agg(F.count_distinct("bin").alias("bins")).withColumn("bound", F.col("bins"))
+        certificate += [report(stays, level, "partition"), report(full, level, "full bins")]
+        done.append(placed(now.join(pool.select("uid"), "uid", "left_anti"), level))
+        now, level = again, level + 1
+    out, rows = placed(now, level), report(found, level, "partition")
     for part in done:
         out = out.unionAll(part)
-    return out, log
+    for part in certificate:
+        rows = rows.unionAll(part)
+    return out, rows
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Every piece of ``docs`` with its sequence and its place there."""
+def pack_with_certificate(docs: DataFrame, path: str, end_id: int, part_rows: int = PART_ROWS, doublings: int = DOUBLINGS,
+                          patience: int = PATIENCE) -> tuple[DataFrame, DataFrame]:
+    """Every piece of ``docs`` with its sequence and its place there, and the certificate of all sequences."""
     session_for_text(docs.sparkSession)
     found = written(pieces(docs, path, end_id), "pieces")
     whole = found.where(F.col("length") == SIZE).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0))
     short = found.where(F.col("length") < SIZE)
-    places, _ = pack(short, part_rows, rounds)
+    places, certificate = pack(short, part_rows, doublings, patience)
     placed = short.join(places, "uid").withColumnRenamed("sequence", "sequence_id")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return whole.select(columns).unionAll(placed.select(columns)).withColumn("length", F.col("length").cast("long")) \
+    packed = whole.select(columns).unionAll(placed.select(columns)).withColumn("length", F.col("length").cast("long")) \
         .withColumn("offset", F.col("offset").cast("long"))
+    filled = whole.agg(F.lit(0).alias("turn"), F.lit("whole pieces").alias("kind"), F.lit(None).cast("long").alias("part"),
+                       F.count("*").alias("bins"), F.count("*").alias("bound"))
+    return packed, certificate.unionAll(filled).withColumn("certified", F.col("bins") == F.col("bound"))
+
+
+def pack_documents(docs: DataFrame, path: str, end_id: int, certificate_path: str | None = None, **options) -> DataFrame:
+    """Every piece of ``docs`` with its sequence and its place there; the certificate is written if it has a path."""
+    packed, certificate = pack_with_certificate(docs, path, end_id, **options)
+    if certificate_path:
+        certificate.write.parquet(certificate_path)
+    return packed
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

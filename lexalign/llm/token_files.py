@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexalign.llm.common import arrow_rows, per_batch, session_for_text, shuffle_width, table, written
-from lexalign.llm.tokens import default_path, encoder
+from lexalign.llm.batch_tokens import batch_encoder
+from lexalign.llm.common import arrow_rows, per_batch, session_for_text, shuffle_width, table, utf8, written
+from lexalign.llm.tokens import default_path
 
 BLOCK_TOKENS = 1 << 20
 
@@ -67,13 +68,11 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: the ids of every text and the end id, as little-endian bytes of the width the vocabulary needs."""
-    width = "<u2" if encoder(path).library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    end = np.array([end_id], dtype="<u4").tobytes()
+    width = "<u2" if batch_encoder(path).one.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    end = np.array([end_id], dtype=width).tobytes()
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encoder(path).ids
-        rows = [np.frombuffer(ids(t or "") + end, dtype="<u4").astype(width).tobytes()
-                for t in batch.column(1).to_pylist()]
+        rows = [ids + end for ids in batch_encoder(path).encode(utf8(batch.column(1)), width)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col) \

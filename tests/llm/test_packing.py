@@ -62,15 +62,8 @@ def test_documents(spark):
     assert packing.pack_documents(df.where("doc_id = -1"), PATH, 0).collect() == []
 
 
-@pytest.mark.parametrize("part_rows", [50, 1000])
-def test_exchange_saves_bins(spark, part_rows):
-    rng = np.random.default_rng(4)
-    lengths = rng.integers(400, 1100, 1000)
-    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "uid long, length int")
-    places, log = packing.pack(df, part_rows=part_rows)
-    rows = places.collect()
-    assert sorted(r.uid for r in rows) == list(range(1000))
-    assert len({r.sequence for r in rows}) <= log[0]["bins"]
+def placed(rows, lengths):
+    """Sequences in use, after a look that they are gapless and hold what they can."""
     fill = {}
     for r in rows:
         fill.setdefault(r.sequence, []).append((r.offset, int(lengths[r.uid])))
@@ -78,3 +71,34 @@ def test_exchange_saves_bins(spark, part_rows):
         inside.sort()
         assert [o for o, _ in inside] == np.cumsum([0] + [n for _, n in inside])[:-1].tolist()
         assert sum(n for _, n in inside) <= 2048
+    return len(fill)
+
+
+@pytest.mark.parametrize("part_rows", [50, 1000])
+def test_exchange_saves_bins(spark, part_rows):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(400, 1100, 1000)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "uid long, length int")
+    first = placed(packing.pack(df, part_rows=part_rows, patience=0)[0].collect(), lengths)
+    places, certificate = packing.pack(df, part_rows=part_rows)
+    rows, stands = places.collect(), certificate.collect()
+    assert sorted(r.uid for r in rows) == list(range(1000))
+    used = placed(rows, lengths)
+    assert used == sum(r.bins for r in stands) and all(r.bins >= r.bound for r in stands)
+    assert packing.lower_bound(lengths) <= used <= first
+    if part_rows == 50:
+        assert used <= first - 5 and len({r.turn for r in stands}) >= 3         # more than one exchange saved bins
+        assert used <= packing.best_fit_decreasing(lengths)[2] * 1.01 + 1          # nearly as one partition of all
+
+
+def test_certificate_covers_all_sequences(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, "word " * int(rng.integers(1, 5000)), 1) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, certified int")
+    packed, certificate = packing.pack_with_certificate(df, PATH, 0, part_rows=20)
+    got = certificate.collect()
+    assert packed.select("sequence_id").distinct().count() == sum(r.bins for r in got)
+    assert all(r.certified == (r.bins == r.bound) for r in got) and any(r.kind == "whole pieces" and r.bins for r in got)
+    packing.pack_documents(df, PATH, 0, str(tmp_path / "certificate"))
+    one = spark.read.parquet(str(tmp_path / "certificate")).where("kind = 'partition'").collect()
+    assert len(one) == 1 and one[0].bound <= one[0].bins

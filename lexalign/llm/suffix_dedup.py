@@ -26,7 +26,7 @@ each chunk and bucket; an answer is one bit a question. So a passage that a thir
 all documents share is in a group of one entry a chunk. The chunks are a table bucketed by
 chunk, compressed once: joining the answers to them moves no text.
 
-Phrases are compared by 64-bit hashes, suffixes byte by byte.
+Phrases are compared by two 64-bit hashes with different multipliers, suffixes byte by byte.
 
 Defined results: a null text is empty, and so is what is kept of it; texts under
 ``LENGTH`` bytes stay whole; matches never cross documents; a null id counts as larger
@@ -63,16 +63,17 @@ BUCKET_BYTES = 1 << 25
 NO_ID = np.iinfo(np.int64).max
 
 TRIGGER, SEVERAL, PHRASE, SUFFIX = range(4)
-MULTIPLIER = np.uint64(seed64("rolling hash") | 1)
+MULTIPLIER, SECOND = (np.uint64(seed64(name) | 1) for name in ("rolling hash", "second hash"))
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random odd number for each byte, and the powers of the multiplier and of its inverse."""
+@lru_cache(maxsize=2)
+def _powers(multiplier: np.uint64 = MULTIPLIER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random odd number for each byte, and the powers of a multiplier and of its inverse."""
     n = STEP + LENGTH + 1
-    byte = np.random.default_rng(seed64("bytes")).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-    power = [np.cumprod(np.r_[np.uint64(1), np.full(n, x, dtype=np.uint64)], dtype=np.uint64) for x in (MULTIPLIER, inverse)]
+    name = "bytes" if multiplier == MULTIPLIER else f"bytes of {multiplier}"
+    byte = np.random.default_rng(seed64(name)).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    inverse = np.uint64(pow(int(multiplier), -1, 1 << 64))
+    power = [np.cumprod(np.r_[np.uint64(1), np.full(n, x, dtype=np.uint64)], dtype=np.uint64) for x in (multiplier, inverse)]
     return byte, power[0], power[1]
 
 
@@ -100,6 +101,19 @@ class Parse:
             for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
         self.doc = ids[np.searchsorted(ends, self.first, side="right")]
 
+    def second(self, chosen: np.ndarray) -> np.ndarray:
+        """Another hash of the bytes of chosen phrases, of other numbers and powers."""
+        out = np.zeros(len(chosen), dtype=np.uint64)
+        byte, power, inverse = _powers(SECOND)
+        first, end = self.first[chosen], self.last[chosen] + LENGTH
+        for at in range(0, max(0, len(self.text) - LENGTH + 1), STEP):
+            mine = np.flatnonzero((first >= at) & (first < at + STEP))        # a phrase ends within LENGTH - 1 bytes of its step
+            text = self.text[at:at + STEP + LENGTH - 1]
+            prefix = np.zeros(len(text) + 1, dtype=np.uint64)
+            np.cumsum(byte[text] * power[:len(text)], out=prefix[1:])
+            out[mine] = _spread((prefix[end[mine] - at] - prefix[first[mine] - at]) * inverse[first[mine] - at])
+        return out
+
     def _step(self, at: int, whole: np.ndarray) -> tuple[np.ndarray, ...]:
         byte, power, inverse = _powers()
         text = self.text[at:at + STEP + LENGTH - 1]
@@ -135,8 +149,16 @@ class Parse:
 class Questions:
     """Distinct keys of a chunk in the order of their buckets, the smallest document of each."""
 
-    def __init__(self, keys: np.ndarray, docs: np.ndarray, buckets: int):
-        self.keys, self.row, self.of = np.unique(keys, return_index=True, return_inverse=True)
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, buckets: int, more: np.ndarray | None = None):
+        if more is None:
+            self.keys, self.row, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        else:           # keys of 128 bits
+            order = np.lexsort((more, keys))
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+            self.row, self.of = order[new], np.empty(len(keys), dtype=np.int64)
+            self.of[order] = np.cumsum(new) - 1
+            self.keys, self.more = keys[self.row], more[self.row]
         self.low = np.full(len(self.keys), NO_ID)
         np.minimum.at(self.low, self.of, docs)
         bucket = (self.keys % np.uint64(buckets)).astype(np.int64)
@@ -186,7 +208,7 @@ class Chunk:
         live = t.answers(answers[TRIGGER]) | (np.bincount(t.of, minlength=len(t.keys)) > 1)
         self.live = live = np.flatnonzero(live[t.of])
         self.several = Questions(p.trigger[live], p.doc[live], buckets)
-        self.phrases = Questions(p.phrase[live], p.doc[live], buckets)
+        self.phrases = Questions(p.phrase[live], p.doc[live], buckets, p.second(live))
         # the phrase of a trigger, or 0 for several
         some = p.phrase[live][self.several.row]
         mixed = np.zeros(len(some), dtype=bool)
@@ -212,7 +234,8 @@ class Chunk:
     def ask_dictionary(self) -> Iterator[tuple]:
         s, q = self.several, self.phrases
         yield from s.rows(SEVERAL, lambda i: _short(s.keys[i], 5) + _short(self.one_phrase[i], 6))
-        yield from q.rows(PHRASE, lambda i: q.keys[i].astype("<u8").tobytes() + _PACK.compress(q.low[i].astype("<i8").tobytes()))
+        yield from q.rows(PHRASE, lambda i: np.stack([q.keys[i], q.more[i]], axis=1).astype("<u8").tobytes()
+                          + _PACK.compress(q.low[i].astype("<i8").tobytes()))
 
     def ask_suffixes(self) -> Iterator[tuple]:
         q = self.suffixes
@@ -260,8 +283,8 @@ def answer(key: tuple, rows: pa.Table) -> pa.Table:
         yes = np.repeat((low != high) | (low == 0), size)
     else:
         if kind == PHRASE:
-            keys = np.concatenate([np.frombuffer(d, dtype="<u8", count=k) for d, k in zip(data, n)])
-            docs = [d[8 * k:] for d, k in zip(data, n.tolist())]
+            keys = np.concatenate([np.frombuffer(d, dtype="S16", count=k) for d, k in zip(data, n)])
+            docs = [d[16 * k:] for d, k in zip(data, n.tolist())]
         else:
             cut = [int.from_bytes(d[:4], "little") for d in data]
             keys = np.frombuffer(b"".join(_UNPACK.decompress(d[4:4 + c]) for d, c in zip(data, cut)), dtype=f"S{LENGTH}")
@@ -384,7 +407,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = answered(with_answers(found, ask_dictionary, ASKED), "dictionary")
         found = found.unionAll(more)
         found = found.unionAll(answered(with_answers(found, ask_suffixes, ASKED), "suffixes"))
-    return with_answers(found, cut, KEPT + ", md5 string" if with_md5 else KEPT)
+    out = with_answers(found, cut, KEPT + ", md5 string" if with_md5 else KEPT)
+    spark.sql(f"DROP TABLE {name}")          # the name goes; the files stay in the shared folder until the result is read
+    return out
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

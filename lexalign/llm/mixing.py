@@ -7,24 +7,28 @@ repeated more than ``max_epochs`` times. The budget in tokens is given, or is th
 smallest that uses every document at least once.
 
 The weights become rows by block permutations. Each source's documents are dealt
-into blocks of about ``BLOCK_TOKENS`` by a hash. A source that gets ``e`` whole
-epochs and a rest of its budget yields all its documents ``e`` times; for the rest its
-blocks are put into a new random order, and are taken while they fit; the block in which
-the budget ends gives its documents, in random order too, as long as they fit.
+into blocks of about ``BLOCK_TOKENS`` by a hash of the row. Every epoch puts the source's blocks, and the documents
+of each block, into a new random order: ``block_at`` and ``doc_at``, hashes of the epoch's number, so that rows in the order of
+``(copy, block_at, doc_at)`` are the permuted blocks one after the other. A source that gets ``e`` whole
+epochs and a rest of its budget yields all its documents ``e`` times; of the last epoch it yields the
+blocks that come first, while they fit; the block in which the budget ends gives its documents in their order, as long as
+they fit.
 
 Only sums by source and by block are shuffled. The plan has one row a source: the
 whole epochs and where the last one stops (the hash of a block and of a document), so
 choosing rows is a comparison beside a small join, and texts stay where they are.
-The windows run over the blocks of one source, of which there are as many as it has
-``BLOCK_TOKENS``, and over the documents of one block.
+Where the budget of a source ends is found by narrowing: sums by the first twelve bits of the blocks' places, then by the next
+twelve of the range that holds the end, then by block. No window is over more than 4,096 sums, one source's
+blocks of a sixteen-millionth part of their places, or the documents of one block.
 
-Tokens are words between blanks unless a column holds their number.
+Tokens are those of a tokenizer's file, or, without one, words between blanks, unless a column holds their number.
 
 Defined results: a null source is a source; a null text or number counts as no
 tokens, and a document without tokens comes along whenever its place is within the
-budget; sources without tokens are in no mix but keep their rows once; repeated rows
-are drawn together; ties of hashes are drawn together; an empty table gives an
-empty result. ``copy`` and ``block`` are added to the columns; columns of the input with these
+budget; sources without tokens are in no mix but keep their rows once; a row's place depends on its id, text and number of
+tokens, so rows that share or lack an id are dealt like others, and only rows with all of them equal are
+drawn together, as are ties of hashes; an empty table gives an
+empty result. ``copy`` (the epoch), ``block``, ``block_at`` and ``doc_at`` are added to the columns; columns of the input with these
 names are replaced.
 """
 
@@ -37,7 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexalign.llm.common import session_for_text, table, utf8, written
+from lexalign.llm.batch_tokens import ROWS, batch_encoder
+from lexalign.llm.common import hashes, session_for_text, table, utf8, written
+from lexalign.llm.tokens import default_path
 
 BLOCK_TOKENS = 1 << 16
 MAX_EPOCHS = 1.5
@@ -101,14 +107,19 @@ def solve_weights(tokens: np.ndarray, budget: float | None = None, max_epochs: f
     return w, exponent, goal
 
 
-def with_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Number of words of every row, as ``_tokens``; the text is not copied into Python's output."""
+#: Columns that the mix adds.
+PLACES = ("copy", "block", "block_at", "doc_at")
+
+
+def with_tokens(keyed: DataFrame, path: str | None = None) -> DataFrame:
+    """Number of tokens of the rows ``(_key, _source, _text)``, as ``_tokens``; the text is not copied into Python's output."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(t.split()) for t in utf8(batch.column(2))]
+            texts = utf8(batch.column(2))
+            n = [len(ids) // 2 for ids in batch_encoder(path).encode(texts, "<u2")] if path else [len(t.split()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())],
                                              names=["_key", "_source", "_tokens"])
-    return docs.select("_key", "_source", text_col).mapInArrow(count, "_key long, _source string, _tokens long")
+    return keyed.select("_key", "_source", "_text").mapInArrow(count, "_key long, _source string, _tokens long")
 
 
 def _order(turn, what: str, *columns: str):
@@ -116,6 +127,21 @@ def _order(turn, what: str, *columns: str):
     return F.xxhash64(F.lit(SEED), F.lit(what), turn, *columns)
 
 
+def _end(rows: DataFrame, place) -> DataFrame:
+    """``(s, at, left)``: the place, of those of a source's rows ``(source, rest, n)``, in which ``rest`` is passed, and what is left there."""
+    sums = rows.groupBy("source", "rest", place.alias("at")).agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return sums.withColumn("end", so_far).where((F.col("end") > F.col("rest")) & (F.col("end") - F.col("n") <= F.col("rest"))) \
+        .groupBy("source").agg(F.min(F.struct("at", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))).alias("b")) \
+        .select(F.col("source").alias("s"), "b.at", "b.left")
+
+
+def _inside(rows: DataFrame, found: DataFrame, place) -> DataFrame:
+    """The rows at the found places of their sources, with what is left there as ``rest``."""
+    same = F.col("source").eqNullSafe(F.col("s")) & (place == F.col("at"))
+    return rows.drop("rest").join(F.broadcast(found), same).withColumnRenamed("left", "rest").drop("s", "at")      # a row a source
+
+
 def mixing_plan(keyed: DataFrame, budget: float | None = None, max_epochs: float | None = MAX_EPOCHS,
                 target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a source from the rows ``(_key, _source, _tokens)``.
@@ -135,55 +161,54 @@ def mixing_plan(keyed: DataFrame, budget: float | None = None, max_epochs: float
                      int(share - epochs * n) if n else 0))
     plan = spark.createDataFrame(rows, "source string, tokens long, weight double, exponent double, epochs int, "
                                        "blocks long, rest long")
-    placed = keyed.join(plan, F.col("_source").eqNullSafe(F.col("source"))).where("rest > 0") \
+    placed = keyed.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("source"))).where("rest > 0") \
         .withColumn("block", F.pmod(F.xxhash64("_key", F.lit(SEED)), F.col("blocks"))) \
         .withColumn("block_at", _order(F.col("epochs"), "block", "block")) \
-        .withColumn("doc_at", _order(F.col("epochs"), "doc", "_key"))
-    blocks = placed.groupBy("source", "rest", "block", "block_at").agg(F.sum("_tokens").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("block_at", "block").rowsBetween(Window.unboundedPreceding, 0))
-    last = blocks.withColumn("end", so_far).where((F.col("end") > F.col("rest")) & (F.col("end") - F.col("n") <= F.col("rest"))) \
-        .groupBy("source").agg(F.min(F.struct("block_at", "block", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))).alias("b")) \
-        .select(F.col("source").alias("s"), "b.block_at", F.col("b.block").alias("last"), "b.left")
-    inside = placed.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("last")))
-    at_doc = F.sum("_tokens").over(Window.partitionBy("source").orderBy("doc_at"))
-    docs = inside.withColumn("end", at_doc).groupBy("s").agg(
-        F.max(F.when(F.col("end") <= F.col("left"), F.col("doc_at"))).alias("last_doc"))
-    found = last.join(docs.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left") \
-        .select("s", F.col("block_at").alias("last_block"), "last_doc")
+        .withColumn("doc_at", _order(F.col("epochs"), "doc", "_key")) \
+        .select("source", "rest", "block_at", "doc_at", F.col("_tokens").alias("n"))
+    coarse, fine = F.shiftright("block_at", 52), F.shiftright("block_at", 40)
+    here = _inside(placed, _end(placed, coarse), coarse)
+    here = _inside(here, written(_end(here, fine), "mixing-range"), fine)
+    last = written(_end(here, F.col("block_at")), "mixing-block")
+    docs = _inside(placed, last, F.col("block_at"))
+    at_doc = F.sum("n").over(Window.partitionBy("source").orderBy("doc_at"))
+    within = docs.withColumn("end", at_doc).groupBy(F.col("source").alias("s2")).agg(
+        F.max(F.when(F.col("end") <= F.col("rest"), F.col("doc_at"))).alias("last_doc"))
+    found = last.join(within, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", F.col("at").alias("last_block"), "last_doc")
     return written(plan.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mixing-plan")
 
 
 def mix(docs: DataFrame, budget: float | None = None, max_epochs: float | None = MAX_EPOCHS,
         target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id",
-        source_col: str = "source", text_col: str = "text", token_col: str | None = None) -> DataFrame:
-    """The rows of ``docs`` as often as the mix draws them, with ``copy`` (from 0) and ``block``."""
-    session_for_text(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("copy", "block")]
+        source_col: str = "source", text_col: str = "text", token_col: str | None = None, path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as the mix draws them, with their places: ``copy`` (from 0), ``block``, ``block_at``, ``doc_at``."""
+    session_for_text(docs.sparkSession, ROWS)
+    columns = [c for c in docs.columns if c not in PLACES]
     source = F.col(source_col).cast("string")
-    key = F.col(id_col).cast("long")
-    if token_col:
-        keyed = docs.select(key.alias("_key"), source.alias("_source"), F.coalesce(F.col(token_col), F.lit(0)).cast("long").alias("_tokens"))
-    else:
-        keyed = with_tokens(docs.select(key.alias("_key"), source.alias("_source"), text_col), text_col)
+    number = F.coalesce(F.col(token_col), F.lit(0)).cast("long") if token_col else F.lit(0).cast("long")
+    key = F.xxhash64(F.col(id_col).cast("long"), *hashes(text_col), number)
+    keyed = docs.select(key.alias("_key"), source.alias("_source"), F.col(text_col).alias("_text"), number.alias("_tokens"))
+    keyed = keyed.drop("_text") if token_col else with_tokens(keyed, path)
     plan = mixing_plan(written(keyed, "mixing-tokens"), budget, max_epochs, target_entropy, block_tokens) \
         .select(F.struct("*").alias("_plan"))
-    joined = docs.select(columns).join(plan, source.eqNullSafe(F.col("_plan.source")))
-    block = F.pmod(F.xxhash64(key, F.lit(SEED)), F.col("_plan.blocks"))
+    joined = docs.select(*columns, key.alias("_key")).join(F.broadcast(plan), source.eqNullSafe(F.col("_plan.source")))   # a row a source
+    block = F.pmod(F.xxhash64("_key", F.lit(SEED)), F.col("_plan.blocks"))
     block_at = _order(F.col("_plan.epochs"), "block", "block")
     doc_at = _order(F.col("_plan.epochs"), "doc", "_key")
     last, last_doc, rest = F.col("_plan.last_block"), F.col("_plan.last_doc"), F.col("_plan.rest")
     once_more = (rest > 0) & (last.isNull() | (block_at < last) | ((block_at == last) & F.coalesce(doc_at <= last_doc, F.lit(False))))
     copies = F.col("_plan.epochs") + F.when(once_more, 1).otherwise(0)
-    return joined.withColumn("block", block).withColumn("_key", key).withColumn("_copies", copies) \
+    return joined.withColumn("block", block).withColumn("_copies", copies) \
         .where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))) \
-        .select(*columns, "copy", "block")
+        .withColumn("block_at", _order(F.col("copy"), "block", "block")).withColumn("doc_at", _order(F.col("copy"), "doc", "_key")) \
+        .select(*columns, *PLACES)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: every one at least once, no source more than one and a half times."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "block")
+    """All documents by byte BPE tokens: every one at least once, no source more than one and a half times."""
+    return mix(table(spark, sf_dir, "documents"), path=default_path("byte_bpe_50k.json")).select("doc_id", "source", *PLACES)
 
 
 def realise_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix draws them."""
-    return mix(docs).select(docs.columns)
+    """Pipeline stage: documents as often as the mix draws them, by the tokens that the packing will count."""
+    return mix(docs, path=default_path("byte_bpe_50k.json")).select(docs.columns)

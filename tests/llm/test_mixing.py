@@ -60,6 +60,88 @@ def test_every_document_once_and_sources_near_their_budget(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def plain_mix(rows, places, budget, max_epochs, block_tokens):
+    """The draws of every source once more, from the places that the rows are given, without Spark."""
+    by_source = {}
+    for key, source, tokens in rows:
+        by_source.setdefault(source, []).append((key, tokens))
+    order = sorted(by_source, key=lambda s: (s is not None, s or ""))
+    totals = np.array([sum(n for _, n in by_source[s]) for s in order], dtype=float)
+    w, _, goal = mixing.solve_weights(totals, budget, max_epochs)
+    out = {}
+    for s, n, share in zip(order, totals, w * goal):
+        share = int(round(share))
+        epochs = int(share // n) if n else 1
+        rest = share - epochs * n if n else 0
+        for key, _ in by_source[s]:
+            out[key] = epochs
+        blocks = {}
+        for key, tokens in by_source[s]:
+            blocks.setdefault(places[key, epochs][:2], []).append((places[key, epochs][2], key, tokens))
+        for _, inside in sorted(blocks.items()) if rest > 0 else []:
+            size = sum(n for *_, n in inside)
+            if size <= rest:
+                for _, key, _ in inside:
+                    out[key] += 1
+                rest -= size
+                continue
+            for _, key, tokens in sorted(inside):
+                if tokens > rest:
+                    break
+                out[key] += 1
+                rest -= tokens
+            break
+    return out
+
+
+def test_draws_match_a_plain_mix(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"text {i}", ["hot", "hot", "hot", "a", "b", None][i % 6], "x", int(rng.integers(0, 40))) for i in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for budget, epochs in ((None, 1.5), (9000, 1.0), (40_000, 4.0)):
+        got = mixing.mix(df, budget=budget, max_epochs=epochs, block_tokens=300, token_col="n").collect()
+        # the places of one more epoch than is drawn come from a mix that draws everything often
+        every = mixing.mix(df, budget=400_000, max_epochs=None, block_tokens=300, token_col="n").collect()
+        places = {(r.doc_id, r.copy): (r.block_at, r.block, r.doc_at) for r in every}
+        assert all(places[r.doc_id, r.copy] == (r.block_at, r.block, r.doc_at) for r in got)
+        drawn_ = {}
+        for r in got:
+            drawn_[r.doc_id] = drawn_.get(r.doc_id, 0) + 1
+        want = plain_mix([(r[0], r[2], r[4]) for r in rows], places, budget, epochs, 300)
+        assert drawn_ == {k: v for k, v in want.items() if v}
+
+
+def test_epochs_are_other_permutations_of_whole_blocks(spark):
+    rows = [(i, "w " * 10, "a", "x", 0) for i in range(300)]
+    _, got = drawn(spark, rows, budget=9000, max_epochs=None)
+    orders = []
+    for copy in range(3):
+        mine = sorted((r for r in got if r.copy == copy), key=lambda r: (r.block_at, r.doc_at))
+        blocks = [r.block for r in mine]
+        assert len(mine) == 300 and sum(a != b for a, b in zip(blocks, blocks[1:])) == len(set(blocks)) - 1      # a block stays together
+        orders.append([r.doc_id for r in mine])
+    assert orders[0] != orders[1] != orders[2]
+
+
+def test_rows_without_an_id_are_dealt_like_others(spark):
+    rows = [(None, f"w {i} " * 10, "a", "x", 0) for i in range(400)] + [(5, f"v {i} " * 10, "b", "x", 0) for i in range(200)]
+    _, got = drawn(spark, rows, budget=6000, max_epochs=1.0)
+    n = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "ab"}
+    share = mixing.solve_weights(np.array([8000.0, 4000.0]), 6000, 1.0)[0] * 6000
+    assert all(abs(n[s] - x) <= 20 for s, x in zip("ab", share))
+
+
+def test_tokens_of_a_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from lexalign.llm.tokens import default_path
+    path = default_path("byte_bpe_50k.json")
+    texts = ["some words here", "Straße 中文", "", None]
+    keyed = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "_key long, _source string, _text string")
+    got = {r._key: r._tokens for r in mixing.with_tokens(keyed, path).collect()}
+    assert got == {i: len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_budget_below_the_corpus_and_token_column(spark):
     rows = [(i, "w", "a" if i < 300 else "b", "x", 10) for i in range(400)] + [(7, "w", "a", "x", None)]
     _, got = drawn(spark, rows, budget=2000, max_epochs=1.0, token_col="n")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexalign.operators._arrow import list_to_matrix, matrix_to_list
+from lexalign.session import materialise
 
 PARTIAL_SCHEMA = "i int, row array<double>"
 #: Partial grams by key that a task holds at once.
@@ -144,3 +145,42 @@ def grams(specs: dict[str, tuple]) -> dict[str, np.ndarray]:
             m[r["i"]] = r["row"]
         res[name] = m
     return res
+
+
+class PairGrams:
+    """The grams of a weighted dictionary, kept up to date by the pairs that come and go.
+
+    ``sxx`` and ``szz`` are over the distinct rows that take part, ``c`` is the sum of ``weight · x zᵀ`` over the pairs
+    with their multiplicity. ``update`` joins and multiplies only what differs from the pairs before.
+    """
+
+    def __init__(self, x: DataFrame, z: DataFrame, matrices: dict[str, np.ndarray] | None = None, pairs: DataFrame | None = None,
+                 n_pairs: int = 0):
+        self.x, self.z = x.select("idx", "vec"), z.select("idx", "vec")
+        self.matrices, self.pairs, self.n_pairs = dict(matrices or {}), pairs, n_pairs
+        #: Distinct pairs that the last update joined with their vectors.
+        self.moved = 0
+
+    def update(self, pairs: DataFrame, name: str = "pair-weights") -> None:
+        """Go over to ``pairs(src_idx, trg_idx)``, repeated pairs counted as often; null ids are no pairs."""
+        new = materialise(pairs.where("src_idx is not null and trg_idx is not null").groupBy("src_idx", "trg_idx")
+                          .agg(F.count(F.lit(1)).alias("weight")), name)
+        old = self.pairs if self.pairs is not None else new.limit(0)
+        before, after = (df.select("src_idx", "trg_idx", (F.col("weight") * sign).alias("weight")) for df, sign in ((old, -1), (new, 1)))
+        delta = materialise(before.unionByName(after).groupBy("src_idx", "trg_idx").agg(F.sum("weight").alias("weight"))
+                            .where("weight <> 0"), "pair-deltas")
+
+        def rows(column: str, vectors: DataFrame) -> DataFrame:
+            """Rows that now take part (1) or no longer do (-1)."""
+            side = [df.select(F.col(column).alias("idx")).distinct().withColumn("weight", F.lit(sign)) for df, sign in ((old, -1), (new, 1))]
+            return side[0].unionByName(side[1]).groupBy("idx").agg(F.sum("weight").alias("weight")).where("weight <> 0").join(vectors, "idx")
+
+        joined = delta.join(self.x.select(F.col("idx").alias("src_idx"), F.col("vec").alias("xv")), "src_idx") \
+            .join(self.z.select(F.col("idx").alias("trg_idx"), F.col("vec").alias("zv")), "trg_idx")
+        found = grams({"sxx": (rows("src_idx", self.x), "vec", None, "weight"), "szz": (rows("trg_idx", self.z), "vec", None, "weight"),
+                       "c": (joined, "xv", "zv", "weight")})
+        for k, m in found.items():
+            if m.size:
+                self.matrices[k] = self.matrices[k] + m if k in self.matrices and self.matrices[k].size else m
+        self.pairs, self.moved = new, delta.count()
+        self.n_pairs = new.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]

@@ -709,3 +709,28 @@ SQL["aligned_sink"] = _with(*(f"m_{lang} AS {q}" for lang, q in _ALIGNED.items()
     f"SELECT '{kind}' AS kind, '{lang}' AS lang, idx::BIGINT AS idx, word, (j - 1)::BIGINT AS j, {value} AS value "
     f"FROM (SELECT idx, word, unnest(generate_series(1, len(vec))) AS j, unnest(vec) AS x FROM m_{lang})"
     for kind, value in (("table", "round(x, 6)"), ("vec", "CAST(printf('%.6g', x) AS DOUBLE)")) for lang in _ALIGNED)
+
+
+# --------------------------------------------------------------------------- self-training rounds
+
+SQL["dict_union_induced"] = _with() + f"""
+SELECT src_idx::BIGINT AS src_idx, trg_idx::BIGINT AS trg_idx, count(*) AS n
+FROM (SELECT src_idx, trg_idx FROM enc_train UNION ALL SELECT src_idx, trg_idx FROM ({SQL["induce_bidir"]}))
+GROUP BY ALL
+"""
+
+SQL["gram_delta"] = _with(
+    "pairs AS (SELECT src_idx, trg_idx FROM enc_train UNION ALL SELECT src_idx, trg_idx FROM enc_train WHERE ord % 7 = 0 "
+    "UNION ALL SELECT src_idx, trg_idx FROM enc WHERE part = 'val' AND src_idx % 2 = 0)",
+    f"ls AS {_long('lang_s')}", f"lt AS {_long('lang_t')}",
+    "w AS (SELECT src_idx, trg_idx, count(*) AS k FROM pairs GROUP BY ALL)",
+    "sx AS (SELECT DISTINCT src_idx AS idx FROM pairs)", "sz AS (SELECT DISTINCT trg_idx AS idx FROM pairs)") + """
+SELECT 'sxx' AS name, (a.j - 1)::BIGINT AS i, (b.j - 1)::BIGINT AS j, round(sum(a.x * b.x), 5) AS value
+FROM sx JOIN ls a ON a.idx = sx.idx JOIN ls b ON b.idx = sx.idx GROUP BY a.j, b.j
+UNION ALL
+SELECT 'szz', (a.j - 1)::BIGINT, (b.j - 1)::BIGINT, round(sum(a.x * b.x), 5)
+FROM sz JOIN lt a ON a.idx = sz.idx JOIN lt b ON b.idx = sz.idx GROUP BY a.j, b.j
+UNION ALL
+SELECT 'c', (a.j - 1)::BIGINT, (b.j - 1)::BIGINT, round(sum(w.k * a.x * b.x), 5)
+FROM w JOIN ls a ON a.idx = w.src_idx JOIN lt b ON b.idx = w.trg_idx GROUP BY a.j, b.j
+"""

@@ -236,6 +236,31 @@ def gram_xz_weighted(spark, sf):
     return _gram_out(G.gram_rows(_pairs(s, t, D.weighted_edges(enc)), "xv", "zv", "weight"))
 
 
+def gram_delta(spark, sf):
+    """Grams of a weighted dictionary after two changes of its pairs, each joined only where it differs."""
+    s, t, d = _st(spark, sf)
+    enc = D.encode(d, s, t)
+    train, val = enc.where("part = 'train'"), enc.where("part = 'val'")
+    grams = G.PairGrams(s, t)
+    grams.update(train)
+    grams.update(train.where("ord % 3 <> 0").unionByName(val).unionByName(val))
+    grams.update(train.unionByName(train.where("ord % 7 = 0")).unionByName(val.where("src_idx % 2 = 0")))
+    rows = [(name, i, j, float(v)) for name, m in grams.matrices.items() for (i, j), v in np.ndenumerate(m)]    # d x d numbers each
+    df = spark.createDataFrame(rows, "name string, i bigint, j bigint, value double")
+    return df.withColumn("value", _r(F.col("value"), 5) + F.lit(0.0))
+
+
+def dict_union_induced(spark, sf):
+    """Training pairs of a self-training round: the seed's and the induced ones of both directions, with multiplicity."""
+    from lexalign.operators.induce import induce_dictionary
+    from lexalign.plans import semi
+    xu, zu, d, s, t = _unit_st(spark, sf)
+    seed = D.encode(_part(d, "train"), s, t)
+    pairs = semi.union_pairs(seed, induce_dictionary(xu, zu, csls_k=10))
+    return pairs.groupBy(F.col("src_idx").cast("bigint").alias("src_idx"), F.col("trg_idx").cast("bigint").alias("trg_idx")) \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 # --------------------------------------------------------------------------- retrieval
 
 def _unit_st(spark, sf):
@@ -999,6 +1024,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gram_xx": gram_xx,
     "gram_xz": gram_xz,
     "gram_xz_weighted": gram_xz_weighted,
+    "gram_delta": gram_delta,
+    "dict_union_induced": dict_union_induced,
     "nn_top1": nn_top1,
     "nn_top10": nn_top10,
     "nbr_x": nbr_x,

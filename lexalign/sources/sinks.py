@@ -39,7 +39,7 @@ def write_model(spark: SparkSession, model: Model, path: str, fit_id: str = "fit
                .coalesce(1).write.mode("overwrite").text(f"{path}/{name}.csv"))
 
 
-def _children(spark: SparkSession, path: str) -> dict[str, str]:
+def children(spark: SparkSession, path: str) -> dict[str, str]:
     """Name -> path of the entries of a folder on any Hadoop file system."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -58,7 +58,7 @@ def read_model(spark: SparkSession, path: str, fit_id: str | None = None) -> Mod
     A text matrix may be a plain file or a folder written by ``write_model``.
     A missing ``B``, or no ``U`` at all, is an error.
     """
-    entries = _children(spark, path)
+    entries = children(spark, path)
     if "model.parquet" in entries:
         df = spark.read.parquet(entries["model.parquet"])
         if fit_id is not None:

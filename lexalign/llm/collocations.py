@@ -13,7 +13,8 @@ Counting, from few to many words:
 
 1. Words are counted exactly (per batch with Arrow, then by Spark).
 2. Phrases of two, then of three frequent words are hashed and added up in the task and by Spark's shuffle as
-   ``(fp, check, count, pointer)``. ``fp`` has 64 bits, ``check`` 32 more of an independent hash, and the pointer is the row
+   ``(fp, check, count, pointer)``. ``fp`` has 64 bits, ``check`` 16 more of an independent hash (of 10^8 frequent phrases
+   among 10^13 distinct ones, one shares all 80 with another in a thousand corpora), and the pointer is the row
    of an occurrence. What reaches ``min_count`` stays.
 3. The same for longer phrases, of which all runs of three words are frequent.
 4. Verification. A row that pointers lead to is hashed once more, the places of its wanted fingerprints are found, and
@@ -50,7 +51,7 @@ FILTER_BITS = 27
 #: Bits of the bitmap for each frequent phrase, below its bound.
 FILTER_SPARE = 64
 #: Bytes of text hashed at once, and n-grams that a task holds.
-STRETCH, HELD = 1 << 19, 5 << 19
+STRETCH, HELD = 1 << 19, 3 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -266,12 +267,12 @@ class Held:
             for i in range(0, self.n, 1 << 15):
                 fp, check, row, count = (c[i:i + (1 << 15)] for c in self.parts[0])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
-                    fp.view(np.int64), check.view(np.int32), count.astype(np.int64), rows[row])], names=["fp", "check", "c", "row"])
+                    fp.view(np.int64), check.view(np.int16), count.astype(np.int64), rows[row])], names=["fp", "check", "c", "row"])
         self.parts, self.n = [], 0
 
 
 def _hashes(s: Stretch, n: int, at: np.ndarray, keep: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    return s.grams(FIRST, n, at) & keep, (s.grams(SECOND, n, at) >> np.uint64(32)).astype(np.uint32)
+    return s.grams(FIRST, n, at) & keep, (s.grams(SECOND, n, at) >> np.uint64(48)).astype(np.uint16)
 
 
 def count_grams(keyed: DataFrame, lengths: range, known: Filter, known_words: int, fp_bits: int = 64,
@@ -310,7 +311,7 @@ def count_grams(keyed: DataFrame, lengths: range, known: Filter, known_words: in
         if rows:
             yield from held.out(np.concatenate(rows))
 
-    return keyed.mapInArrow(run, "fp long, check int, c long, row long")
+    return keyed.mapInArrow(run, "fp long, check short, c long, row long")
 
 
 def frequent(partials: DataFrame, min_count: int, name: str) -> DataFrame:
@@ -353,7 +354,7 @@ def point_out(keyed: DataFrame, pointers: DataFrame, max_words: int, fp_bits: in
                         place = np.flatnonzero(s.places(n))
                         fp, check = _hashes(s, n, place, keep)
                         for i in np.flatnonzero(np.isin(fp, fps)).tolist():
-                            c = wanted.pop((int(fp[i:i + 1].view(np.int64)[0]), int(check[i:i + 1].view(np.int32)[0])), None)
+                            c = wanted.pop((int(fp[i:i + 1].view(np.int64)[0]), int(check[i:i + 1].view(np.int16)[0])), None)
                             if c is not None:
                                 words = s.lower[s.start[place[i]]:s.end[place[i] + n - 1]].tobytes().split()
                                 langs.append(lang)

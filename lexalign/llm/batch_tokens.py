@@ -24,8 +24,10 @@ from lexalign.llm.tokens import Encoder
 
 #: Bytes that the cache of pre-tokens may hold, half of them in each generation.
 CACHE_BYTES = 96 << 20
+#: Rows of an Arrow batch: the more, the fewer times a pre-token is looked up.
+ROWS = 2048
 #: Bytes of text that are handled at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 22
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _END, _ALIEN = range(6)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexalign.llm.batch_tokens import batch_encoder
+from lexalign.llm.batch_tokens import ROWS, batch_encoder
 from lexalign.llm.common import arrow_rows, per_batch, session_for_text, shuffle_width, table, utf8, written
 from lexalign.llm.tokens import default_path
 
@@ -106,7 +106,7 @@ BLOCK_SCHEMA = ("shard int, block int, first long, n_tokens long, doc_ids array<
 def write_token_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
     """Write the files of all documents; the tables ``blocks`` and ``ranks`` as read from them."""
     spark = docs.sparkSession
-    session_for_text(spark)
+    session_for_text(spark, ROWS)
     tokens = written(token_table(docs, path, end_id), "token-ids")
     ranks = written(rank_ids(tokens).coalesce(1), "token-ranks")
     pairs = np.array([(r["id"], r["rank"]) for r in ranks.collect()], dtype=np.int64).reshape(-1, 2)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexalign.operators import knn
+from lexalign.operators import knn, pruned
 from lexalign.session import materialise
 
 
@@ -87,6 +87,19 @@ def csls_topk(queries: DataFrame, z: DataFrame, r_z: DataFrame, k: int = 10,
     return out
 
 
+def pruned_topk(queries: DataFrame, z: DataFrame, k: int = 10, r_z: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """``nn_topk``, or ``csls_topk`` where ``r_z`` is given, without the block pairs that cannot matter (``operators.pruned``).
+
+    Worth it for many queries against clustered vectors; on others it costs one more pass than the plain product.
+    """
+    if r_z is None:
+        found = pruned.topk(_ids_vecs(queries), _ids_vecs(z), k, block=block)
+    else:
+        zb = _ids_vecs(z).join(r_z.select("idx", (-F.col("r")).alias("nb")), "idx")
+        found = pruned.topk(_ids_vecs(queries), zb, k, alpha=2.0, right_bias="nb", block=block)
+    return found.rows.select(F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
+
+
 def softmax_topn(cands: DataFrame, log: bool = False) -> DataFrame:
     """Softmax of the scores within each query's candidates (``prob`` column)."""
     w = Window.partitionBy("src_idx")

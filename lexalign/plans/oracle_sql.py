@@ -734,3 +734,6 @@ UNION ALL
 SELECT 'c', (a.j - 1)::BIGINT, (b.j - 1)::BIGINT, round(sum(w.k * a.x * b.x), 5)
 FROM w JOIN ls a ON a.idx = w.src_idx JOIN lt b ON b.idx = w.trg_idx GROUP BY a.j, b.j
 """
+
+SQL["nn_top10_pruned"] = SQL["nn_top10"]
+SQL["csls_top10_pruned"] = SQL["csls_top10"]

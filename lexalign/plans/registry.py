@@ -319,6 +319,22 @@ def csls_top10(spark, sf):
     return _cands_out(_csls(spark, sf, 10))
 
 
+def nn_top10_pruned(spark, sf):
+    """The same rows as ``nn_top10``, by balls with bounds."""
+    xu, zu, d, s, t = _unit_st(spark, sf)
+    q, _ = _test_queries(xu, s, t, d)
+    return _cands_out(R.pruned_topk(q, zu, 10))
+
+
+def csls_top10_pruned(spark, sf):
+    """The same rows as ``csls_top10`` (scores without the queries' own mean), by balls with bounds."""
+    xu, zu, d, s, t = _unit_st(spark, sf)
+    q, _ = _test_queries(xu, s, t, d)
+    found = R.pruned_topk(q, zu, 10, R.nbr_mean(zu, xu, 10))
+    r_x = R.nbr_mean(q, zu, 10).select(F.col("idx").alias("src_idx"), "r")
+    return _cands_out(found.join(r_x, "src_idx").withColumn("score", F.col("score") - F.col("r")))
+
+
 def _translate(spark, sf, method):
     from lexalign.operators.translate import translate
     s, t, d = _st(spark, sf)
@@ -1032,6 +1048,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nbr_z": nbr_z,
     "csls_top1": csls_top1,
     "csls_top10": csls_top10,
+    "nn_top10_pruned": nn_top10_pruned,
+    "csls_top10_pruned": csls_top10_pruned,
     "translate_nn": translate_nn,
     "translate_csls": translate_csls,
     "translate_topn_softmax": translate_topn_softmax,

@@ -408,21 +408,21 @@ z2 AS {_unit(_mapped('lang_t', 'id', 'half'))}""",
 # --------------------------------------------------------------------------- sources / sinks / OOV
 
 _TOK = """
-tok AS (SELECT unnest(string_split(text, ' ')) AS token, lang FROM documents),
-cnt_en AS (SELECT token AS word, count(*) AS cnt FROM tok WHERE lang = 'en' AND token <> '' GROUP BY token),
-vocab_en AS (SELECT row_number() OVER (ORDER BY cnt DESC, word) AS line, word FROM cnt_en)"""
+tok AS (SELECT unnest(string_split(text, ' ')) AS token, coalesce(lang, 'und') AS lang FROM documents),
+ring AS (  -- each language and the one after it
+  SELECT lang, coalesce(lead(lang) OVER (ORDER BY lang), min(lang) OVER ()) AS next
+  FROM (SELECT DISTINCT coalesce(lang, 'und') AS lang FROM documents))"""
 
 SQL["vec_roundtrip"] = _with() + """
 SELECT idx::BIGINT AS idx, word, (j - 1)::BIGINT AS j, CAST(printf('%.6g', x) AS DOUBLE) AS value
 FROM (SELECT idx, word, unnest(generate_series(1, len(vec))) AS j, unnest(vec) AS x FROM lang_s)
 """
 
-_LANG_TOK = """
-tok AS (SELECT unnest(string_split(text, ' ')) AS token, lang FROM documents),
+_LANG_TOK = _TOK + """,
 voc AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, word) AS line,
                count(*) OVER (PARTITION BY lang) AS lines
         FROM (SELECT lang, token AS word, count(*) AS cnt FROM tok
-              WHERE lang IN ('de', 'en', 'es', 'fr') AND token <> '' GROUP BY lang, token)),
+              WHERE token <> '' GROUP BY lang, token)),
 fold AS (SELECT lang, lower(word) AS word, line, lines,
                 row_number() OVER (PARTITION BY lang, lower(word) ORDER BY line) AS k FROM voc)"""
 
@@ -448,8 +448,8 @@ SQL["vocab_legacy_bypass"] = _with(_LANG_TOK) + _vocab_out("SELECT *, line AS po
 SQL["vocab_threshold"] = _with(_LANG_TOK) + _vocab_out("SELECT *, line AS pos FROM voc WHERE line <= greatest(1, lines // 2)")
 
 SQL["vocab_filter"] = _with(_LANG_TOK) + _vocab_out(f"""
-    SELECT *, {_NUMBERED} FROM voc v WHERE EXISTS (SELECT 1 FROM tok k WHERE k.token = v.word AND k.lang =
-        CASE v.lang WHEN 'de' THEN 'en' WHEN 'en' THEN 'es' WHEN 'es' THEN 'fr' ELSE 'de' END)""")
+    SELECT *, {_NUMBERED} FROM voc v WHERE EXISTS (SELECT 1 FROM tok k WHERE k.token = v.word
+        AND k.lang = (SELECT next FROM ring WHERE ring.lang = v.lang))""")
 
 SQL["vocab_only"] = _with() + """
 SELECT idx::BIGINT AS idx, word FROM lang_t
@@ -500,14 +500,12 @@ FROM c JOIN g ON g.src_idx = c.src_idx JOIN lang_s s ON s.idx = c.src_idx
 
 SQL["pairs_tsv"] = SQL["translate_csls"]
 
-_NEXT_LANG = "CASE lang WHEN 'de' THEN 'fr' WHEN 'en' THEN 'de' WHEN 'es' THEN 'en' WHEN 'fr' THEN 'es' END"
-
-_PREFIX = _TOK + f""",
-words AS (SELECT lang, token AS word, count(*) AS cnt FROM tok WHERE token <> '' AND lang IN ('de', 'en', 'es', 'fr') GROUP BY ALL),
+_PREFIX = _TOK + """,
+words AS (SELECT lang, token AS word, count(*) AS cnt FROM tok WHERE token <> '' GROUP BY ALL),
 vv AS (SELECT lang, word, line - 1 AS idx, e.v AS vec
        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, encode(word)) AS line FROM words)
        CROSS JOIN nn JOIN e ON e.i = line % nn.n),
-req AS (SELECT r.lang, r.word FROM (SELECT {_NEXT_LANG} AS lang, word FROM words) r
+req AS (SELECT r.lang, r.word FROM (SELECT ring.lang, word FROM words JOIN ring ON ring.next = words.lang) r
         WHERE NOT EXISTS (SELECT 1 FROM vv WHERE vv.lang = r.lang AND vv.word = r.word)),
 rp AS (SELECT lang, word, l, substring(word, 1, l) AS prefix
        FROM (SELECT lang, word, unnest(range(1, length(word))) AS l FROM req)),

@@ -444,9 +444,6 @@ def pip_eval(spark, sf):
 
 # --------------------------------------------------------------------------- sources / sinks
 
-LANGS = ("de", "en", "es", "fr")
-
-
 def _scratch(spark, name):
     from lexalign.session import scratch_path
     return scratch_path(spark, name)
@@ -463,14 +460,10 @@ def vec_roundtrip(spark, sf):
                .select("idx", "word", F.col("j").cast("bigint").alias("j"), "value")
 
 
-def _vocab_en(spark, sf):
-    return FX.vocab_raw(spark, sf, "en")
-
-
 def _per_lang(spark, sf, load):
     """``load(rows, lang, number of rows)`` of every language's vocabulary, with vectors."""
     out = None
-    for lang in LANGS:
+    for lang in FX.languages(spark, sf):
         rows = FX.vocab_raw(spark, sf, lang)
         one = load(rows, lang, rows.count()).select(
             F.lit(lang).alias("lang"), F.col("idx").cast("bigint"), "word", F.col("line").cast("bigint"),
@@ -506,8 +499,10 @@ def vocab_filter(spark, sf):
     """Each language's vocabulary restricted to the tokens of the next language."""
     from lexalign.sources import vectext
 
+    langs = FX.languages(spark, sf)
+
     def keep(lang):
-        other = LANGS[(LANGS.index(lang) + 1) % len(LANGS)]
+        other = langs[(langs.index(lang) + 1) % len(langs)]
         return FX.tokens(spark, sf, other).select(F.col("token").alias("word")).distinct()
     return _per_lang(spark, sf, lambda rows, lang, _: vectext.load(rows, vocabulary=keep(lang)))
 
@@ -777,10 +772,10 @@ def translate_topn_nn(spark, sf):
 # --------------------------------------------------------------------------- OOV
 
 def _oov_request(spark, sf):
-    """``(space, word)``: the tokens of the next language (of ``LANGS``), asked for in each language."""
-    out = None
-    for i in range(len(LANGS)):
-        one = FX.tokens(spark, sf, LANGS[(i + 1) % len(LANGS)]).select(F.lit(i).cast("bigint").alias("space"), F.col("token").alias("word"))
+    """``(space, word)``: the tokens of the next language, asked for in each language."""
+    out, langs = None, FX.languages(spark, sf)
+    for i in range(len(langs)):
+        one = FX.tokens(spark, sf, langs[(i + 1) % len(langs)]).select(F.lit(i).cast("bigint").alias("space"), F.col("token").alias("word"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()
 
@@ -788,22 +783,23 @@ def _oov_request(spark, sf):
 def _vocabularies(spark, sf):
     """``(space, idx, word, vec)`` of all languages."""
     out = None
-    for i, lang in enumerate(LANGS):
+    for i, lang in enumerate(FX.languages(spark, sf)):
         one = FX.vocab_raw(spark, sf, lang).select(F.lit(i).cast("bigint").alias("space"), (F.col("line") - 1).cast("bigint").alias("idx"),
                                                    "word", "vec")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _named(df):
-    return df.withColumn("lang", F.array(*map(F.lit, LANGS))[F.col("space").cast("int")]).drop("space")
+def _named(df, sf):
+    langs = F.array(*map(F.lit, FX.languages(df.sparkSession, sf)))
+    return df.withColumn("lang", langs[F.col("space").cast("int")]).drop("space")
 
 
 def prefix_oov(spark, sf):
     """Vectors for unseen words in every language, from the words' longest prefixes and shortest extensions."""
     from lexalign.operators import oov
     out = oov.prefix_embeddings(_oov_request(spark, sf), _vocabularies(spark, sf))
-    return _named(out).select("lang", "word", "short_word", "long_word", _r(F.col("vec")[0]).alias("v_first"),
+    return _named(out, sf).select("lang", "word", "short_word", "long_word", _r(F.col("vec")[0]).alias("v_first"),
                               _r(V.vsum("vec")).alias("v_sum"))
 
 
@@ -812,7 +808,7 @@ def oov_prepend(spark, sf):
     from lexalign.operators import oov
     emb = _vocabularies(spark, sf)
     new = oov.prefix_embeddings(_oov_request(spark, sf), emb).select("space", "word", "vec")
-    return _named(oov.prepend(emb, new, keys=["space"])).select("lang", F.col("idx").cast("bigint"), "word")
+    return _named(oov.prepend(emb, new, keys=["space"]), sf).select("lang", F.col("idx").cast("bigint"), "word")
 
 
 def oov_extend(spark, sf):
@@ -820,7 +816,7 @@ def oov_extend(spark, sf):
     from lexalign.operators import oov
     wanted = _oov_request(spark, sf).select("space", F.col("word").alias("src_word"), F.col("word").alias("trg_word"))
     out = oov.extend_with_prefix([wanted], _vocabularies(spark, sf), "src")
-    return _named(out).select("lang", F.col("idx").cast("bigint"), "word", _r(F.col("vec")[0]).alias("v_first"),
+    return _named(out, sf).select("lang", F.col("idx").cast("bigint"), "word", _r(F.col("vec")[0]).alias("v_first"),
                               _r(V.vsum("vec")).alias("v_sum"))
 
 

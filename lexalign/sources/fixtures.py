@@ -172,11 +172,17 @@ def similarity_set(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.abs(F.col("label") - F.col("label_j")).cast("double").alias("ref")))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The languages of ``documents`` in order; rows without one are in ``und``."""
+    found = tables.documents(spark, sf_dir).select(F.coalesce("lang", F.lit("und")).alias("lang")).distinct()
+    return sorted(r["lang"] for r in found.collect())          # a row a language
+
+
 def tokens(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Tokens of ``documents.text`` split on one space, empty tokens dropped: ``(token)``."""
     docs = tables.documents(spark, sf_dir)
     if lang is not None:
-        docs = docs.where(F.col("lang") == lang)
+        docs = docs.where(F.coalesce("lang", F.lit("und")) == lang)
     return (docs.select(F.explode(F.split("text", " ")).alias("token"))
                 .where(F.col("token") != ""))
 

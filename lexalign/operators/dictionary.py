@@ -13,11 +13,15 @@ once: words meet within their key only, and results are by key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexalign.operators._arrow import list_to_matrix
+
 
 def word_index(emb: DataFrame, word: str = "word", idx: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
     """``word -> idx`` with the last (highest id) duplicate winning."""
@@ -29,6 +33,16 @@ def filter_embeddings(emb: DataFrame, keep: Callable[[Column, Column], Column])
     return emb.where(keep(F.col("word"), F.col("vec")))
 
 
+def filter_embeddings_batch(emb: DataFrame, keep: Callable[[list[str], np.ndarray], Sequence[bool]]) -> DataFrame:
+    """Rows for which a Python predicate holds: ``keep(words, vectors)`` gets an Arrow batch at a time, vectors as a matrix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                chosen = keep(batch.column("word").to_pylist(), list_to_matrix(batch.column("vec")))
+                yield batch.filter(pa.array(np.asarray(chosen, dtype=bool)))
+    return emb.mapInArrow(run, emb.schema)
+
+
 def fold(dic: DataFrame, enabled: bool = True) -> DataFrame:
     """Lower-case both dictionary sides (done when a vocabulary cap is requested)."""
     if not enabled:

@@ -735,3 +735,29 @@ FROM w JOIN ls a ON a.idx = w.src_idx JOIN lt b ON b.idx = w.trg_idx GROUP BY a.
 
 SQL["nn_top10_pruned"] = SQL["nn_top10"]
 SQL["csls_top10_pruned"] = SQL["csls_top10"]
+
+
+# --------------------------------------------------------------------------- predicates, duplicate words, ties
+
+SQL["emb_filter_batch"] = _with() + "SELECT idx::BIGINT AS idx, word FROM lang_s WHERE vec[1] > vec[2] AND right(word, 1) <> '7'\n"
+
+SQL["dict_duplicates"] = _with(
+    "ds AS (SELECT 's' || (idx % 97) AS word, max(idx) AS idx FROM lang_s GROUP BY 1)",
+    "dt AS (SELECT 't' || (idx % 97) AS word, max(idx) AS idx FROM lang_t GROUP BY 1)") + """
+SELECT d.ord::BIGINT AS ord, ds.idx::BIGINT AS src_idx, dt.idx::BIGINT AS trg_idx
+FROM dict_st d JOIN ds ON ds.word = d.src_word JOIN dt ON dt.word = d.trg_word
+"""
+
+SQL["nn_ties"] = _with("axis AS (SELECT i, i % (len(v) // 4) AS p FROM e)") + """
+SELECT src_idx::BIGINT AS src_idx, rank::BIGINT AS rank, trg_idx::BIGINT AS trg_idx, score::DOUBLE AS score
+FROM (SELECT a.i AS src_idx, b.i AS trg_idx, CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END AS score,
+             row_number() OVER (PARTITION BY a.i ORDER BY a.p = b.p DESC, b.i) AS rank
+      FROM axis a, axis b WHERE a.i % 7 = 0)
+WHERE rank <= 9
+"""
+
+SQL["nn_whole_vocabulary"] = _with(_UNIT_ST) + """
+SELECT x.idx::BIGINT AS src_idx, row_number() OVER (PARTITION BY x.idx ORDER BY list_inner_product(x.vec, z.vec) DESC, z.idx) AS rank,
+       z.idx::BIGINT AS trg_idx, round(list_inner_product(x.vec, z.vec), 6) AS score
+FROM ux x, uz z WHERE x.idx < 3
+"""

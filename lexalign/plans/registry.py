@@ -195,6 +195,35 @@ def emb_filter(spark, sf):
     return D.filter_embeddings(s, lambda word, vec: vec[0] > 0).select(F.col("idx").cast("bigint"), "word")
 
 
+def emb_filter_batch(spark, sf):
+    """The same with a Python predicate over batches of words and vectors."""
+    def keep(words, vectors):
+        return [w[-1] != "7" for w in words] & (vectors[:, 0] > vectors[:, 1])
+    s = FX.lang_s(spark, sf)
+    return D.filter_embeddings_batch(s, keep).select(F.col("idx").cast("bigint"), "word")
+
+
+def dict_duplicates(spark, sf):
+    """Lookups where words stand several times in both vocabularies: the last one counts."""
+    s, t, d = _st(spark, sf)
+    n = F.lit(97)
+    s, t = (df.withColumn("word", F.concat(F.substring("word", 1, 1), F.pmod("idx", n).cast("string"))) for df in (s, t))
+    e = D.encode(d, s, t)
+    return e.select(F.col("ord").cast("bigint"), F.col("src_idx").cast("bigint"), F.col("trg_idx").cast("bigint"))
+
+
+def nn_ties(spark, sf):
+    """Neighbours among vectors that are mostly equal: ties go to the lower id."""
+    x, z = (N.unit(FX.axis_lang(spark, sf, name, aligned=True)) for name in ("s", "t"))
+    return _cands_out(R.nn_topk(x.where(F.col("idx") % 7 == 0), z, 9))
+
+
+def nn_whole_vocabulary(spark, sf):
+    """More neighbours asked for than there are: the whole vocabulary in order."""
+    xu, zu, *_ = _unit_st(spark, sf)
+    return _cands_out(R.nn_topk(xu.where("idx < 3"), zu, zu.count() + 5))
+
+
 def coverage(spark, sf):
     s, t, d = _st(spark, sf)
     c = D.coverage(_part(d, "test"), s, t)
@@ -1032,6 +1061,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vocab_cutoff": vocab_cutoff,
     "request_partition": request_partition,
     "emb_filter": emb_filter,
+    "emb_filter_batch": emb_filter_batch,
+    "dict_duplicates": dict_duplicates,
+    "nn_ties": nn_ties,
+    "nn_whole_vocabulary": nn_whole_vocabulary,
     "coverage": coverage,
     "gram_xx": gram_xx,
     "gram_xz": gram_xz,

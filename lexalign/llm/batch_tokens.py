@@ -23,11 +23,11 @@ from lexalign.llm.common import worker_cache
 from lexalign.llm.tokens import Encoder
 
 #: Bytes that the cache of pre-tokens may hold, half of them in each generation.
-CACHE_BYTES = 96 << 20
-#: Rows of an Arrow batch: the more, the fewer times a pre-token is looked up.
-ROWS = 2048
+CACHE_BYTES = 48 << 20
+#: Rows of an Arrow batch: the more, the fewer times a pre-token is looked up, and the more a worker holds.
+ROWS = 512
 #: Bytes of text that are handled at once.
-STRETCH = 1 << 22
+STRETCH = 1 << 20
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _END, _ALIEN = range(6)
 

@@ -8,7 +8,8 @@ ground level and ``M`` on each level above. A node's candidates are its
 blocked matrix products: what the insertions of the incremental algorithm look for.
 Neighbours are chosen by the diversity heuristic, and reverse links are shrunk by
 it. Queries go to every shard in blocks, all queries of a block walk together,
-and the shard results are merged by exact double-precision distance.
+and the shard results are merged by exact double-precision distance. A graph works on single-precision copies that
+were scaled, centred on the shard's median and scaled again, so large or shifted vectors keep their differences.
 
 Equal vectors are one node that carries its ``k + 1`` smallest ids, which are all
 that can be among the ``k`` nearest; so large groups of copies neither fill
@@ -34,8 +35,8 @@ from lexalign.llm.common import arrow_rows, table, written
 M = 16
 M0 = 32
 EF_BUILD = 64
-EF_SEARCH = 160
-SHARD_ROWS = 8192
+EF_SEARCH = 128
+SHARD_ROWS = 1 << 16
 QUERY_BLOCK = 1024
 #: Queries of one co-group: the copies of a shard are one for so many queries.
 QUERY_GROUP = 1 << 16
@@ -113,15 +114,39 @@ def _level_graph(v: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+class _Frame:
+    """Maps a shard's vectors, and queries to it, to single precision about zero and about one in size."""
+
+    def __init__(self, vectors: np.ndarray):
+        v = np.asarray(vectors, dtype=np.float64)
+        self.first = _power_of_two(v)
+        # the median: large rows do not move it away from many small ones, whose differences would be lost beside it
+        self.middle = np.median(v / self.first, axis=0) if len(v) else 0.0
+        self.second = _power_of_two(v / self.first - self.middle)
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        moved = (np.asarray(vectors, dtype=np.float64) / self.first - self.middle) / self.second
+        # a query far outside the shard keeps its direction; its distances need not be exact here
+        return np.ascontiguousarray(np.clip(moved, -1e15, 1e15), dtype=np.float32)
+
+
+def _power_of_two(v: np.ndarray) -> float:
+    most = float(np.abs(v).max(initial=0.0))
+    return float(2.0 ** np.clip(np.ceil(np.log2(most)), -1000, 1000)) if most > 0 else 1.0
+
+
 class Graph:
     """A shard's graph: level 0 for all nodes and, above, node lists with their own flat neighbour arrays."""
 
     def __init__(self, vectors: np.ndarray, ground: np.ndarray, upper: list[tuple[np.ndarray, np.ndarray]]):
-        self.v, self.ground, self.upper = vectors, ground, upper
+        self.frame = _Frame(vectors)
+        self.v, self.ground, self.upper = self.frame(vectors), ground, upper
+        #: Distances that the last search took, over all its queries.
+        self.visited = 0
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 0) -> Graph:
-        v = np.ascontiguousarray(vectors, dtype=np.float32)
+        v = _Frame(vectors)(vectors)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(v))
         level = np.floor(-np.log(1 - rng.random(len(v))) / np.log(M)).astype(np.int64)
@@ -138,11 +163,11 @@ class Graph:
             flat = graph(nodes, M)
             by_id = np.argsort(nodes)
             upper.append((nodes[by_id].astype(np.int32), flat[by_id]))
-        return cls(v, ground, upper)
+        return cls(vectors, ground, upper)
 
     def search(self, queries: np.ndarray, ef: int = EF_SEARCH) -> np.ndarray:
         """Nodes found for each query (q, ef), ``-1`` pads; all queries walk together."""
-        q = np.ascontiguousarray(queries, dtype=np.float32)
+        q = self.frame(queries)
         n = len(self.v)
         entry = self.upper[-1][0][0] if self.upper else 0
         now = np.full(len(q), entry, dtype=np.int64)
@@ -186,6 +211,7 @@ class Graph:
             ids[live] = np.take_along_axis(all_ids, best_, 1)
             dist[live] = np.take_along_axis(all_dist, best_, 1)
             opened[live] = np.take_along_axis(all_open, best_, 1)
+        self.visited = int(seen.sum())
         return ids
 
 
@@ -243,7 +269,7 @@ def _load(row: dict) -> tuple[Graph, np.ndarray, list[np.ndarray]]:
     nodes = np.split(np.frombuffer(row["level_nodes"], dtype="<i4"), cuts) if sizes else []
     flat = np.split(np.frombuffer(row["level_neighbours"], dtype="<i4").reshape(-1, M), cuts) if sizes else []
     ids = np.split(np.array(row["ids"], dtype=np.int64), row["id_ends"][:-1])
-    return Graph(v.astype(np.float32), ground, list(zip(nodes, flat))), v, ids
+    return Graph(v, ground, list(zip(nodes, flat))), v, ids
 
 
 FOUND_SCHEMA = "query_id long, vec_id long, score double"

@@ -56,3 +56,34 @@ def test_rows_that_take_no_part(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def found_share(vectors, ef=hnsw.EF_SEARCH, k=10):
+    """Recall of the walk, by exact distances, and the share of the nodes that it visits."""
+    g = hnsw.Graph.build(vectors)
+    asked = np.arange(0, len(vectors), max(1, len(vectors) // 60))
+    hits = 0
+    for i, nodes in zip(asked, g.search(vectors[asked], ef)):
+        away = np.sqrt(((vectors - vectors[i]) ** 2).sum(axis=1) if np.abs(vectors).max() < 1e100 else
+                       ((vectors / 1e200 - vectors[i] / 1e200) ** 2).sum(axis=1))
+        nodes = nodes[nodes >= 0]
+        hits += int((np.sort(away[nodes])[:k] <= np.sort(away)[:k]).sum())         # ties are as good as each other
+    return hits / (k * len(asked)), g.visited / len(asked) / len(vectors)
+
+
+def test_large_and_shifted_vectors_keep_their_neighbours():
+    rng = np.random.default_rng(7)
+    plain = rng.normal(size=(1500, 24))
+    clustered = rng.normal(size=(20, 24))[rng.integers(0, 20, 1500)] + 0.1 * rng.normal(size=(1500, 24))
+    for v in (plain, plain + 1e4, plain * 1e25, plain * 1e-30 + 1e-26, plain * 1e300, clustered, clustered - 1e6,
+              np.cumsum(np.full((1500, 1), 0.5), axis=0) * np.ones((1, 3))):
+        assert found_share(v)[0] >= 0.95
+    mixed = plain * 10.0 ** rng.integers(-3, 4, (1500, 1))
+    assert found_share(mixed)[0] >= 0.9                                   # small vectors are near all large ones: the hardest case
+
+
+def test_a_walk_visits_a_small_part_of_a_large_shard():
+    rng = np.random.default_rng(8)
+    v = (rng.normal(size=(60, 16)) * 2)[rng.integers(0, 60, 12_000)] + 0.5 * rng.normal(size=(12_000, 16))
+    recall, visited = found_share(v)
+    assert recall >= 0.97 and visited < 0.06

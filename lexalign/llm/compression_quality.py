@@ -3,8 +3,9 @@
 Two zstandard dictionaries are built, from texts labelled good and from texts
 labelled bad. A text is cut into stretches of ``STRETCH`` bytes, so that the
 dictionaries matter over its whole length, and each is compressed with both. The
-difference of the compressed sizes, over the size of the text, is turned into
-a probability by a logistic curve fitted on labelled texts that are in neither dictionary.
+difference of the compressed sizes, over the size of the text, is turned with the text's length into
+a probability by a logistic curve fitted on labelled texts that are in neither dictionary, the classes weighted by
+how many of each are labelled.
 
 Only the fit uses labels, from a bounded sample: the ``SAMPLE_DOCS`` labelled rows
 of each class with the smallest hashes of their ids. The dictionaries see ``SAMPLE_BYTES``
@@ -57,30 +58,39 @@ class Pair:
         return gap / len(text)
 
 
+def features(differences: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What the curve goes by: the difference, the length's logarithm and their product, as short texts scatter more."""
+    size = np.log1p(np.asarray(lengths, dtype=float))
+    return np.stack([differences, size, differences * size], axis=1)
+
+
 class Classifier:
-    """Dictionaries and the curve from difference to probability."""
+    """Dictionaries and the curve from difference and length to probability."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float, offset: float):
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, good: bytes, bad: bytes, slopes: np.ndarray, offset: float):
+        self.good, self.bad, self.slopes, self.offset = good, bad, np.asarray(slopes, dtype=float), offset
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         pair = Pair(self.good, self.bad) if self.good else None
         x = np.array([pair.difference(t) if pair else 0.0 for t in texts])
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -500, 500)))
+        at = features(x, np.array([len(t) for t in texts])) @ self.slopes + self.offset
+        return 1 / (1 + np.exp(-np.clip(at, -500, 500)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps on standardised values."""
-    middle, scale = x.mean(), x.std() or 1.0
-    a = np.stack([(x - middle) / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic curve over the columns of ``x``, by Newton steps on standardised values."""
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+    middle, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a = np.concatenate([(x - middle) / scale, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2) * len(x), a.T @ (y - p) - ridge * len(x) * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)) * len(x),
+                               a.T @ (weight * (y - p)) - ridge * len(x) * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * middle / scale)
+    return w[:-1] / scale, float(w[-1] - (w[:-1] * middle / scale).sum())
 
 
 def held_out(doc_id: str):
@@ -96,10 +106,20 @@ def _spread(text: str):
     return F.expr(f"case when octet_length({text}) <= {SAMPLE_BYTES} then {text} else concat({some}) end")
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """``(doc_id, quality)`` of the labels that a fit may see."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")) \
+        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
+def class_sizes(labels: DataFrame) -> dict[int, int]:
+    """Labelled documents of each class that a fit may see: the sample's classes are weighted by them."""
+    return {r["quality"]: r["count"] for r in _known(labels).groupBy("quality").count().collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[int, bytes, int]]:
     """``(quality, text, doc_id)`` of the bounded sample, in the order of a hash of the ids; long texts in stretches."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id")) \
-        .groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("turn", F.xxhash64("doc_id"))
+    known = _known(labels).withColumn("turn", F.xxhash64("doc_id"))
     picked = None
     for quality in (0, 1):
         some = known.where(F.col("quality") == quality).orderBy("turn", "doc_id").limit(sample_docs)
@@ -111,19 +131,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPL
     return [(r["quality"], bytes(r["text"] or b""), r["doc_id"]) for r in found]
 
 
-def whole_differences(docs: DataFrame, ids: list[int], good: bytes, bad: bytes) -> dict[int, float]:
-    """The differences of the whole texts of ``ids`` (the least of rows that share an id)."""
+def whole_differences(docs: DataFrame, ids: list[int], good: bytes, bad: bytes) -> dict[int, tuple[float, int]]:
+    """The differences and lengths of the whole texts of ``ids`` (the least of rows that share an id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(good, bad)
         for batch in batches:
-            x = [pair.difference(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["doc_id", "x"])
+            texts = utf8(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pair.difference(t) for t in texts], pa.float64()),
+                                              pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "x", "n"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {id_type}")
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi") \
-        .mapInArrow(run, f"doc_id {id_type}, x double")
-    return {r["doc_id"]: r["x"] for r in rows.groupBy("doc_id").agg(F.min("x").alias("x")).collect()}
+        .mapInArrow(run, f"doc_id {id_type}, x double, n long")
+    return {r["doc_id"]: tuple(r["found"]) for r in rows.groupBy("doc_id").agg(F.min(F.struct("x", "n")).alias("found")).collect()}
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -135,24 +156,29 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
-def fit(sample: list[tuple[int, bytes, int]], docs: DataFrame | None = None) -> Classifier:
-    """Dictionaries from every second text of each class, the curve from the others: from their whole texts in ``docs``."""
+def fit(sample: list[tuple[int, bytes, int]], docs: DataFrame | None = None, sizes: dict[int, int] | None = None) -> Classifier:
+    """Dictionaries from every second text of each class, the curve from the others: from their whole texts in ``docs``.
+
+    The curve weighs the classes by ``sizes``, the numbers of all that are labelled, as the sample has other shares of them.
+    """
     by_class = {q: [(t, i) for k, t, i in sample if k == q and t] for q in (0, 1)}
     if min(map(len, by_class.values())) < 4:
         share = np.clip((len(by_class[1]) + 0.5) / (len(by_class[0]) + len(by_class[1]) + 1), 0.01, 0.99)
-        return Classifier(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return Classifier(b"", b"", np.zeros(3), float(np.log(share / (1 - share))))
     # both dictionaries come from as much text, so that neither knows more of the language
     n = min(len(x) for x in by_class.values()) // 2
     good, bad = (_dictionary([t for t, _ in by_class[q][:n]]) for q in (1, 0))
     rest = [(q, t, i) for q in (0, 1) for t, i in by_class[q][n:]]
     if docs is None:
         pair = Pair(good, bad)
-        x = [pair.difference(t) for _, t, _ in rest]
+        found = [(pair.difference(t), len(t)) for _, t, _ in rest]
     else:
         whole = whole_differences(docs, [i for *_, i in rest], good, bad)
-        x = [whole[i] for *_, i in rest]
-    slope, offset = _logistic(np.array(x), np.array([q for q, *_ in rest], dtype=float))
-    return Classifier(good, bad, slope, offset)
+        found = [whole[i] for *_, i in rest]
+    y = np.array([q for q, *_ in rest], dtype=float)
+    weight = np.ones(len(y)) if sizes is None else np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
+    slopes, offset = _logistic(features(*map(np.array, zip(*found))), y, weight)
+    return Classifier(good, bad, slopes, offset)
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,4 +199,5 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, learned from the labels that are not held out."""
     session_for_text(spark)
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(labelled_sample(docs, table(spark, sf_dir, "labels")), docs))
+    labels = table(spark, sf_dir, "labels")
+    return score(docs, fit(labelled_sample(docs, labels), docs, class_sizes(labels)))

@@ -65,6 +65,29 @@ def test_fit_sees_whole_texts(spark):
     model = q.fit(sample, docs)
     pair = q.Pair(model.good, model.bad)
     whole = q.whole_differences(docs, [3, 4], model.good, model.bad)
-    assert whole == {i: pair.difference(texts[i].encode()) for i in (3, 4)}
+    assert whole == {i: (pair.difference(texts[i].encode()), len(texts[i].encode())) for i in (3, 4)}
     got = {r.doc_id: r.predicted for r in q.score(docs, model).collect()}
     assert all(got[i] == i % 2 for i in texts)
+
+
+def test_scores_are_calibrated_for_short_texts_and_rare_classes(spark):
+    rng = np.random.default_rng(3)
+    shared, good, bad = ["aa", "the", "on", "it", "be"], ["river", "garden"], ["cash###", "win%%%"]
+    rows, labels = [], []
+    for i in range(3000):
+        y = int(rng.random() < 0.85)                                 # good ones are many, and few words tell
+        n = int(rng.choice([3, 6, 12, 200]))
+        words = [str(rng.choice(good if y else bad)) if rng.random() < 0.25 else str(rng.choice(shared)) for _ in range(n)]
+        rows.append((i, " ".join(words), "x"))
+        labels.append((i, y, 0))
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    sizes = q.class_sizes(known)
+    fit_rows = [y for i, y, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sizes == {1: sum(fit_rows), 0: len(fit_rows) - sum(fit_rows)}
+    model = q.fit(q.labelled_sample(docs, known, 200), docs, sizes)
+    got = np.array([(r.score, labels[r.doc_id][1]) for r in q.score(docs, model).where("held_out").collect()])
+    assert ((got[:, 0] >= 0.5) == got[:, 1]).mean() >= 0.85
+    for low, high in ((0.0, 0.3), (0.3, 0.7), (0.7, 0.9), (0.9, 1.01)):
+        part = got[(got[:, 0] >= low) & (got[:, 0] < high)]
+        if len(part) >= 40:
+            assert abs(part[:, 0].mean() - part[:, 1].mean()) < 0.15, (low, part[:, 0].mean(), part[:, 1].mean())

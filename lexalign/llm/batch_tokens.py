@@ -96,6 +96,10 @@ class BatchEncoder:
         return [b"" if t == b"\0" or self.words and t.isspace() else array("I", [x.id for x in bpe(word)]).tobytes()
                 for t, word in zip(tokens, spelled)]
 
+    def forget(self) -> None:
+        """Empty the cache, at the end of a task: an idle worker then holds the tokenizer alone."""
+        self.cache.young, self.cache.old, self.cache.held = {}, {}, 0
+
     def encode(self, texts: list[bytes], dtype: str = "<u4") -> list[bytes]:
         """The ids of every text."""
         out: list[list[bytes]] = [[] for _ in texts]

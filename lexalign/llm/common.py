@@ -7,6 +7,7 @@ Intermediate tables go to the shared folder in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -82,9 +83,27 @@ def worker_cache(key: tuple, make: Callable):
     return _HELD[key]
 
 
+def free_memory() -> None:
+    """Hand back to the system what earlier work of this worker has freed: allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _find_trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim        # of the GNU C library
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _find_trim()
+
+
 def drop_worker_cache() -> None:
     """Free what an earlier stage left in this worker, before work that has no use for it."""
     _HELD.clear()
+    free_memory()
 
 
 def hashes(*columns: str) -> list[Column]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexalign.llm.batch_tokens import ROWS, batch_encoder
-from lexalign.llm.common import hashes, session_for_text, table, utf8, written
+from lexalign.llm.common import free_memory, hashes, session_for_text, table, utf8, written
 from lexalign.llm.tokens import default_path
 
 BLOCK_TOKENS = 1 << 16
@@ -114,11 +114,15 @@ PLACES = ("copy", "block", "block_at", "doc_at")
 def with_tokens(keyed: DataFrame, path: str | None = None) -> DataFrame:
     """Number of tokens of the rows ``(_key, _source, _text)``, as ``_tokens``; the text is not copied into Python's output."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             texts = utf8(batch.column(2))
             n = [len(ids) // 2 for ids in batch_encoder(path).encode(texts, "<u2")] if path else [len(t.split()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())],
                                              names=["_key", "_source", "_tokens"])
+        if path:
+            batch_encoder(path).forget()
+        free_memory()
     return keyed.select("_key", "_source", "_text").mapInArrow(count, "_key long, _source string, _tokens long")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexalign.llm.batch_tokens import ROWS, batch_encoder
-from lexalign.llm.common import session_for_text, table, utf8, written
+from lexalign.llm.common import free_memory, session_for_text, table, utf8, written
 from lexalign.llm.tokens import default_path
 
 SIZE = 2048
@@ -52,6 +52,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = SIZE, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
+        free_memory()
         enc = batch_encoder(path)
         for batch in batches:
             rows = []
@@ -68,6 +69,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int = SIZE, id_col: st
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names[:len(rows[0])])
+        enc.forget()
+        free_memory()
 
     schema = PIECES_SCHEMA + (", ids binary" if keep_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(cut, schema)

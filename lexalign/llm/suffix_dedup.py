@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexalign.llm.common import arrow_rows, drop_worker_cache, seed64, session_for_text, shuffle_width, table, utf8, written
+from lexalign.llm.common import arrow_rows, drop_worker_cache, free_memory, seed64, session_for_text, shuffle_width, table, utf8, written
 from lexalign.session import scratch_path
 
 LENGTH = 50
@@ -363,6 +363,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = list(zip(*((k, b, chunk, n, d) for k, b, n, d in rows))) or [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
+    def freed(out: pa.Table) -> pa.Table:
+        """The result, after what its chunk's steps have freed went back to the system."""
+        free_memory()
+        return out
+
     def loaded(chunk: pa.Table, found: pa.Table | None = None, kinds: int = 0) -> Chunk:
         """The chunk with the answers of ``kinds`` kinds, also where it asked nothing."""
         drop_worker_cache()
@@ -374,15 +379,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask_triggers(chunk: pa.Table) -> pa.Table:
         c = loaded(chunk)
-        return asked(c.ask_triggers(), c.row["chunk"])
+        return freed(asked(c.ask_triggers(), c.row["chunk"]))
 
     def ask_dictionary(chunk: pa.Table, found: pa.Table) -> pa.Table:
         c = loaded(chunk, found, SEVERAL)
-        return asked(c.ask_dictionary(), c.row["chunk"])
+        return freed(asked(c.ask_dictionary(), c.row["chunk"]))
 
     def ask_suffixes(chunk: pa.Table, found: pa.Table) -> pa.Table:
         c = loaded(chunk, found, SUFFIX)
-        return asked(c.ask_suffixes(), c.row["chunk"])
+        return freed(asked(c.ask_suffixes(), c.row["chunk"]))
 
     def cut(chunk: pa.Table, found: pa.Table) -> pa.Table:
         c = loaded(chunk, found, SUFFIX + 1)

@@ -9,9 +9,11 @@ Physical design (block matrix product, as in distributed BlockMatrix multiply):
   the ``Q`` left blocks, and the two sides are co-grouped on ``(lblk, rblk)``:
   one group is one block pair. A hundred queries are one block, so the target is
   moved once for them;
-* a numpy kernel (``applyInArrow`` on the co-group) goes over tiles of ``TILE x TILE``
-  scores in double and keeps a running top-k of every row (and/or column), ties
-  broken by the lower id, so its memory does not depend on the block;
+* a numpy kernel (``applyInArrow`` on the co-group) goes over tiles of ``ROWS x COLUMNS``
+  scores in single precision and leaves out what lies below a row's running k-th score by
+  more than the rounding can make up; the few others are scored in double, and ties go to the lower id.
+  Of right rows with equal vectors and biases only the first ``k`` can matter. Vectors that single precision
+  cannot hold go through ``TILE x TILE`` scores in double. No memory but the vectors' depends on the block;
 * the final top-k is a ``row_number() <= k`` window per key, which Catalyst
   turns into a partial ``WindowGroupLimit`` before the shuffle.
 
@@ -38,10 +40,16 @@ from pyspark.sql import functions as F
 from lexalign.operators._arrow import list_to_matrix
 from lexalign.session import default_parallelism
 
-#: Bytes of the vectors of one block side.
-BLOCK_BYTES = 1 << 27
+#: Bytes of the vectors of one block side. A task holds both sides about four times.
+BLOCK_BYTES = 1 << 25
 MIN_BLOCK = 64
 TILE = 2048
+#: Scores of one tile in single precision.
+ROWS, COLUMNS = 256, 8192
+#: Pairs scored in double at once.
+PAIRS = 1 << 16
+#: Longest vectors and largest biases whose scores single precision holds, and what it may lose to underflow.
+LARGEST, LEAST = 1e15, 1e-25
 
 CAND_SCHEMA = "space bigint, right_side boolean, key bigint, other bigint, score double"
 
@@ -118,6 +126,103 @@ def _side(t: pa.Table):
     return ids[order], vecs, bias, emit
 
 
+def _fits_single(*values: np.ndarray) -> bool:
+    """Whether all numbers are finite and small enough for scores in single precision."""
+    return all(bool(np.all(np.abs(v) <= LARGEST)) for v in values)
+
+
+def _copies(vecs: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows in which equal ones stand together (ascending), the number of each one's group and its place there."""
+    rows = np.ascontiguousarray(np.column_stack([vecs, bias])) + 0.0                  # no negative zeros
+    same = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    order = np.argsort(same, kind="stable")
+    same = same[order]
+    head = np.r_[True, same[1:] != same[:-1]]
+    group = np.cumsum(head) - 1
+    return order, group, np.arange(len(order)) - np.flatnonzero(head)[group]
+
+
+def _score(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, i: np.ndarray, j: np.ndarray, alpha: float) -> np.ndarray:
+    """Scores in double of the pairs of rows ``i`` and ``j``; a pair's does not depend on the others."""
+    out = np.empty(len(i))
+    for p in range(0, len(i), PAIRS):
+        a, b = i[p:p + PAIRS], j[p:p + PAIRS]
+        out[p:p + PAIRS] = alpha * np.einsum("ij,ij->i", x[a], y[b]) + xb[a] + yb[b]
+    return out
+
+
+def _likely(s: np.ndarray, k: int) -> np.ndarray:
+    """A bound that ``k`` scores of each row reach: the k-th of the largest ones of groups of columns."""
+    size = max(1, s.shape[1] // (16 * k))
+    groups = s.shape[1] // size
+    if groups < k:
+        return np.full(len(s), -np.inf)
+    top = s[:, :groups * size].reshape(len(s), groups, size).max(axis=2)
+    return np.partition(top, groups - k, axis=1)[:, groups - k].astype(np.float64)
+
+
+def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid: np.ndarray, k: int, alpha: float):
+    """``(row of x, id of y, score)`` of the ``k`` best rows of ``y`` for each row of ``x``; ``yid`` ascends, ``k`` is ``len(y)`` at most.
+
+    Equal rows of ``x`` are searched once; of equal rows of ``y`` only the first ``k`` take part.
+    """
+    order, group, place = _copies(x, xb)
+    searched = order[place == 0]
+    if len(searched) < len(x):
+        _, other, score = _rows_topk(x[searched], xb[searched], y, yb, yid, k, alpha)
+        return np.repeat(order, k), other.reshape(-1, k)[group].ravel(), score.reshape(-1, k)[group].ravel()
+    order, _, place = _copies(y, yb)
+    if (place >= k).any():
+        kept = np.sort(order[place < k])
+        y, yb, yid = y[kept], yb[kept], yid[kept]
+    a32 = np.column_stack([alpha * x, xb, np.ones(len(x))]).astype(np.float32)
+    b32 = np.column_stack([y, np.ones(len(y)), yb]).astype(np.float32)
+    length, other = abs(alpha) * np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    rounding = (x.shape[1] + 16) * 2.0 ** -23
+    found = []
+    for a in range(0, len(x), ROWS):
+        rows = slice(a, a + ROWS)
+        n = len(x[rows])
+        best = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))       # row, place in y, score
+        kth = np.full(n, -np.inf)
+        for c in range(0, len(y), COLUMNS):
+            columns = slice(c, c + COLUMNS)
+            s = a32[rows] @ b32[columns].T
+            slack = rounding * (length[rows] * other[columns].max() + np.abs(xb[rows]) + np.abs(yb[columns]).max()) + LEAST
+            least = kth - slack
+            if not np.isfinite(kth).all():
+                least = np.maximum(least, _likely(s, k) - 2 * slack)
+            # flatnonzero is much faster on rare hits than nonzero of two axes
+            i, j = np.divmod(np.flatnonzero(s >= least.astype(np.float32)[:, None]), s.shape[1])
+            if not len(i):
+                continue
+            score = _score(x[rows], xb[rows], y[columns], yb[columns], i, j, alpha)
+            best = _best(*(np.concatenate(p) for p in zip(best, (i, j + c, score))), k)
+            ends = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
+            full = np.bincount(best[0], minlength=n)[best[0][ends]] == k
+            kth[best[0][ends[full]]] = best[2][ends[full]]
+        found.append((best[0] + a, yid[best[1]], best[2]))
+    return tuple(np.concatenate(p) for p in zip(*found))
+
+
+def _dense_topk(lid, L, lb, lemit, rid, R, rb, k: int, alpha: float, want_left: bool, want_right: bool):
+    """``(right_side, key, other, score)`` from all scores in double."""
+    columns = _Running(k)
+    for a in range(0, len(lid), TILE):
+        rows = _Running(k)
+        emitted = np.flatnonzero(lemit[a:a + TILE])
+        for c in range(0, len(rid), TILE):
+            s = alpha * (L[a:a + TILE] @ R[c:c + TILE].T) + lb[a:a + TILE, None] + rb[None, c:c + TILE]
+            if want_left and len(emitted):
+                rows.add(s[emitted], lid[a:a + TILE][emitted], rid[c:c + TILE])
+            if want_right:
+                columns.add(s.T, rid[c:c + TILE], lid[a:a + TILE])
+        if rows.parts:
+            yield False, *rows.merged()
+    if columns.parts:
+        yield True, *columns.merged()
+
+
 def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
     want_left = "left" in sides
     want_right = "right" in sides
@@ -128,21 +233,17 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
             return _empty()
         lid, L, lb, lemit = _side(lt)
         rid, R, rb, _ = _side(rt)
-        columns = _Running(k)
+        small = _fits_single(L, lb, R, rb) and abs(alpha) <= 1024
         out = []
-        for a in range(0, len(lid), TILE):
-            rows = _Running(k)
-            emitted = np.flatnonzero(lemit[a:a + TILE])
-            for c in range(0, len(rid), TILE):
-                s = alpha * (L[a:a + TILE] @ R[c:c + TILE].T) + lb[a:a + TILE, None] + rb[None, c:c + TILE]
-                if want_left and len(emitted):
-                    rows.add(s[emitted], lid[a:a + TILE][emitted], rid[c:c + TILE])
-                if want_right:
-                    columns.add(s.T, rid[c:c + TILE], lid[a:a + TILE])
-            if rows.parts:
-                out.append(_emit(space, False, *rows.merged()))
-        if columns.parts:
-            out.append(_emit(space, True, *columns.merged()))
+        left, right = want_left and small and k < len(rid), want_right and small and k < len(lid)
+        if left and lemit.any():
+            i, other, score = _rows_topk(L[lemit], lb[lemit], R, rb, rid, k, alpha)
+            out.append(_emit(space, False, lid[lemit][i], other, score))
+        if right:
+            i, other, score = _rows_topk(R, rb, L, lb, lid, k, alpha)
+            out.append(_emit(space, True, rid[i], other, score))
+        if want_left > left or want_right > right:
+            out += [_emit(space, *found) for found in _dense_topk(lid, L, lb, lemit, rid, R, rb, k, alpha, want_left > left, want_right > right)]
         return pa.concat_tables(out) if out else _empty()
 
     return kernel

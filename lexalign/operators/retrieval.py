@@ -57,10 +57,13 @@ def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame |
 
 def nbr_mean(x: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
              n_left: int | None = None, n_right: int | None = None, space: str | None = None) -> DataFrame:
-    """Mean of the k largest similarities of every ``x`` row against ``z``: ``(idx, r)``."""
+    """Mean of the k largest similarities of every ``x`` row against ``z``: ``(idx, r)``.
+
+    Written once: what is joined with the means is counted before it is searched, and would compute them anew each time.
+    """
     c = knn.block_candidates(_ids_vecs(x, space=space), _ids_vecs(z, space=space), k, sides=("left",), block=block,
                              n_left=n_left, n_right=n_right, space=space)
-    means = knn.final_topk(c, k, "left").groupBy("space", "key").agg(F.avg("score").alias("r"))
+    means = materialise(knn.final_topk(c, k, "left").groupBy("space", "key").agg(F.avg("score").alias("r")), "neighbourhoods")
     return _keyed(means, space).withColumnRenamed("key", "idx")
 
 

@@ -61,7 +61,7 @@ def pipeline_eval(x: DataFrame, y: DataFrame, z: DataFrame, test: DataFrame, m1:
     y1 = materialise(N.unit(M.to_latent(y, m1, lm)), "mapped")
     q1 = x1.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi")
     rz1 = R.nbr_mean(y1, x1, csls_k)
-    mid = R.csls_topk(q1, y1, rz1, 1).select("src_idx", F.col("trg_idx").alias("mid_idx"))
+    mid = materialise(R.csls_topk(q1, y1, rz1, 1).select("src_idx", F.col("trg_idx").alias("mid_idx")), "middle-words")
     # stage 2: mid -> target, top-10 by CSLS for the distinct mids
     y2 = materialise(N.unit(M.to_latent(y, m2, lm)), "mapped")
     z2 = materialise(N.unit(M.to_latent(z, m2, lt)), "mapped")

@@ -3,10 +3,10 @@
 The model is a modified Kneser-Ney model of character trigrams within words, one
 for each language. Spark counts the trigrams: a task counts words, cuts the
 distinct ones into trigrams and reports sums, so little is shuffled. A character
-is one of 256 classes: a word's end, printable ASCII, and 160 for the rest by code point modulo 160, so that the
-letters of one script have classes of their own and only scripts of many hundred characters share them.
-A trigram is a 24-bit number; it serves as its own hash. A language's model is a sorted array of those numbers
-beside one of log probabilities, and dense tables for the lower orders: at most 2^24 entries, 128 MB.
+is its code point, and a word's end is one more; no two characters share a count.
+A trigram is a 63-bit number; it serves as its own hash. A language's model is a sorted array of those numbers
+beside one of log probabilities, and sorted arrays for the lower orders: as many entries as the language has
+distinct trigrams, which grow far slower than its texts.
 
 A document's log perplexity is that of its words, per predicted character (the end
 of each word is predicted too). A word's probability is a mixture of fixed weights: its own language's
@@ -47,7 +47,8 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
-CHAR_BITS = 8
+#: Every code point, and a word's end.
+CHAR_BITS = 21
 CLASSES = 1 << CHAR_BITS
 #: Weight of the whole corpus's model in the probability of a word.
 POOLED = 0.2
@@ -66,6 +67,8 @@ SLOT_WORDS = 1 << 19
 STRETCH = 1 << 20
 #: Trigrams that a task holds for a language.
 HELD_GRAMS = 1 << 19
+#: Alphabet whose trigrams are told apart as 32-bit numbers within a stretch.
+SMALL_ALPHABET = 1290
 #: Trigrams of one broadcast of models.
 MODEL_ENTRIES = 1 << 21
 
@@ -76,21 +79,51 @@ _SYMBOL[list(SYMBOLS)] = True
 
 
 def classes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes of all words, each followed by its end, and the lengths with it."""
+    """Code points of all words, each word followed by its end (0), and the lengths with it.
+
+    No word has a line feed, so its number stands for the code point 0.
+    """
     text = (b"\n".join(words) + b"\n").decode("utf-8", "replace")
-    code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    out = np.where(code == 10, 0, np.where((code > 32) & (code < 127), code - 32, 96 + code % 160)).astype(np.int32)
-    ends = np.flatnonzero(out == 0) + 1
-    return out, np.diff(np.r_[0, ends])
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
+    end = code == 10
+    code[code == 0] = 10
+    code[end] = 0
+    ends = np.flatnonzero(end) + 1
+    return code, np.diff(np.r_[0, ends])
+
+
+def _joined(c: np.ndarray, base: int) -> np.ndarray:
+    """Each number with the two before it in its word, as one number of that base."""
+    before = np.r_[c[:1] * 0, c[:-1]]
+    first = np.r_[c[:1] * 0, before[:-1]]
+    first[before == 0] = 0
+    return (first * base + before) * base + c
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One trigram for each character and end of the words, and the lengths of the words' runs."""
     c, lengths = classes(words)
-    before = np.r_[np.int32(0), c[:-1]]
-    first = np.r_[np.int32(0), before[:-1]]
-    first[before == 0] = 0
-    return first << 2 * CHAR_BITS | before << CHAR_BITS | c, lengths
+    return _joined(c.astype(np.int64), CLASSES), lengths
+
+
+def distinct_trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of the words, the place of each one's among them, and the lengths of the words' runs.
+
+    With few characters the trigrams are sorted as 32-bit numbers of their places in the alphabet, which keep the order.
+    """
+    c, lengths = classes(words)
+    seen = np.zeros(CLASSES, dtype=bool)
+    seen[0] = True
+    seen[c] = True
+    alphabet = np.flatnonzero(seen)
+    if len(alphabet) > SMALL_ALPHABET:
+        return (*np.unique(_joined(c.astype(np.int64), CLASSES), return_inverse=True), lengths)
+    place = np.zeros(alphabet[-1] + 1, dtype=np.int32)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    used, at = np.unique(_joined(place[c], len(alphabet)), return_inverse=True)
+    rest, last = np.divmod(used, len(alphabet))
+    first, before = np.divmod(rest, len(alphabet))
+    return (alphabet[first] * CLASSES + alphabet[before]) * CLASSES + alphabet[last], at, lengths
 
 
 class Words:
@@ -117,8 +150,7 @@ class Words:
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct trigrams of the distinct words, the place of each word's among them, and the words' lengths."""
         if self._grams is None:
-            gram, lengths = trigrams(self.distinct) if self.distinct else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            self._grams = (*np.unique(gram, return_inverse=True), lengths)
+            self._grams = distinct_trigrams(self.distinct) if self.distinct else (np.zeros(0, np.int64),) * 3
         return self._grams
 
     def sums(self, of_word: np.ndarray) -> np.ndarray:
@@ -211,49 +243,73 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return d if np.all((d[1:] > 0) & (d[1:] < np.arange(1, 4))) else np.array([0.0, 0.5, 1.0, 1.5])
 
 
+def _places(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted numbers in a sorted array, and which of them are there."""
+    if not len(sorted_):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return at, sorted_[at] == wanted
+
+
+class _Level:
+    """Interpolated probabilities of one order: what was counted, and what each context leaves to the lower order."""
+
+    def __init__(self, context: np.ndarray, n: np.ndarray, lower: np.ndarray):
+        gone = discounts(n)[np.minimum(n, 3)]
+        self.contexts, of = np.unique(context, return_inverse=True)
+        total = np.bincount(of, weights=n, minlength=len(self.contexts))
+        self.left = np.bincount(of, weights=gone, minlength=len(self.contexts)) / total
+        self.p = (n - gone) / total[of] + self.left[of] * lower
+
+    def leaves(self, context: np.ndarray) -> np.ndarray:
+        """The share of the lower order after each context: all, where the context was never seen."""
+        at, there = _places(self.contexts, context)
+        out = np.ones(len(context))
+        out[there] = self.left[at[there]]
+        return out
+
+
 class Model:
     """Log probabilities of trigrams: sorted numbers with their values, and what lower orders leave."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray):
         order = np.argsort(gram)
-        self.gram, n = gram[order].astype(np.int32), n[order]
-        pairs = 1 << 2 * CHAR_BITS
-        pair, last = self.gram & (pairs - 1), self.gram & (CLASSES - 1)
+        self.gram, n = np.asarray(gram, dtype=np.int64)[order], n[order]
+        pair = self.gram & ((1 << 2 * CHAR_BITS) - 1)
         # lower orders count distinct left neighbours; word starts have none, so they keep their counts
         starts = (self.gram >> CHAR_BITS) == 0
-        c2 = np.bincount(pair, minlength=pairs) * (np.arange(pairs) >> CHAR_BITS != 0)
-        c2 += np.bincount(last[starts], weights=n[starts], minlength=pairs).astype(np.int64)
-        c2 = c2.reshape(CLASSES, CLASSES)
-        c1 = (c2 > 0).sum(axis=0)
-
-        def level(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-            """Interpolated probabilities of rows of counts."""
-            d = discounts(c[c > 0])
-            total = c.sum(axis=-1, keepdims=True)
-            gone = np.where(c > 0, d[np.minimum(c, 3)], 0.0)
-            share = np.divide(gone.sum(axis=-1, keepdims=True), total, out=np.ones(total.shape), where=total > 0)
-            return np.divide(c - gone, total, out=np.zeros(c.shape), where=total > 0) + share * lower
-
-        p1 = level(c1, np.full(CLASSES, 1 / CLASSES))
-        self.p2 = level(c2, p1[None, :])
-        d = discounts(n)
-        gone = d[np.minimum(n, 3)]
-        context = self.gram >> CHAR_BITS
-        total = np.bincount(context, weights=n, minlength=pairs)
-        self.left = np.divide(np.bincount(context, weights=gone, minlength=pairs), total,
-                              out=np.ones(pairs), where=total > 0)
-        p3 = (n - gone) / total[context] + self.left[context] * self.p2.ravel()[pair]
-        self.logp = np.log(p3).astype(np.float32)
+        self.pair, at = np.unique(pair, return_inverse=True)
+        c2 = np.bincount(at, weights=np.where(starts, n, 1), minlength=len(self.pair)).astype(np.int64)
+        self.last, at1 = np.unique(self.pair & (CLASSES - 1), return_inverse=True)
+        c1 = np.bincount(at1, minlength=len(self.last))
+        self.one = _Level(np.zeros(len(self.last), dtype=np.int64), c1, 1 / CLASSES)
+        self.two = _Level(self.pair >> CHAR_BITS, c2, self.one.p[at1])
+        self.three = _Level(self.gram >> CHAR_BITS, n, self.two.p[at])
+        self.logp = np.log(self.three.p).astype(np.float32)
+        self.three.p = None
+
+    def _one(self, last: np.ndarray) -> np.ndarray:
+        at, there = _places(self.last, last)
+        out = self.one.leaves(np.zeros(len(last), dtype=np.int64)) / CLASSES
+        out[there] = self.one.p[at[there]]
+        return out
+
+    def _two(self, pair: np.ndarray) -> np.ndarray:
+        at, there = _places(self.pair, pair)
+        out = np.zeros(len(pair))
+        out[there] = self.two.p[at[there]]
+        miss = pair[~there]
+        out[~there] = self.two.leaves(miss >> CHAR_BITS) * self._one(miss & (CLASSES - 1))
+        return out
 
     def log_probability(self, gram: np.ndarray) -> np.ndarray:
         """Log probability of each trigram's last character after the others."""
-        logp, miss = np.zeros(len(gram)), np.ones(len(gram), dtype=bool)
-        if len(self.gram):
-            at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-            miss = self.gram[at] != gram
-            logp[~miss] = self.logp[at[~miss]]
-        lower = self.p2.ravel()[gram[miss] & ((1 << 2 * CHAR_BITS) - 1)]
-        logp[miss] = np.log(self.left[gram[miss] >> CHAR_BITS] * lower)
+        gram = np.asarray(gram, dtype=np.int64)
+        at, there = _places(self.gram, gram)
+        logp = np.zeros(len(gram))
+        logp[there] = self.logp[at[there]]
+        miss = gram[~there]
+        logp[~there] = np.log(self.three.leaves(miss >> CHAR_BITS) * self._two(miss & ((1 << 2 * CHAR_BITS) - 1)))
         return logp
 
 
@@ -309,7 +365,7 @@ def count_trigrams(rows: DataFrame, models=None, accepted=None) -> DataFrame:
 
         def out(lang) -> pa.RecordBatch:
             gram, n = summed(*(np.concatenate(c) for c in zip(*held.pop(lang))))
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int32()),
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()),
                                                pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         for batch in batches:
@@ -331,7 +387,7 @@ def count_trigrams(rows: DataFrame, models=None, accepted=None) -> DataFrame:
             yield out(lang)
         free_memory()
 
-    return rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 SCORED = ("doc_id {id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -378,7 +434,7 @@ def language_groups(counts: DataFrame) -> list[list[str | None]]:
 
 
 def fit(counts: DataFrame, langs: list[str | None]):
-    """Broadcast models of a group of languages: 2^21 entries a language and for the pooled one at most."""
+    """Broadcast models of a group of languages, and the pooled one: an entry a distinct trigram."""
     spark = counts.sparkSession
     with arrow_rows(spark, 10_000):
         own = counts.where(_is_one_of(langs)).toPandas()

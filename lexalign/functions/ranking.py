@@ -7,6 +7,9 @@ the later columns), sorted inside each range and written once with their place
 (``monotonically_increasing_id``: the range and the position in it).  One count
 per range shifts the positions.  That is one shuffle; the written table keeps the
 numbers fixed if a task runs again.
+
+The rows are written before they are dealt: they are counted, as a range has ``RANGE_ROWS`` rows or so
+however many there are, and sampled, and would be computed anew for each.
 """
 
 from __future__ import annotations
@@ -20,11 +23,19 @@ from lexalign.session import default_parallelism, materialise
 
 
 _POSITION_BITS = 33      # of monotonically_increasing_id
+#: Rows that a task sorts, about.
+RANGE_ROWS = 1 << 18
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges of about ``RANGE_ROWS`` rows, one for each core at least."""
+    return max(2, default_parallelism(df.sparkSession), -(-df.count() // RANGE_ROWS))
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], n_ranges: int | None) -> DataFrame:
     """Rows with ``_range`` and the 0-based ``_at`` in it."""
-    n = n_ranges or max(2, default_parallelism(df.sparkSession))
+    df = materialise(df, "unranked")
+    n = n_ranges or range_count(df)
     place = F.monotonically_increasing_id()
     placed = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", place), "ranks")
     return (placed.withColumn("_range", F.shiftright("_place", _POSITION_BITS))

@@ -42,9 +42,13 @@ def prefix_embeddings(words: DataFrame, emb: DataFrame, longer: bool = True, ran
     keyed = "space" in words.columns and "space" in emb.columns
     words, emb = (df if keyed else df.withColumn("space", F.lit(0).cast("bigint")) for df in (words, emb))
     m = materialise(prefix_matches(words, emb, longer, ranges), "prefix-matches")
-    vs = emb.select("space", F.col("idx").alias("short_idx"), F.col("vec").alias("sv"))
-    vl = emb.select("space", F.col("idx").alias("long_idx"), F.col("vec").alias("lv"), F.col("word").alias("long_word"))
-    j = m.join(vs, ["space", "short_idx"], "left").join(vl, ["space", "long_idx"], "left")
+    # words without a match must not meet in one task: a null id goes with the word's hash
+    for side in ("short", "long"):
+        m = m.withColumn(f"_{side}", F.when(F.col(f"{side}_idx").isNull(), F.xxhash64("word")).otherwise(F.lit(0).cast("bigint")))
+    none = F.pmod("idx", F.lit(1)).cast("bigint")             # zero, but no literal, which would be no key of the join
+    vs = emb.select("space", F.col("idx").alias("short_idx"), none.alias("_short"), F.col("vec").alias("sv"))
+    vl = emb.select("space", F.col("idx").alias("long_idx"), none.alias("_long"), F.col("vec").alias("lv"), F.col("word").alias("long_word"))
+    j = m.join(vs, ["space", "short_idx", "_short"], "left").join(vl, ["space", "long_idx", "_long"], "left")
     mean = (F.when(F.col("sv").isNotNull() & F.col("lv").isNotNull(),
                    F.zip_with("sv", "lv", lambda a, b: (a + b) / 2.0))
              .when(F.col("sv").isNotNull(), F.col("sv")).otherwise(F.col("lv")))

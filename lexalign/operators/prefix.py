@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexalign.session import default_parallelism, materialise
+from lexalign.functions.ranking import range_count
+from lexalign.session import materialise
 
 _SUMMARY = ("space bigint, range int, first string, last string, whole int, chain array<struct<len:int, idx:bigint>>, "
             "stairs array<struct<common:int, len:int, idx:bigint>>")
@@ -159,10 +160,11 @@ def prefix_search(requests: DataFrame, vocabulary: DataFrame, ranges: int | None
     Requests that are in the vocabulary, and null words, have no row.
     """
     spark = requests.sparkSession
-    n = ranges or max(2, default_parallelism(spark))
     both = vocabulary.select(F.col("space").cast("bigint").alias("space"), "word", F.col("idx").cast("bigint").alias("idx")) \
         .unionByName(requests.select(F.col("space").cast("bigint").alias("space"), "word", F.lit(None).cast("bigint").alias("idx")).distinct()) \
         .where(F.col("word").isNotNull() & (F.col("word") != ""))
+    both = materialise(both, "prefix-input")
+    n = ranges or range_count(both)
     # equal words fall into one range, the vocabulary's before the request
     dealt = materialise(both.repartitionByRange(n, "space", "word").withColumn("range", F.spark_partition_id()), "prefix-words")
 

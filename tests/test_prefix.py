@@ -1,8 +1,10 @@
 """The walk over sorted words against brute force: borders of ranges, long words, many spaces."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexalign.operators import oov
 from lexalign.operators.prefix import prefix_search
@@ -74,3 +76,30 @@ def test_extension_by_space_is_that_of_each(spark):
     assert got == sorted(want)
     nothing = oov.extend_with_prefix([d.limit(0)], e)
     assert sorted(tuple(r) for r in nothing.select("space", "idx", "word").collect()) == sorted((s, i, w) for s, i, w, _ in emb)
+
+
+def test_words_without_a_match_are_spread(spark):
+    """A null id is one key of the join: all its words, with vectors, met in one task."""
+    from lexalign.operators import oov
+    emb = spark.createDataFrame([(i, chr(97 + i), [float(i)]) for i in range(26)], "idx long, word string, vec array<double>")
+    words = spark.createDataFrame([(f"{chr(97 + i % 26)}{i}",) for i in range(2600)], "word string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        got = oov.prefix_embeddings(words, emb).select("word", "vec", "long_word", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 2600 and all(r.vec == [float(ord(r.word[0]) - 97)] and r.long_word is None for r in got)
+    assert max(Counter(r.p for r in got).values()) < 1300
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    from lexalign.functions import ranking
+    df = spark.range(1000).withColumn("key", F.pmod(F.xxhash64("id"), F.lit(10**6)))
+    want = [r.id for r in df.orderBy("key", "id").collect()]
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 10)
+    assert ranking.range_count(df) == 100
+    got = ranking.row_number_global(df, [F.col("key").asc(), F.col("id").asc()])
+    assert [r.id for r in sorted(got.collect(), key=lambda r: r.row_no)] == want

@@ -44,8 +44,10 @@ from lexalign.session import default_parallelism
 BLOCK_BYTES = 1 << 25
 MIN_BLOCK = 64
 TILE = 2048
-#: Scores of one tile in single precision.
-ROWS, COLUMNS = 256, 8192
+#: Scores of one tile in single precision: few enough for a core's cache.
+ROWS, COLUMNS = 512, 1024
+#: Pairs that a search holds before it scores them in double.
+HELD = 1 << 20
 #: Pairs scored in double at once.
 PAIRS = 1 << 16
 #: Longest vectors and largest biases whose scores single precision holds, and what it may lose to underflow.
@@ -157,10 +159,66 @@ def _likely(s: np.ndarray, k: int) -> np.ndarray:
     groups = s.shape[1] // size
     if groups < k:
         return np.full(len(s), -np.inf)
-    top = s[:, :groups * size].reshape(len(s), groups, size).max(axis=2)
+    top = s[:, :groups * size].reshape(len(s), size, groups).max(axis=1)
     return np.partition(top, groups - k, axis=1)[:, groups - k].astype(np.float64)
 
 
+def _set(flags: np.ndarray) -> np.ndarray:
+    """The places of the few that are set, looked for eight at a time; the length is a multiple of eight."""
+    eights = np.flatnonzero(flags.view(np.uint64) != 0)
+    at, within = np.nonzero(flags.reshape(-1, 8)[eights])
+    return eights[at] * 8 + within
+
+
+def _kth(row: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th largest single-precision value of each of ``n`` rows, minus infinity where there are fewer."""
+    bits = (value + np.float32(0)).view(np.uint32)
+    ordered = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))             # ascends with the value
+    keys = np.sort(row.astype(np.uint64) << np.uint64(32) | ordered)             # one sort of whole numbers is much faster than of two keys
+    counts = np.bincount(row, minlength=n)
+    full = np.flatnonzero(counts >= k)
+    bits = keys[np.cumsum(counts)[full] - k].astype(np.uint32)
+    out = np.full(n, -np.inf)
+    out[full] = np.where(bits >> 31, bits & np.uint32((1 << 31) - 1), ~bits).astype(np.uint32).view(np.float32)
+    return out
+
+
+class _Near:
+    """What may be among the ``k`` best of some rows: pairs with bounds of their scores."""
+
+    def __init__(self, n: int, k: int, exact):
+        self.n, self.k, self.exact = n, k, exact
+        self.least = np.full(n, -np.inf)                 # what k scores of each row reach
+        self.parts, self.held, self.most = [], 0, max(HELD, 4 * n * k)
+
+    def add(self, i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.parts.append((i, j, low, high))
+        self.held += len(i)
+        if self.held > self.most:
+            self.prune()
+            if self.held > self.most // 2:               # too many within the rounding: their scores in double decide
+                i, j, score = self.best()
+                single = score.astype(np.float32)
+                self.parts, self.held = [(i, j, np.nextafter(single, np.float32(-np.inf)), np.nextafter(single, np.float32(np.inf)))], len(i)
+                self.prune()
+
+    def _joined(self):
+        return tuple(np.concatenate(c) for c in zip(*self.parts))
+
+    def prune(self) -> None:
+        if self.held:
+            i, j, low, high = self._joined()
+            self.least = np.maximum(self.least, _kth(i, low, self.n, self.k))
+            kept = high >= self.least[i]
+            self.parts = [(i[kept], j[kept], low[kept], high[kept])]
+            self.held = len(self.parts[0][0])
+
+    def best(self):
+        """``(row, place, score)`` of the ``k`` best of what is held."""
+        i, j = self._joined()[:2]
+        return _best(i, j, self.exact(i, j), self.k)
+
+
 def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid: np.ndarray, k: int, alpha: float):
     """``(row of x, id of y, score)`` of the ``k`` best rows of ``y`` for each row of ``x``; ``yid`` ascends, ``k`` is ``len(y)`` at most.
 
@@ -175,33 +233,42 @@ def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid
     if (place >= k).any():
         kept = np.sort(order[place < k])
         y, yb, yid = y[kept], yb[kept], yid[kept]
-    a32 = np.column_stack([alpha * x, xb, np.ones(len(x))]).astype(np.float32)
-    b32 = np.column_stack([y, np.ones(len(y)), yb]).astype(np.float32)
+    a32, b32 = (alpha * x).astype(np.float32), y.astype(np.float32)
+    if xb.any() or yb.any():
+        a32 = np.column_stack([a32, xb, np.ones(len(x))]).astype(np.float32)
+        b32 = np.column_stack([b32, np.ones(len(y)), yb]).astype(np.float32)
     length, other = abs(alpha) * np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     rounding = (x.shape[1] + 16) * 2.0 ** -23
+    starts = range(0, len(y), COLUMNS)
+    furthest, most = ([float(np.abs(v[c:c + COLUMNS]).max()) for c in starts] for v in (other, yb))
+    scores, above = np.empty(ROWS * COLUMNS, dtype=np.float32), np.empty(ROWS * COLUMNS, dtype=bool)
     found = []
     for a in range(0, len(x), ROWS):
         rows = slice(a, a + ROWS)
         n = len(x[rows])
-        best = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64))       # row, place in y, score
-        kth = np.full(n, -np.inf)
-        for c in range(0, len(y), COLUMNS):
-            columns = slice(c, c + COLUMNS)
-            s = a32[rows] @ b32[columns].T
-            slack = rounding * (length[rows] * other[columns].max() + np.abs(xb[rows]) + np.abs(yb[columns]).max()) + LEAST
-            least = kth - slack
-            if not np.isfinite(kth).all():
+        near = _Near(n, k, lambda i, j: _score(x[rows], xb[rows], y, yb, i, j, alpha))
+        due = 0
+        for t, c in enumerate(starts):
+            width = min(COLUMNS, len(y) - c)
+            s, hit = scores[:n * width].reshape(n, width), above[:n * width].reshape(n, width)
+            np.matmul(a32[rows], b32[c:c + COLUMNS].T, out=s)
+            slack = rounding * (length[rows] * furthest[t] + np.abs(xb[rows]) + most[t]) + LEAST
+            least = near.least - slack
+            if not np.isfinite(least).all():
                 least = np.maximum(least, _likely(s, k) - 2 * slack)
-            # flatnonzero is much faster on rare hits than nonzero of two axes
-            i, j = np.divmod(np.flatnonzero(s >= least.astype(np.float32)[:, None]), s.shape[1])
-            if not len(i):
-                continue
-            score = _score(x[rows], xb[rows], y[columns], yb[columns], i, j, alpha)
-            best = _best(*(np.concatenate(p) for p in zip(best, (i, j + c, score))), k)
-            ends = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
-            full = np.bincount(best[0], minlength=n)[best[0][ends]] == k
-            kth[best[0][ends[full]]] = best[2][ends[full]]
-        found.append((best[0] + a, yid[best[1]], best[2]))
+            np.greater_equal(s, least.astype(np.float32)[:, None], out=hit)
+            above[n * width:-(-n * width // 8) * 8] = False
+            at = _set(above[:-(-n * width // 8) * 8])
+            if len(at):
+                i = at // width
+                value = s.ravel()[at]
+                near.add(i, at - i * width + c, (value - slack[i]).astype(np.float32), (value + slack[i]).astype(np.float32))
+            if t >= due:                                 # after 1, 4, 16, ... tiles: about 3 k more pairs a row each time
+                near.prune()
+                due = 4 * t + 3
+        near.prune()
+        i, j, score = near.best()
+        found.append((i + a, yid[j], score))
     return tuple(np.concatenate(p) for p in zip(*found))
 
 

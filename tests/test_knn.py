@@ -71,3 +71,51 @@ def test_each_score_is_computed_once(spark, monkeypatch):
     n, q = s.count(), queries.count()
     assert len(R.csls_topk(queries, t, R.nbr_mean(t, s, 10), 10).collect()) == 10 * q
     assert scores.value == n * n + q * n
+
+
+@pytest.mark.parametrize("biased", [False, True])
+def test_few_pairs_are_scored_in_double(biased, monkeypatch):
+    """About k of a row's pairs are scored again, however many tiles the rows of the other side fill."""
+    scored, make = [], knn._score
+
+    def counted(x, xb, y, yb, i, j, alpha):
+        scored.append(len(i))
+        return make(x, xb, y, yb, i, j, alpha)
+    monkeypatch.setattr(knn, "_score", counted)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(600, 32)), rng.normal(size=(20_000, 32))
+    knn._rows_topk(x, np.zeros(600), y, rng.normal(size=20_000) * biased, np.arange(20_000), 10, 1.0)
+    assert sum(scored) <= 1.2 * 10 * 600
+
+
+@pytest.mark.parametrize("held", [200, 5000])
+def test_pairs_held_are_bounded(held, monkeypatch):
+    """Rows whose scores differ by less than the rounding: what is held is scored in double, ties go to the lower id."""
+    monkeypatch.setattr(knn, "HELD", held)
+    monkeypatch.setattr(knn, "ROWS", 8)
+    monkeypatch.setattr(knn, "COLUMNS", 64)
+    most, add = [0], knn._Near.add
+
+    def watched(near, *pairs):
+        add(near, *pairs)
+        most[0] = max(most[0], near.held)
+    monkeypatch.setattr(knn._Near, "add", watched)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(20, 8)), 1.0 + 1e-12 * rng.integers(0, 5, (4000, 8))
+    row, other, score = knn._rows_topk(x, np.zeros(20), y, np.zeros(4000), np.arange(4000) * 2, 5, 1.0)
+    exact = np.einsum("id,jd->ij", x, y)
+    for i in range(20):
+        best = np.lexsort((np.arange(4000), -exact[i]))[:5]
+        assert np.allclose(np.sort(score[row == i]), np.sort(exact[i, best]), rtol=0, atol=1e-14 * np.abs(x[i]).sum())
+    assert most[0] <= max(held, 4 * 8 * 5)
+
+
+def test_kth_and_set_places():
+    rng = np.random.default_rng(7)
+    row = rng.integers(0, 6, 300) * 2
+    value = np.round(rng.normal(size=300), 1).astype(np.float32)
+    value[:5] = -0.0, 0.0, -np.inf, np.inf, -1e30
+    want = [np.sort(value[row == r])[-4] if (row == r).sum() >= 4 else -np.inf for r in range(13)]
+    assert knn._kth(row, value, 13, 4).tolist() == [float(w) for w in want]
+    flags = rng.random(8000) < 0.01
+    assert knn._set(flags).tolist() == np.flatnonzero(flags).tolist()

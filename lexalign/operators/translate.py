@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexalign.operators import dictionary as D
 from lexalign.operators import normalize as N
 from lexalign.operators import retrieval as R
+from lexalign.session import materialise
 
 
 def request_split(words: DataFrame, src_emb: DataFrame) -> DataFrame:
@@ -26,8 +27,7 @@ def request_split(words: DataFrame, src_emb: DataFrame) -> DataFrame:
 def _candidates(words: DataFrame, src_emb: DataFrame, tgt_emb: DataFrame, method: str,
                 k: int, csls_k: int) -> tuple[DataFrame, DataFrame]:
     req = request_split(words, src_emb).where("in_vocab").select("word", "idx")
-    xu = N.unit(src_emb.select("idx", "vec"))
-    zu = N.unit(tgt_emb.select("idx", "vec"))
+    xu, zu = (materialise(N.unit(df.select("idx", "vec")), "unit") for df in (src_emb, tgt_emb))     # read several times
     queries = xu.join(req.select("idx").distinct(), "idx", "left_semi")
     if method == "nn":
         c = R.nn_topk(queries, zu, k)

@@ -293,8 +293,9 @@ def dict_union_induced(spark, sf):
 # --------------------------------------------------------------------------- retrieval
 
 def _unit_st(spark, sf):
+    """Unit vectors of source and target, written once: searches read them several times."""
     s, t, d = _st(spark, sf)
-    return N.unit(s), N.unit(t), d, s, t
+    return materialise(N.unit(s), "unit"), materialise(N.unit(t), "unit"), d, s, t
 
 
 def _test_queries(xu, s, t, d):
@@ -400,8 +401,7 @@ def _fixed_spaces(spark, sf):
     s, t, d = _st(spark, sf)
     dim = BL._dim(s)
     model = fixed_model(dim)
-    xw = N.unit(M.to_latent(s, model, "s"))
-    zw = N.unit(M.to_latent(t, model, "t"))
+    xw, zw = (materialise(N.unit(M.to_latent(df, model, lang)), "mapped") for df, lang in ((s, "s"), (t, "t")))
     return xw, zw, s, t, d, model
 
 
@@ -665,7 +665,7 @@ def aligned_sink(spark, sf):
     from lexalign.sources import sinks, vectext
     xw, zw, *_ = _fixed_spaces(spark, sf)
     base = _scratch(spark, "aligned")
-    tables = {"s": materialise(xw, "mapped"), "t": materialise(zw, "mapped")}
+    tables = {"s": xw, "t": zw}
     sinks.write_aligned(tables, f"{base}/table")
     sinks.write_aligned(tables, f"{base}/text", "vec")
     out = spark.read.parquet(f"{base}/table").select(F.lit("table").alias("kind"), "lang", "idx", "word", "vec")

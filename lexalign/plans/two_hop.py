@@ -44,7 +44,7 @@ def composition_eval(x: DataFrame, z: DataFrame, test: DataFrame, w12: np.ndarra
                      z_raw: DataFrame | None = None) -> DataFrame:
     """CMP metrics row.  ``x``/``z`` are the (normalised) tables; raw ones give the word index."""
     xw = materialise(N.unit(M.apply_matrix(x, M.compose(w12, w23))), "mapped")
-    zw = N.unit(z)
+    zw = materialise(N.unit(z), "unit")
     return _score(xw, zw, test, x_raw if x_raw is not None else x, z_raw if z_raw is not None else z, csls_k)
 
 

@@ -119,3 +119,11 @@ def test_kth_and_set_places():
     assert knn._kth(row, value, 13, 4).tolist() == [float(w) for w in want]
     flags = rng.random(8000) < 0.01
     assert knn._set(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
+def test_fixed_spaces_and_unit_vectors_are_written_once(spark):
+    """Searches count, measure and read what they are given: it must not be mapped or joined anew each time."""
+    from lexalign.plans import registry
+    for df in (*registry._unit_st(spark, SF)[:2], *registry._fixed_spaces(spark, SF)[:2]):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" not in plan and len(df.inputFiles()) > 0

@@ -233,6 +233,30 @@ def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid
     if (place >= k).any():
         kept = np.sort(order[place < k])
         y, yb, yid = y[kept], yb[kept], yid[kept]
+    (i, j, score), _ = _search(x, xb, y, yb, k, alpha)
+    return i, yid[j], score
+
+
+def _both_topk(x: np.ndarray, xb: np.ndarray, xid: np.ndarray, y: np.ndarray, yb: np.ndarray, yid: np.ndarray, k: int, alpha: float):
+    """What ``_rows_topk`` gives for the rows of ``x`` and for those of ``y``, from one product; None where copies make two cheaper."""
+    kept, first = [], []
+    for vecs, bias in ((x, xb), (y, yb)):
+        order, group, place = _copies(vecs, bias)
+        kept.append(np.sort(order[place < k]))
+        if len(kept[-1]) > 2 * (group[-1] + 1):
+            return None
+        head = np.empty(len(order), dtype=np.int64)
+        head[order] = order[place == 0][group]
+        first.append(np.searchsorted(kept[-1], head))
+    found = _search(x[kept[0]], xb[kept[0]], y[kept[1]], yb[kept[1]], k, alpha, back=True)
+    out = []
+    for (_, j, score), like, ids in zip(found, first, (yid[kept[1]], xid[kept[0]])):          # k of each row, in the order of rows
+        out.append((np.repeat(np.arange(len(like)), k), ids[j].reshape(-1, k)[like].ravel(), score.reshape(-1, k)[like].ravel()))
+    return out
+
+
+def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int, alpha: float, back: bool = False):
+    """``(row, place in y, score)`` of the ``k`` best for each row of ``x`` and, with ``back``, the same for ``y`` from the same scores."""
     a32, b32 = (alpha * x).astype(np.float32), y.astype(np.float32)
     if xb.any() or yb.any():
         a32 = np.column_stack([a32, xb, np.ones(len(x))]).astype(np.float32)
@@ -242,8 +266,9 @@ def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid
     starts = range(0, len(y), COLUMNS)
     furthest, most = ([float(np.abs(v[c:c + COLUMNS]).max()) for c in starts] for v in (other, yb))
     scores, above = np.empty(ROWS * COLUMNS, dtype=np.float32), np.empty(ROWS * COLUMNS, dtype=bool)
-    found = []
-    for a in range(0, len(x), ROWS):
+    found, columns = [], _Near(len(y), k, lambda j, i: _score(y, yb, x, xb, j, i, alpha)) if back else None
+    turn = 0
+    for r, a in enumerate(range(0, len(x), ROWS)):
         rows = slice(a, a + ROWS)
         n = len(x[rows])
         near = _Near(n, k, lambda i, j: _score(x[rows], xb[rows], y, yb, i, j, alpha))
@@ -257,8 +282,9 @@ def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid
             if not np.isfinite(least).all():
                 least = np.maximum(least, _likely(s, k) - 2 * slack)
             np.greater_equal(s, least.astype(np.float32)[:, None], out=hit)
-            above[n * width:-(-n * width // 8) * 8] = False
-            at = _set(above[:-(-n * width // 8) * 8])
+            end = -(-n * width // 8) * 8
+            above[n * width:end] = False
+            at = _set(above[:end])
             if len(at):
                 i = at // width
                 value = s.ravel()[at]
@@ -266,10 +292,28 @@ def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid
             if t >= due:                                 # after 1, 4, 16, ... tiles: about 3 k more pairs a row each time
                 near.prune()
                 due = 4 * t + 3
+            if back:
+                slack = rounding * (length[rows].max() * other[c:c + COLUMNS] + np.abs(xb[rows]).max() + np.abs(yb[c:c + COLUMNS])) + LEAST
+                least = columns.least[c:c + COLUMNS] - slack
+                if not np.isfinite(least).all():
+                    least = np.maximum(least, _likely(s.T, k) - 2 * slack)
+                np.greater_equal(s, least.astype(np.float32), out=hit)
+                above[n * width:end] = False
+                at = _set(above[:end])
+                if len(at):
+                    i = at // width
+                    j = at - i * width
+                    value = s.ravel()[at]
+                    columns.add(j + c, i + a, (value - slack[j]).astype(np.float32), (value + slack[j]).astype(np.float32))
         near.prune()
         i, j, score = near.best()
-        found.append((i + a, yid[j], score))
-    return tuple(np.concatenate(p) for p in zip(*found))
+        found.append((i + a, j, score))
+        if back and r >= turn:
+            columns.prune()
+            turn = 4 * r + 3
+    if back:
+        columns.prune()
+    return tuple(np.concatenate(p) for p in zip(*found)), columns.best() if back else None
 
 
 def _dense_topk(lid, L, lb, lemit, rid, R, rb, k: int, alpha: float, want_left: bool, want_right: bool):
@@ -303,6 +347,10 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
         small = _fits_single(L, lb, R, rb) and abs(alpha) <= 1024
         out = []
         left, right = want_left and small and k < len(rid), want_right and small and k < len(lid)
+        both = _both_topk(L, lb, lid, R, rb, rid, k, alpha) if left and right and lemit.all() else None
+        if both is not None:
+            (i, other, score), (j, back, scored) = both
+            return pa.concat_tables([_emit(space, False, lid[i], other, score), _emit(space, True, rid[j], back, scored)])
         if left and lemit.any():
             i, other, score = _rows_topk(L[lemit], lb[lemit], R, rb, rid, k, alpha)
             out.append(_emit(space, False, lid[lemit][i], other, score))

@@ -127,3 +127,26 @@ def test_fixed_spaces_and_unit_vectors_are_written_once(spark):
     for df in (*registry._unit_st(spark, SF)[:2], *registry._fixed_spaces(spark, SF)[:2]):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "MapInArrow" not in plan and len(df.inputFiles()) > 0
+
+
+@pytest.mark.parametrize("name", ["plain", "copies", "near ties", "long and short", "biased"])
+@pytest.mark.parametrize("k", [1, 10])
+def test_both_sides_come_from_one_product(name, k, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS", 64)
+    monkeypatch.setattr(knn, "COLUMNS", 400)
+    x, xb, y, yb = case(name, np.random.default_rng(4))
+    if name == "copies":                                      # few of them, or each side is searched by itself
+        x, y = x + np.arange(len(x))[:, None] % 200, y + np.arange(len(y))[:, None] % 500
+    xid, yid = np.arange(len(x)) * 2 + 5, np.arange(len(y)) * 3 + 1
+    searched, make = [], knn._search
+
+    def counted(*args, **kw):
+        searched.append(1)
+        return make(*args, **kw)
+    monkeypatch.setattr(knn, "_search", counted)
+    both = knn._both_topk(x, xb, xid, y, yb, yid, k, 2.0)
+    assert len(searched) == 1
+    for found, alone in zip(both, (knn._rows_topk(x, xb, y, yb, yid, k, 2.0), knn._rows_topk(y, yb, x, xb, xid, k, 2.0))):
+        rows = [sorted(zip(*(c.tolist() for c in t))) for t in (found, alone)]
+        assert [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]]
+        assert np.allclose([r[2] for r in rows[0]], [r[2] for r in rows[1]], rtol=1e-12, atol=0)

@@ -44,8 +44,10 @@ from lexalign.session import default_parallelism
 BLOCK_BYTES = 1 << 25
 MIN_BLOCK = 64
 TILE = 2048
-#: Scores of one tile in single precision: few enough for a core's cache.
-ROWS, COLUMNS = 512, 1024
+#: Scores of one tile in single precision: few enough for a core's own cache.
+ROWS, COLUMNS = 768, 512
+#: Right rows of a tile whose largest score is compared first.
+GROUP = 16
 #: Pairs that a search holds before it scores them in double.
 HELD = 1 << 20
 #: Pairs scored in double at once.
@@ -261,11 +263,14 @@ def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int
     if xb.any() or yb.any():
         a32 = np.column_stack([a32, xb, np.ones(len(x))]).astype(np.float32)
         b32 = np.column_stack([b32, np.ones(len(y)), yb]).astype(np.float32)
+    b32 = np.concatenate([b32, np.repeat(b32[-1:], -len(y) % GROUP, axis=0)])             # whole groups; what is too much is left out below
+    step = max(1, COLUMNS // GROUP) * GROUP
     length, other = abs(alpha) * np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     rounding = (x.shape[1] + 16) * 2.0 ** -23
-    starts = range(0, len(y), COLUMNS)
-    furthest, most = ([float(np.abs(v[c:c + COLUMNS]).max()) for c in starts] for v in (other, yb))
-    scores, above = np.empty(ROWS * COLUMNS, dtype=np.float32), np.empty(ROWS * COLUMNS, dtype=bool)
+    starts = range(0, len(y), step)
+    furthest, most = ([float(np.abs(v[c:c + step]).max()) for c in starts] for v in (other, yb))
+    scores, above = np.empty(step * ROWS, dtype=np.float32), np.empty(step * ROWS, dtype=bool)
+    largest = np.empty(step // GROUP * ROWS, dtype=np.float32)
     found, columns = [], _Near(len(y), k, lambda j, i: _score(y, yb, x, xb, j, i, alpha)) if back else None
     turn = 0
     for r, a in enumerate(range(0, len(x), ROWS)):
@@ -274,35 +279,42 @@ def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int
         near = _Near(n, k, lambda i, j: _score(x[rows], xb[rows], y, yb, i, j, alpha))
         due = 0
         for t, c in enumerate(starts):
-            width = min(COLUMNS, len(y) - c)
-            s, hit = scores[:n * width].reshape(n, width), above[:n * width].reshape(n, width)
-            np.matmul(a32[rows], b32[c:c + COLUMNS].T, out=s)
+            width, groups = min(step, len(y) - c), len(b32[c:c + step]) // GROUP
+            s = scores[:groups * GROUP * n].reshape(groups * GROUP, n)                    # rows of y by rows of x
+            np.matmul(b32[c:c + step], a32[rows].T, out=s)
             slack = rounding * (length[rows] * furthest[t] + np.abs(xb[rows]) + most[t]) + LEAST
             least = near.least - slack
             if not np.isfinite(least).all():
-                least = np.maximum(least, _likely(s, k) - 2 * slack)
-            np.greater_equal(s, least.astype(np.float32)[:, None], out=hit)
-            end = -(-n * width // 8) * 8
-            above[n * width:end] = False
-            at = _set(above[:end])
+                least = np.maximum(least, _likely(s[:width].T, k) - 2 * slack)
+            least = least.astype(np.float32)
+            grouped, top = s.reshape(groups, GROUP, n), largest[:groups * n].reshape(groups, n)
+            np.maximum.reduce(grouped, axis=1, out=top)
+            at = np.flatnonzero(top >= least)
             if len(at):
-                i = at // width
-                value = s.ravel()[at]
-                near.add(i, at - i * width + c, (value - slack[i]).astype(np.float32), (value + slack[i]).astype(np.float32))
+                group = at // n
+                i = at - group * n
+                value = grouped[group, :, i]
+                which, place = np.nonzero(value >= least[i, None])
+                i, j, value = i[which], group[which] * GROUP + place, value[which, place]
+                if width < len(s):
+                    real = j < width
+                    i, j, value = i[real], j[real], value[real]
+                near.add(i, j + c, (value - slack[i]).astype(np.float32), (value + slack[i]).astype(np.float32))
             if t >= due:                                 # after 1, 4, 16, ... tiles: about 3 k more pairs a row each time
                 near.prune()
                 due = 4 * t + 3
             if back:
-                slack = rounding * (length[rows].max() * other[c:c + COLUMNS] + np.abs(xb[rows]).max() + np.abs(yb[c:c + COLUMNS])) + LEAST
-                least = columns.least[c:c + COLUMNS] - slack
+                slack = rounding * (length[rows].max() * other[c:c + step] + np.abs(xb[rows]).max() + np.abs(yb[c:c + step])) + LEAST
+                least = columns.least[c:c + step] - slack
                 if not np.isfinite(least).all():
-                    least = np.maximum(least, _likely(s.T, k) - 2 * slack)
-                np.greater_equal(s, least.astype(np.float32), out=hit)
+                    least = np.maximum(least, _likely(s[:width], k) - 2 * slack)
+                end = -(-n * width // 8) * 8
+                np.greater_equal(s[:width], least.astype(np.float32)[:, None], out=above[:n * width].reshape(width, n))
                 above[n * width:end] = False
                 at = _set(above[:end])
                 if len(at):
-                    i = at // width
-                    j = at - i * width
+                    j = at // n
+                    i = at - j * n
                     value = s.ravel()[at]
                     columns.add(j + c, i + a, (value - slack[j]).astype(np.float32), (value + slack[j]).astype(np.float32))
         near.prune()

@@ -150,3 +150,37 @@ def test_both_sides_come_from_one_product(name, k, monkeypatch):
         rows = [sorted(zip(*(c.tolist() for c in t))) for t in (found, alone)]
         assert [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]]
         assert np.allclose([r[2] for r in rows[0]], [r[2] for r in rows[1]], rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("m", [1, 15, 16, 17, 399, 400, 401, 1007])
+@pytest.mark.parametrize("columns", [8, 100, 400])
+def test_groups_of_right_rows_that_do_not_come_out_even(m, columns, monkeypatch):
+    """The last group of a tile is filled up: no right row is found twice and none is left out, whatever the tile."""
+    monkeypatch.setattr(knn, "ROWS", 32)
+    monkeypatch.setattr(knn, "COLUMNS", columns)
+    rng = np.random.default_rng(8)
+    x, xb, y, yb = rng.normal(size=(70, 8)), rng.normal(size=70), rng.normal(size=(m, 8)), rng.normal(size=m)
+    x[:5], yb[-1] = 10 * y[-1], 100.0                         # the row that the filling repeats is everyone's best
+    k = min(10, m)
+    exact = 2.0 * np.einsum("id,jd->ij", x, y) + xb[:, None] + yb[None, :]
+    row, other, score = knn._rows_topk(x, xb, y, yb, np.arange(m) * 3, k, 2.0)
+    order = np.lexsort((-score, row))
+    assert (other[order].reshape(-1, k) // 3).tolist() == np.argsort(-exact, axis=1, kind="stable")[:, :k].tolist()
+    found = knn._search(x, xb, y, yb, min(k, 3), 2.0, back=True)[1]
+    assert sorted(zip(found[0].tolist(), found[1].tolist())) == \
+        sorted((j, int(i)) for j in range(m) for i in np.argsort(-exact[:, j], kind="stable")[:min(k, 3)])
+
+
+def test_large_parts_of_a_tile_are_not_searched_for_pairs(monkeypatch):
+    """Scores are looked at one by one in few groups only: those whose largest one may matter."""
+    looked, real = [], np.nonzero
+
+    def counted(a):
+        looked.append(a.size)
+        return real(a)
+    monkeypatch.setattr(knn.np, "nonzero", counted)
+    monkeypatch.setattr(knn, "_set", lambda flags: pytest.fail("a whole tile is searched"))
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(600, 32)), rng.normal(size=(20_000, 32))
+    knn._rows_topk(x, np.zeros(600), y, np.zeros(20_000), np.arange(20_000), 10, 1.0)
+    assert 0 < sum(looked) <= 0.2 * 600 * 20_000

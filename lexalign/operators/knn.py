@@ -11,7 +11,7 @@ Physical design (block matrix product, as in distributed BlockMatrix multiply):
   moved once for them;
 * a numpy kernel (``applyInArrow`` on the co-group) goes over tiles of ``ROWS x COLUMNS``
   scores in single precision and leaves out what lies below a row's running k-th score by
-  more than the rounding can make up; the few others are scored in double, and ties go to the lower id.
+  more than the rounding can make up, ``GROUP`` right rows at once where their largest does; the few others are scored in double, and ties go to the lower id.
   Of right rows with equal vectors and biases only the first ``k`` can matter. Vectors that single precision
   cannot hold go through ``TILE x TILE`` scores in double. No memory but the vectors' depends on the block;
 * the final top-k is a ``row_number() <= k`` window per key, which Catalyst

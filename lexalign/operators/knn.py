@@ -239,8 +239,12 @@ def _rows_topk(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, yid
     return i, yid[j], score
 
 
-def _both_topk(x: np.ndarray, xb: np.ndarray, xid: np.ndarray, y: np.ndarray, yb: np.ndarray, yid: np.ndarray, k: int, alpha: float):
-    """What ``_rows_topk`` gives for the rows of ``x`` and for those of ``y``, from one product; None where copies make two cheaper."""
+def _both_topk(x: np.ndarray, xb: np.ndarray, xid: np.ndarray, y: np.ndarray, yb: np.ndarray, yid: np.ndarray, k: int, alpha: float,
+               wanted: np.ndarray | None = None):
+    """What ``_rows_topk`` gives for the rows of ``x`` and for those of ``y``, from one product; None where copies make two cheaper.
+
+    With ``wanted``, a mask, the second result is that of the marked rows of ``y`` only.
+    """
     kept, first = [], []
     for vecs, bias in ((x, xb), (y, yb)):
         order, group, place = _copies(vecs, bias)
@@ -250,15 +254,28 @@ def _both_topk(x: np.ndarray, xb: np.ndarray, xid: np.ndarray, y: np.ndarray, yb
         head = np.empty(len(order), dtype=np.int64)
         head[order] = order[place == 0][group]
         first.append(np.searchsorted(kept[-1], head))
-    found = _search(x[kept[0]], xb[kept[0]], y[kept[1]], yb[kept[1]], k, alpha, back=True)
+    heads = None
+    if wanted is not None:
+        heads = np.zeros(len(kept[1]), dtype=bool)
+        heads[first[1][wanted]] = True
+        first[1] = (np.cumsum(heads) - 1)[first[1][wanted]]
+    found = _search(x[kept[0]], xb[kept[0]], y[kept[1]], yb[kept[1]], k, alpha, back=True, wanted=heads)
     out = []
     for (_, j, score), like, ids in zip(found, first, (yid[kept[1]], xid[kept[0]])):          # k of each row, in the order of rows
         out.append((np.repeat(np.arange(len(like)), k), ids[j].reshape(-1, k)[like].ravel(), score.reshape(-1, k)[like].ravel()))
     return out
 
 
-def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int, alpha: float, back: bool = False):
-    """``(row, place in y, score)`` of the ``k`` best for each row of ``x`` and, with ``back``, the same for ``y`` from the same scores."""
+def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int, alpha: float, back: bool = False,
+            wanted: np.ndarray | None = None):
+    """``(row, place in y, score)`` of the ``k`` best for each row of ``x`` and, with ``back``, the same for ``y`` from the same scores.
+
+    ``wanted`` marks the rows of ``y`` that ``back`` asks for (all if None); the first of them has number 0 in the second result.
+    """
+    asked, given, biases = len(y), y, yb
+    if wanted is not None:
+        places = np.argsort(~wanted, kind="stable")                                      # the marked ones fill the first tiles
+        asked, y, yb = int(wanted.sum()), y[places], yb[places]
     a32, b32 = (alpha * x).astype(np.float32), y.astype(np.float32)
     if xb.any() or yb.any():
         a32 = np.column_stack([a32, xb, np.ones(len(x))]).astype(np.float32)
@@ -271,12 +288,12 @@ def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int
     furthest, most = ([float(np.abs(v[c:c + step]).max()) for c in starts] for v in (other, yb))
     scores, above = np.empty(step * ROWS, dtype=np.float32), np.empty(step * ROWS, dtype=bool)
     largest = np.empty(step // GROUP * ROWS, dtype=np.float32)
-    found, columns = [], _Near(len(y), k, lambda j, i: _score(y, yb, x, xb, j, i, alpha)) if back else None
+    found, columns = [], _Near(asked, k, lambda j, i: _score(y, yb, x, xb, j, i, alpha)) if back else None
     turn = 0
     for r, a in enumerate(range(0, len(x), ROWS)):
         rows = slice(a, a + ROWS)
         n = len(x[rows])
-        near = _Near(n, k, lambda i, j: _score(x[rows], xb[rows], y, yb, i, j, alpha))
+        near = _Near(n, k, lambda i, j: _score(x[rows], xb[rows], given, biases, i, j, alpha))
         due = 0
         for t, c in enumerate(starts):
             width, groups = min(step, len(y) - c), len(b32[c:c + step]) // GROUP
@@ -299,13 +316,14 @@ def _search(x: np.ndarray, xb: np.ndarray, y: np.ndarray, yb: np.ndarray, k: int
                 if width < len(s):
                     real = j < width
                     i, j, value = i[real], j[real], value[real]
-                near.add(i, j + c, (value - slack[i]).astype(np.float32), (value + slack[i]).astype(np.float32))
+                near.add(i, j + c if wanted is None else places[j + c], (value - slack[i]).astype(np.float32), (value + slack[i]).astype(np.float32))
             if t >= due:                                 # after 1, 4, 16, ... tiles: about 3 k more pairs a row each time
                 near.prune()
                 due = 4 * t + 3
-            if back:
-                slack = rounding * (length[rows].max() * other[c:c + step] + np.abs(xb[rows]).max() + np.abs(yb[c:c + step])) + LEAST
-                least = columns.least[c:c + step] - slack
+            width = min(width, asked - c)
+            if back and width > 0:
+                slack = rounding * (length[rows].max() * other[c:c + width] + np.abs(xb[rows]).max() + np.abs(yb[c:c + width])) + LEAST
+                least = columns.least[c:c + width] - slack
                 if not np.isfinite(least).all():
                     least = np.maximum(least, _likely(s[:width], k) - 2 * slack)
                 end = -(-n * width // 8) * 8
@@ -359,10 +377,15 @@ def _kernel_factory(k: int, alpha: float, sides: tuple[str, ...]):
         small = _fits_single(L, lb, R, rb) and abs(alpha) <= 1024
         out = []
         left, right = want_left and small and k < len(rid), want_right and small and k < len(lid)
-        both = _both_topk(L, lb, lid, R, rb, rid, k, alpha) if left and right and lemit.all() else None
+        both = None
+        if left and right and lemit.all():
+            both = _both_topk(L, lb, lid, R, rb, rid, k, alpha)
+        elif left and right and lemit.any():                   # the side that is wanted whole is searched by rows: that is cheaper
+            both = _both_topk(R, rb, rid, L, lb, lid, k, alpha, wanted=lemit)
+            both = both and both[::-1]
         if both is not None:
             (i, other, score), (j, back, scored) = both
-            return pa.concat_tables([_emit(space, False, lid[i], other, score), _emit(space, True, rid[j], back, scored)])
+            return pa.concat_tables([_emit(space, False, lid[lemit][i], other, score), _emit(space, True, rid[j], back, scored)])
         if left and lemit.any():
             i, other, score = _rows_topk(L[lemit], lb[lemit], R, rb, rid, k, alpha)
             out.append(_emit(space, False, lid[lemit][i], other, score))

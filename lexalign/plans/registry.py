@@ -301,7 +301,7 @@ def _unit_st(spark, sf):
 def _test_queries(xu, s, t, d):
     gold = D.gold(D.encode(_part(d, "test"), s, t))
     q = xu.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi")
-    return q, gold
+    return materialise(q, "queries"), gold                     # searches count and read them
 
 
 def _cands_out(c, with_rank=True):
@@ -338,7 +338,8 @@ def nbr_z(spark, sf):
 def _csls(spark, sf, k):
     xu, zu, d, s, t = _unit_st(spark, sf)
     q, _ = _test_queries(xu, s, t, d)
-    return R.csls_topk(q, zu, R.nbr_mean(zu, xu, 10), k, r_x=R.nbr_mean(q, zu, 10))
+    r_x, r_z = R.neighbourhood(xu, zu, 10, queries=q)
+    return R.csls_topk(q, zu, r_z, k, r_x=r_x)
 
 
 def csls_top1(spark, sf):
@@ -360,8 +361,9 @@ def csls_top10_pruned(spark, sf):
     """The same rows as ``csls_top10`` (scores without the queries' own mean), by balls with bounds."""
     xu, zu, d, s, t = _unit_st(spark, sf)
     q, _ = _test_queries(xu, s, t, d)
-    found = R.pruned_topk(q, zu, 10, R.nbr_mean(zu, xu, 10))
-    r_x = R.nbr_mean(q, zu, 10).select(F.col("idx").alias("src_idx"), "r")
+    r_x, r_z = R.neighbourhood(xu, zu, 10, queries=q)
+    found = R.pruned_topk(q, zu, 10, r_z)
+    r_x = r_x.select(F.col("idx").alias("src_idx"), "r")
     return _cands_out(found.join(r_x, "src_idx").withColumn("score", F.col("score") - F.col("r")))
 
 

@@ -184,3 +184,59 @@ def test_large_parts_of_a_tile_are_not_searched_for_pairs(monkeypatch):
     x, y = rng.normal(size=(600, 32)), rng.normal(size=(20_000, 32))
     knn._rows_topk(x, np.zeros(600), y, np.zeros(20_000), np.arange(20_000), 10, 1.0)
     assert 0 < sum(looked) <= 0.2 * 600 * 20_000
+
+
+@pytest.mark.parametrize("name", ["plain", "copies", "near ties", "long and short", "biased"])
+@pytest.mark.parametrize("share", [0.002, 0.2, 0.9])
+def test_few_rows_of_a_side_come_from_the_product_of_the_other(name, share, monkeypatch):
+    """Rows of one side that are asked for, and all of the other, from one product; ties go to the lower id."""
+    monkeypatch.setattr(knn, "ROWS", 64)
+    monkeypatch.setattr(knn, "COLUMNS", 400)
+    rng = np.random.default_rng(5)
+    x, xb, y, yb = case(name, rng)
+    if name == "copies":
+        x, y = x + np.arange(len(x))[:, None] % 200, y + np.arange(len(y))[:, None] % 500
+    xid, yid = np.arange(len(x)) * 2 + 5, np.arange(len(y)) * 3 + 1
+    wanted = rng.random(len(y)) < share
+    wanted[7] = True
+    searched, make = [], knn._search
+
+    def counted(*args, **kw):
+        searched.append(1)
+        return make(*args, **kw)
+    monkeypatch.setattr(knn, "_search", counted)
+    both = knn._both_topk(x, xb, xid, y, yb, yid, 10, 2.0, wanted=wanted)
+    assert len(searched) == 1
+    for found, alone in zip(both, (knn._rows_topk(x, xb, y, yb, yid, 10, 2.0), knn._rows_topk(y[wanted], yb[wanted], x, xb, xid, 10, 2.0))):
+        rows = [sorted(zip(*(c.tolist() for c in t))) for t in (found, alone)]
+        assert [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]]
+        assert np.allclose([r[2] for r in rows[0]], [r[2] for r in rows[1]], rtol=1e-12, atol=0)
+
+
+def test_means_of_test_words_and_targets_come_from_one_product(spark, monkeypatch):
+    """``csls_top1``: the whole product gives both means; beside it only the test words are searched."""
+    from lexalign.plans import registry
+    scores = spark.sparkContext.accumulator(0)
+    make = knn._kernel_factory
+
+    def counted(*args):
+        kernel = make(*args)
+
+        def run(group, left, right):
+            scores.add(left.num_rows * right.num_rows)
+            return kernel(group, left, right)
+        return run
+    monkeypatch.setattr(knn, "_kernel_factory", counted)
+    n = FX.lang_s(spark, SF).count()
+    q = len(registry.csls_top1(spark, SF).collect())
+    assert 0 < q < n and scores.value == n * n + q * n
+
+
+def test_written_queries_are_not_joined_anew(spark):
+    """The searched test words of ``csls_top1`` and ``candidate_lines`` are written once."""
+    from lexalign.plans import bilingual, registry
+    xu, zu, d, s, t = registry._unit_st(spark, SF)
+    q, gold = registry._test_queries(xu, s, t, d)
+    assert "Join" not in q._jdf.queryExecution().optimizedPlan().toString() and q.count() > 0
+    plain, with_rx = (bilingual.retrieve(xu, zu, gold, "csls", 3, 10, with_rx=w).collect() for w in (False, True))
+    assert sorted(r[:3] for r in plain) == sorted(r[:3] for r in with_rx) and len(plain) == 3 * q.count()

@@ -97,16 +97,21 @@ def retrieve(xw: DataFrame, zw: DataFrame, gold: DataFrame, method: str = "csls"
     """Top-k candidates ``(src_idx, rank, trg_idx, score)`` for every gold source row.
 
     ``r_z`` (target neighbourhoods against the whole source) may be given if it is
-    known for these spaces; ``r_x`` is only computed where the score is asked for.
+    known for these spaces; ``r_x`` is only computed where the score is asked for. The queries are
+    written once, as searches count and read them.
     """
-    queries = xw.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi")
+    queries = materialise(xw.join(gold.select(F.col("src_idx").alias("idx")).distinct(), "idx", "left_semi"), "queries")
     if method not in ("nn", "csls"):
         raise ValueError("method must be 'nn' or 'csls'")
     if method == "nn":
         return R.nn_topk(queries, zw, k)
-    if r_z is None:
+    r_x = None
+    if r_z is None and with_rx:
+        r_x, r_z = R.neighbourhood(xw, zw, csls_k, queries)
+    elif r_z is None:
         r_z = R.nbr_mean(zw, xw, csls_k)
-    r_x = R.nbr_mean(queries, zw, csls_k) if with_rx else None
+    elif with_rx:
+        r_x = R.nbr_mean(queries, zw, csls_k)
     return R.csls_topk(queries, zw, r_z, k, r_x=r_x)
 
 

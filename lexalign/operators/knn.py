@@ -199,10 +199,13 @@ class _Near:
         if self.held > self.most:
             self.prune()
             if self.held > self.most // 2:               # too many within the rounding: their scores in double decide
-                i, j, score = self.best()
-                single = score.astype(np.float32)
-                self.parts, self.held = [(i, j, np.nextafter(single, np.float32(-np.inf)), np.nextafter(single, np.float32(np.inf)))], len(i)
-                self.prune()
+                self.settle()
+
+    def settle(self) -> None:
+        i, j, score = self.best()
+        single = score.astype(np.float32)
+        self.parts, self.held = [(i, j, np.nextafter(single, np.float32(-np.inf)), np.nextafter(single, np.float32(np.inf)))], len(i)
+        self.prune()
 
     def _joined(self):
         return tuple(np.concatenate(c) for c in zip(*self.parts))

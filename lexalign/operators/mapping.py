@@ -7,11 +7,14 @@ travels with the task closure.  Pure map: no shuffle, partitioning preserved.
 
 ``apply_keyed`` applies another matrix to the rows of every space. The matrices of many
 pairs and models are a table ``(space, i, row)`` that never reaches the driver: rows are dealt into
-blocks of a space, and each block is co-grouped with its space's matrix.
+blocks of a space, and each block is co-grouped with its space's matrix. Where many models map the same rows,
+``late`` leaves the product to the tasks that read the rows, so no mapped table is written or moved.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,14 +50,44 @@ def apply_matrix(df: DataFrame, m: np.ndarray, vec: str = "vec", out: str | None
 
 #: Bytes of the vectors that a task maps at once.
 BLOCK_BYTES = 1 << 26
+#: Rows of one product.
+SLAB = 1024
+
+
+@dataclass
+class Mapped:
+    """``rows(space, idx, word, vec)`` under every model's matrix ``maps(space, model, i, row)``, scaled to length one, not yet multiplied."""
+
+    rows: DataFrame
+    maps: DataFrame
+
+
+def map_rows(x: np.ndarray, m: np.ndarray, unit: bool = False) -> np.ndarray:
+    """``x`` times ``m``; ``unit`` scales the results to length one (zero stays zero).
+
+    Products of one shape only, so that equal rows have equal results wherever they stand.
+    """
+    slabs = np.zeros((-(-len(x) // SLAB), SLAB, x.shape[1]))
+    slabs.reshape(-1, x.shape[1])[:len(x)] = x
+    y = (slabs @ m).reshape(-1, m.shape[1])[:len(x)]
+    if unit:
+        norm = np.linalg.norm(y, axis=1, keepdims=True)
+        y = y / np.where(norm > 0, norm, 1.0)
+    return y
 
 
-def apply_keyed(df: DataFrame, maps: DataFrame, counts: dict[int, int], dim: int, unit: bool = False) -> DataFrame:
+def apply_keyed(df: DataFrame, maps: DataFrame, counts: dict[int, int] | None = None, dim: int = 64, unit: bool = False,
+                late: bool = False) -> DataFrame | Mapped:
     """``(space, idx, word, vec)`` with ``vec`` times the matrix ``maps(space, i, row)`` of its space.
 
     ``counts`` holds the rows of every space; ``unit`` scales the results to length one (zero stays zero).
-    Rows of a space without a matrix or a count are dropped.
+    Rows of a space without a matrix or a count are dropped. With ``late`` a space has many matrices, ``maps(space, model, i, row)``,
+    results have length one, and the searches of ``operators.retrieval`` multiply the rows when they read them.
     """
+    if late:
+        if not unit:
+            raise ValueError("what is mapped late has length one")
+        return Mapped(df, maps)
     spark = df.sparkSession
     rows = max(1, BLOCK_BYTES // (8 * max(1, dim)))
     blocks = spark.createDataFrame([(s, -(-n // rows)) for s, n in counts.items()], "space bigint, _n bigint")   # a row a space
@@ -69,10 +102,7 @@ def apply_keyed(df: DataFrame, maps: DataFrame, counts: dict[int, int], dim: int
             y = np.zeros((0, 1))
         else:
             m = list_to_matrix(matrix.column("row"))[np.argsort(matrix.column("i").to_numpy())]
-            y = list_to_matrix(vectors.column("vec"), len(m)) @ m
-            if unit:
-                norm = np.linalg.norm(y, axis=1, keepdims=True)
-                y = y / np.where(norm > 0, norm, 1.0)
+            y = map_rows(list_to_matrix(vectors.column("vec"), len(m)), m, unit)
         return pa.table([*(vectors.column(c) for c in ("space", "idx", "word")), matrix_to_list(y)],
                         names=["space", "idx", "word", "vec"])
 

@@ -9,7 +9,8 @@
 
 All ids are the ``idx`` columns of the embedding tables; ties go to the lower id. With
 ``space``, the name of a column of all inputs, each space is searched by itself, all of
-them in one job, and the results carry the column.
+them in one job, and the results carry the column. Sides that are ``mapping.Mapped`` are searched under every model
+of their space (``operators.bymodel``): means are an array of one a model, and candidates carry the model.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexalign.operators import knn, pruned
+from lexalign.operators import bymodel, knn, pruned
+from lexalign.operators.mapping import Mapped
 from lexalign.session import materialise
 
 
@@ -55,30 +57,37 @@ def neighbourhood(x: DataFrame, z: DataFrame, k: int = 10, queries: DataFrame |
     return means.where("not right_side").drop("right_side"), means.where("right_side").drop("right_side")
 
 
-def nbr_mean(x: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
+def nbr_mean(x: DataFrame | Mapped, z: DataFrame | Mapped, k: int = 10, block: int | None = None,
              n_left: int | None = None, n_right: int | None = None, space: str | None = None) -> DataFrame:
     """Mean of the k largest similarities of every ``x`` row against ``z``: ``(idx, r)``.
 
     Written once: what is joined with the means is counted before it is searched, and would compute them anew each time.
     """
+    if isinstance(x, Mapped):
+        return materialise(bymodel.nbr_means(x, z, k), "neighbourhoods")
     c = knn.block_candidates(_ids_vecs(x, space=space), _ids_vecs(z, space=space), k, sides=("left",), block=block,
                              n_left=n_left, n_right=n_right, space=space)
     means = materialise(knn.final_topk(c, k, "left").groupBy("space", "key").agg(F.avg("score").alias("r")), "neighbourhoods")
     return _keyed(means, space).withColumnRenamed("key", "idx")
 
 
-def nn_topk(queries: DataFrame, z: DataFrame, k: int = 10, block: int | None = None,
+def nn_topk(queries: DataFrame | Mapped, z: DataFrame | Mapped, k: int = 10, block: int | None = None,
             n_left: int | None = None, n_right: int | None = None, space: str | None = None) -> DataFrame:
     """``(src_idx, rank, trg_idx, score)`` by inner product."""
+    if isinstance(queries, Mapped):
+        return bymodel.topk(queries, z, k)
     t = knn.topk(_ids_vecs(queries, space=space), _ids_vecs(z, space=space), k, block=block, n_left=n_left,
                  n_right=n_right, space=space)
     return _keyed(t, space).select(*_on(space), F.col("l_idx").alias("src_idx"), "rank", F.col("r_idx").alias("trg_idx"), "score")
 
 
-def csls_topk(queries: DataFrame, z: DataFrame, r_z: DataFrame, k: int = 10,
+def csls_topk(queries: DataFrame | Mapped, z: DataFrame | Mapped, r_z: DataFrame, k: int = 10,
               r_x: DataFrame | None = None, block: int | None = None, n_left: int | None = None,
               n_right: int | None = None, space: str | None = None) -> DataFrame:
     """``(src_idx, rank, trg_idx, score)`` by CSLS; score is ``2xz − r_x − r_z`` when ``r_x`` is given."""
+    if isinstance(queries, Mapped):
+        zb = z.rows.join(r_z.select("space", "idx", F.transform("r", lambda r: -r).alias("nb")), ["space", "idx"])
+        return bymodel.topk(queries, Mapped(zb, z.maps), k, 2.0, "nb")
     on = _on(space)
     zb = _ids_vecs(z, space=space).join(r_z.select(*on, "idx", (-F.col("r")).alias("nb")), [*on, "idx"])
     t = knn.topk(_ids_vecs(queries, space=space), zb, k, right_bias="nb", alpha=2.0, block=block,

@@ -2,8 +2,8 @@
 
 The grams of every pair are summed by key. A task a pair takes its eigenvectors once and
 gives the closed form of every λ as rows of a table, so neither grams nor maps
-reach the driver. The vectors are mapped by block and model, every model is a space of
-``plans.spaces``, and all of them are evaluated together and ranked by pair.
+reach the driver. Every pair is a space of ``plans.spaces``. The vectors stay as they are: the tasks that compare them
+apply the maps of all models (``operators.bymodel``), and all models are evaluated together and ranked by pair.
 """
 
 from __future__ import annotations
@@ -100,21 +100,9 @@ def grid(langs: DataFrame, pairs: DataFrame, train: DataFrame, test: DataFrame,
     norm = materialise(N.normalize(langs, normalize, group_cols=["lang"]), "normalised")
     models = fit_all(pair_grams(norm, pairs, train), lambdas, ranks)
     infos = model_infos(models, lambdas, ranks)
-    n_models = len(lambdas) * len(ranks)
-    number = (F.col("pair") * n_models + F.col("model")).alias("space")
-    spaces = infos.select(number, "pair")
-    sizes = {r["lang"]: (r["n"], r["d"]) for r in norm.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).collect()}
-    listed = pairs.join(spaces.withColumnRenamed("space", "_space"), F.col("space") == F.col("pair")) \
-        .select(F.col("_space").alias("space"), "pair", "src_lang", "trg_lang").collect()          # a row a model
-    each = spark.createDataFrame(listed, "space bigint, pair bigint, src_lang string, trg_lang string")
-    mapped = []
-    for part, column, side in zip(("src", "trg"), ("src_lang", "trg_lang"), SP.pair_sides(norm, each)):
-        maps = models.where(F.col("part") == part).select(number, "i", "row")
-        counts = {r["space"]: sizes[r[column]][0] for r in listed}
-        dim = max((d for _, d in sizes.values()), default=1)
-        mapped.append(materialise(M.apply_keyed(side, maps, counts, dim, unit=True), f"mapped-{part}"))
-    tests = test.withColumnRenamed("space", "pair").join(F.broadcast(spaces), "pair").select("space", "src_word", "trg_word")
-    scored = infos.withColumn("space", number).join(SP.evaluate(*mapped, tests, "csls", csls_k), "space", "left")
+    mapped = [M.apply_keyed(side, models.where(F.col("part") == part).select(F.col("pair").alias("space"), "model", "i", "row"), unit=True, late=True)
+              for part, side in zip(("src", "trg"), SP.pair_sides(norm, pairs))]
+    scored = infos.join(SP.evaluate(*mapped, test, "csls", csls_k).withColumnRenamed("space", "pair"), ["pair", "model"], "left")
     order = Window.partitionBy("pair").orderBy(F.col("acc1").desc_nulls_last(), "lambda", "map_rank")     # a row a model
     return scored.withColumn("rank", F.row_number().over(order)) \
         .join(F.broadcast(pairs.withColumnRenamed("space", "pair")), "pair") \

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexalign.operators import knn
 from lexalign.operators._arrow import list_to_matrix, matrix_to_list
 from lexalign.operators.knn import COLUMNS, GROUP, LEAST, PAIRS, ROWS, _best, _copies, _likely, _Near
-from lexalign.operators.mapping import Mapped, map_rows
+from lexalign.operators.mapping import SLAB, Mapped, map_rows
 from lexalign.session import default_parallelism
 
 #: Bytes of the right rows that a task holds at once; a left block has ``knn.BLOCK_BYTES``.
@@ -100,7 +100,9 @@ class _Block:
         self.maps = [tuple(np.pad(maps[side][m], ((0, 0), (0, width - maps[side][m].shape[1]))) for side in (LEFT_MAP, RIGHT_MAP))
                      for m in self.models]
         finite = np.isfinite(x).all(axis=1)
-        self.ids, x = ids[finite], x[finite]
+        if not finite.all():
+            ids, x = ids[finite], x[finite]
+        self.ids = ids
         order, group, place = _copies(x, np.zeros(len(x)))
         self.x = x[order[place == 0]]                            # equal rows are searched once
         self.row = np.empty(len(x), dtype=np.int64)
@@ -118,15 +120,18 @@ class _Block:
         for members in _alike(self.maps, self.x[some], y[:SAMPLE], bias[:SAMPLE], self.alpha):
             own = self.maps[members[0]]
             maps = _turned([self.maps[m] for m in members], own)
-            a0 = map_rows(self.x, own[0], True)
-            spread, scale = np.zeros(self.n), []
-            for left, _ in maps:
-                a = self.x @ left
-                length = np.linalg.norm(a, axis=1)
-                scale.append(np.where(length > 0, 1.0, 0.0) / np.where(length > 0, length, 1.0))
-                spread = np.maximum(spread, np.linalg.norm(a * scale[-1][:, None] - a0, axis=1))
-            single = np.column_stack([self.alpha * a0, np.ones(self.n)]).astype(np.float32)
-            self.groups.append((np.array(members), own, maps, single, abs(self.alpha) * spread, np.array(scale)))
+            single = np.empty((self.n, own[0].shape[1] + 1), dtype=np.float32)
+            spread, scale = np.zeros(self.n), np.empty((len(members), self.n))
+            for p in range(0, self.n, 8 * SLAB):
+                rows = slice(p, p + 8 * SLAB)
+                a0 = map_rows(self.x[rows], own[0], True)
+                single[rows, :-1], single[rows, -1] = self.alpha * a0, 1.0
+                for q, (left, _) in enumerate(maps):
+                    a = map_rows(self.x[rows], left)
+                    length = np.linalg.norm(a, axis=1)
+                    scale[q, rows] = np.where(length > 0, 1.0, 0.0) / np.where(length > 0, length, 1.0)
+                    spread[rows] = np.maximum(spread[rows], np.linalg.norm(a * scale[q, rows, None] - a0, axis=1))
+            self.groups.append((np.array(members), own, maps, single, abs(self.alpha) * spread, scale))
 
     def add(self, ids: np.ndarray, y: np.ndarray, bias: np.ndarray) -> None:
         finite = np.isfinite(y).all(axis=1) & np.isfinite(bias).all(axis=1)
@@ -269,9 +274,9 @@ def _kernel_factory(k: int, alpha: float, means: bool):
             if not left or not maps[LEFT_MAP]:
                 return None
             matrices = {side: {m: np.array([row for _, row in sorted(rows.items())]) for m, rows in found.items()} for side, found in maps.items()}
-            made = _Block(matrices, *(np.concatenate(c) for c in zip(*left)), k, alpha)
+            ids, x = (np.concatenate(c) for c in zip(*left))
             left.clear()
-            return made
+            return _Block(matrices, ids, x, k, alpha)
 
         def add():
             ids, y, bias = (np.concatenate(c) for c in zip(*right))
